@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import line_dedup
+from palimpsest.llm import line_dedup, mixing
 
 
 def queries() -> dict:
     return {
+        "op7_mixing": mixing.query,
         "op10_line_dedup": line_dedup.query,
     }
 
