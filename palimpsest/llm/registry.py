@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import line_dedup, mixing
+from palimpsest.llm import line_dedup, media, mixing
 
 
 def queries() -> dict:
     return {
         "op7_mixing": mixing.query,
+        "op8_ogg_media": media.query,
         "op10_line_dedup": line_dedup.query,
     }
 
