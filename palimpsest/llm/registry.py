@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import line_dedup, media, mixing
+from palimpsest.llm import bpe, line_dedup, media, mixing
 
 
 def queries() -> dict:
     return {
+        "op5_bpe": bpe.query,
         "op7_mixing": mixing.query,
         "op8_ogg_media": media.query,
         "op10_line_dedup": line_dedup.query,
