@@ -260,11 +260,12 @@ def encode_texts(docs: DataFrame, path: str, *, text_col: str = "text", with_ids
         new |= {"ids_sha256": F.lit(""), "decoded_sha256": F.lit("")}
     base = docs.drop(*[c for c in ("n_tokens", "ids", "ids_sha256", "decoded_sha256") if c != text_col])
     schema = base.drop(text_col).withColumns(new).schema
+    names = list(new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in new}
+            out: dict[str, list] = {c: [] for c in names}
             for text in batch.column(text_col).to_pylist():
                 ids, decoder, raw, read, n, kept = None, Decoder(own.names), hashlib.sha256(), hashlib.sha256(), 0, []
                 for ids in own.ids(text):
@@ -281,7 +282,7 @@ def encode_texts(docs: DataFrame, path: str, *, text_col: str = "text", with_ids
                     out["ids_sha256"].append(raw.hexdigest())
                     out["decoded_sha256"].append(read.hexdigest())
             kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
-            cols = [pa.array(out[f.name], kinds[f.name]) if f.name in new else batch.column(f.name) for f in schema]
+            cols = [pa.array(out[f.name], kinds[f.name]) if f.name in names else batch.column(f.name) for f in schema]
             yield pa.RecordBatch.from_arrays(cols, [f.name for f in schema])
 
     return base.mapInArrow(run, schema)
