@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import bpe, line_dedup, media, mixing
+from palimpsest.llm import bpe, line_dedup, media, mixing, quality
 
 
 def queries() -> dict:
     return {
+        "op3_kneser_ney_quality": quality.query,
         "op5_bpe": bpe.query,
         "op7_mixing": mixing.query,
         "op8_ogg_media": media.query,
