@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import bpe, line_dedup, media, mixing, quality
+from palimpsest.llm import bpe, line_dedup, media, mixing, near_dedup, quality
 
 
 def queries() -> dict:
     return {
+        "op2_minhash_near_dedup": near_dedup.query,
         "op3_kneser_ney_quality": quality.query,
         "op5_bpe": bpe.query,
         "op7_mixing": mixing.query,
@@ -17,5 +18,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_minhash_near_dedup": near_dedup.ORACLE,
         "op10_line_dedup": line_dedup.ORACLE,
     }
