@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import bpe, line_dedup, media, mixing, near_dedup, quality
+from palimpsest.llm import bpe, hamming, line_dedup, media, mixing, near_dedup, quality, warc
 
 
 def queries() -> dict:
     return {
+        "op1_hamming_topk": hamming.query,
         "op2_minhash_near_dedup": near_dedup.query,
         "op3_kneser_ney_quality": quality.query,
         "op5_bpe": bpe.query,
         "op7_mixing": mixing.query,
         "op8_ogg_media": media.query,
+        "op9_warc": warc.query,
         "op10_line_dedup": line_dedup.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_hamming_topk": hamming.ORACLE,
         "op2_minhash_near_dedup": near_dedup.ORACLE,
+        "op9_warc": warc.ORACLE,
         "op10_line_dedup": line_dedup.ORACLE,
     }
