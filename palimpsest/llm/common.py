@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Characters that part words, and that are stripped from lines: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -38,7 +39,13 @@ def scratch(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: lineage ends there, and a lost executor loses nothing of it."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    # What was shuffled on the way to the table is of no use once it is written.
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

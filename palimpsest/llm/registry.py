@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import bpe, hamming, line_dedup, media, mixing, near_dedup, quality, warc
+from palimpsest.llm import bpe, hamming, line_dedup, media, mixing, near_dedup, quality, suffix_dedup, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_minhash_near_dedup": near_dedup.query,
         "op3_kneser_ney_quality": quality.query,
         "op5_bpe": bpe.query,
+        "op6_suffix_array_dedup": suffix_dedup.query,
         "op7_mixing": mixing.query,
         "op8_ogg_media": media.query,
         "op9_warc": warc.query,
