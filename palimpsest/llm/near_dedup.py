@@ -6,9 +6,11 @@ every coordinate is filled; a set much larger than T fills them in one or two. C
 the Jaccard similarity, and their number of agreements is concentrated as for independent ones. BANDS bands of ROWS
 coordinates make candidates: at a similarity of 0.85 a pair misses all of them with a probability below 1e-7.
 
-Documents with the same set are one class. In each bucket of a band a class is first held against the bucket's centre
-alone, and links are joined to components; only classes of one bucket that are in different components are then held
-against each other. So a group of n near copies costs about n comparisons, and no candidate is left out.
+Documents with the same set are one class. In each bucket of a band a class is held against the bucket's centre alone, and
+links are joined to components. Other pairs of a bucket matter only if their components differ, and most of those are ruled
+out without being made: with the shingles outside the centre put first in the order of shingles, a linked pair either has
+one of its first ones in common, or both sides lie within the centre so far that its share bounds theirs. What is left is
+confirmed on full sets. So a group of n near copies costs about n comparisons, and no candidate is left out.
 """
 
 from __future__ import annotations
@@ -162,13 +164,41 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, rounds: int = 6) -> DataFrame:
+def _around(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """For pairs of a centre c and a class x: n and n_c (sizes), common, lead, and the first `lead` shingles of x that are outside c.
+
+    lead: two sets that are similar enough have a shingle in common among the first `lead` of each, in any one order.
+    """
+    one, two = sets.select(F.col("id").alias("x"), F.col("shingles").alias("sx")), sets.select(F.col("id").alias("c"), F.col("shingles").alias("sc"))
+    both = pairs.join(one, "x").join(two, "c").select("c", "x", F.size("sx").alias("n"), F.size("sc").alias("n_c"), F.array_except("sx", "sc").alias("outside"))
+    lead = F.col("n") - F.floor((percent * F.col("n") + 99) / 100).cast("int") + 1
+    return both.select("c", "x", "n", "n_c", (F.col("n") - F.size("outside")).alias("common"), (F.size("outside") < lead).alias("inside"), F.slice("outside", 1, lead).alias("first"))
+
+
+def _others(around: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """The pairs of classes around one centre, in different components, that may be linked."""
+    members = around.join(found.withColumnRenamed("v", "x"), "x", "left").select("c", "x", "n", "common", "inside", "first", F.coalesce("comp", "x").alias("comp"))
+    parts = members.groupBy("c", "comp").agg(F.count(F.lit(1)).alias("k"))
+    split = parts.groupBy("c").agg(F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("c", F.col("top.comp").alias("top"))
+    members = written(members.join(split, "c").withColumn("main", F.col("comp") == F.col("top")), "around")
+    # Of each pair one side is not in the centre's largest component.
+    a = members.where("NOT main").select("c", F.col("x").alias("a"), F.col("n").alias("na"), F.col("common").alias("ia"), F.col("inside").alias("ina"), F.col("comp").alias("ca"), F.col("first").alias("fa"))
+    b = members.select("c", F.col("x").alias("b"), F.col("n").alias("nb"), F.col("common").alias("ib"), F.col("inside").alias("inb"), F.col("comp").alias("cb"), F.col("first").alias("fb"), "main")
+    fit = (F.col("ca") != F.col("cb")) & (F.col("main") | (F.col("a") < F.col("b"))) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    shared = a.select("c", "a", "na", "ca", F.explode("fa").alias("t")).join(b.select("c", "b", "nb", "cb", "main", F.explode("fb").alias("t")), ["c", "t"]).where(fit)
+    most = F.least("ia", "ib")
+    close = a.where("ina").join(b.where("inb"), "c").where(fit & (100 * most >= percent * (F.col("na") + F.col("nb") - most)))
+    pairs = shared.select("a", "b").unionByName(close.select("a", "b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """id, n_shingles, component_id, kept for each document.
 
     Linked are documents with 100 * |common| >= percent * |union|; component_id is the smallest id that links lead to, and
     kept is whether it is the document's own. Null and empty texts and those of white space alone have no shingles and are
     linked with nothing. Rows that repeat an id are documents of their own; those without an id are linked with nothing,
-    have no component_id, and are kept. `rounds` bounds the rounds of centres before the rest is compared exactly.
+    have no component_id, and are kept.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     all_rows = written(sketch(texts), "sketches")
@@ -176,42 +206,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = linked.groupBy("set_id").agg(F.min("id").alias("rep"))
     members = written(linked.join(classes, "set_id").select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "members")
 
-    banded = members.where("id = rep").dropDuplicates(["id", "n"]).select("rep", "n", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("rep").alias("centre"), F.max("rep").alias("other")).where("centre < other")
-    buckets = written(banded.join(shared, "band").select("band", "rep", "n", "centre"), "buckets")
-    wanted = buckets.select(F.col("rep").alias("id")).distinct()
-    sets = written(full_sets(texts.join(wanted.hint("shuffle_hash"), "id", "left_semi")).join(members.where("id = rep").select("id", "n").distinct(), "id").where(F.size("shingles") == F.col("n")).dropDuplicates(["id"]).select("id", "shingles"), "sets")
-
-    def near(n: str, m: str):
-        return 100 * F.least(n, m) >= percent * F.greatest(n, m)
-
-    sizes = buckets.select(F.col("rep").alias("b"), F.col("n").alias("m")).distinct()
-    pairs = buckets.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b"), "n").distinct().join(sizes, "b").where(near("n", "m")).select("a", "b")
-    links = written(_links(pairs, sets, percent), "links")
-    for round_ in range(rounds + 1):
-        found = components(links)
-        placed = buckets.join(found.withColumnRenamed("v", "rep"), "rep", "left").select("band", "rep", "n", F.coalesce("c", "rep").alias("c"))
-        split = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
-        rest = written(placed.join(split, "band"), "rest")
-        # All rows of a bucket but those of its largest component, with one another and with that.
-        parts = rest.groupBy("band", "c").agg(F.count(F.lit(1)).alias("k"))
-        largest = parts.groupBy("band").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("squares"))
-        left = largest.agg(F.sum((F.col("all") * F.col("all") - F.col("squares")) / 2), F.sum("all")).first()
-        if left[0] is None:
-            break
-        if round_ < rounds and left[0] > 4 * left[1]:
-            centres = rest.groupBy("band").agg(F.min(F.struct(F.xxhash64("rep", F.lit(round_)).alias("h"), "rep", "n", "c")).alias("centre"))
-            pairs = rest.join(centres, "band").where((F.col("c") != F.col("centre.c")) & near("n", "centre.n")).select(F.col("rep").alias("a"), F.col("centre.rep").alias("b")).distinct()
-            links = links.unionByName(written(_links(pairs, sets, percent), "links"))
-            continue
-        tops = largest.select("band", F.col("top.c").alias("top"))
-        minor = rest.join(tops, "band").where("c <> top").select("band", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-        other = rest.join(tops, "band").select("band", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), (F.col("c") == F.col("top")).alias("main"))
-        both = minor.join(other, "band").where((F.col("ca") != F.col("cb")) & (F.col("main") | (F.col("a") < F.col("b"))) & near("na", "nb"))
-        pairs = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = links.unionByName(written(_links(pairs, sets, percent), "links"))
-        found = components(links)
-        break
+    banded = members.where("id = rep").select("rep", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min("rep").alias("c"), F.max("rep").alias("other")).where("c < other")
+    stars = written(banded.join(shared, "band").where("rep <> c").select("c", F.col("rep").alias("x")).distinct(), "stars")
+    wanted = stars.select("x").unionByName(stars.select(F.col("c").alias("x"))).distinct().join(members.where("id = rep").select(F.col("id").alias("x"), "n"), "x").select(F.col("x").alias("id"), "n")
+    sets = full_sets(texts.join(wanted.hint("shuffle_hash"), "id", "left_semi")).join(wanted, "id").where(F.size("shingles") == F.col("n"))
+    sets = written(sets.dropDuplicates(["id"]).select("id", "shingles"), "sets")
+
+    around = written(_around(stars, sets, percent), "around")
+    union = F.col("n") + F.col("n_c") - F.col("common")
+    links = around.where(100 * F.col("common") >= percent * union).select(F.col("c").alias("a"), F.col("x").alias("b"))
+    centres = around.groupBy("c").agg(F.first("n_c").alias("n")).select("c", F.col("c").alias("x"), "n", F.col("n").alias("common"), F.lit(True).alias("inside"), F.array().cast("array<long>").alias("first"))
+    found = components(links)
+    pairs = _others(around.drop("n_c").unionByName(centres), found.withColumnRenamed("c", "comp"), percent)
+    more = written(_links(pairs, sets, percent), "links")
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
     final = members.join(found.withColumnRenamed("v", "rep"), "rep", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("c", "rep").alias("component_id"))
     alone = all_rows.where("n = 0 OR id IS NULL").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return final.unionByName(alone).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
