@@ -197,8 +197,9 @@ def score(docs: DataFrame, model: DataFrame, *, id_cols: list[str], text_col: st
         return [*[t.column(c) for c in id_cols], pa.array(n), pa.array(total)]
 
     if model.count() <= broadcast_rows:
-        rows = model.toPandas()
-        sent = spark.sparkContext.broadcast([rows[c].to_numpy() for c in ("n", "gram", "logp", "bow")])
+        rows = model.toArrow()
+        sent = spark.sparkContext.broadcast([rows.column(c).to_numpy() for c in ("n", "gram", "logp", "bow")])
+        del rows
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scorer = Scorer(*sent.value)
