@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import bpe, hamming, line_dedup, media, mixing, near_dedup, quality, suffix_dedup, warc
+from palimpsest.llm import bpe, hamming, line_dedup, media, mixing, near_dedup, passage_dedup, quality, suffix_dedup, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_hamming_topk": hamming.query,
         "op2_minhash_near_dedup": near_dedup.query,
         "op3_kneser_ney_quality": quality.query,
+        "op4_compact_windows": passage_dedup.query,
         "op5_bpe": bpe.query,
         "op6_suffix_array_dedup": suffix_dedup.query,
         "op7_mixing": mixing.query,
