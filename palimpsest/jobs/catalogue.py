@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
+import importlib
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from palimpsest.functions.registry import REGISTERED
+from palimpsest.sources.model import MODEL_SQL, Store
+
+MODULES = ["operators.lookup", "operators.metrics", "operators.retrieval", "operators.quality", "operators.lifecycle", "operators.telemetry", "operators.checkpoint", "operators.text", "streaming.turns"]
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"palimpsest.{name}")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    return {name: lambda spark, folder, f=entry.function: f(Store(spark, folder)) for name, entry in REGISTERED.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return {name: f"{MODEL_SQL}{',' if entry.sql.lstrip().startswith('+') else ''} {entry.sql.lstrip().lstrip('+')}" for name, entry in REGISTERED.items() if entry.sql}
