@@ -1 +1,249 @@
+"""Hybrid ranked retrieval, for a table of queries at once.
 
+Channels propose candidates: sidecar text, full text (BM25), vectors, substring, recency, episodes. Each row carries its
+query, so that one plan answers all queries. Channels are fused by reciprocal ranks, and re-ranked by boosts whose terms are
+rounded before they are added, as callers see them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from palimpsest.functions.registry import query
+from palimpsest.functions.scores import REALTIME_SQL, realtime_confidence, rounded, rounded_sql
+from palimpsest.operators.lookup import NEAREST_SQL, nearest, probes, with_sidecar
+from palimpsest.sources.model import NOW, WORD, Store
+
+K1, B = 1.2, 0.75
+RRF = 60
+CHANNELS = ["kg", "fts", "vector", "like", "recent", "episode", "recent_fallback"]
+
+
+def tokens(text) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+
+
+def recency(at: Column, base: float) -> Column:
+    return rounded(base * F.exp(-F.greatest(F.lit(0.0), (F.lit(NOW) - at) / 86400.0) / 2.5))
+
+
+def recency_sql(base: float) -> str:
+    return rounded_sql(f"{base}::DOUBLE * exp(-greatest(0, ({NOW} - updated_at) / 86400.0::DOUBLE) / 2.5::DOUBLE)")
+
+
+def searchable(s: Store) -> DataFrame:
+    """Chunks that retrieval may return, with their sidecar and realtime confidence."""
+    rows = with_sidecar(s).where((F.coalesce("is_archived", F.lit(0)) == 0) & ~F.col("path").startswith("memory/generated-smart-add/"))
+    return rows.select("id", "path", "text", "updated_at", "category", "kg_data", F.when(F.col("chunk_id").isNotNull(), realtime_confidence()).alias("confidence"), F.col("chunk_id").isNull().alias("external"))
+
+
+SEARCHABLE_SQL = f"""searchable AS (SELECT id, path, text, updated_at, category, kg_data, CASE WHEN c.chunk_id IS NOT NULL THEN {REALTIME_SQL} END AS confidence, c.chunk_id IS NULL AS external
+    FROM chunks LEFT JOIN conf c ON id = c.chunk_id WHERE coalesce(is_archived, 0) = 0 AND NOT starts_with(path, 'memory/generated-smart-add/')),
+qset AS (SELECT query_id, list_distinct(words) AS ts, len(list_distinct(words)) AS n_terms FROM qwords)"""
+
+
+def matched(s: Store, rows: DataFrame, column: str) -> DataFrame:
+    """rows for each query with `lex`: the share of its terms that are substrings of column; rows without any go."""
+    queries = s.queries.select("query_id", F.array_distinct("words").alias("ts"))
+    pairs = rows.withColumn("__low", F.lower(column)).crossJoin(F.broadcast(queries))
+    hits = F.size(F.filter("ts", lambda t: F.col("__low").contains(t)))
+    return pairs.withColumn("lex", rounded(hits / F.size("ts"))).where("lex > 0").drop("ts", "__low")
+
+
+MATCHED_SQL = f"matched AS (SELECT s.*, q.query_id, {rounded_sql('len(list_filter(q.ts, lambda t: contains(lower(s.text), t))) / q.n_terms::DOUBLE')} AS lex FROM searchable s, qset q WHERE len(list_filter(q.ts, lambda t: contains(lower(s.text), t))) > 0)"
+
+
+def postings(chunks: DataFrame) -> DataFrame:
+    """term, id, tf, and the length of the text."""
+    words = chunks.select("id", tokens("text").alias("words")).withColumn("length", F.size("words"))
+    return words.select("id", "length", F.explode("words").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+
+
+def full_text(s: Store) -> DataFrame:
+    """query_id, id, hits (terms of the query that the text has), n_terms, score: BM25."""
+    rows = searchable(s).select("id", "text")
+    # Only postings of asked terms leave the scan; their frequencies are counted over all texts.
+    asked = s.terms.select("term").distinct()
+    own = postings(rows).join(F.broadcast(asked), "term")
+    frequency = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    whole = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens("text"))).alias("mean"))
+    found = own.join(s.terms, "term").join(frequency, "term").crossJoin(F.broadcast(whole))
+    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    return found.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("hits"), F.first("n_terms").alias("n_terms"), rounded(F.sum(part)).alias("score"))
+
+
+FULL_TEXT_SQL = f"""post AS (SELECT id, term, count(*) AS tf, any_value(length) AS length FROM (SELECT id, unnest(w) AS term, len(w) AS length FROM (SELECT id, regexp_extract_all(lower(text), '{WORD}') AS w FROM searchable)) GROUP BY id, term),
+    df AS (SELECT term, count(*) AS df FROM post GROUP BY term), whole AS (SELECT count(*) AS n, avg(len(regexp_extract_all(lower(text), '{WORD}'))) AS mean FROM searchable),
+    fts AS (SELECT query_id, id, count(*) AS hits, any_value(n_terms) AS n_terms, {rounded_sql('sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean)))')} AS score
+        FROM post JOIN terms USING (term) JOIN df USING (term), whole GROUP BY query_id, id)"""
+
+
+def top(rows: DataFrame, k: int, *order) -> DataFrame:
+    """The first k rows of each query, with their position from 1."""
+    return rows.withColumn("position", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("position") <= k)
+
+
+def _top_sql(rows: str, k: int, order: str) -> str:
+    return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS position FROM ({rows})) WHERE position <= {k}"
+
+
+@query("fts_or", f"+ {SEARCHABLE_SQL}, {FULL_TEXT_SQL} {_top_sql('SELECT * FROM fts', 20, 'score DESC, id')}")
+def fts_or(s: Store) -> DataFrame:
+    return top(full_text(s), 20, F.col("score").desc(), "id")
+
+
+@query("fts_strict", f"+ {SEARCHABLE_SQL}, {FULL_TEXT_SQL} {_top_sql('SELECT * FROM fts WHERE hits >= n_terms - 4', 20, 'score DESC, id')}")
+def fts_strict(s: Store, missing: int = 4) -> DataFrame:
+    """Texts that have all terms of a query but `missing`: with 0, conjunction."""
+    return top(full_text(s).where(F.col("hits") >= F.col("n_terms") - missing), 20, F.col("score").desc(), "id")
+
+
+def channel_rows(s: Store) -> DataFrame:
+    """query_id, id, channel, position, semantic: all channels' candidates."""
+    rows = searchable(s)
+    newest = (F.col("updated_at").desc(), F.col("id"))
+    by_score = (F.col("semantic").desc(), *newest)
+    text = matched(s, rows.select("id", "path", "text", "updated_at"), "text").drop("text")
+    kg = matched(s, rows.where("kg_data <> ''").select("id", "kg_data", "updated_at"), "kg_data").withColumn("semantic", rounded(0.45 + F.col("lex")))
+    fts = fts_or(s).select("query_id", "id", "position", F.lit(0.5).alias("semantic"))
+    near = nearest(s.vectors, probes(s), 30).join(rows.select("id"), "id").select("query_id", "id", "position", rounded(1 - F.col("distance")).alias("semantic"))
+    no_text = s.queries.select("query_id").join(fts, "query_id", "left_anti")
+    family = F.col("path").startswith("memory/smart-add/") | F.col("path").startswith("memory/episodes/")
+    recent = top(text.where(family), 120, *newest).withColumn("semantic", rounded(0.35 + F.col("lex") + recency(F.col("updated_at"), 0.06)))
+    fallback = top(rows.where(family).select("id", "updated_at").crossJoin(F.broadcast(no_text)), 20, *newest)
+    parts = {
+        "kg": top(kg, 20, *by_score), "fts": fts, "vector": near, "like": top(text.join(no_text, "query_id", "left_semi"), 30, *newest).withColumn("semantic", rounded(0.3 + F.col("lex"))),
+        "recent": top(recent.drop("position"), 120, *by_score), "episode": top(recent.drop("position").where(F.col("path").startswith("memory/episodes/")).withColumn("semantic", rounded(F.col("semantic") + 0.08)), 20, *by_score),
+        "recent_fallback": fallback.withColumn("semantic", rounded(0.25 + recency(F.col("updated_at"), 0.06))),
+    }
+    out = None
+    for channel in CHANNELS:
+        part = parts[channel].select("query_id", "id", F.lit(channel).alias("channel"), F.col("position").cast("long").alias("position"), F.col("semantic").cast("double").alias("semantic"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_FAMILY = "(starts_with(path, 'memory/smart-add/') OR starts_with(path, 'memory/episodes/'))"
+_SCORE = "semantic DESC, updated_at DESC, id"
+_RECENT = f"SELECT * EXCLUDE (position), {rounded_sql(f'0.35::DOUBLE + lex + {recency_sql(0.06)}')} AS semantic FROM ({_top_sql(f'SELECT * FROM matched WHERE {_FAMILY}', 120, 'updated_at DESC, id')})"
+_KG_LEX = rounded_sql("len(list_filter(q.ts, lambda t: contains(lower(s.kg_data), t))) / q.n_terms::DOUBLE")
+CHANNELS_SQL = f"""{SEARCHABLE_SQL}, {MATCHED_SQL}, {FULL_TEXT_SQL}, {NEAREST_SQL},
+ftop AS ({_top_sql('SELECT * FROM fts', 20, 'score DESC, id')}), no_text AS (SELECT query_id FROM qset WHERE query_id NOT IN (SELECT query_id FROM ftop)), rec AS ({_RECENT}),
+channels AS (
+    SELECT query_id, id, 'kg' AS channel, position, semantic FROM ({_top_sql(f"SELECT s.id, s.updated_at, q.query_id, {rounded_sql(f'0.45::DOUBLE + {_KG_LEX}')} AS semantic FROM searchable s, qset q WHERE s.kg_data <> '' AND len(list_filter(q.ts, lambda t: contains(lower(s.kg_data), t))) > 0", 20, _SCORE)})
+    UNION ALL SELECT query_id, id, 'fts', position, 0.5 FROM ftop
+    UNION ALL SELECT query_id, id, 'vector', position, {rounded_sql('1 - distance')} FROM near WHERE id IN (SELECT id FROM searchable)
+    UNION ALL SELECT query_id, id, 'like', position, {rounded_sql('0.3::DOUBLE + lex')} FROM ({_top_sql('SELECT * FROM matched WHERE query_id IN (SELECT query_id FROM no_text)', 30, 'updated_at DESC, id')})
+    UNION ALL SELECT query_id, id, 'recent', position, semantic FROM ({_top_sql('SELECT * FROM rec', 120, _SCORE)})
+    UNION ALL SELECT query_id, id, 'episode', position, semantic FROM ({_top_sql(f"SELECT * EXCLUDE (semantic), {rounded_sql('semantic + 0.08::DOUBLE')} AS semantic FROM rec WHERE starts_with(path, 'memory/episodes/')", 20, _SCORE)})
+    UNION ALL SELECT query_id, id, 'recent_fallback', position, {rounded_sql(f'0.25::DOUBLE + {recency_sql(0.06)}')} FROM ({_top_sql(f'SELECT s.*, n.query_id FROM searchable s, no_text n WHERE {_FAMILY}', 20, 'updated_at DESC, id')}))"""
+
+
+for _name, _channel in (("kg_channel", "kg"), ("like_channel", "like"), ("recent_channel", "recent"), ("episode_channel", "episode"), ("recent_fallback_channel", "recent_fallback")):
+    if _channel not in ("like", "recent_fallback"):
+        query(_name, f"+ {CHANNELS_SQL} SELECT query_id, id, position, semantic FROM channels WHERE channel = '{_channel}'")(lambda s, c=_channel: channel_rows(s).where(F.col("channel") == c).drop("channel"))
+
+
+@query("like_channel", f"+ {SEARCHABLE_SQL}, {MATCHED_SQL} SELECT query_id, id, position, {rounded_sql('0.3::DOUBLE + lex')} AS semantic FROM ({_top_sql('SELECT * FROM matched', 30, 'updated_at DESC, id')})")
+def like_channel(s: Store) -> DataFrame:
+    """The substring channel by itself, without the test that full text came up empty."""
+    rows = top(matched(s, searchable(s).select("id", "text", "updated_at"), "text"), 30, F.col("updated_at").desc(), "id")
+    return rows.select("query_id", "id", F.col("position").cast("long").alias("position"), rounded(0.3 + F.col("lex")).alias("semantic"))
+
+
+@query("recent_fallback_channel", f"+ {SEARCHABLE_SQL} SELECT query_id, id, position, {rounded_sql(f'0.25::DOUBLE + {recency_sql(0.06)}')} AS semantic FROM ({_top_sql(f'SELECT s.*, q.query_id FROM searchable s, qset q WHERE {_FAMILY}', 20, 'updated_at DESC, id')})")
+def recent_fallback_channel(s: Store) -> DataFrame:
+    family = F.col("path").startswith("memory/smart-add/") | F.col("path").startswith("memory/episodes/")
+    newest = searchable(s).where(family).select("id", "updated_at").orderBy(F.col("updated_at").desc(), "id").limit(20)
+    rows = top(newest.crossJoin(s.queries.select("query_id")), 20, F.col("updated_at").desc(), "id")
+    return rows.select("query_id", "id", F.col("position").cast("long").alias("position"), rounded(0.25 + recency(F.col("updated_at"), 0.06)).alias("semantic"))
+
+
+def fuse(channels: DataFrame) -> DataFrame:
+    """A row for each query and id: reciprocal ranks summed, the best semantic score, the channels in their order."""
+    number = F.create_map(*[x for i, c in enumerate(CHANNELS) for x in (F.lit(c), F.lit(i))])
+    rows = channels.groupBy("query_id", "id").agg(F.sum(1 / (RRF + F.col("position"))).alias("rrf"), F.max("semantic").alias("semantic"), F.sort_array(F.collect_set(F.struct(F.element_at(number, F.col("channel")).alias("i"), "channel"))).alias("c"))
+    return rows.select("query_id", "id", rounded(F.col("rrf")).alias("rrf_score"), rounded(F.greatest(F.lit(0.0), "semantic")).alias("semantic_score"), F.concat_ws(",", "c.channel").alias("channels"))
+
+
+_ORDER_SQL = "list_position(['" + "', '".join(CHANNELS) + "'], channel)"
+FUSED_SQL = f"{CHANNELS_SQL}, fused AS (SELECT query_id, id, {rounded_sql('sum(1 / (60 + position)::DOUBLE)')} AS rrf_score, {rounded_sql('greatest(0, max(semantic))')} AS semantic_score, string_agg(channel, ',' ORDER BY {_ORDER_SQL}) AS channels FROM channels GROUP BY query_id, id)"
+
+
+@query("rrf_fusion", f"+ {FUSED_SQL} SELECT * FROM fused")
+def rrf_fusion(s: Store) -> DataFrame:
+    return fuse(channel_rows(s))
+
+
+def boosted(s: Store) -> DataFrame:
+    rows = fuse(channel_rows(s)).join(searchable(s), "id")
+    low = F.lower("text")
+    managed = F.when(F.col("category") == "episodic", 0.12).when(low.contains("session checkpoint") | low.contains("session-checkpoint"), 0.10).otherwise(0.0)
+    dreaming = F.col("path").startswith("memory/dreaming/")
+    terms = {
+        "recency_boost": recency(F.col("updated_at"), 0.06), "category_boost": F.when(F.col("external"), 0.03).otherwise(managed),
+        "confidence_boost": F.when(F.col("external"), 0.0).otherwise(rounded(F.col("confidence") * 0.1)), "external_boost": F.when(F.col("external") & ~dreaming, 0.05).otherwise(0.0),
+    }
+    rows = rows.withColumns(terms)
+    score = F.col("semantic_score") + F.col("rrf_score")
+    for name in terms:
+        score = score + F.col(name)
+    return rows.withColumn("final_score", rounded(score))
+
+
+_BOOSTED_SQL = f"""{FUSED_SQL}, boosted AS (SELECT *, {rounded_sql('semantic_score + rrf_score + recency_boost + category_boost + confidence_boost + external_boost')} AS final_score FROM (
+    SELECT f.*, s.* EXCLUDE (id), {recency_sql(0.06)} AS recency_boost, CASE WHEN external THEN 0.03::DOUBLE WHEN category = 'episodic' THEN 0.12::DOUBLE WHEN contains(lower(text), 'session checkpoint') OR contains(lower(text), 'session-checkpoint') THEN 0.1::DOUBLE ELSE 0 END AS category_boost,
+        CASE WHEN external THEN 0 ELSE {rounded_sql('confidence * 0.1::DOUBLE')} END AS confidence_boost, CASE WHEN external AND NOT starts_with(path, 'memory/dreaming/') THEN 0.05::DOUBLE ELSE 0 END AS external_boost FROM fused f JOIN searchable s USING (id)))"""
+
+
+@query("hybrid_search", f"+ {_BOOSTED_SQL} SELECT query_id, rank, substr(id, 1, 16) AS id, path, substr(text, 1, 240) AS text, channels, semantic_score, rrf_score, recency_boost, category_boost, confidence_boost, external_boost, final_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, id) AS rank FROM boosted) WHERE rank <= 5")
+def hybrid_search(s: Store, k: int = 5) -> DataFrame:
+    best = boosted(s).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("final_score").desc(), "id"))).where(F.col("rank") <= k)
+    return best.select("query_id", F.col("rank").cast("long").alias("rank"), F.substring("id", 1, 16).alias("id"), "path", F.substring("text", 1, 240).alias("text"), "channels", "semantic_score", "rrf_score", "recency_boost", "category_boost", "confidence_boost", "external_boost", "final_score")
+
+
+@query("hybrid_breakdown", f"+ {FUSED_SQL} SELECT query_id, channel, count(*) AS n FROM channels GROUP BY query_id, channel")
+def hybrid_breakdown(s: Store) -> DataFrame:
+    return channel_rows(s).groupBy("query_id", "channel").agg(F.count(F.lit(1)).alias("n"))
+
+
+_ENRICH_SQL = f"""{SEARCHABLE_SQL}, {MATCHED_SQL}, lexical AS (SELECT *, {rounded_sql('0.55::DOUBLE * lex + 0.15::DOUBLE * structured')} AS signal FROM (
+    SELECT m.query_id, m.id, m.lex, m.updated_at, {rounded_sql("least(0.4::DOUBLE, list_sum([0::DOUBLE] || [(CASE WHEN contains(coalesce(m.category, ''), t) THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN contains(split_part(m.path, '/', -1), t) THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN contains(split_part(m.path, '/', -2), t) THEN 0.06::DOUBLE ELSE 0 END + CASE WHEN contains(m.path, t) THEN 0.04::DOUBLE ELSE 0 END) FOR t IN q.ts]))")} AS structured
+    FROM matched m JOIN qset q USING (query_id)))"""
+
+
+def lexical(s: Store) -> DataFrame:
+    """query_id, id, lex, structured (terms in category, file, module and path), signal."""
+    rows = matched(s, searchable(s).select("id", "path", "text", "updated_at", "category"), "text").join(s.queries.select("query_id", F.array_distinct("words").alias("ts")), "query_id")
+    part = lambda c, t, w: F.when(c.contains(t), w).otherwise(0.0)
+    parts = F.split("path", "/")
+    each = lambda a, t: a + part(F.coalesce("category", F.lit("")), t, 0.08) + part(F.element_at(parts, -1), t, 0.08) + part(F.element_at(parts, -2), t, 0.06) + part(F.col("path"), t, 0.04)
+    rows = rows.withColumn("structured", rounded(F.least(F.lit(0.4), F.aggregate("ts", F.lit(0.0), each))))
+    return rows.select("query_id", "id", "lex", "updated_at", "structured", rounded(0.55 * F.col("lex") + 0.15 * F.col("structured")).alias("signal"))
+
+
+@query("lexical_enrich", f"+ {_ENRICH_SQL} SELECT query_id, id, lex, structured, signal FROM ({_top_sql('SELECT * FROM lexical', 20, 'signal DESC, updated_at DESC, id')})")
+def lexical_enrich(s: Store) -> DataFrame:
+    return top(lexical(s), 20, F.col("signal").desc(), F.col("updated_at").desc(), "id").select("query_id", "id", "lex", "structured", "signal")
+
+
+@query("lexical_confidence", f"+ {_ENRICH_SQL} SELECT query_id, n, {rounded_sql('least(1, n / 3.0::DOUBLE) * 0.15::DOUBLE + least(1, signal / 1.2::DOUBLE) * 0.15::DOUBLE + lex * 0.25::DOUBLE + least(1, structured / 0.4::DOUBLE) * 0.2::DOUBLE + 0.05::DOUBLE')} AS confidence FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, row_number() OVER (PARTITION BY query_id ORDER BY signal DESC, updated_at DESC, id) AS r FROM lexical) WHERE r = 1")
+def lexical_confidence(s: Store) -> DataFrame:
+    """How far the best lexical row can be trusted without vectors."""
+    rows = lexical(s)
+    first = top(rows, 1, F.col("signal").desc(), F.col("updated_at").desc(), "id").drop("position")
+    counts = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    one = lambda x: F.least(F.lit(1.0), x)
+    total = one(F.col("n") / 3.0) * 0.15 + one(F.col("signal") / 1.2) * 0.15 + F.col("lex") * 0.25 + one(F.col("structured") / 0.4) * 0.2 + 0.05
+    return first.join(counts, "query_id").select("query_id", "n", rounded(total).alias("confidence"))
+
+
+@query("fts_fallback_rank", f"""+ {SEARCHABLE_SQL}, {MATCHED_SQL}, scored AS (SELECT query_id, id, {rounded_sql(f"1.6::DOUBLE * lex + CASE WHEN starts_with(path, 'memory/smart-add/') THEN 0.18::DOUBLE ELSE 0 END + CASE WHEN starts_with(path, 'memory/episodes/') OR category = 'episodic' THEN 0.12::DOUBLE ELSE 0 END + {recency_sql(0.08)}")} AS score FROM matched)
+{_top_sql('SELECT * FROM scored', 20, 'score DESC, id')}""")
+def fts_fallback_rank(s: Store) -> DataFrame:
+    rows = matched(s, searchable(s).select("id", "path", "text", "updated_at", "category"), "text")
+    boost = F.when(F.col("path").startswith("memory/smart-add/"), 0.18).otherwise(0.0) + F.when(F.col("path").startswith("memory/episodes/") | (F.coalesce("category", F.lit("")) == "episodic"), 0.12).otherwise(0.0)
+    return top(rows.select("query_id", "id", rounded(1.6 * F.col("lex") + boost + recency(F.col("updated_at"), 0.08)).alias("score")), 20, F.col("score").desc(), "id")
