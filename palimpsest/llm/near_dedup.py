@@ -207,8 +207,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     members = written(linked.join(classes, "set_id").select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "members")
 
     banded = members.where("id = rep").select("rep", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("rep").alias("c"), F.max("rep").alias("other")).where("c < other")
-    stars = written(banded.join(shared, "band").where("rep <> c").select("c", F.col("rep").alias("x")).distinct(), "stars")
+    shared = banded.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("k")).where("low < high").select("band", "k")
+    met = written(banded.join(shared, "band"), "buckets")
+    # The centre of a bucket is the class that meets most others: of a text and its altered copies, the text itself.
+    degree = met.groupBy("rep").agg(F.sum("k").alias("degree"))
+    centres = met.join(degree, "rep").groupBy("band").agg(F.max(F.struct("degree", (-F.col("rep")).alias("less"))).alias("best")).select("band", (-F.col("best.less")).alias("c"))
+    stars = written(met.join(centres, "band").where("rep <> c").select("c", F.col("rep").alias("x")).distinct(), "stars")
     wanted = stars.select("x").unionByName(stars.select(F.col("c").alias("x"))).distinct().join(members.where("id = rep").select(F.col("id").alias("x"), "n"), "x").select(F.col("x").alias("id"), "n")
     sets = full_sets(texts.join(wanted.hint("shuffle_hash"), "id", "left_semi")).join(wanted, "id").where(F.size("shingles") == F.col("n"))
     sets = written(sets.dropDuplicates(["id"]).select("id", "shingles"), "sets")
