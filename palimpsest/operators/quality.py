@@ -1 +1,279 @@
+"""Quality flags and scores, duplicate and conflict audits."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from palimpsest.functions.registry import query
+from palimpsest.functions.scores import FAMILY_SQL, PLAIN_SQL, plain, rounded, rounded_sql, scope_family
+from palimpsest.operators.lookup import candidates
+from palimpsest.sources.model import NOW, Store
+
+# Points off and, for some flags, the highest score that is left.
+PENALTIES = {
+    "missing_content": 85, "content_empty": 80, "content_too_short": 12, "timestamp_pollution": 10, "raw_log_leak": 45, "debug_noise": 32, "missing_category": 10, "unknown_category": 8, "category_path_mismatch": 18,
+    "duplicate_exact": 30, "conflict_flagged": 22, "too_generic": 16, "chunks_without_confidence": 18, "content_too_long": 6, "duplicate_near": 10, "never_retrieved": 6, "old_and_unused": 14,
+}
+CAPS = {"missing_content": 20, "content_empty": 20, "raw_log_leak": 40, "debug_noise": 55, "duplicate_exact": 60, "conflict_flagged": 65, "category_path_mismatch": 75, "chunks_without_confidence": 70, "too_generic": 70}
+# Categories that a family of paths must not hold.
+MISMATCH = {"smart_add": ["project", "preference", "kg_node", "user_identity"], "episode": ["raw_log", "project", "dreaming"], "project": ["raw_log", "dreaming"], "daily_memory": ["project", "preference", "kg_node", "user_identity"]}
+STAMPS = {"iso_utc_datetime": r"\b\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z\b", "spaced_datetime": r"\b\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\b", "bracketed_time_prefix": r"(?m)^\[[^\]]*\d{2}:\d{2}:\d{2}[^\]]*\]"}
+RAW_LOG = r"(?im)^(user|assistant|system|tool):|^#{1,6}\s*(user|assistant|system|tool)\b|\brole\s*:\s*(user|assistant|system|tool)\b"
+DEBUG = r"(?im)\b(error|typeerror|referenceerror|syntaxerror):|^\s*at\s+.+\(.+:\d+:\d+\)\s*$|traceback \(most recent call last\)|\bnode:internal\b"
+GENERIC = r"(?i)^user (discussed|talked about)"
+EXPECTED = ["smart_add", "episode", "unknown"]
+ALL_STAMPS = "|".join(f"({p})" for p in STAMPS.values())
+
+
+def flags_of(rows: DataFrame, now: int = NOW) -> DataFrame:
+    """rows of candidates() with `flags`, in the order of PENALTIES, and age_days."""
+    text, low = F.col("text"), plain(F.coalesce("text", F.lit("")))
+    at = F.coalesce(F.nullif("last_confidence_update", F.lit(0)), "updated_at")
+    age = F.greatest(F.lit(0.0), (F.lit(now) - at) / 86400.0)
+    filled = F.length(F.trim("text")) > 0
+    mismatch = F.lit(False)
+    for family, blocked in MISMATCH.items():
+        mismatch = mismatch | ((F.col("family") == family) & F.col("category").isin(blocked))
+    expected, unused = F.col("family").isin(EXPECTED), F.col("retrieved") == 0
+    old = (age > 30) & unused & (F.col("injected") == 0)
+    tests = {
+        "missing_content": text.isNull(), "content_empty": F.length(F.trim("text")) == 0, "content_too_short": filled & (F.length(low) < 20), "timestamp_pollution": text.rlike(ALL_STAMPS), "raw_log_leak": text.rlike(RAW_LOG), "debug_noise": text.rlike(DEBUG),
+        "missing_category": F.col("category").isNull() & expected, "category_path_mismatch": mismatch, "duplicate_exact": (low != "") & (F.col("twins") > 1), "conflict_flagged": F.col("conflict_flag") == 1, "too_generic": text.rlike(GENERIC),
+        "chunks_without_confidence": expected & ~F.col("has_confidence"), "content_too_long": F.length(F.trim("text")) > 4000, "never_retrieved": (age >= 7) & unused & ~old, "old_and_unused": (age >= 7) & old,
+    }
+    flags = F.array_compact(F.array(*[F.when(tests[f], f) for f in PENALTIES if f in tests]))
+    # Copies are counted before the join: a text that many chunks have is no hot group.
+    sizes = rows.groupBy(F.sha2(low, 256).alias("hash")).agg(F.count(F.lit(1)).alias("twins")).where("twins > 1")
+    return rows.withColumn("hash", F.sha2(low, 256)).join(sizes, "hash", "left").withColumns({"flags": flags, "age_days": age})
+
+
+_T = {"mis": " OR ".join(f"(family = '{f}' AND category IN ({', '.join(repr(c) for c in b)}))" for f, b in MISMATCH.items())}
+_TESTS_SQL = {
+    "missing_content": "text IS NULL", "content_empty": "length(trim(text)) = 0", "content_too_short": "length(trim(text)) > 0 AND length(low) < 20", "timestamp_pollution": f"regexp_matches(text, '{ALL_STAMPS}')", "raw_log_leak": f"regexp_matches(text, '{RAW_LOG}')", "debug_noise": f"regexp_matches(text, '{DEBUG}')",
+    "missing_category": "category IS NULL AND family IN ('smart_add', 'episode', 'unknown')", "category_path_mismatch": _T["mis"], "duplicate_exact": "low <> '' AND count(*) OVER (PARTITION BY low) > 1", "conflict_flagged": "conflict_flag = 1", "too_generic": f"regexp_matches(text, '{GENERIC}')",
+    "chunks_without_confidence": "family IN ('smart_add', 'episode', 'unknown') AND chunk_id IS NULL", "content_too_long": "length(trim(text)) > 4000", "never_retrieved": "age >= 7 AND retrieved = 0 AND NOT (age > 30 AND injected = 0)", "old_and_unused": "age > 30 AND retrieved = 0 AND injected = 0",
+}
+_USE_SQL = "SELECT memory_id, count(*) FILTER (WHERE event_type = 'memory_candidate_retrieved') AS retrieved, count(*) FILTER (WHERE event_type = 'memory_injected') AS injected FROM ev GROUP BY 1"
+FLAGS_SQL = f"""cand AS (SELECT id, path, text, category, conflict_flag, chunk_id, {FAMILY_SQL} AS family, coalesce(retrieved, 0) AS retrieved, coalesce(injected, 0) AS injected, {PLAIN_SQL.format("coalesce(text, '')")} AS low,
+    greatest(0, ({NOW} - coalesce(nullif(last_confidence_update, 0), updated_at)) / 86400.0::DOUBLE) AS age FROM chunks LEFT JOIN conf ON id = chunk_id LEFT JOIN ({_USE_SQL}) u ON u.memory_id = substr(id, 1, 16)
+    WHERE NOT starts_with(path, 'memory/generated-smart-add/') AND NOT starts_with(path, 'memory/dreaming/')),
+flagged AS (SELECT *, list_filter([{', '.join(f"CASE WHEN {_TESTS_SQL[f]} THEN '{f}' END" for f in PENALTIES if f in _TESTS_SQL)}], lambda x: x IS NOT NULL) AS flags FROM cand)"""
+
+
+@query("quality_flags", f"+ {FLAGS_SQL} SELECT id, family, array_to_string(flags, ',') AS flags FROM flagged")
+def quality_flags(s: Store) -> DataFrame:
+    return flags_of(candidates(s)).select("id", "family", F.concat_ws(",", "flags").alias("flags"))
+
+
+def scored(rows: DataFrame) -> DataFrame:
+    points = F.create_map(*[x for k, v in PENALTIES.items() for x in (F.lit(k), F.lit(v))])
+    caps = F.create_map(*[x for k, v in CAPS.items() for x in (F.lit(k), F.lit(v))])
+    raw = F.greatest(F.lit(0), 100 - F.aggregate("flags", F.lit(0), lambda a, f: a + F.element_at(points, f)))
+    score = F.least(raw, F.coalesce(F.array_min(F.transform("flags", lambda f: F.try_element_at(caps, f))), F.lit(100)))
+    has = lambda f: F.array_contains("flags", f)
+    action = (
+        F.when(has("duplicate_exact"), "dedupe_candidate").when(has("chunks_without_confidence"), "repair_candidate").when(has("raw_log_leak") & (has("old_and_unused") | (F.col("score") < 35)), "archive_candidate")
+        .when(has("raw_log_leak") | has("debug_noise"), "repair_candidate").when(has("conflict_flagged"), "review").when(F.col("score") >= 85, "keep").when((F.col("score") < 50) & has("old_and_unused"), "archive_candidate").otherwise("review")
+    )
+    grade = F.when(F.col("score") >= 85, "A").when(F.col("score") >= 70, "B").when(F.col("score") >= 50, "C").otherwise("D")
+    return rows.withColumn("score", score).withColumns({"grade": grade, "action": action})
+
+
+_SCORE_SQL = f"""least(greatest(0, 100 - list_sum([0] || [CASE f {' '.join(f"WHEN '{k}' THEN {v}" for k, v in PENALTIES.items())} END FOR f IN flags])), coalesce(list_min([CASE f {' '.join(f"WHEN '{k}' THEN {v}" for k, v in CAPS.items())} END FOR f IN flags]), 100))::INT"""
+_H = lambda f: f"list_contains(flags, '{f}')"
+SCORED_SQL = f"""{FLAGS_SQL}, scored AS (SELECT *, CASE WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 50 THEN 'C' ELSE 'D' END AS grade,
+    CASE WHEN {_H('duplicate_exact')} THEN 'dedupe_candidate' WHEN {_H('chunks_without_confidence')} THEN 'repair_candidate' WHEN {_H('raw_log_leak')} THEN CASE WHEN {_H('old_and_unused')} OR score < 35 THEN 'archive_candidate' ELSE 'repair_candidate' END
+    WHEN {_H('debug_noise')} THEN 'repair_candidate' WHEN {_H('conflict_flagged')} THEN 'review' WHEN score >= 85 THEN 'keep' WHEN score < 50 AND {_H('old_and_unused')} THEN 'archive_candidate' ELSE 'review' END AS action FROM (SELECT *, {_SCORE_SQL} AS score FROM flagged))"""
+
+
+@query("quality_score", f"+ {SCORED_SQL} SELECT id, score, grade, action FROM scored")
+def quality_score(s: Store) -> DataFrame:
+    return scored(flags_of(candidates(s))).select("id", "score", "grade", "action")
+
+
+@query("quality_breakdown", f"+ {SCORED_SQL} SELECT kind, key, count(*) AS n, {rounded_sql('avg(score)', 2)} AS avg_score FROM (SELECT 'family' AS kind, family AS key, score FROM scored UNION ALL SELECT 'category', coalesce(category, 'none'), score FROM scored UNION ALL SELECT 'flag', unnest(flags), score FROM scored) GROUP BY kind, key")
+def quality_breakdown(s: Store) -> DataFrame:
+    rows = scored(flags_of(candidates(s)))
+    keys = F.concat(F.array(F.struct(F.lit("family").alias("kind"), F.col("family").alias("key")), F.struct(F.lit("category").alias("kind"), F.coalesce("category", F.lit("none")).alias("key"))), F.transform("flags", lambda f: F.struct(F.lit("flag").alias("kind"), f.alias("key"))))
+    return rows.select("score", F.explode(keys).alias("k")).groupBy("k.kind", "k.key").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("score"), 2).alias("avg_score"))
+
+
+@query("quality_worst", f"+ {SCORED_SQL} SELECT id, score, grade FROM scored ORDER BY score, id LIMIT 20")
+def quality_worst(s: Store, n: int = 20) -> DataFrame:
+    return scored(flags_of(candidates(s))).select("id", "score", "grade").orderBy("score", "id").limit(n)
+
+
+@query("duplicate_exact", f"SELECT id, n FROM (SELECT id, count(*) OVER (PARTITION BY low) AS n FROM (SELECT id, {PLAIN_SQL.format('text')} AS low FROM chunks) WHERE low <> '') WHERE n > 1")
+def duplicate_exact(s: Store) -> DataFrame:
+    rows = s.chunks.select("id", F.sha2(plain(F.col("text")), 256).alias("h"), (plain(F.col("text")) == "").alias("empty")).where("NOT empty")
+    sizes = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # summed before the join: a hot text is no hot group
+    return rows.join(sizes, "h").select("id", "n")
+
+
+def duplicate_groups_of(s: Store) -> DataFrame:
+    """A row for each text that several chunks have: members, days they span, use, and what to do with it."""
+    use = s.events.groupBy("memory_id").agg(F.count(F.lit(1)).alias("used"))
+    rows = s.chunks.withColumns({"memory_id": F.substring("id", 1, 16), "hash": F.sha2(plain(F.col("text")), 256)}).join(use, "memory_id", "left")
+    groups = rows.groupBy("hash").agg(
+        F.count(F.lit(1)).alias("members"), F.min_by("id", F.struct(-F.col("updated_at"), "id")).alias("keep_id"), (F.floor(F.max("updated_at") / 86400) - F.floor(F.min("updated_at") / 86400)).alias("span_days"),
+        F.countDistinct(scope_family(F.col("path"))).alias("families"), F.sum(F.coalesce("used", F.lit(0))).alias("used"),
+    ).where("members > 1")
+    kind = F.when(F.col("families") > 1, "unsafe_cross_owner").when(F.col("used") > 0, "unsafe_in_use").when(F.col("span_days") <= 1, "ingestion_bug").when(F.col("span_days") >= 7, "repeated_confirmation").otherwise("mixed")
+    return groups.withColumn("classification", kind)
+
+
+DUPLICATES_SQL = f"""groups AS (SELECT hash, members, keep_id, span_days, families, used, CASE WHEN families > 1 THEN 'unsafe_cross_owner' WHEN used > 0 THEN 'unsafe_in_use' WHEN span_days <= 1 THEN 'ingestion_bug' WHEN span_days >= 7 THEN 'repeated_confirmation' ELSE 'mixed' END AS classification FROM (
+    SELECT sha256({PLAIN_SQL.format('text')}) AS hash, count(*) AS members, arg_min(id, (-updated_at, id)) AS keep_id, (max(updated_at) // 86400 - min(updated_at) // 86400)::BIGINT AS span_days, count(DISTINCT {FAMILY_SQL}) AS families, sum(coalesce(u.n, 0))::BIGINT AS used
+    FROM chunks LEFT JOIN (SELECT memory_id, count(*) AS n FROM ev GROUP BY 1) u ON u.memory_id = substr(id, 1, 16) GROUP BY 1) WHERE members > 1)"""
+
+
+@query("duplicate_groups", f"+ {DUPLICATES_SQL} SELECT * FROM groups")
+def duplicate_groups(s: Store) -> DataFrame:
+    return duplicate_groups_of(s)
+
+
+@query("duplicate_summary", f"+ {DUPLICATES_SQL} SELECT classification, count(*) AS groups, sum(members)::BIGINT AS entries, sum(members - 1)::BIGINT AS redundant FROM groups GROUP BY classification")
+def duplicate_summary(s: Store) -> DataFrame:
+    return duplicate_groups_of(s).groupBy("classification").agg(F.count(F.lit(1)).alias("groups"), F.sum("members").alias("entries"), F.sum(F.col("members") - 1).alias("redundant"))
+
+
+def stamp_kind(text: Column) -> Column:
+    """The first kind of time stamp that a text has; headings and generator lines are no residue."""
+    kind = F.lit(None).cast("string")
+    for name, pattern in reversed(STAMPS.items()):
+        kind = F.when(text.rlike(pattern), name).otherwise(kind)
+    return kind
+
+
+_STAMP_SQL = "CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in STAMPS.items()) + " END"
+FRAMING = r"(?m)^#{1,6}\s+(Session:\s+)?\d{4}-\d{2}-\d{2}|^generatedAt:\s*\d{4}|^_Generated at\s+\d{4}"
+#: Transcripts as log lines: the one place of these tables that has time stamps.
+_LINES_SQL = "lines AS (SELECT conv_id, turn, (CASE WHEN turn % 3 = 0 THEN '[2024-01-05 10:00:00] ' WHEN turn % 3 = 1 THEN '# Session: 2024-01-05 10:00:00' || chr(10) ELSE '' END) || coalesce(text, '') AS text FROM conversations)"
+_CLASS_SQL = f"CASE WHEN regexp_matches(text, '{FRAMING}') THEN 'structured' WHEN starts_with(text, '[') THEN 'raw_log_residue' ELSE 'embedded' END"
+
+
+def log_lines(s: Store) -> DataFrame:
+    turn = F.col("turn") % 3
+    return s.table("conversations").select("conv_id", "turn", F.concat(F.when(turn == 0, "[2024-01-05 10:00:00] ").when(turn == 1, "# Session: 2024-01-05 10:00:00\n").otherwise(""), F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def polluted(rows: DataFrame) -> DataFrame:
+    kind = F.when(F.col("text").rlike(FRAMING), "structured").when(F.col("text").startswith("["), "raw_log_residue").otherwise("embedded")
+    return rows.withColumn("pattern", stamp_kind(F.col("text"))).where("pattern IS NOT NULL").withColumn("classification", kind)
+
+
+@query("timestamp_pollution", f"+ {_LINES_SQL} SELECT conv_id, turn, {_STAMP_SQL} AS pattern, {_CLASS_SQL} AS classification FROM lines WHERE {_STAMP_SQL} IS NOT NULL")
+def timestamp_pollution(s: Store) -> DataFrame:
+    return polluted(log_lines(s)).select("conv_id", "turn", "pattern", "classification")
+
+
+@query("timestamp_pollution_audit", f"+ {_LINES_SQL} SELECT {_CLASS_SQL} AS classification, {_STAMP_SQL} AS pattern, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM lines WHERE {_STAMP_SQL} IS NOT NULL GROUP BY 1, 2")
+def timestamp_pollution_audit(s: Store) -> DataFrame:
+    return polluted(log_lines(s)).groupBy("classification", "pattern").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("conv_id").alias("conversations"))
+
+
+DATE = r"\d{4}-\d{2}-\d{2}"
+
+
+@query("propagation_audit", f"+ d AS (SELECT id, path, regexp_extract(path, '{DATE}') AS day, make_timestamp(updated_at * 1000000)::DATE AS written FROM chunks WHERE regexp_matches(path, '{DATE}')) SELECT id, day, date_diff('day', day::DATE, written)::INT AS gap FROM d WHERE date_diff('day', day::DATE, written) BETWEEN 1 AND 30")
+def propagation_audit(s: Store) -> DataFrame:
+    """Entries written 1 to 30 days after the day of their file."""
+    rows = s.chunks.where(F.col("path").rlike(DATE)).select("id", F.regexp_extract("path", DATE, 0).alias("day"), F.to_date(F.timestamp_seconds("updated_at")).alias("written"))
+    return rows.withColumn("gap", F.datediff("written", F.to_date("day"))).where("gap BETWEEN 1 AND 30").select("id", "day", "gap")
+
+
+TOKEN = r"[\p{L}\p{N}_-]{2,}"
+_PAIRS_SQL = """pairs AS (SELECT a.chunk_id AS id1, b.chunk_id AS id2, a.category, a.confidence AS c1, b.confidence AS c2, greatest(coalesce(a.last_confidence_update, 0), coalesce(b.last_confidence_update, 0)) AS newest_at FROM live a JOIN live b ON a.category = b.category AND a.chunk_id < b.chunk_id
+    WHERE abs(a.confidence - b.confidence) > 0.3::DOUBLE AND abs(a.hit_count - b.hit_count) > 3)"""
+_LIVE_SQL = "live AS (SELECT conf.* FROM conf JOIN chunks ON id = chunk_id WHERE is_archived = 0)"
+
+
+def conflicting(s: Store) -> DataFrame:
+    """Pairs of one category whose confidence and hits are far apart."""
+    live = s.confidence.where("is_archived = 0").join(s.chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
+    a = live.select("category", F.col("chunk_id").alias("id1"), F.col("confidence").alias("c1"), F.col("hit_count").alias("h1"), F.coalesce("last_confidence_update", F.lit(0)).alias("t1"))
+    b = live.select("category", F.col("chunk_id").alias("id2"), F.col("confidence").alias("c2"), F.col("hit_count").alias("h2"), F.coalesce("last_confidence_update", F.lit(0)).alias("t2"))
+    far = (F.col("id1") < F.col("id2")) & (F.abs(F.col("c1") - F.col("c2")) > 0.3) & (F.abs(F.col("h1") - F.col("h2")) > 3)
+    return a.join(b, "category").where(far).select("category", "id1", "id2", "c1", "c2", F.greatest("t1", "t2").alias("newest_at"))
+
+
+@query("conflict_pairs", f"+ {_LIVE_SQL}, {_PAIRS_SQL} SELECT id1, id2, category, newest_at FROM pairs ORDER BY category, newest_at DESC, id1, id2 LIMIT 500")
+def conflict_pairs(s: Store, cap: int = 500) -> DataFrame:
+    return conflicting(s).select("id1", "id2", "category", "newest_at").orderBy("category", F.col("newest_at").desc(), "id1", "id2").limit(cap)
+
+
+@query("detect_conflicts", f"""+ {_LIVE_SQL}, {_PAIRS_SQL}, best AS (SELECT * FROM pairs ORDER BY category, newest_at DESC, id1, id2 LIMIT 500), tok AS (SELECT id, list_distinct(regexp_extract_all(lower(path || chr(10) || text), '{TOKEN}')) AS t FROM chunks)
+SELECT DISTINCT CASE WHEN c1 < c2 THEN id1 ELSE id2 END AS chunk_id FROM best JOIN tok x ON x.id = id1 JOIN tok y ON y.id = id2 WHERE len(list_intersect(x.t, y.t)) >= 0.2::DOUBLE * least(len(x.t), len(y.t))""")
+def detect_conflicts(s: Store) -> DataFrame:
+    """Of such pairs that share a fifth of their words, the side with the lower confidence."""
+    best = conflicting(s).orderBy("category", F.col("newest_at").desc(), "id1", "id2").limit(500)
+    words = s.chunks.select("id", F.array_distinct(F.regexp_extract_all(F.lower(F.concat("path", F.lit("\n"), "text")), F.lit(TOKEN), F.lit(0))).alias("t"))
+    both = best.join(words.select(F.col("id").alias("id1"), F.col("t").alias("x")), "id1").join(words.select(F.col("id").alias("id2"), F.col("t").alias("y")), "id2")
+    near = F.size(F.array_intersect("x", "y")) >= 0.2 * F.least(F.size("x"), F.size("y"))
+    return both.where(near).select(F.when(F.col("c1") < F.col("c2"), F.col("id1")).otherwise(F.col("id2")).alias("chunk_id")).distinct()
+
+
+@query("near_duplicates", f"""+ tok AS (SELECT id, category, list_distinct(regexp_extract_all(lower(text), '{TOKEN}')) AS t FROM chunks JOIN conf ON id = chunk_id)
+SELECT id_a, id_b, {rounded_sql('common / (na + nb - common)::DOUBLE', 3)} AS similarity FROM (SELECT a.id AS id_a, b.id AS id_b, len(a.t) AS na, len(b.t) AS nb, len(list_intersect(a.t, b.t)) AS common FROM tok a JOIN tok b ON a.category = b.category AND a.id < b.id) WHERE common > 0.6::DOUBLE * (na + nb - common)""")
+def near_duplicates(s: Store, least: float = 0.6) -> DataFrame:
+    """Pairs of one category whose words are similar, by prefix filtering: similar sets share one of their rarest words."""
+    sets = s.chunks.join(s.confidence.select(F.col("chunk_id").alias("id"), "category"), "id").select("id", "category", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))).alias("t"))
+    words = sets.select("id", "category", F.size("t").alias("n"), F.explode("t").alias("w"))
+    rarity = words.groupBy("category", "w").agg(F.count(F.lit(1)).alias("df"))
+    order = W.partitionBy("id").orderBy("df", "w")
+    first = words.join(rarity.where("df > 1"), ["category", "w"], "left").withColumn("r", F.row_number().over(order)).where((F.col("r") <= F.col("n") - F.ceil(least * F.col("n")) + 1) & F.col("df").isNotNull())
+    a, b = first.select("category", "w", F.col("id").alias("id_a"), F.col("n").alias("na")), first.select("category", "w", F.col("id").alias("id_b"), F.col("n").alias("nb"))
+    pairs = a.join(b, ["category", "w"]).where((F.col("id_a") < F.col("id_b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))).select("id_a", "id_b", "na", "nb").distinct()
+    one, two = sets.select(F.col("id").alias("id_a"), F.col("t").alias("x")), sets.select(F.col("id").alias("id_b"), F.col("t").alias("y"))
+    both = pairs.join(one, "id_a").join(two, "id_b").withColumn("common", F.size(F.array_intersect("x", "y"))).withColumn("all", F.col("na") + F.col("nb") - F.col("common"))
+    return both.where(F.col("common") > least * F.col("all")).select("id_a", "id_b", rounded(F.col("common") / F.col("all"), 3).alias("similarity"))
+
+
+_KEY_SQL = "regexp_extract(lower(text), '^\\s*([\\p{L}\\p{N}_/-]+)', 1)"
+
+
+@query("config_conflicts", f"+ k AS (SELECT chunk_id, {_KEY_SQL} AS key, coalesce(last_confidence_update, 0) AS set_at, conflict_flag FROM conf JOIN chunks ON id = chunk_id WHERE is_archived = 0) SELECT chunk_id, key, (r > 1)::INT AS conflict_flag FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY set_at DESC, chunk_id) AS r FROM k WHERE key <> '') WHERE (r > 1)::INT <> conflict_flag")
+def config_conflicts(s: Store) -> DataFrame:
+    """Rows whose conflict flag changes: of one key the newest is not in conflict, the others are."""
+    keyed = s.confidence.where("is_archived = 0").join(s.chunks.select(F.col("id").alias("chunk_id"), F.regexp_extract(F.lower("text"), r"^\s*([\p{L}\p{N}_/-]+)", 1).alias("key")), "chunk_id").where("key <> ''")
+    newest = keyed.groupBy("key").agg(F.min(F.struct(-F.coalesce("last_confidence_update", F.lit(0)), "chunk_id")).getField("chunk_id").alias("newest"))
+    rows = keyed.join(newest, "key").withColumn("flag", (F.col("chunk_id") != F.col("newest")).cast("int"))
+    return rows.where("flag <> conflict_flag").select("chunk_id", "key", F.col("flag").alias("conflict_flag"))
+
+
+@query("config_mismatch", f"+ k AS (SELECT chunk_id, {_KEY_SQL} AS key, md5({PLAIN_SQL.format('text')}) AS value FROM conf JOIN chunks ON id = chunk_id WHERE category = 'preference') SELECT key, count(DISTINCT value) AS values, count(*) AS rows FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT value) > 1")
+def config_mismatch(s: Store) -> DataFrame:
+    """Keys of preferences that have several values."""
+    rows = s.confidence.where("category = 'preference'").join(s.chunks, F.col("id") == F.col("chunk_id")).select(F.regexp_extract(F.lower("text"), r"^\s*([\p{L}\p{N}_/-]+)", 1).alias("key"), F.md5(plain(F.col("text"))).alias("value")).where("key <> ''")
+    return rows.groupBy("key").agg(F.countDistinct("value").alias("values"), F.count(F.lit(1)).alias("rows")).where("values > 1")
+
+
+@query("is_duplicate", f"+ n AS (SELECT item_id, {PLAIN_SQL.format('text')} AS low FROM benchmark), k AS (SELECT doc_id, {PLAIN_SQL.format('text')} AS low FROM documents) SELECT item_id, count(k.doc_id) AS holders, count(k.doc_id) > 0 AS duplicate FROM n LEFT JOIN k ON contains(k.low, n.low) GROUP BY item_id")
+def is_duplicate(s: Store) -> DataFrame:
+    """Whether a new text is held by a stored one. New texts are the small side and go to all tasks."""
+    new = s.table("benchmark").select("item_id", plain(F.col("text")).alias("new"))
+    held = s.chunks.select(plain(F.col("text")).alias("low")).join(F.broadcast(new), F.col("low").contains(F.col("new"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("holders"))
+    return new.select("item_id").join(held, "item_id", "left").select("item_id", F.coalesce("holders", F.lit(0)).alias("holders"), (F.coalesce("holders", F.lit(0)) > 0).alias("duplicate"))
+
+
+RISKS = {"missing_category": 100, "chunks_without_confidence": 95, "duplicate_exact": 90}
+FAMILY_RISK = {"smart_add": 35, "dreaming": 35, "episode": 30}
+_RISK_SQL = " + ".join(f"CASE WHEN {_H(f)} THEN {w} ELSE 0 END" for f, w in RISKS.items()) + f" + CASE WHEN {_H('raw_log_leak')} OR category = 'raw_log' THEN 75 ELSE 0 END + CASE family {' '.join(f'''WHEN '{f}' THEN {w}''' for f, w in FAMILY_RISK.items())} ELSE 0 END + least(10, injected) + least(5, retrieved)"
+_BUCKET_SQL = f"CASE WHEN {_H('missing_category')} THEN 'missing_category' WHEN {_H('chunks_without_confidence')} THEN 'missing_confidence' WHEN {_H('raw_log_leak')} OR category = 'raw_log' THEN 'raw_log_leak' WHEN {_H('duplicate_exact')} THEN 'duplicate_exact' WHEN retrieved = 0 THEN 'never_retrieved' ELSE 'risk_fill' END"
+
+
+@query("annotation_candidates", f"+ {FLAGS_SQL}, risky AS (SELECT id, ({_RISK_SQL})::BIGINT AS risk, {_BUCKET_SQL} AS bucket FROM flagged) SELECT id, bucket, risk FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY risk DESC, id) AS r FROM risky) WHERE r <= 30")
+def annotation_candidates(s: Store, each: int = 30) -> DataFrame:
+    """The riskiest of each bucket, for people to look at."""
+    rows, has = flags_of(candidates(s)), lambda f: F.array_contains("flags", f)
+    raw = has("raw_log_leak") | (F.coalesce("category", F.lit("")) == "raw_log")
+    risk = F.when(raw, 75).otherwise(0) + F.least(F.lit(10), "injected") + F.least(F.lit(5), "retrieved")
+    for f, w in RISKS.items():
+        risk = risk + F.when(has(f), w).otherwise(0)
+    for f, w in FAMILY_RISK.items():
+        risk = risk + F.when(F.col("family") == f, w).otherwise(0)
+    bucket = F.when(has("missing_category"), "missing_category").when(has("chunks_without_confidence"), "missing_confidence").when(raw, "raw_log_leak").when(has("duplicate_exact"), "duplicate_exact").when(F.col("retrieved") == 0, "never_retrieved").otherwise("risk_fill")
+    rows = rows.select("id", bucket.alias("bucket"), risk.cast("long").alias("risk"))
+    return rows.withColumn("r", F.row_number().over(W.partitionBy("bucket").orderBy(F.col("risk").desc(), "id"))).where(F.col("r") <= each).drop("r")
