@@ -6,6 +6,7 @@
 2. Suffix arrays: the runs that are left meet on their anchors. Each block of whole anchor groups is sorted in two stages:
    suffixes smaller than their successors directly, the others induced from them by a scan over the buckets. Neighbours with
    a common prefix of LENGTH bytes hold the same string; the smallest id among them keeps it.
+   Equal runs are merged before, and runs that differ on both sides of the anchor are left out.
 3. Anchors that very many documents share send each distinct run once, with its smallest id, and get the answer by a join.
 Texts that are equal as a whole are dealt with before, by their hashes.
 """
@@ -16,6 +17,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,16 +33,27 @@ BLOCK_BYTES = 2 << 20
 NO_ID = -(2**63)
 
 
+def words_of(data: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place as one word."""
+    n = len(data) - 7
+    out = np.empty(n, np.uint64)
+    for k in range(8):
+        whole = (len(data) - k) // 8
+        out[k::8] = data[k : k + 8 * whole].view(">u8")[: len(out[k::8])]
+    return out
+
+
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the GRAM bytes at each place."""
+    """A hash of the GRAM (16) bytes at each place."""
+    words = words_of(np.ascontiguousarray(data))
     n = len(data) - GRAM + 1
-    words = np.zeros(len(data) - 7, np.uint64)
-    for i in range(8):
-        words = (words << np.uint64(8)) | data[i : len(data) - 7 + i]
-    out = np.zeros(n, np.uint64)
-    for i in range(0, GRAM, 8):
-        out = mixed(out ^ words[i : i + n]) + np.uint64(i + 1)
-    return out
+    h = words[:n] * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h += words[8 : 8 + n] * np.uint64(0xC2B2AE3D27D4EB4F)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(29)
+    return h
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -84,7 +97,7 @@ def suffix_array(text: np.ndarray, depth: int = 56) -> np.ndarray:
     larger = step < 0
     small = np.flatnonzero(~larger)
     words = packed(text)
-    order = small[np.argsort(words[small], kind="stable")]
+    order = small[np.argsort(words[small])]
     for k in range(8, depth, 8):
         # Refine: ties so far are ordered by the next eight symbols.
         key = words[order]
@@ -174,23 +187,56 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int = LENGTH) ->
     return out
 
 
-def first_ids(runs: list[bytes], ids: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """For each run, which is its starts and LENGTH - 1 bytes more: the smallest id that has the string at each start."""
-    sizes = np.fromiter(map(len, runs), np.int64, len(runs)) + 1
-    text = np.frombuffer(b"\0".join(runs) + b"\0", np.uint8).astype(np.int32) + 1
+def may_share(text: np.ndarray, begins: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the runs, that begin at begins (and end at the last) and have the anchors keys, may share a string with another one.
+
+    A string of LENGTH bytes has 17 or more on one side of its anchor, so that runs that share one have equal GRAM bytes
+    before their anchors or after them.
+    """
+    h = gram_hashes(text)
+    owner = np.repeat(np.arange(len(keys)), np.diff(begins))[: len(h)]
+    at = np.flatnonzero((h == keys[owner]) & (np.arange(len(h)) + GRAM <= begins[owner + 1]))
+    first = np.unique(owner[at], return_index=True)[1]
+    place = at[first]  # each run has its anchor
+    out = np.zeros(len(keys), bool)
+    for side, fits in ((place - GRAM, place - GRAM >= begins[:-1]), (place + GRAM, place + 2 * GRAM <= begins[1:])):
+        runs = np.flatnonzero(fits)
+        _, code, count = np.unique(mixed(keys[runs] ^ mixed(h[side[runs]])), return_inverse=True, return_counts=True)
+        out[runs] |= count[code] > 1
+    return out
+
+
+def first_ids(runs: list[bytes], ids: np.ndarray, starts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """The smallest id that has the string at each start of each run, which is its starts and LENGTH - 1 bytes more.
+
+    Equal runs are one: code gives its number for each run, least its smallest id, and parts, for those of which other runs
+    share strings with smaller ids, the smallest id at each start. Only runs that may share strings are sorted.
+    """
+    code, distinct = pd.factorize(np.array(runs, object))
+    least = np.full(len(distinct), np.iinfo(np.int64).max)
+    np.minimum.at(least, code, ids)
+    one = np.zeros(len(distinct), np.int64)
+    one[code] = np.arange(len(code))
+    joined = np.frombuffer(b"".join(distinct), np.uint8)
+    begins = np.concatenate(([0], np.cumsum([len(r) for r in distinct])))
+    picked = np.flatnonzero(may_share(joined, begins, keys[one].view(np.uint64))) if len(distinct) else one
+    if not len(picked):
+        return code, least, {}
+    some = [distinct[i] for i in picked.tolist()]
+    sizes = np.fromiter(map(len, some), np.int64, len(some)) + 1
+    text = np.frombuffer(b"\0".join(some) + b"\0", np.uint8).astype(np.int16) + np.int16(1)
     begins = np.concatenate(([0], np.cumsum(sizes)))
     text[begins[1:] - 1] = 0
-    owner = np.repeat(np.arange(len(runs)), sizes)
-    offset = np.arange(len(text)) - begins[owner]
-    whole = offset < starts[owner]
-    order = suffix_array(text.astype(np.int16))
+    owner = np.repeat(np.arange(len(some)), sizes)
+    whole = np.arange(len(text)) - begins[owner] < starts[one[picked]][owner]
+    order = suffix_array(text)
     order = order[whole[order]]
-    same = common_prefixes(text, order) >= LENGTH
-    heads = np.flatnonzero(~same)
-    least = np.minimum.reduceat(ids[owner[order]], heads) if len(heads) else np.zeros(0, np.int64)
+    heads = np.flatnonzero(common_prefixes(text, order) < LENGTH)
+    lowest = np.minimum.reduceat(least[picked][owner[order]], heads)
     found = np.zeros(len(text), np.int64)
-    found[order] = least[np.cumsum(~same) - 1]
-    return [found[a : a + s] for a, s in zip(begins[:-1].tolist(), starts.tolist(), strict=True)]
+    found[order] = np.repeat(lowest, np.diff(np.append(heads, len(order))))
+    lower = np.unique(owner[order][found[order] < least[picked][owner[order]]])
+    return code, least, {int(picked[i]): found[begins[i] : begins[i] + starts[one[picked[i]]]] for i in lower.tolist()}
 
 
 def _pieces(values: list[bytes | None]) -> Iterator[tuple[int, int]]:
@@ -278,9 +324,12 @@ LOST = "id long, th long, lo int, hi int"
 def _lost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs sorted by key -> byte ranges of the strings that a smaller id has."""
     for t in (b for g in _groups(batches) for b in _blocks(g)):
-        ids, th, start, n = (t.column(c).to_numpy() for c in ("id", "th", "start", "n"))
-        firsts = first_ids(t.column("run").to_pylist(), ids, n.astype(np.int64))
-        out = [(int(ids[i]), int(th[i]), *r) for i, f in enumerate(firsts) for r in lost_ranges(f < ids[i], int(start[i]))]
+        ids, th, key, start, n = (t.column(c).to_numpy() for c in ("id", "th", "key", "start", "n"))
+        code, least, parts = first_ids(t.column("run").to_pylist(), ids, n.astype(np.int64), key)
+        odd = np.isin(code, np.fromiter(parts, np.int64, len(parts)))
+        gone = np.flatnonzero((least[code] < ids) & ~odd)
+        yield _batch(["id", "th", "lo", "hi"], pa.array(ids[gone]), pa.array(th[gone]), pa.array(start[gone]), pa.array((start[gone] + n[gone] + LENGTH - 1).astype(np.int32)))
+        out = [(int(ids[i]), int(th[i]), *r) for i in np.flatnonzero(odd).tolist() for r in lost_ranges(parts[code[i]] < ids[i], int(start[i]))]
         if out:
             yield _batch(["id", "th", "lo", "hi"], *[pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)])
 
@@ -299,8 +348,9 @@ FIRSTS = "key long, run binary, lens array<int>, ids array<long>"
 def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct runs sorted by key, with their smallest ids -> for each the smallest id at each start, in run lengths."""
     for t in (b for g in _groups(batches) for b in _blocks(g)):
-        runs = t.column("run").to_pylist()
-        found = first_ids(runs, t.column("id").to_numpy(), t.column("n").to_numpy().astype(np.int64))
+        runs, n = t.column("run").to_pylist(), t.column("n").to_numpy().astype(np.int64)
+        code, least, parts = first_ids(runs, t.column("id").to_numpy(), n, t.column("key").to_numpy())
+        found = [parts[c] if c in parts else np.full(k, least[c]) for c, k in zip(code.tolist(), n.tolist(), strict=True)]
         lens, ids = [], []
         for f in found:
             at = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
