@@ -1 +1,107 @@
+"""Collecting the logs of a business day: union of sources, best row of each message, and a greedy budget."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from palimpsest.functions.registry import query
+from palimpsest.functions.scores import PLAIN_SQL, plain, rounded, rounded_sql
+from palimpsest.sources.model import NOW, Store
+
+ZONE = "Asia/Shanghai"
+# Characters that a day's logs may take, in all, by kind, and by session.
+TOTAL, KINDS, SESSION = 40_000, {"smart_add": 16_000, "conversation": 24_000}, 8_000
+
+
+@query("business_day", "SELECT DISTINCT (created_at + INTERVAL 8 HOUR)::DATE AS day, epoch((created_at + INTERVAL 8 HOUR)::DATE::TIMESTAMP - INTERVAL 8 HOUR)::BIGINT AS starts, epoch((created_at + INTERVAL 8 HOUR)::DATE::TIMESTAMP + INTERVAL 16 HOUR)::BIGINT AS ends FROM ev")
+def business_day(s: Store, zone: str = ZONE) -> DataFrame:
+    """Days of a zone that have events, with their bounds in UTC."""
+    days = s.events.select(F.to_date(F.from_utc_timestamp("created_at", zone)).alias("day")).distinct()
+    start = lambda d: F.unix_timestamp(F.to_utc_timestamp(d.cast("timestamp"), zone))
+    return days.select("day", start(F.col("day")).alias("starts"), start(F.date_add("day", 1)).alias("ends"))
+
+
+def logs(s: Store) -> DataFrame:
+    """source, session, role, body, at, position: smart-add entries, sidecar rows and transcripts as one log."""
+    entries = s.chunks.where(F.col("path").startswith("memory/smart-add/")).select(F.lit("smart_add").alias("source"), F.col("path").alias("session"), F.lit("note").alias("role"), F.col("text").alias("body"), F.col("updated_at").alias("at"), F.col("doc_id").alias("position"))
+    raw = s.chunks.join(s.confidence.where("category = 'raw_log'"), F.col("id") == F.col("chunk_id")).select(F.lit("db").alias("source"), "path", F.lit("note"), "text", "updated_at", "doc_id")
+    turns = s.table("conversations").where("role IN ('user', 'assistant')").select(F.lit("transcript").alias("source"), F.concat(F.lit("conv-"), F.col("conv_id").cast("string")), "role", "text", (F.lit(NOW) - F.col("conv_id") * 3600 + F.col("turn") * 60).cast("long"), (F.col("conv_id") * 1000 + F.col("turn")))
+    return entries.union(raw).union(turns)
+
+
+LOGS_SQL = f"""logs AS (SELECT 'smart_add' AS source, path AS session, 'note' AS role, text AS body, updated_at AS logged, doc_id AS position FROM chunks WHERE starts_with(path, 'memory/smart-add/')
+    UNION ALL SELECT 'db', path, 'note', text, updated_at, doc_id FROM chunks JOIN conf ON id = chunk_id WHERE category = 'raw_log'
+    UNION ALL SELECT 'transcript', 'conv-' || conv_id, role, text, ({NOW} - conv_id * 3600 + turn * 60)::BIGINT, conv_id * 1000 + turn FROM conversations WHERE role IN ('user', 'assistant'))"""
+_DAY_SQL = "(make_timestamp(logged * 1000000) + INTERVAL 8 HOUR)::DATE"
+
+
+def with_day(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("day", F.to_date(F.from_utc_timestamp(F.timestamp_seconds("at"), ZONE)))
+
+
+@query("checkpoint_logs", f"+ {LOGS_SQL} SELECT {_DAY_SQL} AS day, source, count(*) AS n, sum(length(body))::BIGINT AS chars FROM logs GROUP BY 1, 2")
+def checkpoint_logs(s: Store) -> DataFrame:
+    return with_day(logs(s)).groupBy("day", "source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("body")).alias("chars"))
+
+
+def best_rows(rows: DataFrame) -> DataFrame:
+    """Of rows with the same role and words the one of the best source, first on ties."""
+    rank = F.when(F.col("source") == "transcript", 20).when(F.col("source") == "db", 10).otherwise(0)
+    key = rows.withColumns({"key": F.md5(F.concat("role", F.lit("|"), plain(F.coalesce("body", F.lit(""))))), "score": rank})
+    best = key.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("less"), "position", "source")).alias("b"))
+    return key.join(best, "key").where((F.col("source") == F.col("b.source")) & (F.col("position") == F.col("b.position"))).drop("b", "score")
+
+
+_BEST_SQL = f"best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY role || '|' || {PLAIN_SQL.format('''coalesce(body, '')''')} ORDER BY CASE source WHEN 'transcript' THEN 20 WHEN 'db' THEN 10 ELSE 0 END DESC, position) AS r FROM logs) WHERE r = 1)"
+
+
+@query("checkpoint_dedupe", f"+ {LOGS_SQL}, {_BEST_SQL} SELECT source, session, role, position FROM best")
+def checkpoint_dedupe(s: Store) -> DataFrame:
+    return best_rows(logs(s)).select("source", "session", "role", "position")
+
+
+@query("checkpoint_completeness", f"+ {LOGS_SQL} SELECT {_DAY_SQL} AS day, CASE WHEN count(*) FILTER (WHERE trim(body) <> '') = 0 THEN 'all_logs_empty' WHEN count(*) FILTER (WHERE source = 'transcript') = 0 THEN 'no_conversation' ELSE 'ok' END AS status FROM logs GROUP BY 1")
+def checkpoint_completeness(s: Store) -> DataFrame:
+    sums = with_day(logs(s)).groupBy("day").agg(F.count_if(F.trim("body") != "").alias("full"), F.count_if(F.col("source") == "transcript").alias("turns"))
+    return sums.select("day", F.when(F.col("full") == 0, "all_logs_empty").when(F.col("turns") == 0, "no_conversation").otherwise("ok").alias("status"))
+
+
+@query("tool_summaries", f"+ {LOGS_SQL} SELECT source, count(*) AS n, sum(len(regexp_extract_all(lower(body), '[0-9]+')))::BIGINT AS numbers, count(*) FILTER (WHERE regexp_matches(lower(body), '(pass|fail|error)')) AS results, {rounded_sql('avg(length(body))', 2)} AS mean_chars FROM logs GROUP BY source")
+def tool_summaries(s: Store) -> DataFrame:
+    """Figures of what tool outputs a log has."""
+    low = F.lower("body")
+    return logs(s).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.regexp_count(low, F.lit("[0-9]+"))).cast("long").alias("numbers"), F.count_if(low.rlike("(pass|fail|error)")).alias("results"), rounded(F.avg(F.length("body")), 2).alias("mean_chars"))
+
+
+def capped(rows: DataFrame, limit, *by: str) -> DataFrame:
+    """`taken` cut so that in each group, best rows first, no more than limit are taken: whole while there is room, then a part."""
+    order = W.partitionBy(*by).orderBy(F.col("priority").desc(), "position", "source").rowsBetween(W.unboundedPreceding, -1)
+    room = limit - F.coalesce(F.sum("taken").over(order), F.lit(0))
+    return rows.withColumn("taken", F.greatest(F.lit(0), F.least(F.col("taken"), room)))
+
+
+_CAP_SQL = "greatest(0, least(taken, {limit} - coalesce(sum(taken) OVER (PARTITION BY {by} ORDER BY priority DESC, position, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT"
+_BUDGET_SQL = f"""b AS (SELECT *, {_DAY_SQL} AS day, CASE WHEN source = 'smart_add' THEN 'smart_add' ELSE 'conversation' END AS kind, length(body) AS size, length(body) AS taken, CASE WHEN role = 'user' THEN 500 WHEN source = 'transcript' THEN 400 WHEN source = 'db' THEN 200 ELSE 100 END AS priority FROM best),
+b1 AS (SELECT * REPLACE ({_CAP_SQL.format(limit=SESSION, by='day, kind, session')} AS taken) FROM b), b2 AS (SELECT * REPLACE ({_CAP_SQL.format(limit=f"CASE kind WHEN 'smart_add' THEN {KINDS['smart_add']} ELSE {KINDS['conversation']} END", by='day, kind')} AS taken) FROM b1),
+b3 AS (SELECT * REPLACE ({_CAP_SQL.format(limit=TOTAL, by='day')} AS taken) FROM b2)"""
+
+
+@query("checkpoint_budget", f"+ {LOGS_SQL}, {_BEST_SQL}, {_BUDGET_SQL} SELECT day, source, position, size, taken FROM b3")
+def checkpoint_budget(s: Store) -> DataFrame:
+    """The characters of each row that a day's budget takes, by session, by kind and in all.
+
+    Room that is used up stays so, and each session has one kind: the greedy choice is three running sums, of lengths alone.
+    """
+    rows = with_day(best_rows(logs(s))).select("day", "source", "session", "position", F.when(F.col("source") == "smart_add", "smart_add").otherwise("conversation").alias("kind"), F.length("body").cast("long").alias("size"), F.when(F.col("role") == "user", 500).when(F.col("source") == "transcript", 400).when(F.col("source") == "db", 200).otherwise(100).alias("priority"))
+    rows = capped(rows.withColumn("taken", F.col("size")), F.lit(SESSION), "day", "kind", "session")
+    rows = capped(rows, F.when(F.col("kind") == "smart_add", KINDS["smart_add"]).otherwise(KINDS["conversation"]), "day", "kind")
+    return capped(rows, F.lit(TOTAL), "day").select("day", "source", "position", "size", "taken")
+
+
+@query("parse_entries", "SELECT doc_id, p.i::INT AS entry, trim(string_split(text, chr(10))[p.i]) AS body FROM documents, (SELECT unnest(range(1, (SELECT max(len(string_split(text, chr(10)))) + 1 FROM documents))) AS i) p WHERE p.i <= len(string_split(text, chr(10))) AND trim(string_split(text, chr(10))[p.i]) <> '' AND NOT starts_with(trim(string_split(text, chr(10))[p.i]), 'Category:')")
+def parse_entries(s: Store) -> DataFrame:
+    """The entries of a file: its blocks of text, without metadata lines and empty ones."""
+    rows = s.table("documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    return rows.select("doc_id", (F.col("i") + 1).alias("entry"), F.trim("line").alias("body")).where((F.col("body") != "") & ~F.col("body").startswith("Category:"))
