@@ -106,7 +106,8 @@ def event_time_resolve(s: Store) -> DataFrame:
     exact = rows.join(chunks.select("id", "h"), "h").select("conv_id", "turn", "id", F.lit(1).alias("tier"))
     # A text that holds a message has its first words too: those make an equi-join of the containment test.
     head = lambda c: F.xxhash64(F.substring(c, 1, 40))
-    starts = chunks.withColumn("at", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.length("text") * 0.25).cast("int"))))).select("id", F.xxhash64(F.substring(F.col("text"), F.col("at"), F.lit(40))).alias("k"))
+    heads = rows.where(F.length("body") >= 120).select(head("body").alias("k")).distinct()
+    starts = chunks.withColumn("at", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.length("text") * 0.25).cast("int"))))).select("id", F.xxhash64(F.substring(F.col("text"), F.col("at"), F.lit(40))).alias("k")).join(heads, "k", "left_semi")
     met = rows.where(F.length("body") >= 120).withColumn("k", head("body")).join(starts, "k").drop("k").distinct()
     held = met.join(chunks.select("id", "text"), "id").where((F.length("body") >= 0.8 * F.length("text")) & F.col("text").contains(F.col("body")))
     held = held.where(F.sha2(F.trim("text"), 256) != F.col("h")).select("conv_id", "turn", "id", F.lit(2).alias("tier")).distinct()

@@ -45,11 +45,17 @@ qset AS (SELECT query_id, list_distinct(words) AS ts, len(list_distinct(words))
 
 
 def matched(s: Store, rows: DataFrame, column: str) -> DataFrame:
-    """rows for each query with `lex`: the share of its terms that are substrings of column; rows without any go."""
-    queries = s.queries.select("query_id", F.array_distinct("words").alias("ts"))
-    pairs = rows.withColumn("__low", F.lower(column)).crossJoin(F.broadcast(queries))
-    hits = F.size(F.filter("ts", lambda t: F.col("__low").contains(t)))
-    return pairs.withColumn("lex", rounded(hits / F.size("ts"))).where("lex > 0").drop("ts", "__low")
+    """rows for each query with `lex`: the share of its terms that are substrings of column; rows without any go.
+
+    A term has no white space or signs, so it is part of a text if it is part of one of its words: each distinct word is
+    held against the terms once, whatever the number of texts that have it.
+    """
+    words = rows.select("id", F.explode(F.array_distinct(tokens(column))).alias("word"))
+    asked = s.terms.select("term").distinct()
+    holds = words.select("word").distinct().join(F.broadcast(asked), F.col("word").contains(F.col("term")))
+    hits = words.join(holds, "word").select("id", "term").distinct().join(F.broadcast(s.terms), "term")
+    lex = hits.groupBy("query_id", "id").agg(rounded(F.count(F.lit(1)) / F.first("n_terms")).alias("lex"))
+    return rows.join(lex, "id")
 
 
 MATCHED_SQL = f"matched AS (SELECT s.*, q.query_id, {rounded_sql('len(list_filter(q.ts, lambda t: contains(lower(s.text), t))) / q.n_terms::DOUBLE')} AS lex FROM searchable s, qset q WHERE len(list_filter(q.ts, lambda t: contains(lower(s.text), t))) > 0)"
