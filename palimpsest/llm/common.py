@@ -36,9 +36,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/palimpsest-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: lineage ends there, and a lost executor loses nothing of it."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    spark, path = df.sparkSession, path or scratch(df.sparkSession, name)
     # What was shuffled on the way to the table is of no use once it is written.
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
@@ -49,6 +49,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame, path: str) -> None:
+    """Frees the space of a written table that all readers are done with: an empty table takes its place."""
+    df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 

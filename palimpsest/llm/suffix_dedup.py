@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import table, written
+from palimpsest.llm.common import release, scratch, table, written
 from palimpsest.llm.near_dedup import mixed
 
 LENGTH = 50
 GRAM = 16
-HOT = 4096
+#: Runs of one anchor that go to one task as they are: some 5 MB.
+HOT = 1 << 16
 BATCH_BYTES = 2 << 20
 BLOCK_BYTES = 2 << 20
 NO_ID = -(2**63)
@@ -379,13 +380,14 @@ def repeated_ranges(texts: DataFrame, hot: int = HOT) -> DataFrame:
 
     Of rows with one th the one with the smallest id alone is looked at; the others have no row here.
     """
-    n = _partitions(texts.sparkSession)
-    anchors = written(texts.where(F.octet_length("text") >= LENGTH).mapInArrow(_anchors, ANCHORS), "anchors")
+    n, path = _partitions(texts.sparkSession), scratch(texts.sparkSession, "anchors")
+    anchors = written(texts.where(F.octet_length("text") >= LENGTH).mapInArrow(_anchors, ANCHORS), "anchors", path)
     keys = anchors.groupBy("key").agg(F.min("th").alias("a"), F.max("th").alias("b"), F.count(F.lit(1)).alias("times")).where("a <> b")
     keys = written(keys.select("key", (F.col("times") > hot).alias("hot")), "shared-anchors")
     shared = anchors.join(keys.hint("shuffle_hash"), "key")
     own = texts.groupBy("th").agg(F.min("id").alias("id"))
     wanted = written(shared.groupBy("id", "th").agg(F.collect_list(F.struct("key", "start", "n")).alias("runs")).join(own, ["id", "th"], "left_semi"), "runs")
+    release(anchors, path)
     cut = texts.join(wanted.hint("shuffle_hash"), ["id", "th"]).select("id", "th", "text", "runs").mapInArrow(_cut, RUNS)
     cut = written(cut, "cut")
     often = keys.where("hot").select("key")
