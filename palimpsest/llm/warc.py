@@ -315,6 +315,12 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcDataSource)
 
 
+def read(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """The records at path. Read anew for each query: Spark 4.1 keeps the predicates that a query pushed for later ones on the same DataFrame."""
+    register(spark)
+    return spark.read.format("warc").option("path", path).options(**options).load()
+
+
 def records_of(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least_bytes: int = 100) -> DataFrame:
     """A record for each page, with the columns of SCHEMA.
 
@@ -341,7 +347,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     path = path if "://" in path else f"file://{path}" if path.startswith("/") else path.replace("file:/", "file:///", 1)
     records_of(table(spark, sf_dir, "pages")).write.format("warc").mode("append").option("path", path).save()
-    found = spark.read.format("warc").option("path", path).load()
+    found = read(spark, path)
     # Responses are digested as read; revisits have no payload and say the digest of the one they refer to.
     digest = F.when(F.col("payload").isNotNull(), F.sha2("payload", 256)).otherwise(F.substring_index("payload_digest", ":", -1))
     number = lambda c: F.try_to_number(F.substring_index(c, ":", -1), F.lit("9999999999999999999")).cast("long")
