@@ -350,7 +350,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = read(spark, path)
     # Responses are digested as read; revisits have no payload and say the digest of the one they refer to.
     digest = F.when(F.col("payload").isNotNull(), F.sha2("payload", 256)).otherwise(F.substring_index("payload_digest", ":", -1))
-    number = lambda c: F.try_to_number(F.substring_index(c, ":", -1), F.lit("9999999999999999999")).cast("long")
+    number = lambda c: F.substring_index(c, ":", -1).try_cast("long")
     return found.select(number(F.col("record_id")).alias("page_id"), F.col("payload_length").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", number(F.col("refers_to")).alias("refers_to"))
 
 
