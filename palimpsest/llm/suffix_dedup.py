@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import release, scratch, table, written
+from palimpsest.llm.common import partitions, release, scratch, table, written
 from palimpsest.llm.near_dedup import mixed
 
 LENGTH = 50
@@ -371,23 +371,19 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(["id", "th", "lo", "hi"], *[pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)])
 
 
-def _partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def repeated_ranges(texts: DataFrame, hot: int = HOT) -> DataFrame:
     """texts of id, th, text (binary) -> id, th, ranges: sorted byte ranges (lo, hi) that are to go.
 
     Of rows with one th the one with the smallest id alone is looked at; the others have no row here.
     """
-    n, path = _partitions(texts.sparkSession), scratch(texts.sparkSession, "anchors")
+    n, path = partitions(texts.sparkSession), scratch(texts.sparkSession, "anchors")
     anchors = written(texts.where(F.octet_length("text") >= LENGTH).mapInArrow(_anchors, ANCHORS), "anchors", path)
     keys = anchors.groupBy("key").agg(F.min("th").alias("a"), F.max("th").alias("b"), F.count(F.lit(1)).alias("times")).where("a <> b")
     keys = written(keys.select("key", (F.col("times") > hot).alias("hot")), "shared-anchors")
-    shared = anchors.join(keys.hint("shuffle_hash"), "key")
+    shared = written(anchors.join(keys.select("key").hint("shuffle_hash"), "key"), "shared-runs")
+    release(anchors, path)
     own = texts.groupBy("th").agg(F.min("id").alias("id"))
     wanted = written(shared.groupBy("id", "th").agg(F.collect_list(F.struct("key", "start", "n")).alias("runs")).join(own, ["id", "th"], "left_semi"), "runs")
-    release(anchors, path)
     cut = texts.join(wanted.hint("shuffle_hash"), ["id", "th"]).select("id", "th", "text", "runs").mapInArrow(_cut, RUNS)
     cut = written(cut, "cut")
     often = keys.where("hot").select("key")
