@@ -192,18 +192,23 @@ def may_share(text: np.ndarray, begins: np.ndarray, keys: np.ndarray) -> np.ndar
     """Which of the runs, that begin at begins (and end at the last) and have the anchors keys, may share a string with another one.
 
     A string of LENGTH bytes has 17 or more on one side of its anchor, so that runs that share one have equal GRAM bytes
-    before their anchors or after them.
+    before their anchors or after them. A run holds its anchor several times where its bytes repeat: each place counts.
     """
     h = gram_hashes(text)
     owner = np.repeat(np.arange(len(keys)), np.diff(begins))[: len(h)]
-    at = np.flatnonzero((h == keys[owner]) & (np.arange(len(h)) + GRAM <= begins[owner + 1]))
-    first = np.unique(owner[at], return_index=True)[1]
-    place = at[first]  # each run has its anchor
+    place = np.flatnonzero((h == keys[owner]) & (np.arange(len(h)) + GRAM <= begins[owner + 1]))
+    run = owner[place]
     out = np.zeros(len(keys), bool)
-    for side, fits in ((place - GRAM, place - GRAM >= begins[:-1]), (place + GRAM, place + 2 * GRAM <= begins[1:])):
-        runs = np.flatnonzero(fits)
-        _, code, count = np.unique(mixed(keys[runs] ^ mixed(h[side[runs]])), return_inverse=True, return_counts=True)
-        out[runs] |= count[code] > 1
+    for side, fits in ((place - GRAM, place - GRAM >= begins[run]), (place + GRAM, place + 2 * GRAM <= begins[run + 1])):
+        runs, codes = run[fits], mixed(keys[run[fits]] ^ mixed(h[side[fits]]))
+        by = np.lexsort((runs, codes))
+        runs, codes = runs[by], codes[by]
+        once = np.ones(len(by), bool)  # a run counts once for each code
+        once[1:] = (runs[1:] != runs[:-1]) | (codes[1:] != codes[:-1])
+        runs, codes = runs[once], codes[once]
+        same = codes[1:] == codes[:-1]
+        out[runs[1:][same]] = True
+        out[runs[:-1][same]] = True
     return out
 
 

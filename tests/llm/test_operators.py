@@ -224,6 +224,36 @@ def test_substrings_against_brute_force(spark, hot):
     assert got == suffix_dedup.brute(list(enumerate(texts, 1)))
 
 
+def lost_bytes(texts):
+    """What first_ids leaves of each text, without Spark."""
+    owner, key, start, n = suffix_dedup.anchor_runs(texts)
+    ranges = [[] for _ in texts]
+    for k in np.unique(key):
+        at = np.flatnonzero(key == k)
+        runs = [texts[owner[i]][start[i] : start[i] + n[i] + suffix_dedup.LENGTH - 1] for i in at]
+        code, least, parts = suffix_dedup.first_ids(runs, owner[at], n[at], key[at].view(np.int64))
+        for c, i in zip(code.tolist(), at.tolist(), strict=True):
+            found = parts.get(c, np.full(n[i], least[c]))
+            ranges[owner[i]] += suffix_dedup.lost_ranges(found < owner[i], int(start[i]))
+    return [suffix_dedup.kept_bytes(t, sorted(r)) for t, r in zip(texts, ranges, strict=True)]
+
+
+def test_substrings_with_a_repeated_anchor():
+    rng, several = random.Random(13), 0
+    text = lambda n: bytes(97 + rng.randrange(26) for _ in range(n))
+    units = [bytes([c]) for c in range(33, 127)] + [text(k) for k in range(2, 36) for _ in range(3)]
+    for unit in units:
+        tail, period = text(60), len(unit)
+        one, two = (unit * 60)[: 19 + period], (unit * 60)[: 19 + period + (2 if period == 1 else period)]
+        texts = [text(80) + one + tail, text(80) + two + tail] if period == 1 else [text(80) + unit * -(-len(one) // period) + tail, text(80) + unit * -(-len(two) // period) + tail]
+        _, key, start, n = suffix_dedup.anchor_runs(texts[:1])
+        h = suffix_dedup.gram_hashes(np.frombuffer(texts[0], np.uint8))
+        several += any((h[s : s + m + suffix_dedup.LENGTH - suffix_dedup.GRAM] == k).sum() > 1 for k, s, m in zip(key, start, n, strict=True))
+        wanted = suffix_dedup.brute([(i, t.decode()) for i, t in enumerate(texts)])
+        assert [(len(t), g, s, hashlib.sha256(left).hexdigest()) for t, (left, g, s) in zip(texts, lost_bytes(texts), strict=True)] == [wanted[0], wanted[1]], unit
+    assert several > 10
+
+
 def test_suffix_array_order():
     rng = np.random.default_rng(1)
     for symbols in (2, 30):
