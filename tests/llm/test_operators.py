@@ -180,6 +180,18 @@ def test_compact_windows_are_the_large_subtrees():
     assert passage_dedup.compact_windows(x, 10)[0].tolist() == expected
 
 
+@pytest.mark.parametrize("again", [[20, 40], [0, 30], [3, 18, 33, 50]])
+def test_passage_with_an_internal_repeat(again):
+    passage, phrase = words(60, 31), words(6, 32)
+    for at in again:
+        passage[at : at + 6] = phrase
+    t = passage_dedup.tokens(" ".join(passage).encode(), near_dedup.WordHashes())
+    assert [r[:4] for r in passage_dedup.confirmed(t, t)] == [(0, 55, 0, 55)]
+    longer = passage_dedup.tokens(" ".join(words(30, 33) + phrase + words(20, 34) + passage + words(30, 35)).encode(), near_dedup.WordHashes())
+    assert [r[:4] for r in passage_dedup.confirmed(t, longer)] == [(0, 55, 56, 111)]
+    assert [r[:4] for r in passage_dedup.confirmed(longer, t)] == [(56, 111, 0, 55)]
+
+
 # BPE
 
 
