@@ -23,8 +23,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return near_dedup.without_near_duplicates(docs)
+    """One document of each group of near duplicates, which are those whose shingles are similar to 0.8 or more."""
+    return near_dedup.without_near_duplicates(docs, percent=80)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -376,6 +376,24 @@ def test_line_runs_compact_and_tell_the_unseen(spark):
 # Pipeline
 
 
+def test_pipeline_drops_near_duplicates_from_80_percent_on(spark):
+    import corpus_pipeline
+
+    base, texts = words(150, 61), []
+    for k in range(12):
+        own = list(base)
+        for j in range(k % 6):
+            own[10 + 25 * j] = f"x{k}y{j}"
+        texts.append(" ".join(own))
+    texts += [" ".join(words(150, 62)), None, ""]
+    three = " ".join("z" if i in (40, 80, 120) else w for i, w in enumerate(words(150, 63)))
+    texts += [" ".join(words(150, 63)), three]
+    docs = docs_of(spark, texts)
+    got = {r.doc_id for r in corpus_pipeline.without_near_duplicates(spark, docs, SMALL).collect()}
+    assert got == {i for i, r in brute_components(dict(enumerate(texts, 1)), 80).items() if r[3]}
+    assert len(texts) not in got
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     from palimpsest.llm.common import written
