@@ -236,8 +236,8 @@ def quantile_limits(scored: DataFrame, *, least: int = 20, high: float = 0.99) -
     """lang, size_class, limit: quantiles of the trusted rows of scored (lang, size_class, nats, trusted).
 
     The limit is as far above the `high` quantile as that is above the median. A class takes its neighbours in; with fewer
-    than `least` trusted rows, the language as a whole stands in, and for a language with fewer, all languages. Quantiles
-    come from counts in steps of STEP, so that they are exact to one step and the same on each run.
+    than `least` trusted rows, the language as a whole stands in, and for a language with fewer, the same length class of all
+    languages, or else all rows. Quantiles come from counts in steps of STEP, so that they are exact to one step and the same on each run.
     """
     known = scored.select("lang", "size_class").distinct()
     bins = scored.where("trusted").groupBy("lang", "size_class", F.floor(F.col("nats") / STEP).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
@@ -258,7 +258,7 @@ def quantile_limits(scored: DataFrame, *, least: int = 20, high: float = 0.99) -
     out = known.join(own, F.col("lang").eqNullSafe(F.col("l1")) & (F.col("size_class") == F.col("s1")), "left")
     out = out.join(same, F.col("size_class") == F.col("s2"), "left").join(whole, F.col("lang").eqNullSafe(F.col("l3")), "left")
     out = out.join(F.broadcast(limits(bins).select(F.col("limit").alias("any"))), how="left")
-    return out.select("lang", "size_class", F.coalesce("own", "same", "whole", "any").alias("limit"))
+    return out.select("lang", "size_class", F.coalesce("own", "whole", "same", "any").alias("limit"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quality_col: str = "quality", **how) -> DataFrame:

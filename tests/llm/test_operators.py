@@ -140,6 +140,13 @@ def test_quality_keeps_good_and_rejects_junk(spark):
     assert got[1][0] >= 0.98 * got[1][1] and got[0][0] <= 0.2 * got[0][1]
 
 
+def test_a_small_language_is_judged_by_its_own_limit(spark):
+    rows = [("en", 6, 0.5 + 0.01 * (k % 5), True) for k in range(400)] + [("xx", 3, 2.0 + 0.02 * (k % 5), True) for k in range(60)] + [("xx", 6, 2.1, True)] * 3 + [("yy", 6, 0.6, True)]
+    limits = {(r.lang, r.size_class): r.limit for r in quality.quantile_limits(spark.createDataFrame(rows, "lang string, size_class int, nats double, trusted boolean")).collect()}
+    assert limits["en", 6] < 1 and limits["yy", 6] < 3
+    assert limits["xx", 6] == pytest.approx(limits["xx", 3], abs=0.2) and limits["xx", 6] > 2.1
+
+
 def test_quality_without_labels_keeps_all(spark):
     docs, none = docs_of(spark, ["abc", None, ""]), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.good_documents(docs, none).count() == 3
