@@ -199,6 +199,16 @@ def test_passage_with_an_internal_repeat(again):
     assert [r[:4] for r in passage_dedup.confirmed(longer, t)] == [(56, 111, 0, 55)]
 
 
+def test_pairs_of_windows_have_one_order(spark):
+    # 1 is a centre of key 7, 2 is one of key 8: both functions count for the pair.
+    win = lambda c, k: (c << 20) | (k << 16) | (20 << 8) | 30
+    rows = [(i, 10 * i, key, win(100 * i + 5 * k, k)) for key, k in ((7, 0), (8, 1)) for i in (1, 2)]
+    df = spark.createDataFrame(rows, "id long, th long, key long, win long")
+    partners = df.where("(key = 7 AND id = 1) OR (key = 8 AND id = 2)")
+    got = sorted(map(tuple, passage_dedup._met(df, partners).collect()))
+    assert got == [(2, 20, 1, 10, win(200, 0), win(100, 0)), (2, 20, 1, 10, win(205, 1), win(105, 1))]
+
+
 # BPE
 
 
