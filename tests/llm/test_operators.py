@@ -209,6 +209,23 @@ def test_pairs_of_windows_have_one_order(spark):
     assert got == [(2, 20, 1, 10, win(200, 0), win(100, 0)), (2, 20, 1, 10, win(205, 1), win(105, 1))]
 
 
+def test_altered_copies_meet_where_no_centre_confirms_them(spark):
+    texts = []
+    for group in range(4):
+        passage = words(70, 100 + group)
+        texts.append(" ".join(words(60, 200 + group) + passage + words(60, 300 + group)))
+        for k in range(8):
+            own = list(passage)
+            own[23 + 3 * k] = f"changed{k}"  # 0.86 to the passage, less than 0.8 to the other copies
+            texts.append(" ".join(words(30, 400 + 20 * group + k) + own + words(30, 500 + 20 * group + k)))
+    phrase = words(12, 600)
+    texts += [" ".join(words(100, 700 + k) + phrase + words(100, 800 + k)) for k in range(20)]
+    got = {(r.id, r.other) for r in passage_dedup.passages(docs_of(spark, texts)).collect()}
+    wanted = {(9 * g + k + 1, 9 * g + 1) for g in range(4) for k in range(1, 9)}
+    assert len(got & wanted) >= 0.95 * len(wanted)  # 2 of 4 functions miss some
+    assert all(a <= 36 and b <= 36 and (a - 1) // 9 == (b - 1) // 9 for a, b in got)
+
+
 # BPE
 
 
