@@ -1,235 +1,224 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
 
 Grams are of UTF-8 bytes, up to ORDER of them packed in a long. Counting: each task sums the grams of its trusted texts,
-the sums meet on shards by gram. Model: counts, continuation counts, contexts and lower orders are joined on gram shards,
-order by order, to a row for each gram seen: its log probability, and its log weight as a context. Scoring: the mean log
-probability of a document's bytes, with what a context leaves over going to the next shorter one. A model of up to
-`broadcast_rows` rows goes to the tasks whole; of a larger one each chunk of documents gets, by a join on shards, the rows
-that its own grams can touch. Thresholds are quantiles of the trusted documents, by language and length.
+the sums meet on shards by gram. Model: a row for each order and context, with what the context leaves to shorter ones and
+what each byte after it has of its own. Scoring: documents are dealt to chunks of some `chunk_bytes`; a chunk asks for its
+distinct grams, all distinct grams asked for are joined with the model on context shards, from the shortest order to the
+longest, p(gram) = own(gram) + left(context) * p(gram without its first byte), and each chunk gets the log probabilities of
+its own grams back by a join. So neither the model nor the grams pass through the driver or a broadcast, at any size, and
+the keys of joins have bounded fan-in: a context has at most 256 bytes before it and 257 after it. Thresholds are quantiles
+of the trusted documents, by language and length.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import table, written
 
 ORDER = 5
+#: Bytes of a text that are looked at together: longer texts are cut, with the overlap that grams need.
+PIECE = 1 << 20
 BATCH_BYTES = 1 << 21
 STEP = 0.005
-MODEL = "n int, gram long, logp double, bow double"
 
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The grams of ORDER bytes that end at each byte of each text and at its end, as longs; and where each text's begin.
+def padded_pieces(docs: DataFrame, text_col: str) -> DataFrame:
+    """docs with piece (its number), pieces (how many the text has) and part (its bytes) instead of text_col.
 
-    A text has ORDER - 1 bytes 0 before it and one after it.
+    A text has ORDER - 1 bytes 0 before it and one after it; null texts count as empty. Each run of ORDER bytes within a
+    part is a gram, and each gram of a text lies in one part.
     """
-    pad = bytes(ORDER - 1)
-    data = np.frombuffer(b"".join(x for t in texts for x in (pad, t, b"\0")), np.uint8).astype(np.int64)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    starts = np.concatenate(([0], np.cumsum(lengths)[:-1])) if texts else np.zeros(0, np.int64)
-    if not texts:
-        return np.zeros(0, np.int64), starts
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    whole = docs.withColumn("__padded", F.concat(F.lit(bytes(ORDER - 1)), text, F.lit(b"\0"))).drop(text_col)
+    whole = whole.withColumn("pieces", F.ceil((F.octet_length("__padded") - (ORDER - 1)) / PIECE).cast("int"))
+    return whole.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("part", F.expr(f"substring(__padded, piece * {PIECE} + 1, {PIECE + ORDER - 1})")).drop("__padded")
+
+
+def grams(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ORDER bytes of each part, as longs; and how many each part has."""
+    counts = np.fromiter((max(0, len(p) - ORDER + 1) for p in parts), np.int64, len(parts))
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    if len(data) < ORDER:
+        return np.zeros(0, np.int64), counts
     key = np.zeros(len(data) - ORDER + 1, np.int64)
     for k in range(ORDER):
         key = (key << 8) | data[k : len(data) - ORDER + 1 + k]
-    keep = np.ones(len(key), bool)
-    # Grams that end within the bytes before a later text belong to none.
-    ends = (starts[1:] + (ORDER - 1) * np.arange(1, len(texts)))[:, None] - 1 - np.arange(ORDER - 1)[None, :]
-    keep[ends.ravel()] = False
-    return key[keep], starts
+    ends = np.cumsum([len(p) for p in parts])
+    keep = np.ones(len(data), bool)
+    for k in range(1, ORDER):
+        keep[np.maximum(ends - k, 0)] = False  # runs that begin here go on in the next part
+    return key[keep[: len(key)]], counts
 
 
-def batches_of(texts: list[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of texts of about BATCH_BYTES, with the index of the first."""
+def batches_of(parts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of parts of about BATCH_BYTES, with the index of the first."""
     first, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or b"")
-        if size >= BATCH_BYTES or i + 1 == len(texts):
-            yield first, [x or b"" for x in texts[first : i + 1]]
+    for i, t in enumerate(parts):
+        size += len(t)
+        if size >= BATCH_BYTES or i + 1 == len(parts):
+            yield first, parts[first : i + 1]
             first, size = i + 1, 0
 
 
 def count_grams(docs: DataFrame, text_col: str = "text", flush: int = 1_000_000) -> DataFrame:
-    """gram, n: summed within each task, and then over all."""
+    """gram, c: summed within each task, and then over all. Empty texts have none."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[pd.Series] = []
+        held: list[pd.Series] = []
 
         def merged() -> pd.Series:
-            return pd.concat(parts).groupby(level=0, sort=False).sum()
+            return pd.concat(held).groupby(level=0, sort=False).sum()
+
+        def out(s: pd.Series) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(s.index.to_numpy(np.int64)), pa.array(s.to_numpy(np.int64))], ["gram", "n"])
 
         for batch in batches:
-            for _, texts in batches_of(batch.column(0).to_pylist()):
-                codes, found = pd.factorize(grams(texts)[0])
-                parts.append(pd.Series(np.bincount(codes, minlength=len(found)), found))
-                if len(parts) > 16:
-                    parts[:] = [merged()]
-                    if len(parts[0]) > flush:
-                        yield pa.RecordBatch.from_arrays([pa.array(parts[0].index.to_numpy()), pa.array(parts[0].to_numpy(np.int64))], ["gram", "n"])
-                        parts.clear()
-        if parts:
-            s = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(s.index.to_numpy(np.int64)), pa.array(s.to_numpy(np.int64))], ["gram", "n"])
-
-    texts = docs.where(F.octet_length(text_col) > 0).select(F.col(text_col).cast("binary").alias("text"))
-    return texts.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("c"))
+            for _, parts in batches_of(batch.column(0).to_pylist()):
+                codes, found = pd.factorize(grams(parts)[0])
+                held.append(pd.Series(np.bincount(codes, minlength=len(found)), found))
+                if len(held) > 16:
+                    held[:] = [merged()]
+                    if len(held[0]) > flush:
+                        yield out(held.pop())
+        if held:
+            yield out(merged())
+
+    texts = docs.where(F.octet_length(text_col) > 0).select(F.col(text_col).alias("text"))
+    return padded_pieces(texts, "text").select("part").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("c"))
+
+
+def _tail(gram: str, n: int) -> Column:
+    """The last n bytes of a gram."""
+    return F.col(gram).bitwiseAND((1 << 8 * n) - 1)
 
 
 def train(trusted: DataFrame, text_col: str = "text") -> DataFrame:
-    """The model of the texts: n (order), gram, logp, bow."""
-    counts = [written(count_grams(trusted, text_col), "grams")]
+    """The model of the texts: n (order), context, left, own (a map from the byte after the context to its share)."""
+    counts = written(count_grams(trusted, text_col), "grams")
+    # Below the highest order a gram counts once for each byte that comes before it.
+    longer = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), _tail("gram", n).alias("gram"), _tail("gram", n + 1).alias("longer")) for n in range(1, ORDER)]))
+    lower = counts.select(longer.alias("g")).select("g.*").distinct().groupBy("n", "gram").agg(F.count(F.lit(1)).alias("c"))
+    counts = written(lower.unionByName(counts.select(F.lit(ORDER).alias("n"), "gram", "c")), "counts")
+    # n1..n4: grams of an order that are counted so many times; d1..d3 are what is taken off counts of 1, 2, and more.
+    kinds = counts.groupBy("n").agg(*[F.count(F.when(F.col("c") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)])
+    y = F.coalesce(F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2")), F.lit(0.0))
+    off = [F.greatest(F.lit(0.0), F.least(F.lit(float(k)), F.coalesce(k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")), F.lit(0.5 * k)))).alias(f"d{k}") for k in (1, 2, 3)]
+    d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+    rest = counts.join(F.broadcast(kinds.select("n", *off)), "n").select("n", F.shiftright("gram", 8).alias("context"), _tail("gram", 1).cast("int").alias("last"), "c", d.alias("d"))  # ORDER rows are sent
+    own = F.map_from_entries(F.collect_list(F.struct("last", F.col("c") - F.col("d"))))  # 257 at most
+    by = rest.groupBy("n", "context").agg(F.sum("c").alias("total"), F.sum("d").alias("off"), own.alias("own"))
+    return written(by.select("n", "context", (F.col("off") / F.col("total")).alias("left"), F.transform_values("own", lambda _, v: v / F.col("total")).alias("own")), "model")
+
+
+def probabilities(asked: DataFrame, model: DataFrame) -> DataFrame:
+    """gram, p for the distinct grams (of ORDER bytes) of asked: joins on context and on the shorter gram, order by order."""
+    wanted = [asked.select("gram").distinct()]
     for n in range(ORDER - 1, 0, -1):
-        # Below the highest order a gram counts once for each byte that comes before it.
-        counts.insert(0, counts[0].groupBy(F.col("gram").bitwiseAND((1 << 8 * n) - 1).alias("gram")).agg(F.count(F.lit(1)).alias("c")))
-    out: list[DataFrame] = []
-    for n, c in enumerate(counts, 1):
-        # n1..n4: grams that are counted so many times; d1..d3 are what is taken off counts of 1, 2, and more.
-        kinds = c.agg(*[F.count(F.when(F.col("c") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)])
-        y = F.coalesce(F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2")), F.lit(0.0))
-        off = {f"d{k}": F.greatest(F.lit(0.0), F.least(F.lit(float(k)), F.coalesce(k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")), F.lit(0.5 * k)))) for k in (1, 2, 3)}
-        kinds = kinds.select(*[v.alias(k) for k, v in off.items()])
-        c = c.withColumn("h", F.shiftright("gram", 8))
-        rest = c.crossJoin(F.broadcast(kinds)).withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
-        context = rest.groupBy("h").agg(F.sum("c").alias("total"), F.sum("d").alias("left"))
-        p = rest.join(context, "h").withColumns({"own": (F.col("c") - F.col("d")) / F.col("total"), "weight": F.col("left") / F.col("total")})
-        if n == 1:
-            p = p.withColumn("p", F.col("own") + F.col("weight") / 256)
-        else:
-            p = p.withColumn("tail", F.col("gram").bitwiseAND((1 << 8 * (n - 1)) - 1)).join(out[-1].select(F.col("gram").alias("tail"), F.col("p").alias("p_tail")), "tail")
-            p = p.withColumn("p", F.col("own") + F.col("weight") * F.col("p_tail"))
-        out.append(written(p.select(F.lit(n).alias("n"), "gram", "p", "h", "weight"), f"order-{n}"))
-    rows = []
-    for n, p in enumerate(out, 1):
-        if n < ORDER:
-            weights = out[n].groupBy(F.col("h").alias("gram")).agg(F.first("weight").alias("w"))
-            p = p.join(weights, "gram", "full").withColumn("bow", F.log("w"))  # the start of a text is a context, and no gram
+        wanted.insert(0, wanted[0].select(_tail("gram", n).alias("gram")).distinct())
+    p = None
+    for n, own in enumerate(wanted, 1):
+        known = model.where(F.col("n") == n).select("context", "left", "own")
+        own = own.withColumn("context", F.shiftright("gram", 8)).join(known, "context", "left")
+        share, left = F.coalesce(F.try_element_at("own", _tail("gram", 1).cast("int")), F.lit(0.0)), F.coalesce("left", F.lit(1.0))
+        if p is None:
+            p = own.select("gram", (share + left / 256).alias("p"))
         else:
-            p = p.withColumn("bow", F.lit(None).cast("double"))
-        rows.append(p.select(F.lit(n).alias("n"), "gram", F.log("p").alias("logp"), "bow"))
-    # The weight of the empty context is for bytes that no trusted text has.
-    base = out[0].groupBy().agg((F.log(F.first("weight")) - math.log(256)).alias("logp")).where(F.col("logp").isNotNull())
-    rows.append(base.select(F.lit(0).alias("n"), F.lit(0).cast("long").alias("gram"), "logp", F.lit(None).cast("double").alias("bow")))
-    model = rows[0]
-    for r in rows[1:]:
-        model = model.unionByName(r)
-    return written(model, "model")
-
-
-class Scorer:
-    """Log probabilities under a model's rows."""
-
-    def __init__(self, n: np.ndarray, gram: np.ndarray, logp: np.ndarray, bow: np.ndarray):
-        self.by: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for k in range(ORDER + 1):
-            own = np.flatnonzero(n == k)
-            own = own[np.argsort(gram[own])]
-            self.by.append((gram[own], logp[own], np.nan_to_num(bow[own])))
-        self.base = float(self.by[0][1][0]) if len(self.by[0][1]) else -math.log(256)
-
-    @staticmethod
-    def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-        at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-        return at, keys[at] == x
-
-    def of_grams(self, g: np.ndarray) -> np.ndarray:
-        """The log probability of the last byte of each gram after the others."""
-        out, open_ = np.full(len(g), 0.0), np.ones(len(g), bool)
-        for k in range(ORDER, 0, -1):
-            keys, logp, _ = self.by[k]
-            at, hit = self._find(keys, g & ((1 << 8 * k) - 1))
-            hit &= open_ & ~np.isnan(logp[at]) if len(keys) else open_
-            out[hit] += logp[at[hit]]
-            open_ &= ~hit
-            if k > 1:
-                keys, _, bow = self.by[k - 1]
-                at, known = self._find(keys, (g & ((1 << 8 * k) - 1)) >> 8)
-                known &= open_
-                out[known] += bow[at[known]]
-        out[open_] += self.base
-        return out
-
-    def of_texts(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes of each text with its end, and the sum of their log probabilities."""
-        n, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-        for first, part in batches_of(texts):
-            g, starts = grams(part)
-            codes, found = pd.factorize(g)
-            logp = self.of_grams(found)[codes]
-            total[first : first + len(part)] = np.add.reduceat(logp, starts)
-            n[first : first + len(part)] = np.diff(np.append(starts, len(g)))
-        return n, total
-
-
-def touched(text: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """All grams and contexts, of all orders, that texts can ask for: order << 40 | gram."""
-    found: set[int] = set()
-    for _, texts in batches_of(text.to_pylist()):
-        g = pd.unique(grams(texts)[0])
-        for k in range(1, ORDER + 1):
-            own = pd.unique(g & ((1 << 8 * k) - 1))
-            found.update((own | (k << 40)).tolist())
-            if k > 1:
-                found.update((pd.unique(own >> 8) | ((k - 1) << 40)).tolist())
-    return np.fromiter(found, np.int64, len(found))
-
-
-def score(docs: DataFrame, model: DataFrame, *, id_cols: list[str], text_col: str = "text", broadcast_rows: int = 2_000_000, chunk_bytes: int = 16 << 20) -> DataFrame:
-    """id_cols, n_bytes and log_prob of each document; null texts are empty ones, of which the end alone is scored."""
-    spark = docs.sparkSession
-    base = docs.select(*id_cols, F.col(text_col).cast("binary").alias("__text"))
-    schema = docs.select(*id_cols).withColumns({"n_bytes": F.lit(0).cast("long"), "log_prob": F.lit(0.0)}).schema
-    names = [f.name for f in schema]
-
-    def scored(scorer: Scorer, t: pa.RecordBatch | pa.Table) -> list:
-        n, total = scorer.of_texts(t.column("__text").to_pylist())
-        return [*[t.column(c) for c in id_cols], pa.array(n), pa.array(total)]
-
-    if model.count() <= broadcast_rows:
-        rows = model.toArrow()
-        sent = spark.sparkContext.broadcast([rows.column(c).to_numpy() for c in ("n", "gram", "logp", "bow")])
-        del rows
-
-        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scorer = Scorer(*sent.value)
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays(scored(scorer, batch), names)
-
-        return base.mapInArrow(whole, schema)
-    size = base.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
-    # Documents of a chunk share the rows that their grams touch.
-    chunked = base.withColumn("__chunk", F.pmod(F.xxhash64(*id_cols), F.lit(size // chunk_bytes + 1)))
-
-    def keys(key: tuple, t: pa.Table) -> pa.Table:
-        own = touched(t.column("__text"))
-        return pa.table({"__chunk": pa.array(np.full(len(own), key[0].as_py(), np.int64)), "key": pa.array(own)})
-
-    asked = chunked.groupBy("__chunk").applyInArrow(keys, "__chunk long, key long")
-    keyed = model.withColumn("key", F.shiftleft(F.col("n").cast("long"), 40).bitwiseOR(F.col("gram")))
-    got = asked.join(keyed, "key").select("__chunk", "n", "gram", "logp", "bow").unionByName(
-        keyed.where("n = 0").crossJoin(spark.range(size // chunk_bytes + 1).withColumnRenamed("id", "__chunk")).select("__chunk", "n", "gram", "logp", "bow")
-    )
-
-    def apart(t: pa.Table, rows: pa.Table) -> pa.Table:
-        scorer = Scorer(*[rows.column(c).to_numpy() for c in ("n", "gram", "logp", "bow")])
-        return pa.Table.from_arrays(scored(scorer, t), names) if t.num_rows else schema_table(names, t, id_cols)
-
-    return chunked.groupBy("__chunk").cogroup(got.groupBy("__chunk")).applyInArrow(apart, schema)
-
-
-def schema_table(names: list[str], t: pa.Table, id_cols: list[str]) -> pa.Table:
-    return pa.Table.from_arrays([*[t.column(c) for c in id_cols], pa.array([], pa.int64()), pa.array([], pa.float64())], names)
+            own = own.select("gram", share.alias("share"), left.alias("left"), _tail("gram", n - 1).alias("tail"))
+            p = own.join(p.select(F.col("gram").alias("tail"), F.col("p").alias("shorter")), "tail").select("gram", (F.col("share") + F.col("left") * F.col("shorter")).alias("p"))
+    return p
+
+
+ASKED = "chunk long, context long, lasts array<smallint>"
+
+
+def _asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of chunk, part, sorted by chunk -> a row for each context that a chunk has, with the distinct bytes after it."""
+
+    def out(chunk: int, held: list[np.ndarray]) -> pa.RecordBatch:
+        g = np.unique(np.concatenate(held))
+        first = np.flatnonzero(np.concatenate(([True], (g[1:] >> 8) != (g[:-1] >> 8))))
+        lasts = pa.ListArray.from_arrays(pa.array(np.append(first, len(g)).astype(np.int32)), pa.array((g & 255).astype(np.int16)))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), chunk, np.int64)), pa.array(g[first] >> 8), lasts], ["chunk", "context", "lasts"])
+
+    now, held = None, []
+    for batch in batches:
+        chunks, parts = batch.column(0).to_numpy(), batch.column(1)
+        for chunk in dict.fromkeys(chunks.tolist()):
+            if chunk != now and held:
+                yield out(now, held)
+                held = []
+            now = chunk
+            for _, some in batches_of(parts.filter(pa.array(chunks == chunk)).to_pylist()):
+                held.append(pd.unique(grams(some)[0]))
+                if len(held) > 16:
+                    held = [np.unique(np.concatenate(held))]
+    if held:
+        yield out(now, held)
+
+
+def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of chunk, key, part, context, lasts, logps, sorted by chunk with those without a part first -> key, n, log_prob."""
+    now, held, known = None, [], None
+    for batch in batches:
+        chunks = batch.column("chunk").to_numpy()
+        for chunk in dict.fromkeys(chunks.tolist()):
+            rows = batch.filter(pa.array(chunks == chunk))
+            if chunk != now:
+                now, held, known = chunk, [], None
+            answers = rows.filter(rows.column("part").is_null())
+            if answers.num_rows:
+                lasts = answers.column("lasts")
+                of = np.repeat(answers.column("context").to_numpy(), np.diff(lasts.offsets.to_numpy()))
+                held.append(((of << 8) | lasts.flatten().to_numpy(), answers.column("logps").flatten().to_numpy()))
+            texts = rows.filter(rows.column("part").is_valid())
+            if not texts.num_rows:
+                continue
+            if known is None:
+                g, p = (np.concatenate(v) for v in zip(*held, strict=True))
+                by = np.argsort(g)
+                known, held = (g[by], p[by]), []
+            total, n = np.zeros(texts.num_rows), np.zeros(texts.num_rows, np.int64)
+            for first, parts in batches_of(texts.column("part").to_pylist()):
+                g, counts = grams(parts)
+                codes, found = pd.factorize(g)
+                logp = known[1][np.searchsorted(known[0], found)][codes]
+                total[first : first + len(parts)] = np.add.reduceat(logp, np.concatenate(([0], np.cumsum(counts)[:-1])))
+                n[first : first + len(parts)] = counts
+            yield pa.RecordBatch.from_arrays([texts.column("key"), pa.array(n), pa.array(total)], ["key", "n", "log_prob"])
+
+
+def score(docs: DataFrame, model: DataFrame, *, id_cols: list[str], text_col: str = "text", chunk_bytes: int = 32 << 20) -> DataFrame:
+    """id_cols, n_bytes (with the text's end) and log_prob of each document; null texts are empty ones, of which the end alone is scored.
+
+    Long texts are scored in pieces; rows that repeat all of id_cols and the text are scored each.
+    """
+    text = F.col(text_col).cast("binary")
+    base = docs.select(F.struct(*id_cols, F.xxhash64(text).alias("__text")).alias("key"), text.alias("text"))
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = padded_pieces(base, "text").select(F.struct("key.*", F.col("pieces").alias("__pieces"), F.col("piece").alias("__piece")).alias("key"), "part")
+    parts = parts.withColumn("chunk", F.pmod(F.xxhash64("key"), F.lit(size // chunk_bytes + 1)))
+    asked = written(parts.select("chunk", "part").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_asks, ASKED), "asked")
+    found = probabilities(asked.select(F.shiftleft("context", 8).alias("context"), F.explode("lasts").alias("last")).select(F.col("context").bitwiseOR(F.col("last")).alias("gram")), model)
+    found = found.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.map_from_entries(F.collect_list(F.struct(_tail("gram", 1).cast("smallint"), F.log("p")))).alias("logp"))
+    answers = asked.join(found, "context").select("chunk", "context", "lasts", F.transform("lasts", lambda x: F.try_element_at("logp", x)).alias("logps"))
+    rows = answers.unionByName(parts, allowMissingColumns=True).select("chunk", "key", "part", "context", "lasts", "logps")
+    rows = rows.repartition("chunk").sortWithinPartitions("chunk", F.col("part").isNotNull())
+    schema = parts.select("key").withColumns({"n": F.lit(0).cast("long"), "log_prob": F.lit(0.0)}).schema
+    out = written(rows.mapInArrow(_scored, schema), "scored-parts")
+    one = out.where("key.__pieces = 1").select(*[f"key.{c}" for c in id_cols], F.col("n").alias("n_bytes"), "log_prob")
+    # A text's pieces, in order; of rows that are the same in all there are as many of each piece.
+    several = out.where("key.__pieces > 1").groupBy(*[F.col(f"key.{c}").alias(c) for c in id_cols], "key.__text", "key.__pieces").agg(F.sort_array(F.collect_list(F.struct("key.__piece", "n", "log_prob"))).alias("p"))
+    rows_of = (F.size("p") / F.col("__pieces")).cast("int")
+    summed = several.select(*id_cols, (F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["n"]) / rows_of).cast("long").alias("n_bytes"), (F.aggregate("p", F.lit(0.0), lambda a, x: a + x["log_prob"]) / rows_of).alias("log_prob"), F.explode(F.array_repeat(F.lit(1), rows_of)).alias("__row"))
+    return one.unionByName(summed.drop("__row"))
 
 
 def quantile_limits(scored: DataFrame, *, least: int = 20, high: float = 0.99) -> DataFrame:
@@ -237,28 +226,21 @@ def quantile_limits(scored: DataFrame, *, least: int = 20, high: float = 0.99) -
 
     The limit is as far above the `high` quantile as that is above the median. A class takes its neighbours in; with fewer
     than `least` trusted rows, the language as a whole stands in, and for a language with fewer, the same length class of all
-    languages, or else all rows. Quantiles come from counts in steps of STEP, so that they are exact to one step and the same on each run.
+    languages, or else all rows. Quantiles come from counts in steps of STEP, so that they are exact to one step and the same
+    on each run. All groups (level, language, length class) are counted in one table.
     """
-    known = scored.select("lang", "size_class").distinct()
+    group = lambda level, lang=F.lit(None).cast("string"), at=F.lit(None).cast("int"): F.struct(F.lit(level).alias("level"), lang.alias("lang"), at.cast("int").alias("at"))
+    lang, at = F.col("lang"), F.col("size_class")
+    fed = [group(0, lang, at + k) for k in (-1, 0, 1)] + [group(1, lang)] + [group(2, at=at + k) for k in (-1, 0, 1)] + [group(3)]
     bins = scored.where("trusted").groupBy("lang", "size_class", F.floor(F.col("nats") / STEP).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    bins = written(bins, "perplexities")
-
-    def limits(rows: DataFrame, *by: str) -> DataFrame:
-        rows = rows.groupBy(*by, "bin").agg(F.sum("n").alias("n"))
-        order = W.partitionBy(*[F.col(c) for c in by] or [F.lit(0)])
-        rows = rows.withColumns({"upto": F.sum("n").over(order.orderBy("bin")), "all": F.sum("n").over(order)})
-        at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), (F.col("bin") + 1) * STEP))
-        out = rows.groupBy(*by).agg(at(0.5).alias("mid"), at(high).alias("top"), F.sum("n").alias("count"))
-        return out.select(*by, (2 * F.col("top") - F.col("mid")).alias("limit"), "count")
-
-    near = bins.withColumn("size_class", F.explode(F.array(*[F.col("size_class") + k for k in (-1, 0, 1)])))
-    own = limits(near, "lang", "size_class").where(F.col("count") >= least).select(F.col("lang").alias("l1"), F.col("size_class").alias("s1"), F.col("limit").alias("own"))
-    same = limits(near, "size_class").where(F.col("count") >= least).select(F.col("size_class").alias("s2"), F.col("limit").alias("same"))
-    whole = limits(bins, "lang").where(F.col("count") >= least).select(F.col("lang").alias("l3"), F.col("limit").alias("whole"))
-    out = known.join(own, F.col("lang").eqNullSafe(F.col("l1")) & (F.col("size_class") == F.col("s1")), "left")
-    out = out.join(same, F.col("size_class") == F.col("s2"), "left").join(whole, F.col("lang").eqNullSafe(F.col("l3")), "left")
-    out = out.join(F.broadcast(limits(bins).select(F.col("limit").alias("any"))), how="left")
-    return out.select("lang", "size_class", F.coalesce("own", "whole", "same", "any").alias("limit"))
+    bins = bins.select(F.explode(F.array(*fed)).alias("of"), "bin", "n").groupBy("of", "bin").agg(F.sum("n").alias("n"))
+    order = W.partitionBy("of")
+    bins = bins.withColumns({"upto": F.sum("n").over(order.orderBy("bin")), "all": F.sum("n").over(order)})
+    quantile = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), (F.col("bin") + 1) * STEP))
+    limits = bins.groupBy("of").agg((2 * quantile(high) - quantile(0.5)).alias("limit"), F.sum("n").alias("count")).where((F.col("count") >= least) | (F.col("of.level") == 3))
+    wanted = scored.select("lang", "size_class").distinct().select("lang", "size_class", F.explode(F.array(group(0, lang, at), group(1, lang), group(2, at=at), group(3))).alias("wanted"))
+    found = wanted.join(limits, F.col("wanted").eqNullSafe(F.col("of")), "left")
+    return found.groupBy("lang", "size_class").agg(F.min_by("limit", F.when(F.col("limit").isNotNull(), F.col("wanted.level"))).alias("limit"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quality_col: str = "quality", **how) -> DataFrame:

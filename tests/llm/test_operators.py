@@ -6,6 +6,7 @@ import itertools
 import json
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -119,17 +120,68 @@ def test_components(spark):
 # Quality
 
 
-def test_quality_model_sums_to_one_and_both_ways_agree(spark):
-    good = docs_of(spark, ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog"])
-    rows = quality.train(good).toPandas()
-    scorer = quality.Scorer(*[rows[c].to_numpy() for c in ("n", "gram", "logp", "bow")])
-    for context in (b"\0\0\0\0", b"the ", b"zzzz", b" sat", b"\0the"):
-        grams = (int.from_bytes(context, "big") << 8) + np.arange(256)
-        assert np.exp(scorer.of_grams(grams)).sum() == pytest.approx(1, abs=1e-9)
-    model, docs = quality.train(good), docs_of(spark, ["the cat", "zq!!", None, "", "x" * 70_000])
-    one = {r.doc_id: (r.n_bytes, round(r.log_prob, 6)) for r in quality.score(docs, model, id_cols=["doc_id"]).collect()}
-    two = {r.doc_id: (r.n_bytes, round(r.log_prob, 6)) for r in quality.score(docs, model, id_cols=["doc_id"], broadcast_rows=0, chunk_bytes=1000).collect()}
-    assert one == two and one[1][1] / one[1][0] > one[2][1] / one[2][0]
+def brute_log_prob(trusted, texts, order=5):
+    """n and log probability of each text from dictionaries of counts, by the definition."""
+    padded = lambda t: b"\0" * (order - 1) + (t or "").encode() + b"\0"
+    runs = lambda t: [padded(t)[i : i + order] for i in range(len(padded(t)) - order + 1)]
+    counts = {order: Counter(g for t in trusted if t for g in runs(t))}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    off, total, left = {}, Counter(), Counter()
+    for n, c in counts.items():
+        of = Counter(c.values())
+        y = of[1] / (of[1] + 2 * of[2]) if of[1] + of[2] else 0
+        off[n] = [0] + [max(0, min(k, k - (k + 1) * y * of[k + 1] / of[k] if of[k] else 0.5 * k)) for k in (1, 2, 3)]
+        for g, k in c.items():
+            total[g[:-1]] += k
+            left[g[:-1]] += off[n][min(k, 3)]
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        h, k = g[:-1], counts[len(g)][g]
+        if not total[h]:
+            return p(g[1:])
+        return (k - off[len(g)][min(k, 3)]) / total[h] + left[h] / total[h] * p(g[1:])
+
+    return [(len(runs(t)), sum(math.log(p(g)) for g in runs(t))) for t in texts]
+
+
+def test_quality_scores_against_brute_force(spark, monkeypatch):
+    good = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog", None, "", "é cat"]
+    texts = ["the cat", "zq!!", None, "", "x" * 70_000, "the dog sat on the mat and the log " * 300, "a\0b"]
+    wanted = brute_log_prob(good, texts)
+    model = quality.train(docs_of(spark, good))
+    docs = docs_of(spark, texts).union(docs_of(spark, texts[4:6], 5))
+    for chunk, piece in ((32 << 20, 1 << 20), (1000, 1 << 12), (1000, 7)):
+        monkeypatch.setattr(quality, "PIECE", piece)
+        rows = quality.score(docs.where("n_chars >= 0 AND doc_id <> 5") if piece == 7 else docs, model, id_cols=["doc_id"], chunk_bytes=chunk).collect()
+        assert len(rows) == (7 if piece == 7 else 9)
+        for r in rows:
+            assert (r.n_bytes, r.log_prob) == (wanted[r.doc_id - 1][0], pytest.approx(wanted[r.doc_id - 1][1], rel=1e-9))
+    assert quality.score(docs.limit(0), model, id_cols=["doc_id"]).count() == 0
+
+
+def test_quality_decisions_against_brute_force(spark):
+    """The whole query on small tables: perplexities by the definition, limits by sorting."""
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    rows, good = docs.orderBy("doc_id").collect(), {r.doc_id for r in labels.collect() if r.quality == 1}
+    scores = dict(zip([r.doc_id for r in rows], brute_log_prob([r.text for r in rows if r.doc_id in good], [r.text for r in rows]), strict=True))
+    place = lambda r: (r.lang, int(math.log2(scores[r.doc_id][0])))
+    nats = {i: -lp / n for i, (n, lp) in scores.items()}
+
+    def limit(near):
+        bins = sorted(math.floor(nats[r.doc_id] / quality.STEP) for r in rows if r.doc_id in good and scores[r.doc_id][0] > 1 and near(*place(r)))
+        at = lambda q: (bins[max(0, math.ceil(q * len(bins) - 1e-9) - 1)] + 1) * quality.STEP
+        return (2 * at(0.99) - at(0.5), len(bins)) if bins else (None, 0)
+
+    for r in quality.classify(docs, labels).collect():
+        own = next(x for x in rows if x.doc_id == r.id)
+        lang, size = place(own)
+        tries = [limit(lambda a, b: a == lang and abs(b - size) <= 1), limit(lambda a, b: a == lang), limit(lambda a, b: abs(b - size) <= 1)]
+        wanted = next((m for m, n in tries if n >= 20), limit(lambda a, b: True)[0])
+        assert r.perplexity == pytest.approx(math.exp(nats[r.id]), rel=1e-9) and r.limit == pytest.approx(math.exp(wanted))
+        assert r.kept == (scores[r.id][0] <= 1 or nats[r.id] <= wanted)
 
 
 def test_quality_keeps_good_and_rejects_junk(spark):
