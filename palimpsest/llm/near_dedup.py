@@ -7,10 +7,12 @@ the Jaccard similarity, and their number of agreements is concentrated as for in
 coordinates make candidates: at a similarity of 0.85 a pair misses all of them with a probability below 1e-7.
 
 Documents with the same set are one class. In each bucket of a band a class is held against the bucket's centre alone, and
-links are joined to components. Other pairs of a bucket matter only if their components differ, and most of those are ruled
-out without being made: with the shingles outside the centre put first in the order of shingles, a linked pair either has
-one of its first ones in common, or both sides lie within the centre so far that its share bounds theirs. What is left is
-confirmed on full sets. So a group of n near copies costs about n comparisons, and no candidate is left out.
+links are joined to components. Other pairs around a centre matter only if their components differ, and most of those are
+ruled out before they are made. The two texts are described by how they differ from the centre c, as d(x), the symmetric
+difference of x and c: two sets are similar enough only if d(x) and d(y) have about half of their elements in common, so with
+elements in the order of how few texts around the centre have them, they share one of the first ones, at places that leave
+enough common ones behind them; and one-bit sketches must agree as often as those of linked sets do. What is left is confirmed
+on full sets. So a group of n near copies costs about n comparisons, and no candidate is left out.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ WORDS = 5
 CACHED = 200_000
 BATCH_BYTES = 4 << 20
 EMPTY = np.uint64(2**64 - 1)
+#: Standard deviations below the mean of linked sets at which agreements of one-bit sketches rule a pair out.
+DEVIATIONS = 6
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -113,6 +117,13 @@ def band_hashes(sketch: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def low_bits(sketch: np.ndarray) -> np.ndarray:
+    """The last bit of each coordinate, in rows of longs; those after the last coordinate are 0."""
+    bits = np.zeros((len(sketch), -(-T // 64) * 64), np.uint8)
+    bits[:, :T] = sketch & np.uint64(1)
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
 def _parts(values: list) -> Iterator[tuple[int, int]]:
     first, size = 0, 0
     for i, v in enumerate(values):
@@ -128,7 +139,7 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """docs of id, text -> id, n (shingles), set_id (of the set; null without words), bands."""
+    """docs of id, text -> id, n (shingles), set_id (of the set; null without words), bands, bits (of the sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -136,12 +147,13 @@ def sketch(docs: DataFrame) -> DataFrame:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in _parts(texts):
                 sets = shingle_sets(texts[a:b], hashes)
-                bands = band_hashes(sketches(sets))
+                rows = sketches(sets)
+                bands, bits = band_hashes(rows), low_bits(rows)
                 rows = [r if len(s) else r[:0] for r, s in zip(bands, sets, strict=True)]
                 set_ids = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([ids[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array(set_ids, pa.binary()), _lists(rows)], ["id", "n", "set_id", "bands"])
+                yield pa.RecordBatch.from_arrays([ids[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array(set_ids, pa.binary()), _lists(rows), _lists(list(bits))], ["id", "n", "set_id", "bands", "bits"])
 
-    return docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "id long, n long, set_id binary, bands array<long>")
+    return docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "id long, n long, set_id binary, bands array<long>, bits array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -164,32 +176,52 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
 
-def _around(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """For pairs of a centre c and a class x: n and n_c (sizes), common, lead, and the first `lead` shingles of x that are outside c.
-
-    lead: two sets that are similar enough have a shingle in common among the first `lead` of each, in any one order.
-    """
+def _around(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """For pairs of a centre c and a class x: n and n_c (sizes), common."""
     one, two = sets.select(F.col("id").alias("x"), F.col("shingles").alias("sx")), sets.select(F.col("id").alias("c"), F.col("shingles").alias("sc"))
-    both = pairs.join(one, "x").join(two, "c").select("c", "x", F.size("sx").alias("n"), F.size("sc").alias("n_c"), F.array_except("sx", "sc").alias("outside"))
-    lead = F.col("n") - F.floor((percent * F.col("n") + 99) / 100).cast("int") + 1
-    return both.select("c", "x", "n", "n_c", (F.col("n") - F.size("outside")).alias("common"), (F.size("outside") < lead).alias("inside"), F.slice("outside", 1, lead).alias("first"))
+    both = pairs.join(one, "x").join(two, "c")
+    return both.select("c", "x", F.size("sx").alias("n"), F.size("sc").alias("n_c"), F.size(F.array_intersect("sx", "sc")).alias("common"))
 
 
-def _others(around: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """The pairs of classes around one centre, in different components, that may be linked."""
-    members = around.join(found.withColumnRenamed("v", "x"), "x", "left").select("c", "x", "n", "common", "inside", "first", F.coalesce("comp", "x").alias("comp"))
-    parts = members.groupBy("c", "comp").agg(F.count(F.lit(1)).alias("k"))
+def _others(around: DataFrame, found: DataFrame, sets: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs of classes around one centre, in different components, that may be linked.
+
+    With f = (100 - percent) / (100 + percent), x and y are linked if and only if the symmetric difference of d(x) and d(y)
+    has f * (n(x) + n(y)) elements at most, so that `need` = half of |d(x)| + |d(y)| - f * (n(x) + n(y)) are common. One of
+    the two is not linked with the centre itself, hence need > 0; and as |d(y)| >= n(y) - n(c), no partner y needs less of x
+    than half of |d(x)| - f * (n(x) + n(c)), which bounds the elements of x that are looked at.
+    """
+    labels = found.select(F.col("v").alias("x"), "comp")
+    members = around.join(labels, "x", "left").withColumn("comp", F.coalesce("comp", "x"))
+    own = around.select("c").distinct().join(labels.withColumnRenamed("x", "c"), "c", "left").select("c", F.coalesce("comp", "c").alias("comp"))
+    parts = members.select("c", "comp").unionByName(own).groupBy("c", "comp").agg(F.count(F.lit(1)).alias("k"))
     split = parts.groupBy("c").agg(F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("c", F.col("top.comp").alias("top"))
-    members = written(members.join(split, "c").withColumn("main", F.col("comp") == F.col("top")), "around")
-    # Of each pair one side is not in the centre's largest component.
-    a = members.where("NOT main").select("c", F.col("x").alias("a"), F.col("n").alias("na"), F.col("common").alias("ia"), F.col("inside").alias("ina"), F.col("comp").alias("ca"), F.col("first").alias("fa"))
-    b = members.select("c", F.col("x").alias("b"), F.col("n").alias("nb"), F.col("common").alias("ib"), F.col("inside").alias("inb"), F.col("comp").alias("cb"), F.col("first").alias("fb"), "main")
-    fit = (F.col("ca") != F.col("cb")) & (F.col("main") | (F.col("a") < F.col("b"))) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    shared = a.select("c", "a", "na", "ca", F.explode("fa").alias("t")).join(b.select("c", "b", "nb", "cb", "main", F.explode("fb").alias("t")), ["c", "t"]).where(fit)
-    most = F.least("ia", "ib")
-    close = a.where("ina").join(b.where("inb"), "c").where(fit & (100 * most >= percent * (F.col("na") + F.col("nb") - most)))
-    pairs = shared.select("a", "b").unionByName(close.select("a", "b"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    members = members.join(split, "c").withColumn("main", F.col("comp") == F.col("top")).select("c", "x", "n", "n_c", "comp", "main")
+    # A centre that has all its members in its own component but for one has no two members to hold against each other.
+    several = members.groupBy("c").agg(F.count_if(~F.col("main")).alias("out"), F.count(F.lit(1)).alias("k")).where("out > 0 AND k > 1").select("c")
+    one, two = sets.select(F.col("id").alias("x"), F.col("shingles").alias("sx")), sets.select(F.col("id").alias("c"), F.col("shingles").alias("sc"))
+    differing = F.concat(F.array_except("sx", "sc"), F.array_except("sc", "sx"))
+    members = members.join(several, "c", "left_semi").join(one, "x").join(two, "c").join(bits.select(F.col("id").alias("x"), "bits"), "x")
+    members = written(members.select("c", "x", "n", "n_c", "comp", "main", "bits", differing.alias("d")), "differing")
+    each = members.select("c", "x", F.explode("d").alias("t"))
+    shared = each.groupBy("c", "t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    each = each.join(shared, ["c", "t"]).groupBy("c", "x").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("d_shared"))
+    # Elements that no other text has come first; they take up places, and make no pairs.
+    f, size = (100 - percent) / (100 + percent), F.size("d")
+    kept = size - F.ceil((size - f * (F.col("n") + F.col("n_c"))) / 2 - 1e-9).cast("int") + 1
+    alone = size - F.size("d_shared")
+    first = members.join(each, ["c", "x"]).select("c", "x", "n", "comp", "main", "bits", size.alias("size"), alone.alias("alone"), F.slice("d_shared.t", 1, F.greatest(F.lit(0), F.least(kept, size) - alone)).alias("first"))
+    rows = written(first.select("c", "x", "n", "comp", "main", "bits", "size", "alone", F.posexplode("first").alias("at", "t")).withColumn("left", F.col("size") - F.col("alone") - F.col("at")).drop("alone", "at"), "prefixes")
+    a = rows.where("NOT main").select("c", "t", *[F.col(k).alias(f"{k}_a") for k in ("x", "n", "comp", "bits", "size", "left")])
+    b = rows.select("c", "t", "main", *[F.col(k).alias(f"{k}_b") for k in ("x", "n", "comp", "bits", "size", "left")])
+    need = (100 + percent) * (F.col("size_a") + F.col("size_b")) - (100 - percent) * (F.col("n_a") + F.col("n_b"))
+    fit = (F.col("comp_a") != F.col("comp_b")) & (F.col("main") | (F.col("x_a") < F.col("x_b"))) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    fit &= 2 * (100 + percent) * F.least("left_a", "left_b") >= need
+    # Of T bits, linked sets have (1 + similarity) / 2 in common in the mean.
+    p = (1 + percent / 100) / 2
+    most = T * (1 - p) + DEVIATIONS * (T * p * (1 - p)) ** 0.5
+    fit &= sum(F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(-(-T // 64))) <= most
+    return a.join(b, ["c", "t"]).where(fit).select(F.least("x_a", "x_b").alias("a"), F.greatest("x_a", "x_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -204,7 +236,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     all_rows = written(sketch(texts), "sketches")
     linked = all_rows.where("n > 0 AND id IS NOT NULL")
     classes = linked.groupBy("set_id").agg(F.min("id").alias("rep"))
-    members = written(linked.join(classes, "set_id").select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "members")
+    own = F.col("id") == F.col("rep")
+    members = written(linked.join(classes, "set_id").select("id", "n", "rep", F.when(own, F.col("bands")).alias("bands"), F.when(own, F.col("bits")).alias("bits")), "members")
 
     banded = members.where("id = rep").select("rep", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("k")).where("low < high").select("band", "k")
@@ -217,12 +250,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sets = full_sets(texts.join(wanted.hint("shuffle_hash"), "id", "left_semi")).join(wanted, "id").where(F.size("shingles") == F.col("n"))
     sets = written(sets.dropDuplicates(["id"]).select("id", "shingles"), "sets")
 
-    around = written(_around(stars, sets, percent), "around")
+    around = written(_around(stars, sets), "around")
     union = F.col("n") + F.col("n_c") - F.col("common")
     links = around.where(100 * F.col("common") >= percent * union).select(F.col("c").alias("a"), F.col("x").alias("b"))
-    centres = around.groupBy("c").agg(F.first("n_c").alias("n")).select("c", F.col("c").alias("x"), "n", F.col("n").alias("common"), F.lit(True).alias("inside"), F.array().cast("array<long>").alias("first"))
     found = components(links)
-    pairs = _others(around.drop("n_c").unionByName(centres), found.withColumnRenamed("c", "comp"), percent)
+    bits = members.where("id = rep").select("id", "bits").dropDuplicates(["id"])
+    pairs = _others(around, found.withColumnRenamed("c", "comp"), sets, bits, percent)
     more = written(_links(pairs, sets, percent), "links")
     if not more.isEmpty():
         found = components(links.unionByName(more))

@@ -102,6 +102,43 @@ def test_near_duplicates_repeated_and_null_ids(spark):
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def pair_rows(spark, monkeypatch, df):
+    """The components, and how many pairs around centres were left to confirm."""
+    seen = []
+    others = near_dedup._others
+    monkeypatch.setattr(near_dedup, "_others", lambda *a: seen.append(others(*a)) or seen[-1])
+    got = {r.id: r.component_id for r in near_dedup.near_duplicates(df).collect()}
+    return got, seen[0].count()
+
+
+def linked_pairs(texts, percent=85):
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    return {(a + 1, b + 1) for a, b in itertools.combinations(range(len(sets)), 2) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+
+
+def test_texts_that_each_hold_half_of_one_make_few_pairs(spark, monkeypatch):
+    lines, rng = [words(20, 1000 + k) for k in range(30)], random.Random(8)
+    texts = [" ".join(itertools.chain.from_iterable(lines))]
+    texts += [" ".join(itertools.chain.from_iterable(lines[i] for i in sorted(rng.sample(range(30), 15)))) for _ in range(600)]
+    got, pairs = pair_rows(spark, monkeypatch, docs_of(spark, texts))
+    wanted = linked_pairs(texts)
+    assert pairs <= 4 * len(texts)
+    assert all(got[a] == got[b] for a, b in wanted) and len(set(got.values())) >= len(texts) - len(wanted)
+
+
+def test_copies_altered_apart_make_few_pairs(spark, monkeypatch):
+    base, rng, texts = words(200, 90), random.Random(9), []
+    for k in range(300):
+        own = list(base)
+        for j in rng.sample(range(40), 4 + k % 5):  # 0.90 to 0.67 to the text itself
+            own[5 * j] = f"x{k}y{j}"
+        texts.append(" ".join(own))
+    texts.append(" ".join(base))
+    got, pairs = pair_rows(spark, monkeypatch, docs_of(spark, texts))
+    wanted = linked_pairs(texts)
+    assert pairs <= 4 * len(texts) and all(got[a] == got[b] for a, b in wanted)
+
+
 def test_sketches_fill_and_estimate():
     rng = np.random.default_rng(5)
     for n in (1, 3, 2000):
