@@ -1,16 +1,16 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code is cut into m segments, each with an index of its own. Two codes that differ in at most m * (r + 1) - 1 bits differ in
-at most r bits in one of the segments, so once all segments have been searched to radius r, all codes up to that distance
-have been verified. Radii grow round by round; a query is done when the distance of its k-th verified neighbour is covered.
-Where probing the keys of a round would take longer than a look at all codes, the queries that are left are held against all
-codes, in blocks, and only what is as near as their k-th verified neighbour so far goes on.
+A code is cut into m segments, each with an index of its own. Once the first j segments have been searched to radius r and the
+others to r - 1, all codes within m * r + j - 1 bits have been verified: two codes that differ in no more bits than that differ
+in at most r bits in one of the first j segments, or in at most r - 1 in one of the others. Radii grow round by round, and in a
+round a query searches only as many segments as the distance of its k-th verified neighbour so far asks for; it is done when
+that distance is covered. The keys of a radius are made from the query's own, one flipped bit after another, so that neither
+masks nor queries are broadcast, and no code is looked at that no segment has led to.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -18,10 +18,6 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import table, written
 
-BLOCK = 512
-#: Codes looked at in the time of one probe, which is a row of a join.
-PROBE = 24
-
 
 def sign_code(vector: Column) -> Column:
     """The signs of a vector's coordinates, 1 for above 0, in words of 64 bits; null for null and empty vectors."""
@@ -50,9 +46,9 @@ def segments(bits: int, rows: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _keys(cuts: list[tuple[int, int, int]]) -> Column:
-    """An array of (segment, width, key) of the column `code`."""
-    parts = [F.struct(F.lit(i).alias("segment"), F.lit(w).alias("width"), F.shiftrightunsigned(F.get("code", F.lit(word)), a).bitwiseAND((1 << w) - 1).alias("key")) for i, (word, a, w) in enumerate(cuts)]
+def _keys(cuts: list[tuple[int, int, int]], code: str = "code") -> Column:
+    """An array of (segment, width, key) of a code."""
+    parts = [F.struct(F.lit(i).alias("segment"), F.lit(w).alias("width"), F.shiftrightunsigned(F.coalesce(F.get(code, F.lit(word)), F.lit(0).cast("long")), a).bitwiseAND((1 << w) - 1).alias("key")) for i, (word, a, w) in enumerate(cuts)]
     return F.array(*parts)
 
 
@@ -66,7 +62,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str =
     """query_id, rank, id, distance: the k rows of vectors nearest to each of queries, itself excluded, ties by id.
 
     Rows without an id or a vector are neither found nor ask. Vectors of other lengths count as filled up with zeros. Rows
-    that repeat an id with its code count once. With fewer than k others, all are returned.
+    that repeat an id with its code count once; an id with several codes is found with each of them. With fewer than k
+    others, all are returned.
     """
     def coded(df: DataFrame) -> DataFrame:
         return df.select(F.col(id_col).cast("long").alias("id"), sign_code(F.col(vector_col)).alias("code")).where("id IS NOT NULL AND code IS NOT NULL").distinct()
@@ -76,58 +73,44 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str =
     # One row for each code, with as many of its ids as any answer can need: a hot code is cut down before it moves.
     first = rows.withColumn("nth", F.row_number().over(W.partitionBy("code").orderBy("id"))).where(F.col("nth") <= k + 1)
     codes = written(first.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "distinct-codes")
-    n, words = codes.agg(F.count(F.lit(1)), F.max(F.size("code"))).first()
-    bits = 64 * (words or 1)
-    cuts = segments(bits, n)
+    n, words, ids = codes.agg(F.count(F.lit(1)), F.max(F.size("code")), F.sum(F.size("ids"))).first()
+    cuts = segments(64 * (words or 1), n)
+    m = len(cuts)
     index = written(codes.select("code", F.explode(_keys(cuts)).alias("s")).select("code", "s.segment", "s.key"), "segments") if n else None
-    pending = asked.select("code").distinct()
-    spark, answers, best, r = vectors.sparkSession, None, None, 0
+    pending = asked.select(F.col("code").alias("query"), F.lit(m).alias("need")).distinct()
+    answers, best, r = None, None, 0
     while n:
-        width = max(w for _, _, w in cuts)
-        probes = sum(math.comb(w, r) for _, _, w in cuts)
-        if r > width or probes * PROBE > max(n, 200) or probes > 200_000:
-            found = _scan(pending, codes, k, words, best)
-            answers = found if answers is None else answers.unionByName(found)
-            break
-        masks = [(w, sum(1 << i for i in c)) for w in {w for _, _, w in cuts} for c in combinations(range(w), r)]
-        masks = spark.createDataFrame(masks, "width int, mask long")
-        asks = pending.select("code", F.explode(_keys(cuts)).alias("s")).join(F.broadcast(masks), F.col("s.width") == F.col("width"))
-        asks = asks.select(F.col("code").alias("query"), "s.segment", F.col("s.key").bitwiseXOR(F.col("mask")).alias("key"))
-        hits = asks.join(index, ["segment", "key"]).select("query", "code").distinct().withColumn("distance", distance("query", "code", words))
+        hits = probes(pending, cuts, r).join(index, ["segment", "key"]).select("query", "code").distinct().withColumn("distance", distance("query", "code", words))
         hits = hits.join(codes, "code").select("query", "distance", F.explode("ids").alias("id"))
         best = written(_best((hits if best is None else hits.unionByName(best)).distinct(), k + 1), "best")
-        covered = len(cuts) * (r + 1) - 1
-        done = best.groupBy("query").agg(F.count(F.lit(1)).alias("k"), F.max("distance").alias("far")).where((F.col("k") > k) & (F.col("far") <= covered)).select("query")
-        own = best.join(done, "query", "left_semi")
+        state = pending.join(best.groupBy("query").agg(F.count(F.lit(1)).alias("found"), F.max("distance").alias("far")), "query", "left")
+        covered = m * r + F.col("need") - 1
+        whole = (F.col("found") > k) & (F.col("far") <= covered) | (F.col("found") == ids) | F.lit(r >= max(w for _, _, w in cuts))
+        # Of the next radius a query needs as many segments as its k-th neighbour so far is beyond what all have covered.
+        need = F.when(F.col("found") > k, F.least(F.lit(m), F.col("far") - (m * (r + 1) - 1))).otherwise(m)
+        state = written(state.select("query", F.coalesce(whole, F.lit(False)).alias("done"), need.cast("int").alias("need")), "pending")
+        own = best.join(state.where("done").select("query"), "query", "left_semi")
         answers = own if answers is None else answers.unionByName(own)
-        pending = written(pending.join(done.withColumnRenamed("query", "code"), "code", "left_anti"), "pending")
+        pending = state.where("NOT done").select("query", "need")
         if pending.isEmpty():
             break
-        best = best.join(done, "query", "left_anti")
+        best = best.join(pending.select("query"), "query", "left_semi")
         r += 1
     if answers is None:
-        answers = spark.createDataFrame([], "query array<bigint>, distance int, id long")
+        answers = vectors.sparkSession.createDataFrame([], "query array<bigint>, distance int, id long")
     per = asked.select(F.col("id").alias("query_id"), F.col("code").alias("query")).join(answers, "query").where("query_id <> id")
     order = W.partitionBy("query_id", "query").orderBy("distance", "id")
     return per.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
-def _scan(pending: DataFrame, codes: DataFrame, k: int, words: int, best: DataFrame | None) -> DataFrame:
-    """The k + 1 nearest ids of each pending code from all codes, at most 64 * BLOCK queries at a time."""
-    blocks = pending.select(F.col("code").alias("query")).withColumn("block", F.floor((F.row_number().over(W.partitionBy(F.pmod(F.xxhash64("query"), F.lit(64))).orderBy("query")) - 1) / BLOCK))
-    if best is not None:
-        known = best.groupBy("query").agg(F.count(F.lit(1)).alias("k"), F.max("distance").alias("far"))
-        blocks = blocks.join(known, "query", "left")
-    else:
-        blocks = blocks.withColumns({"k": F.lit(0), "far": F.lit(0)})
-    blocks = written(blocks.select("query", "block", F.when(F.col("k") > k, F.col("far")).otherwise(64 * words).alias("far")), "blocks")
-    out, last = None, blocks.agg(F.max("block")).first()[0]
-    for block in range(0 if last is None else last + 1):
-        some = blocks.where(F.col("block") == block).select("query", "far")
-        near = codes.crossJoin(F.broadcast(some)).withColumn("distance", distance("query", "code", words)).where(F.col("distance") <= F.col("far"))
-        found = written(_best(near.select("query", "distance", F.explode("ids").alias("id")), k + 1), "scanned")
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else pending.select(F.col("code").alias("query"), F.lit(0).alias("distance"), F.lit(0).cast("long").alias("id")).limit(0)
+def probes(pending: DataFrame, cuts: list[tuple[int, int, int]], r: int) -> DataFrame:
+    """query, segment, key: for the first `need` segments of each query all keys at r bits from its own."""
+    rows = pending.select("query", "need", F.explode(_keys(cuts, "query")).alias("s")).where("s.segment < need").select("query", "s.*", F.lit(-1).alias("top"))
+    for _ in range(r):
+        # Bits are flipped in rising order, so that each key comes once.
+        rows = rows.where("top < width - 1").withColumn("bit", F.explode(F.sequence(F.col("top") + 1, F.col("width") - 1)))
+        rows = rows.select("query", "segment", "width", F.expr("key ^ shiftleft(1L, bit)").alias("key"), F.col("bit").alias("top"))
+    return rows.select("query", "segment", "key")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
