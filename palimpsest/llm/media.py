@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,7 @@ SAMPLES = b"\x80pcm-u8\x00"
 COMMENT = b"\x81note\x00\x00\x00"
 RATE = 8000
 PACKET = 4000
+BATCH_BYTES = 4 << 20
 UNIT = 64
 
 _FLIP = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
@@ -182,24 +184,50 @@ def with_media(docs: DataFrame, text_col: str = "text") -> DataFrame:
     schema = docs.drop("media").drop(text_col).withColumn("media", F.lit(b"").cast("binary")).schema
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches, text_col):
             media = pa.array([encode(*payload_of(t)) for t in batch.column(text_col).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(f.name) if f.name != "media" else media for f in schema], [f.name for f in schema])
 
     return docs.withColumn(text_col, F.col(text_col).cast("binary")).mapInArrow(write, schema)
 
 
+def _small(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in batches of about BATCH_BYTES of a binary column."""
+    for batch in batches:
+        first, size = 0, 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+            size += n
+            if size >= BATCH_BYTES or i + 1 == batch.num_rows:
+                yield batch.slice(first, i + 1 - first)
+                first, size = i + 1, 0
+
+
+def decoded(media: bytes | None) -> dict:
+    """What decode() gives, with media_error null; or media_error, and nulls."""
+    try:
+        if media is None:
+            raise ValueError("there are no media bytes")
+        return {**decode(media), "media_error": None}
+    except (ValueError, KeyError, IndexError, TypeError, struct.error) as e:
+        return {"n_bytes": None, "payload": None, "feature": None, "media_error": str(e) or type(e).__name__}
+
+
 def read_media(df: DataFrame, media_col: str = "media") -> DataFrame:
-    """df with payload, n_bytes, feature read from media_col; columns of these names are replaced."""
-    new = ["n_bytes", "payload", "feature"]
-    schema = df.drop(*new).withColumns({"n_bytes": F.lit(0).cast("long"), "payload": F.lit(b"").cast("binary"), "feature": F.lit("")}).schema
+    """df with payload, n_bytes, feature read from media_col, and media_error; columns of these names are replaced.
+
+    Null and damaged values give nulls in the first three, and say what is wrong in media_error, which is null else.
+    """
+    kinds = {"n_bytes": pa.int64(), "payload": pa.binary(), "feature": pa.string(), "media_error": pa.string()}
+    schema = df.drop(*kinds).withColumns({"n_bytes": F.lit(0).cast("long"), "payload": F.lit(b"").cast("binary"), "feature": F.lit(""), "media_error": F.lit("")}).schema
+    for f in schema:
+        f.nullable = True
     names = [f.name for f in schema]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [decode(m) for m in batch.column(media_col).to_pylist()]
-            own = {"n_bytes": pa.array([x["n_bytes"] for x in found], pa.int64()), "payload": pa.array([x["payload"] for x in found], pa.binary()), "feature": pa.array([x["feature"] for x in found], pa.string())}
-            yield pa.RecordBatch.from_arrays([own.get(n) if n in own else batch.column(n) for n in names], names)
+        for batch in _small(batches, media_col):
+            found = [decoded(m) for m in batch.column(media_col).to_pylist()]
+            own = {c: pa.array([x[c] for x in found], kind) for c, kind in kinds.items()}
+            yield pa.RecordBatch.from_arrays([own[n] if n in own else batch.column(n) for n in names], names)
 
     return df.mapInArrow(read, schema)
 
