@@ -78,11 +78,12 @@ class _Records:
         out, self.data = self.data[: i + len(mark)], self.data[i + len(mark) :]
         return out
 
-    def take(self, n: int) -> bytes:
+    def take(self, n: int) -> bytes | None:
+        """The next n bytes; None if the file has fewer."""
         while len(self.data) < n:
             more = self.f.read(max(READ, n - len(self.data)))
             if not more:
-                raise ValueError("a record is cut short")
+                return None
             self.data += more
         out, self.data = self.data[:n], self.data[n:]
         return out
@@ -99,19 +100,23 @@ def _members(f) -> Iterator[tuple[bytes, object]]:
     """Members that say their length: the first bytes of each, inflated, and a function that inflates the rest."""
     while True:
         head = f.read(20)
-        if not head:
+        if len(head) < 20 or head[:4] != b"\x1f\x8b\x08\x04":
             return
         (size,) = struct.unpack_from("<I", head, 16)
         start = f.tell() - len(head)
         z = zlib.decompressobj(31)
-        first = z.decompress(head + f.read(min(size - 20, 2048)), 4096)
+        try:
+            first = z.decompress(head + f.read(max(0, min(size - 20, 2048))), 4096)
+        except zlib.error:
+            f.seek(start + max(size, 20))
+            continue
 
         def rest(z=z, first=first, at=f.tell(), left=start + size) -> bytes:
             f.seek(at)
             return first + z.decompress(z.unconsumed_tail + f.read(left - at)) + z.flush()
 
         yield first, rest
-        f.seek(start + size)
+        f.seek(start + max(size, 20))
 
 
 def parse_headers(head: bytes) -> dict[str, str]:
@@ -128,6 +133,12 @@ def parse_headers(head: bytes) -> dict[str, str]:
     return out
 
 
+def _length(headers: dict[str, str]) -> int | None:
+    """The length of a record's block; None where the header is missing or no number."""
+    said = headers.get("content-length", "")
+    return int(said) if said.isascii() and said.isdigit() else None
+
+
 def _columns(headers: dict[str, str]) -> dict:
     out = {c: headers.get(h.lower()) for c, h in HEADERS.items()}
     for c in ("record_id", "refers_to"):
@@ -201,31 +212,46 @@ class WarcReader(DataSourceReader):
         return True
 
     def records(self, f) -> Iterator[dict]:
+        """The wanted records of a file. One without a proper length, or with damaged bytes, is left out and reading goes on
+        after it; one that the file cuts short, or a gzip file that is not whole, ends the reading of that file."""
         magic = f.read(16)
         f.seek(0)
         if magic[:4] == b"\x1f\x8b\x08\x04" and magic[12:14] == FIELD:
             for first, rest in _members(f):
-                whole = first if b"\r\n\r\n" in first else rest()
-                head, _, more = whole.partition(b"\r\n\r\n")
-                headers = parse_headers(head)
-                row = _columns(headers)
-                if not self.wanted(row):
+                try:
+                    whole = first if b"\r\n\r\n" in first else rest()
+                    head, _, more = whole.partition(b"\r\n\r\n")
+                    headers = parse_headers(head)
+                    row, n = _columns(headers), _length(headers)
+                    if n is None or not self.wanted(row):
+                        continue
+                    need = n if self.payload else min(n, 1024)
+                    block = more if len(more) >= need else rest().partition(b"\r\n\r\n")[2]
+                except zlib.error:
                     continue
-                n = int(headers.get("content-length", 0))
-                need = n if self.payload else min(n, 1024)
-                block = more if len(more) >= need else rest().partition(b"\r\n\r\n")[2]
-                yield self.row(row, block[:n], n)
+                if len(block) >= need:
+                    yield self.row(row, block[:n], n)
             return
         source = _Records(gzip.GzipFile(fileobj=f) if magic[:2] == b"\x1f\x8b" else f)
-        while (head := source.upto(b"\r\n\r\n")) is not None:
-            headers = parse_headers(head.lstrip(b"\r\n"))
-            row, n = _columns(headers), int(headers.get("content-length", 0))
-            if not self.wanted(row):
-                source.skip(n + 4)
-                continue
-            block = source.take(n if self.payload else min(n, 4096))
-            source.skip(n + 4 - len(block))
-            yield self.row(row, block, n)
+        try:
+            while (head := source.upto(b"\r\n\r\n")) is not None:
+                headers = parse_headers(head.lstrip(b"\r\n"))
+                row, n = _columns(headers), _length(headers)
+                if n is None:
+                    if source.upto(b"\r\nWARC/") is None:
+                        return
+                    source.data = b"WARC/" + source.data
+                    continue
+                if not self.wanted(row):
+                    source.skip(n + 4)
+                    continue
+                block = source.take(n if self.payload else min(n, 4096))
+                if block is None:
+                    return
+                source.skip(n + 4 - len(block))
+                yield self.row(row, block, n)
+        except (EOFError, OSError, zlib.error):
+            return
 
     def row(self, row: dict, block: bytes, n: int) -> dict:
         said, body = _body(block)
@@ -347,11 +373,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     path = path if "://" in path else f"file://{path}" if path.startswith("/") else path.replace("file:/", "file:///", 1)
     records_of(table(spark, sf_dir, "pages")).write.format("warc").mode("append").option("path", path).save()
-    found = read(spark, path)
-    # Responses are digested as read; revisits have no payload and say the digest of the one they refer to.
-    digest = F.when(F.col("payload").isNotNull(), F.sha2("payload", 256)).otherwise(F.substring_index("payload_digest", ":", -1))
+    # Responses are digested as read; revisits, whose headers alone are read, say the digest of the one they refer to.
+    responses = read(spark, path).where("record_type = 'response'").withColumn("digest", F.sha2("payload", 256))
+    revisits = read(spark, path, payload="false").where("record_type = 'revisit'").withColumn("digest", F.substring_index("payload_digest", ":", -1))
     number = lambda c: F.substring_index(c, ":", -1).try_cast("long")
-    return found.select(number(F.col("record_id")).alias("page_id"), F.col("payload_length").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", number(F.col("refers_to")).alias("refers_to"))
+    out = [number(F.col("record_id")).alias("page_id"), F.col("payload_length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", number(F.col("refers_to")).alias("refers_to")]
+    return responses.select(*out).unionByName(revisits.select(*out))
 
 
 ORACLE = """
