@@ -8,7 +8,7 @@
    a common prefix of LENGTH bytes hold the same string; the smallest id among them keeps it.
    Equal runs are merged before, and runs that differ on both sides of the anchor are left out.
 3. Anchors that very many documents share send each distinct run once, with its smallest id, and get the answer by a join.
-Texts that are equal as a whole are dealt with before, by their hashes.
+Texts that are equal as a whole are dealt with before, by their SHA-256 digests.
 """
 
 from __future__ import annotations
@@ -379,7 +379,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_ranges(texts: DataFrame, hot: int = HOT) -> DataFrame:
     """texts of id, th, text (binary) -> id, th, ranges: sorted byte ranges (lo, hi) that are to go.
 
-    Of rows with one th the one with the smallest id alone is looked at; the others have no row here.
+    th tells texts of one id apart. Of equal texts the one with the smallest id alone is looked at; the others have no row here.
     """
     n, path = partitions(texts.sparkSession), scratch(texts.sparkSession, "anchors")
     anchors = written(texts.where(F.octet_length("text") >= LENGTH).mapInArrow(_anchors, ANCHORS), "anchors", path)
@@ -387,7 +387,7 @@ def repeated_ranges(texts: DataFrame, hot: int = HOT) -> DataFrame:
     keys = written(keys.select("key", (F.col("times") > hot).alias("hot")), "shared-anchors")
     shared = written(anchors.join(keys.select("key").hint("shuffle_hash"), "key"), "shared-runs")
     release(anchors, path)
-    own = texts.groupBy("th").agg(F.min("id").alias("id"))
+    own = texts.select("id", "th", F.unhex(F.sha2("text", 256)).alias("digest")).groupBy("digest").agg(F.min(F.struct("id", "th")).alias("own")).select("own.id", "own.th")
     wanted = written(shared.groupBy("id", "th").agg(F.collect_list(F.struct("key", "start", "n")).alias("runs")).join(own, ["id", "th"], "left_semi"), "runs")
     cut = texts.join(wanted.hint("shuffle_hash"), ["id", "th"]).select("id", "th", "text", "runs").mapInArrow(_cut, RUNS)
     cut = written(cut, "cut")
@@ -429,9 +429,9 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     base = docs.drop(*new).withColumns({text_col: F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")), "__own": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))}).withColumn("__th", F.xxhash64(text_col))
     texts = base.select(F.col("__own").alias("id"), F.col("__th").alias("th"), F.col(text_col).alias("text"))
     # Whole texts that a smaller id has.
-    copies = base.select(F.col("__own").alias("id"), F.col("__th").alias("th"), F.octet_length(text_col).alias("size")).where(F.col("size") >= LENGTH)
-    firsts = copies.groupBy("th").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("th", "first")
-    whole = copies.join(firsts, "th").where("id > first").select("id", "th", F.array(F.struct(F.lit(0).alias("lo"), F.col("size").alias("hi"))).alias("ranges")).distinct()
+    copies = base.select(F.col("__own").alias("id"), F.col("__th").alias("th"), F.unhex(F.sha2(text_col, 256)).alias("digest"), F.octet_length(text_col).alias("size")).where(F.col("size") >= LENGTH)
+    firsts = copies.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first")
+    whole = copies.join(firsts, "digest").where("id > first").select("id", "th", F.array(F.struct(F.lit(0).alias("lo"), F.col("size").alias("hi"))).alias("ranges")).distinct()
     plan = written(repeated_ranges(texts, hot).unionByName(whole), "ranges").select(F.col("id").alias("__i"), F.col("th").alias("__t"), F.col("ranges").alias("__ranges"))
     joined = base.join(plan.hint("shuffle_hash"), (F.col("__own") == F.col("__i")) & (F.col("__th") == F.col("__t")), "left").drop("__own", "__th", "__i", "__t")
     names = [*[c for c in joined.columns if c != "__ranges"], *new]
