@@ -106,34 +106,48 @@ def round_copies(rows: DataFrame, *, chunk: int = 256, seed: int = 7) -> DataFra
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (5, 2, 1), most: float = 3.0, chunk: int = 256, seed: int = 7) -> DataFrame:
-    """A row for each document: id, th (hash of the text), source, rows, size, source_size, target, copies.
+    """A row for each document: id, th (hash of the text), source, rows, size, source_size, target, copies, more.
 
     Sizes are words. Null texts have size 0; a source of size 0 has the target 0 and none of its documents is taken. Rows
-    that repeat an id with its text and source are one document: they come as one row, `rows` is their number, and each
-    of them is taken `copies` times. The draw depends on ids, texts and seed alone: reruns agree.
+    that repeat an id with its text and source come as one row, `rows` is their number: each of them is taken `copies`
+    times, and `more` of them once more. Of the copies that they are to have together the whole part is certain, and one
+    row's copy alone is drawn. The draw depends on ids, texts and seed alone: reruns agree.
     """
     sized = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
     sized = written(sized.groupBy("id", "th", "source", "size").agg(F.count(F.lit(1)).alias("rows")), "mix-sizes")
     aims = written(targets(sized.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size")), weights, most), "mix-targets")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     aims = aims.select(F.col("source").alias("of"), "source_size", "target", F.floor(each).alias("base"), (each - F.floor(each)).alias("p"))
-    doc = F.struct((F.col("size") * F.col("rows")).alias("size"), "id", "th", "rows")
-    rows = sized.join(aims, F.col("source").eqNullSafe(F.col("of"))).select("source", doc.alias("doc"), "p")
+    part = F.col("p") * F.col("rows")
+    rows = sized.join(aims, F.col("source").eqNullSafe(F.col("of"))).select("source", F.struct("size", "id", "th", "rows").alias("doc"), (part - F.floor(part)).alias("p"))
     picked = round_copies(rows, chunk=chunk, seed=seed)
-    size = (F.col("doc.size") / F.col("doc.rows")).cast("long").alias("size")
-    return picked.join(aims, F.col("source").eqNullSafe(F.col("of"))).select("doc.id", "doc.th", "source", "doc.rows", size, "source_size", "target", (F.col("base") + F.col("pick")).alias("copies"))
+    more = F.floor(F.col("p") * F.col("doc.rows")) + F.col("pick")
+    return picked.join(aims, F.col("source").eqNullSafe(F.col("of"))).select("doc.id", "doc.th", "source", "doc.rows", "doc.size", "source_size", "target", F.col("base").alias("copies"), more.alias("more"))
 
 
 def mixed_documents(docs: DataFrame, **rules) -> DataFrame:
-    """docs with each row as often as the mix takes it, and no other columns than before."""
+    """docs with each row as often as the mix takes it, and no other columns than before.
+
+    Of rows that repeat an id with its text and source, those that are taken once more come from one of them.
+    """
     id_col, text_col, source_col = rules.get("id_col", "doc_id"), rules.get("text_col", "text"), rules.get("source_col", "source")
-    taken = mix(docs, **rules).where("copies > 0").select(F.struct("id", "th", "source").alias("__taken"), F.col("copies").cast("int").alias("__copies"))
+    taken = written(mix(docs, **rules).where("copies + more > 0").select(F.struct("id", "th", "source").alias("__taken"), F.col("rows").alias("__rows"), F.col("copies").cast("int").alias("__copies"), F.col("more").alias("__more")), "mix-taken")
     own = F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(source_col).cast("string").alias("source"))
-    out = docs.withColumn("__own", own).join(taken.hint("shuffle_hash"), F.col("__own").eqNullSafe(F.col("__taken")))
-    return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    same = F.col("__own").eqNullSafe(F.col("__taken"))
+    copies = F.col("__copies") + F.when(F.col("__rows") == 1, F.col("__more")).otherwise(0).cast("int")
+    out = docs.withColumn("__own", own).join(taken.hint("shuffle_hash"), same)
+    out = out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
+    several = taken.where("__rows > 1 AND __more > 0")
+    if several.isEmpty():
+        return out
+    one = docs.withColumn("__own", own).join(several.select("__taken").hint("shuffle_hash"), same, "left_semi").dropDuplicates(["__own"])
+    lots = several.withColumn("__lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__more") - 1) / 1000)))).select("__taken", F.least(F.lit(1000), F.col("__more") - 1000 * F.col("__lot")).cast("int").alias("__copies"))
+    more = one.join(lots, same).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies"))))
+    return out.unionByName(more.select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
-    mixed = mixed.withColumn("__row", F.explode(F.array_repeat(F.lit(1), F.col("rows").cast("int"))))
-    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
+    mixed = mixed.withColumn("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    copies = F.col("copies") + (F.col("__row") <= F.col("more")).cast("long")
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.alias("copies"))
