@@ -120,7 +120,7 @@ def train(trusted: DataFrame, text_col: str = "text") -> DataFrame:
 
 def probabilities(asked: DataFrame, model: DataFrame) -> DataFrame:
     """gram, p for the distinct grams (of ORDER bytes) of asked: joins on context and on the shorter gram, order by order."""
-    wanted = [asked.select("gram").distinct()]
+    wanted = [written(asked.select("gram").distinct(), "wanted")]
     for n in range(ORDER - 1, 0, -1):
         wanted.insert(0, wanted[0].select(_tail("gram", n).alias("gram")).distinct())
     p = None
