@@ -60,6 +60,15 @@ def test_search_is_exact(spark, dims, n):
     assert got == brute_nearest(rows, [i for i, _ in rows if i % 20 == 0], 5)
 
 
+def test_keys_of_a_radius_are_made_once(spark):
+    cuts, code = [(0, 0, 6), (0, 6, 5)], 0b10110_101101
+    df = spark.createDataFrame([([code], 2), ([0], 1)], "query array<bigint>, need int")
+    for r in range(7):
+        got = [(r_.query[0], r_.segment, r_.key) for r_ in hamming.probes(df, cuts, r).collect()]
+        wanted = {(q, i, k) for q, need in ((code, 2), (0, 1)) for i, (_, at, w) in enumerate(cuts[:need]) for k in range(2**w) if ((q >> at & (2**w - 1)) ^ k).bit_count() == r}
+        assert len(got) == len(wanted) and set(got) == wanted
+
+
 def test_search_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert hamming.search(df, df, 5).count() == 0
@@ -411,13 +420,24 @@ def test_mix_meets_targets_and_reruns_agree(spark):
     assert a == b and sum(r[3] for r in a) == len(rows)
     for source in ("a", "b", "c", "d", None):
         own = [r for r in a if r[2] == source]
-        assert abs(sum(r[3] * r[4] * r[7] for r in own) - own[0][6]) <= 60 and max(r[7] for r in own) <= 3
+        assert abs(sum(r[4] * (r[3] * r[7] + r[8]) for r in own) - own[0][6]) <= 60 and max(r[7] + (r[8] > 0) for r in own) <= 3
     assert sum({r[2]: r[6] for r in a}.values()) == pytest.approx(sum(r[3] * r[4] for r in a))
     out = mixing.mixed_documents(df, chunk=16)
-    assert out.columns == df.columns and out.count() == sum(r[3] * r[7] for r in a)
+    assert out.columns == df.columns and out.count() == sum(r[3] * r[7] + r[8] for r in a)
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_repeated_rows_come_near_the_target_too(spark):
+    rows = [(1, "w " * 10, "en", "a", k) for k in range(1000)] + [(10 + k, "w " * (1 + k % 10), "en", "a", 0) for k in range(50)] + [(100 + k, "w " * 30, "en", "b", 0) for k in range(130)]
+    df = spark.createDataFrame(rows, DOCS)
+    a = mixing.mix(df).collect()
+    for source in ("a", "b"):
+        own = [r for r in a if r.source == source]
+        assert abs(sum(r.size * (r.rows * r.copies + r.more) for r in own) - own[0].target) <= (10 if source == "a" else 30)
+        assert all(0 <= r.more <= r.rows for r in own)
+    assert mixing.mixed_documents(df).where("source = 'a'").selectExpr("sum(size(filter(split(text, ' '), x -> x <> '')))").first()[0] == sum(r.size * (r.rows * r.copies + r.more) for r in a if r.source == "a")
+
+
 def test_targets_stop_at_three_times(spark):
     df = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 0)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(df).collect()}
@@ -454,9 +474,36 @@ def test_ogg_query_columns(spark, tmp_path):
     assert json.loads(rows[1]["feature"])["streams"] == 2
 
 
+def test_ogg_null_and_damaged_values(spark):
+    whole = media.encode(*media.payload_of(b"abc" * 3000))
+    broken = bytearray(whole)
+    broken[300] ^= 1
+    df = spark.createDataFrame([(1, whole), (2, None), (3, bytes(broken)), (4, b""), (5, b"OggS"), (6, whole[:-40])], "doc_id long, media binary")
+    got = {r.doc_id: (r.n_bytes, r.payload is None, r.media_error is None) for r in media.read_media(df).collect()}
+    assert got == {1: (9000, False, True), **{i: (None, True, False) for i in range(2, 7)}}
+    assert media.read_media(df.limit(0)).columns == ["doc_id", "media", "n_bytes", "payload", "feature", "media_error"]
+
+
 # WARC
 
 
+def test_warc_damaged_records_are_left_out(spark, tmp_path):
+    record = lambda i, length=None: warc.record_bytes({"record_type": "response", "record_id": f"<urn:page:{i}>", "target_uri": "http://a", "refers_to": None, "payload_digest": "sha256:x", "payload_length": 300, "payload": b"p" * 300}, "2024-01-01T00:00:00Z") if length is None else record(i).replace(b"\r\nContent-Length: ", b"\r\nContent-Length: " + length, 1)
+    good = [record(i) for i in (1, 2, 3)]
+    members = [warc.member(x, 1) for x in good]
+    files = {
+        "length.warc": good[0] + record(8, b"x") + good[1], "cut.warc": good[2] + record(9)[:-100], "cut.warc.gz": gzip.compress(good[0] + good[1])[:-60],
+        "member.warc.gz": members[0] + warc.member(record(8, b"-"), 1) + members[1][:60] + bytes(40) + members[1][100:] + members[2], "empty.warc": b"", "noise.warc": b"nothing here",
+    }
+    for name, data in files.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / name).write_bytes(data)
+    ids = lambda name: sorted(r.record_id for r in warc.read(spark, f"file://{tmp_path}/{name}").select("record_id", "payload").collect())
+    assert ids("length.warc") == ["urn:page:1", "urn:page:2"] and ids("cut.warc") == ["urn:page:3"]
+    assert set(ids("cut.warc.gz")) <= {"urn:page:1", "urn:page:2"} and ids("member.warc.gz") == ["urn:page:1", "urn:page:3"]
+    assert ids("empty.warc") == ids("noise.warc") == []
+
+
 def test_warc_pushdown_and_plain_gzip(spark, tmp_path):
     warc.register(spark)
     body = "p" * 200
