@@ -80,7 +80,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str =
     pending = asked.select(F.col("code").alias("query"), F.lit(m).alias("need")).distinct()
     answers, best, r = None, None, 0
     while n:
-        hits = probes(pending, cuts, r).join(index, ["segment", "key"]).select("query", "code").distinct().withColumn("distance", distance("query", "code", words))
+        hits = probes(pending, cuts, r).join(index.hint("shuffle_hash"), ["segment", "key"]).select("query", "code").distinct().withColumn("distance", distance("query", "code", words))
         hits = hits.join(codes, "code").select("query", "distance", F.explode("ids").alias("id"))
         best = written(_best((hits if best is None else hits.unionByName(best)).distinct(), k + 1), "best")
         state = pending.join(best.groupBy("query").agg(F.count(F.lit(1)).alias("found"), F.max("distance").alias("far")), "query", "left")

@@ -195,7 +195,7 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([texts.column("key"), pa.array(n), pa.array(total)], ["key", "n", "log_prob"])
 
 
-def score(docs: DataFrame, model: DataFrame, *, id_cols: list[str], text_col: str = "text", chunk_bytes: int = 32 << 20) -> DataFrame:
+def score(docs: DataFrame, model: DataFrame, *, id_cols: list[str], text_col: str = "text", chunk_bytes: int = 64 << 20) -> DataFrame:
     """id_cols, n_bytes (with the text's end) and log_prob of each document; null texts are empty ones, of which the end alone is scored.
 
     Long texts are scored in pieces; rows that repeat all of id_cols and the text are scored each.
