@@ -47,14 +47,14 @@ def checkpoint_logs(s: Store) -> DataFrame:
 
 
 def best_rows(rows: DataFrame) -> DataFrame:
-    """Of rows with the same role and words the one of the best source, first on ties."""
-    rank = F.when(F.col("source") == "transcript", 20).when(F.col("source") == "db", 10).otherwise(0)
+    """Of rows with the same role and words the best one, first on ties: the source counts most, then a time, then a session."""
+    rank = F.when(F.col("source") == "transcript", 20).when(F.col("source") == "db", 10).otherwise(0) + F.when(F.col("at").isNotNull(), 2).otherwise(0) + F.when(F.col("session").isNotNull(), 1).otherwise(0)
     key = rows.withColumns({"key": F.md5(F.concat("role", F.lit("|"), plain(F.coalesce("body", F.lit(""))))), "score": rank})
     best = key.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("less"), "position", "source")).alias("b"))
     return key.join(best, "key").where((F.col("source") == F.col("b.source")) & (F.col("position") == F.col("b.position"))).drop("b", "score")
 
 
-_BEST_SQL = f"best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY role || '|' || {PLAIN_SQL.format('''coalesce(body, '')''')} ORDER BY CASE source WHEN 'transcript' THEN 20 WHEN 'db' THEN 10 ELSE 0 END DESC, position) AS r FROM logs) WHERE r = 1)"
+_BEST_SQL = f"best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY role || '|' || {PLAIN_SQL.format('''coalesce(body, '')''')} ORDER BY CASE source WHEN 'transcript' THEN 20 WHEN 'db' THEN 10 ELSE 0 END + CASE WHEN logged IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN session IS NOT NULL THEN 1 ELSE 0 END DESC, position) AS r FROM logs) WHERE r = 1)"
 
 
 @query("checkpoint_dedupe", f"+ {LOGS_SQL}, {_BEST_SQL} SELECT source, session, role, position FROM best")
@@ -62,10 +62,16 @@ def checkpoint_dedupe(s: Store) -> DataFrame:
     return best_rows(logs(s)).select("source", "session", "role", "position")
 
 
-@query("checkpoint_completeness", f"+ {LOGS_SQL} SELECT {_DAY_SQL} AS day, CASE WHEN count(*) FILTER (WHERE trim(body) <> '') = 0 THEN 'all_logs_empty' WHEN count(*) FILTER (WHERE source = 'transcript') = 0 THEN 'no_conversation' ELSE 'ok' END AS status FROM logs GROUP BY 1")
+@query("checkpoint_completeness", f"""+ {LOGS_SQL}, days AS (SELECT DISTINCT (created_at + INTERVAL 8 HOUR)::DATE AS day FROM ev UNION SELECT {_DAY_SQL} FROM logs), sums AS (SELECT {_DAY_SQL} AS day, count(*) AS n, count(*) FILTER (WHERE trim(body) <> '') AS filled, count(*) FILTER (WHERE trim(body) <> '' AND source = 'transcript') AS turns FROM logs GROUP BY 1)
+SELECT day, coalesce(n, 0) AS n, coalesce(filled, 0) AS filled, coalesce(turns, 0) AS turns, CASE WHEN n IS NULL THEN 'no_raw_logs' WHEN filled = 0 THEN 'all_logs_empty' WHEN turns = 0 THEN 'no_conversation' ELSE 'ok' END AS status FROM days LEFT JOIN sums USING (day)""")
 def checkpoint_completeness(s: Store) -> DataFrame:
-    sums = with_day(logs(s)).groupBy("day").agg(F.count_if(F.trim("body") != "").alias("full"), F.count_if(F.col("source") == "transcript").alias("turns"))
-    return sums.select("day", F.when(F.col("full") == 0, "all_logs_empty").when(F.col("turns") == 0, "no_conversation").otherwise("ok").alias("status"))
+    """Whether a day, of those with events or logs, has what a checkpoint needs: logs, some of them not empty, and turns of a conversation."""
+    rows, filled = with_day(logs(s)), F.coalesce(F.trim("body") != "", F.lit(False))
+    sums = rows.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.count_if(filled).alias("filled"), F.count_if(filled & (F.col("source") == "transcript")).alias("turns"))
+    days = business_day(s).select("day").union(rows.select("day")).distinct()
+    status = F.when(F.col("n").isNull(), "no_raw_logs").when(F.col("filled") == 0, "all_logs_empty").when(F.col("turns") == 0, "no_conversation").otherwise("ok")
+    none = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return days.join(sums, "day", "left").select("day", none("n"), none("filled"), none("turns"), status.alias("status"))
 
 
 @query("tool_summaries", f"+ {LOGS_SQL} SELECT source, count(*) AS n, sum(len(regexp_extract_all(lower(body), '[0-9]+')))::BIGINT AS numbers, count(*) FILTER (WHERE regexp_matches(lower(body), '(pass|fail|error)')) AS results, {rounded_sql('avg(length(body))', 2)} AS mean_chars FROM logs GROUP BY source")
@@ -100,8 +106,43 @@ def checkpoint_budget(s: Store) -> DataFrame:
     return capped(rows, F.lit(TOTAL), "day").select("day", "source", "position", "size", "taken")
 
 
-@query("parse_entries", "SELECT doc_id, p.i::INT AS entry, trim(string_split(text, chr(10))[p.i]) AS body FROM documents, (SELECT unnest(range(1, (SELECT max(len(string_split(text, chr(10)))) + 1 FROM documents))) AS i) p WHERE p.i <= len(string_split(text, chr(10))) AND trim(string_split(text, chr(10))[p.i]) <> '' AND NOT starts_with(trim(string_split(text, chr(10))[p.i]), 'Category:')")
+# The lines of a Markdown file of entries.
+FINGERPRINT_LINE = r"(?im)^[ \t]*<!--[ \t]*smart-add-fingerprint:[ \t]*[a-f0-9]{8,64}[ \t]*-->[ \t]*(\n|$)"
+META_LINE = r"(?im)^[ \t]*((category|provenance|kg_data):|##)[^\n]*(\n|$)"
+CATEGORY_LINE, PROVENANCE_LINE = r"(?im)^[ \t]*category:[ \t]*([^|\n]*)", r"(?im)^[ \t]*provenance:[ \t]*([^\n]*)"
+EDGES = r"^\s+|\s+$"
+_FILES_SQL = r"""files AS (SELECT doc_id, 'Head of a file' || chr(13) || chr(10) || '<!-- smart-add-fingerprint: ' || substr(id, 1, 16) || ' -->' || chr(10) || '## ' || substr(id, 1, 8) || chr(10) || 'Category: ' || coalesce(category, '') || ' | x' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'Provenance: User' || chr(13) || chr(10) ELSE '' END || coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '## ' || substr(id, 9, 8) || chr(10) || 'kg_data: {}' || chr(10) || 'second' || chr(10) || '## empty' || chr(10) ELSE '' END AS text FROM chunks LEFT JOIN conf ON id = chunk_id WHERE starts_with(path, 'memory/smart-add/'))"""
+
+
+def entry_files(s: Store) -> DataFrame:
+    """doc_id, text: Markdown files as the store keeps entries, each with one entry or more."""
+    rows = s.chunks.where(F.col("path").startswith("memory/smart-add/")).join(s.confidence, F.col("id") == F.col("chunk_id"), "left")
+    head = F.concat(F.lit("Head of a file\r\n<!-- smart-add-fingerprint: "), F.substring("id", 1, 16), F.lit(" -->\n## "), F.substring("id", 1, 8), F.lit("\nCategory: "), F.coalesce("category", F.lit("")), F.lit(" | x\n"), F.when(F.col("doc_id") % 2 == 0, "Provenance: User\r\n").otherwise(""))
+    more = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\n## "), F.substring("id", 9, 8), F.lit("\nkg_data: {}\nsecond\n## empty\n"))).otherwise("")
+    return rows.select("doc_id", F.concat(head, F.coalesce("text", F.lit("")), more).alias("text"))
+
+
+def entries_of(files: DataFrame) -> DataFrame:
+    """entry (from 1), entry_id, category, provenance, body of the entries of Markdown files (doc_id, text).
+
+    An entry begins at a line with ##; what comes before the first one belongs to none. Lines of metadata and fingerprints
+    are no part of the body, and an entry without a body is none. A missing category is null, a missing provenance unknown.
+    """
+    text = F.regexp_replace(F.regexp_replace("text", "\r\n", "\n"), FINGERPRINT_LINE, "")
+    blocks = F.split(F.regexp_replace(text, r"(?m)^(##\s)", "\u0001$1"), "\u0001")
+    rows = files.select("doc_id", F.posexplode(F.filter(blocks, lambda b: b.startswith("##"))).alias("i", "block"))
+    strip = lambda c: F.regexp_replace(c, EDGES, "")
+    said = F.lower(strip(F.regexp_extract("block", PROVENANCE_LINE, 1)))
+    return rows.select(
+        "doc_id", (F.col("i") + 1).alias("entry"), strip(F.regexp_replace(F.regexp_extract("block", r"^##([^\n]*)", 1), r"^#*", "")).alias("entry_id"),
+        F.when(F.col("block").rlike(CATEGORY_LINE), strip(F.regexp_extract("block", CATEGORY_LINE, 1))).alias("category"), F.when(F.col("block").rlike(PROVENANCE_LINE), said).otherwise("unknown").alias("provenance"),
+        strip(F.regexp_replace("block", META_LINE, "")).alias("body"),
+    ).where("body <> ''")
+
+
+@query("parse_entries", f"""+ {_FILES_SQL}, blocks AS (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '{FINGERPRINT_LINE}', '', 'g'), '(?m)^(##\\s)', chr(1) || '\\1', 'g'), chr(1)), lambda b: starts_with(b, '##')) AS b FROM files), each AS (SELECT doc_id, unnest(b) AS block, generate_subscripts(b, 1)::INT AS entry FROM blocks),
+parsed AS (SELECT doc_id, entry, regexp_replace(regexp_replace(regexp_extract(block, '^##([^\\n]*)', 1), '^#*', ''), '{EDGES}', '', 'g') AS entry_id, CASE WHEN regexp_matches(block, '{CATEGORY_LINE}') THEN regexp_replace(regexp_extract(block, '{CATEGORY_LINE}', 1), '{EDGES}', '', 'g') END AS category,
+    CASE WHEN regexp_matches(block, '{PROVENANCE_LINE}') THEN lower(regexp_replace(regexp_extract(block, '{PROVENANCE_LINE}', 1), '{EDGES}', '', 'g')) ELSE 'unknown' END AS provenance, regexp_replace(regexp_replace(block, '{META_LINE}', '', 'g'), '{EDGES}', '', 'g') AS body FROM each)
+SELECT doc_id, entry, entry_id, category, provenance, md5(body) AS body_md5 FROM parsed WHERE body <> ''""")
 def parse_entries(s: Store) -> DataFrame:
-    """The entries of a file: its blocks of text, without metadata lines and empty ones."""
-    rows = s.table("documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
-    return rows.select("doc_id", (F.col("i") + 1).alias("entry"), F.trim("line").alias("body")).where((F.col("body") != "") & ~F.col("body").startswith("Category:"))
+    return entries_of(entry_files(s)).select("doc_id", "entry", "entry_id", "category", "provenance", F.md5("body").alias("body_md5"))

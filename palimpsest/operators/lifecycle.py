@@ -58,14 +58,14 @@ def archive_candidates_nightly(s: Store) -> DataFrame:
     return s.confidence.where(_LIVE).where(now < 0.15).select("chunk_id", rounded(now).alias("realtime"))
 
 
-@query("upsert_archive", f"+ req AS (SELECT id AS chunk_id FROM chunks WHERE doc_id % 31 = 0) SELECT coalesce(c.chunk_id, r.chunk_id) AS chunk_id, {rounded_sql('CASE WHEN r.chunk_id IS NULL THEN confidence ELSE least(coalesce(confidence, 0.5::DOUBLE), 0.05::DOUBLE) END')} AS confidence, CASE WHEN r.chunk_id IS NULL THEN is_archived ELSE 1 END AS is_archived, coalesce(category, 'raw_log') AS category FROM conf c FULL JOIN req r ON c.chunk_id = r.chunk_id")
+@query("upsert_archive", f"+ req AS (SELECT id AS chunk_id, CASE WHEN doc_id % 37 = 0 THEN 0.01::DOUBLE ELSE 0.05::DOUBLE END AS most FROM chunks WHERE doc_id % 31 = 0 OR doc_id % 37 = 0) SELECT coalesce(c.chunk_id, r.chunk_id) AS chunk_id, {rounded_sql('CASE WHEN r.chunk_id IS NULL THEN confidence ELSE least(coalesce(confidence, 0.5::DOUBLE), most) END')} AS confidence, CASE WHEN r.chunk_id IS NULL THEN is_archived ELSE 1 END AS is_archived, coalesce(category, 'raw_log') AS category FROM conf c FULL JOIN req r ON c.chunk_id = r.chunk_id")
 def upsert_archive(s: Store) -> DataFrame:
-    """The sidecar after archiving asked chunks; those without a row get one."""
-    asked = s.chunks.where("doc_id % 31 = 0").select(F.col("id").alias("chunk_id"), F.lit(True).alias("asked"))
+    """The sidecar after archiving some chunks and deleting others; those without a row get one. A deleted chunk stays as a tombstone of lower confidence."""
+    asked = s.chunks.where("doc_id % 31 = 0 OR doc_id % 37 = 0").select(F.col("id").alias("chunk_id"), F.when(F.col("doc_id") % 37 == 0, 0.01).otherwise(0.05).alias("most"))
     rows = s.confidence.join(asked, "chunk_id", "full")
     return rows.select(
-        "chunk_id", rounded(F.when(F.col("asked").isNull(), F.col("confidence")).otherwise(F.least(F.coalesce("confidence", F.lit(0.5)), F.lit(0.05)))).alias("confidence"),
-        F.when(F.col("asked").isNull(), F.col("is_archived")).otherwise(1).alias("is_archived"), F.coalesce("category", F.lit("raw_log")).alias("category"),
+        "chunk_id", rounded(F.when(F.col("most").isNull(), F.col("confidence")).otherwise(F.least(F.coalesce("confidence", F.lit(0.5)), "most"))).alias("confidence"),
+        F.when(F.col("most").isNull(), F.col("is_archived")).otherwise(1).alias("is_archived"), F.coalesce("category", F.lit("raw_log")).alias("category"),
     )
 
 

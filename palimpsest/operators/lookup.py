@@ -29,11 +29,17 @@ def list_memories(s: Store, term: str = "th", cap: int = 500) -> DataFrame:
     return rows.select("id", "path", F.coalesce("is_protected", F.lit(0)).alias("is_protected"), "confidence").orderBy(F.col("is_protected").desc(), F.col("confidence").desc_nulls_last(), F.col("id").desc()).limit(cap)
 
 
-@query("unified_events", "+ u AS (SELECT *, 'main' AS origin FROM ev WHERE id % 3 <> 0 UNION ALL SELECT *, 'core' FROM ev WHERE id % 2 = 0) SELECT id, event_type, memory_id, created_at, min(origin) AS origin FROM u GROUP BY id, event_type, memory_id, created_at")
+_EVENT_KEY = ["event_type", "session_id", "trace_id", "memory_id", "latency_ms", "candidate_count", "injected_count", "cited_count", "rank", "category", "source", "props", "created_at"]
+_TEXT_KEYS = ["session_id", "trace_id", "memory_id", "source", "props"]
+
+
+@query("unified_events", f"+ u AS (SELECT *, 'main' AS origin FROM ev WHERE id % 3 <> 0 UNION ALL SELECT *, 'core' FROM ev WHERE id % 2 = 0) SELECT id, event_type, session_id, trace_id, memory_id, latency_ms, created_at, origin FROM u QUALIFY row_number() OVER (PARTITION BY {', '.join(f"coalesce({c}, '')" if c in _TEXT_KEYS else c for c in _EVENT_KEY)} ORDER BY origin, id DESC) = 1")
 def unified_events(s: Store) -> DataFrame:
-    """Both event schemas as one; of an event in both the core row counts."""
+    """Both event schemas as one. Rows are the same event if all they say is the same, null and empty text alike; the core row counts, and the last one of a schema."""
     both = s.events.where("id % 3 <> 0").withColumn("origin", F.lit("main")).unionByName(s.events.where("id % 2 = 0").withColumn("origin", F.lit("core")))
-    return both.groupBy("id", "event_type", "memory_id", "created_at").agg(F.min("origin").alias("origin"))
+    key = [F.coalesce(c, F.lit("")).alias(f"key_{c}") if c in _TEXT_KEYS else F.col(c).alias(f"key_{c}") for c in _EVENT_KEY]
+    best = both.groupBy(*key).agg(F.max(F.struct((F.col("origin") == "core").alias("core"), "id", "event_type", "session_id", "trace_id", "memory_id", "latency_ms", "created_at", "origin")).alias("best"))
+    return best.select(*[f"best.{c}" for c in ("id", "event_type", "session_id", "trace_id", "memory_id", "latency_ms", "created_at", "origin")])
 
 
 @query("vector_validate", "SELECT vec_id, CASE WHEN vector IS NULL THEN 'not_an_array' WHEN len(vector) = 0 THEN 'empty' WHEN len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0 THEN 'not_finite' ELSE 'ok' END AS status, len(vector)::INT AS dim FROM vectors")
@@ -120,12 +126,17 @@ def orphan_confidence(s: Store) -> DataFrame:
     return s.confidence.join(s.chunks, F.col("id") == F.col("chunk_id"), "left_anti").select("chunk_id", "category")
 
 
-@query("orphan_diagnostics", "+ o AS (SELECT *, strftime(make_timestamp(last_confidence_update * 1000000), '%Y-%m') AS month FROM conf WHERE chunk_id NOT IN (SELECT id FROM chunks)) SELECT coalesce(month, 'none') AS month, count(*) AS orphans, count(*) FILTER (WHERE substr(chunk_id, 1, 16) IN (SELECT memory_id FROM ev)) AS seen_in_events, min(length(chunk_id))::INT AS shortest_id FROM o GROUP BY 1")
+@query("orphan_diagnostics", """+ o AS (SELECT *, strftime(make_timestamp(last_confidence_update * 1000000), '%Y-%m') AS month FROM conf WHERE chunk_id NOT IN (SELECT id FROM chunks))
+SELECT coalesce(month, 'none') AS month, length(chunk_id)::INT AS id_length, count(*) AS orphans, count(*) FILTER (WHERE substr(chunk_id, 1, 16) NOT IN (SELECT substr(id, 1, 16) FROM chunks)) AS truly_missing,
+    count(*) FILTER (WHERE substr(chunk_id, 1, 16) IN (SELECT substr(id, 1, 16) FROM chunks)) AS prefix_fake, count(*) FILTER (WHERE substr(chunk_id, 1, 16) IN (SELECT memory_id FROM ev)) AS seen_in_events FROM o GROUP BY 1, 2""")
 def orphan_diagnostics(s: Store) -> DataFrame:
+    """Sidecar rows without a chunk, by month and length of the id: truly missing, or fake where a chunk has the id's first 16 characters."""
     orphans = s.confidence.join(s.chunks, F.col("id") == F.col("chunk_id"), "left_anti").withColumn("memory_id", F.substring("chunk_id", 1, 16))
     seen = s.events.select("memory_id", F.lit(1).alias("seen")).distinct()
+    prefixes = s.chunks.select(F.substring("id", 1, 16).alias("memory_id"), F.lit(1).alias("fake")).distinct()
     month = F.coalesce(F.date_format(F.timestamp_seconds("last_confidence_update"), "yyyy-MM"), F.lit("none"))
-    return orphans.join(seen, "memory_id", "left").groupBy(month.alias("month")).agg(F.count(F.lit(1)).alias("orphans"), F.count("seen").alias("seen_in_events"), F.min(F.length("chunk_id")).alias("shortest_id"))
+    rows = orphans.join(seen, "memory_id", "left").join(prefixes, "memory_id", "left").groupBy(month.alias("month"), F.length("chunk_id").alias("id_length"))
+    return rows.agg(F.count(F.lit(1)).alias("orphans"), F.count_if(F.col("fake").isNull()).alias("truly_missing"), F.count("fake").alias("prefix_fake"), F.count("seen").alias("seen_in_events"))
 
 
 @query("orphan_cleanup_preview", f"SELECT count(*) FILTER (WHERE o) AS would_delete, count(*) AS rows, {rounded_sql('count(*) FILTER (WHERE o) / count(*)::DOUBLE', 6)} AS ratio FROM (SELECT chunk_id NOT IN (SELECT id FROM chunks) AS o FROM conf)")

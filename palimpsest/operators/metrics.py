@@ -91,13 +91,17 @@ def category_diversity(s: Store) -> DataFrame:
     return entropy_of(s.confidence.where("is_archived = 0").groupBy("category").agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("retrieval_diversity", f"""+ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(trace_id, 'event-' || id) ORDER BY rank NULLS LAST, id) AS r FROM ev WHERE event_type = 'memory_candidate_retrieved' AND {recent_sql(30)}) WHERE r <= 5),
-counts AS (SELECT 'category' AS kind, category AS key, count(*) AS n FROM top GROUP BY category UNION ALL SELECT 'source', source, count(*) FROM top GROUP BY source) """ + _entropy_sql("kind", "log2"))
-def retrieval_diversity(s: Store) -> DataFrame:
-    rows = recent(s.events, 30).where("event_type = 'memory_candidate_retrieved'")
-    order = W.partitionBy(F.coalesce("trace_id", F.concat(F.lit("event-"), F.col("id").cast("string")))).orderBy(F.col("rank").asc_nulls_last(), "id")
-    top = rows.withColumn("r", F.row_number().over(order)).where("r <= 5")
-    pairs = top.select(F.explode(F.create_map(F.lit("category"), "category", F.lit("source"), "source")).alias("kind", "key"))
+@query("retrieval_diversity", f"""+ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(trace_id, 'missing-trace:' || session_id || ':' || id) ORDER BY rank NULLS LAST, id) AS r FROM ev WHERE event_type = 'memory_candidate_retrieved' AND {recent_sql(30)}) WHERE r <= 10),
+pathed AS (SELECT top.*, coalesce(array_to_string(string_split(path, '/')[1:2], '/'), 'unknown') AS prefix FROM top LEFT JOIN (SELECT substr(id, 1, 16) AS of, path FROM chunks) ON of = memory_id),
+counts AS (SELECT 'category' AS kind, category AS key, count(*) AS n FROM pathed GROUP BY category UNION ALL SELECT 'source', source, count(*) FROM pathed GROUP BY source UNION ALL SELECT 'path_prefix', prefix, count(*) FROM pathed GROUP BY prefix) """ + _entropy_sql("kind", "log2"))
+def retrieval_diversity(s: Store, days: int = 30, top_n: int = 10) -> DataFrame:
+    """How categories, sources and path prefixes share the first `top_n` results of each recall; an event without a trace is a recall of its own."""
+    rows = recent(s.events, days).where("event_type = 'memory_candidate_retrieved'")
+    order = W.partitionBy(F.coalesce("trace_id", F.concat(F.lit("missing-trace:"), "session_id", F.lit(":"), F.col("id").cast("string")))).orderBy(F.col("rank").asc_nulls_last(), "id")
+    top = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top_n)
+    paths = s.chunks.select(F.substring("id", 1, 16).alias("memory_id"), F.substring_index("path", "/", 2).alias("prefix"))
+    top = top.join(paths, "memory_id", "left").withColumn("prefix", F.coalesce("prefix", F.lit("unknown")))
+    pairs = top.select(F.explode(F.create_map(F.lit("category"), "category", F.lit("source"), "source", F.lit("path_prefix"), "prefix")).alias("kind", "key"))
     return entropy_of(pairs.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")), "kind", log=F.log2)
 
 

@@ -101,9 +101,9 @@ def fts_or(s: Store) -> DataFrame:
     return top(full_text(s), 20, F.col("score").desc(), "id")
 
 
-@query("fts_strict", f"+ {SEARCHABLE_SQL}, {FULL_TEXT_SQL} {_top_sql('SELECT * FROM fts WHERE hits >= n_terms - 4', 20, 'score DESC, id')}")
-def fts_strict(s: Store, missing: int = 4) -> DataFrame:
-    """Texts that have all terms of a query but `missing`: with 0, conjunction."""
+@query("fts_strict", f"+ {SEARCHABLE_SQL}, {FULL_TEXT_SQL} {_top_sql('SELECT * FROM fts WHERE hits >= n_terms', 20, 'score DESC, id')}")
+def fts_strict(s: Store, missing: int = 0) -> DataFrame:
+    """Texts that have all terms of a query, or all but `missing`."""
     return top(full_text(s).where(F.col("hits") >= F.col("n_terms") - missing), 20, F.col("score").desc(), "id")
 
 

@@ -117,12 +117,21 @@ def shadow_loss(s: Store) -> DataFrame:
     return sums.withColumn("loss", rounded(F.col("dropped") / F.greatest("before", F.lit(1)), 3))
 
 
-@query("result_equivalence", "+ a AS (SELECT trace_id, string_agg(memory_id, ',' ORDER BY rank, id) AS ids FROM ev WHERE trace_id IS NOT NULL AND rank IS NOT NULL GROUP BY trace_id), b AS (SELECT trace_id, string_agg(memory_id, ',' ORDER BY id) AS ids FROM ev WHERE trace_id IS NOT NULL AND rank IS NOT NULL GROUP BY trace_id) SELECT count(*) AS traces, count(*) FILTER (WHERE a.ids = b.ids) AS same_order, count(*) FILTER (WHERE a.ids <> b.ids) AS other_order FROM a JOIN b USING (trace_id)")
-def result_equivalence(s: Store) -> DataFrame:
-    """Traces whose results come in the same order by rank and by arrival."""
-    rows = s.events.where("trace_id IS NOT NULL AND rank IS NOT NULL").groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "memory_id"))).alias("a"), F.sort_array(F.collect_list(F.struct("id", "memory_id"))).alias("b"))
-    same = F.concat_ws(",", "a.memory_id") == F.concat_ws(",", "b.memory_id")
-    return rows.agg(F.count(F.lit(1)).alias("traces"), F.count_if(same).alias("same_order"), F.count_if(~same).alias("other_order"))
+_ARMS_SQL = "r AS (SELECT trace_id, memory_id, rank, id, row_number() OVER (PARTITION BY trace_id ORDER BY rank, id) AS a, row_number() OVER (PARTITION BY trace_id ORDER BY id) AS b FROM ev WHERE trace_id IS NOT NULL AND rank IS NOT NULL), t AS (SELECT trace_id, string_agg(memory_id, ',' ORDER BY a) FILTER (WHERE a <= 5) AS ia, string_agg(memory_id, ',' ORDER BY b) FILTER (WHERE b <= 5) AS ib FROM r GROUP BY trace_id)"
+
+
+@query("result_equivalence", f"+ {_ARMS_SQL} SELECT count(*) AS traces, count(*) FILTER (WHERE ia = ib) AS same_order, count(*) FILTER (WHERE ia <> ib) AS other_order, (SELECT count(*) FROM (SELECT trace_id, memory_id FROM r WHERE a <= 5 EXCEPT ALL SELECT trace_id, memory_id FROM r WHERE b <= 5)) AS only_first, (SELECT count(*) FROM (SELECT trace_id, memory_id FROM r WHERE b <= 5 EXCEPT ALL SELECT trace_id, memory_id FROM r WHERE a <= 5)) AS only_second FROM t")
+def result_equivalence(s: Store, k: int = 5) -> DataFrame:
+    """Two arms, the first k results of a trace by rank and by arrival: traces with the same order, and the rows that one arm alone has."""
+    rows = s.events.where("trace_id IS NOT NULL AND rank IS NOT NULL").select("trace_id", "memory_id", "rank", "id")
+    of = W.partitionBy("trace_id")
+    rows = rows.withColumns({"a": F.row_number().over(of.orderBy("rank", "id")), "b": F.row_number().over(of.orderBy("id"))}).where((F.col("a") <= k) | (F.col("b") <= k))
+    in_order = lambda c: F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.when(F.col(c) <= k, F.struct(c, "memory_id")))), lambda x: x["memory_id"]))
+    orders = rows.groupBy("trace_id").agg(in_order("a").alias("ia"), in_order("b").alias("ib"))
+    same = F.col("ia") == F.col("ib")
+    first, second = (rows.where(F.col(c) <= k).select("trace_id", "memory_id") for c in ("a", "b"))
+    alone = first.exceptAll(second).agg(F.count(F.lit(1)).alias("only_first")).crossJoin(second.exceptAll(first).agg(F.count(F.lit(1)).alias("only_second")))  # one row each
+    return orders.agg(F.count(F.lit(1)).alias("traces"), F.count_if(same).alias("same_order"), F.count_if(~same).alias("other_order")).crossJoin(alone)
 
 
 @query("canary_bucket", "SELECT DISTINCT session_id, (('0x' || substr(sha256('recent-canary-shadow-v1:' || session_id), 1, 8))::BIGINT % 10000) AS bucket FROM ev WHERE session_id <> ''")
@@ -151,15 +160,16 @@ def labelled(s: Store) -> DataFrame:
 
 
 def confusion(rows: DataFrame, limit, *by: str) -> DataFrame:
-    """tp, fp, fn, tn, precision, recall of score >= limit for quality 1."""
+    """tp, fp, fn, tn, precision, recall, f1 of score >= limit for quality 1."""
     hit, good = F.col("score") >= limit, F.col("quality") == 1
     sums = rows.groupBy(*by).agg(F.count_if(hit & good).alias("tp"), F.count_if(hit & ~good).alias("fp"), F.count_if(~hit & good).alias("fn"), F.count_if(~hit & ~good).alias("tn"))
     part = lambda a, b: F.when(a + b > 0, rounded(a / (a + b))).otherwise(0.0)
-    return sums.withColumns({"precision": part(F.col("tp"), F.col("fp")), "recall": part(F.col("tp"), F.col("fn"))})
+    f1 = F.when(F.col("tp") > 0, rounded(2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")))).otherwise(0.0)
+    return sums.withColumns({"precision": part(F.col("tp"), F.col("fp")), "recall": part(F.col("tp"), F.col("fn")), "f1": f1})
 
 
 def _confusion_sql(limit: str) -> str:
-    return f"count(*) FILTER (WHERE score >= {limit} AND quality = 1) AS tp, count(*) FILTER (WHERE score >= {limit} AND quality <> 1) AS fp, count(*) FILTER (WHERE score < {limit} AND quality = 1) AS fn, count(*) FILTER (WHERE score < {limit} AND quality <> 1) AS tn, {rounded_sql(f'coalesce(count(*) FILTER (WHERE score >= {limit} AND quality = 1) / nullif(count(*) FILTER (WHERE score >= {limit}), 0)::DOUBLE, 0)')} AS precision, {rounded_sql(f'coalesce(count(*) FILTER (WHERE score >= {limit} AND quality = 1) / nullif(count(*) FILTER (WHERE quality = 1), 0)::DOUBLE, 0)')} AS recall"
+    return f"count(*) FILTER (WHERE score >= {limit} AND quality = 1) AS tp, count(*) FILTER (WHERE score >= {limit} AND quality <> 1) AS fp, count(*) FILTER (WHERE score < {limit} AND quality = 1) AS fn, count(*) FILTER (WHERE score < {limit} AND quality <> 1) AS tn, {rounded_sql(f'coalesce(count(*) FILTER (WHERE score >= {limit} AND quality = 1) / nullif(count(*) FILTER (WHERE score >= {limit}), 0)::DOUBLE, 0)')} AS precision, {rounded_sql(f'coalesce(count(*) FILTER (WHERE score >= {limit} AND quality = 1) / nullif(count(*) FILTER (WHERE quality = 1), 0)::DOUBLE, 0)')} AS recall, {rounded_sql(f'coalesce(2 * count(*) FILTER (WHERE score >= {limit} AND quality = 1) / nullif(count(*) FILTER (WHERE score >= {limit}) + count(*) FILTER (WHERE quality = 1), 0)::DOUBLE, 0)')} AS f1"
 
 
 @query("label_eval", f"+ {_LABELS_SQL} SELECT toxic, {_confusion_sql('0.5')} FROM j GROUP BY toxic")
@@ -173,10 +183,10 @@ def threshold_sweep(s: Store) -> DataFrame:
     return confusion(rows, F.col("k") / 10.0, "k")
 
 
-@query("label_summary", f"SELECT source, lang, count(*) AS n, {rounded_sql('count(*) FILTER (WHERE quality = 0) / count(*)::DOUBLE')} AS bad_rate, {rounded_sql('count(*) FILTER (WHERE toxic = 1) / count(*)::DOUBLE')} AS toxic_rate FROM documents JOIN labels USING (doc_id) GROUP BY source, lang")
+@query("label_summary", f"SELECT source, lang, count(*) AS n, {rounded_sql('count(*) FILTER (WHERE quality = 0) / count(*)::DOUBLE')} AS bad_rate, {rounded_sql('count(*) FILTER (WHERE toxic = 1) / count(*)::DOUBLE')} AS toxic_rate, {rounded_sql('count(*) FILTER (WHERE quality IS NULL) / count(*)::DOUBLE')} AS unsure_rate, count(*) FILTER (WHERE coalesce(quality, 0) NOT IN (0, 1) OR coalesce(toxic, 0) NOT IN (0, 1)) AS invalid FROM documents JOIN labels USING (doc_id) GROUP BY source, lang")
 def label_summary(s: Store) -> DataFrame:
     rate = lambda test: rounded(F.count_if(test) / F.count(F.lit(1)))
-    return s.table("documents").join(s.table("labels"), "doc_id").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), rate(F.col("quality") == 0).alias("bad_rate"), rate(F.col("toxic") == 1).alias("toxic_rate"))
+    return s.table("documents").join(s.table("labels"), "doc_id").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), rate(F.col("quality") == 0).alias("bad_rate"), rate(F.col("toxic") == 1).alias("toxic_rate"), rate(F.col("quality").isNull()).alias("unsure_rate"), F.count_if(~F.coalesce("quality", F.lit(0)).isin(0, 1) | ~F.coalesce("toxic", F.lit(0)).isin(0, 1)).alias("invalid"))
 
 
 @query("annotation_match", "+ lab AS (SELECT CASE WHEN doc_id % 2 = 0 THEN sha256(doc_id::VARCHAR) END AS sample_id, substr(sha256(doc_id::VARCHAR), 1, 16) AS memory_id, quality FROM labels) SELECT id, coalesce(a.quality, b.quality) AS quality, CASE WHEN a.quality IS NOT NULL THEN 'sample' WHEN b.quality IS NOT NULL THEN 'memory' ELSE 'none' END AS matched_by FROM chunks LEFT JOIN (SELECT sample_id, max(quality) AS quality FROM lab WHERE sample_id IS NOT NULL GROUP BY 1) a ON a.sample_id = id LEFT JOIN (SELECT memory_id, max(quality) AS quality FROM lab WHERE sample_id IS NULL GROUP BY 1) b ON b.memory_id = substr(id, 1, 16)")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,12 +32,21 @@ def first_in_turn(events: DataFrame, ttl: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["user_id", "event_type"])
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where tables and checkpoints of streams go: the folder that driver and executors share, or else the warehouse."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
 def run(df: DataFrame, mode: str) -> DataFrame:
-    """All that is there now, to the end, as a table."""
-    name = f"stream_{uuid.uuid4().hex}"
-    running = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    running.awaitTermination()
-    return df.sparkSession.table(name)
+    """All that is there now, to the end, as a Parquet table. A batch that runs again writes the same files again."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/table" if mode == "complete" else f"{folder}/table/batch={number}")
+
+    df.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{folder}/table")
 
 
 @query("stream_daily_counts", "SELECT created_at::DATE AS day, CASE event_type WHEN 'memory_candidate_retrieved' THEN 'view' WHEN 'memory_injected' THEN 'click' WHEN 'memory_cited' THEN 'purchase' WHEN 'recall_started' THEN 'signup' ELSE 'error' END AS event_type, count(*) AS n FROM ev GROUP BY 1, 2")
@@ -48,3 +57,9 @@ def stream_daily_counts(s: Store) -> DataFrame:
 @query("stream_sessions", "+ g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), k AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT user_id, floor(epoch(min(ts)))::BIGINT AS starts, count(*) AS n FROM k GROUP BY user_id, session")
 def stream_sessions(s: Store) -> DataFrame:
     return run(sessions(stream(s)), "complete")
+
+
+@query("stream_first_in_turn", "SELECT DISTINCT user_id, event_type FROM events")
+def stream_first_in_turn(s: Store) -> DataFrame:
+    """What a user's turn brings first; all that is there is one batch, so that no turn's time is over within it."""
+    return run(first_in_turn(stream(s)), "append").select("user_id", "event_type")
