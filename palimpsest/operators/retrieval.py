@@ -52,8 +52,8 @@ def matched(s: Store, rows: DataFrame, column: str) -> DataFrame:
     """
     words = rows.select("id", F.explode(F.array_distinct(tokens(column))).alias("word"))
     asked = s.terms.select("term").distinct()
-    holds = words.select("word").distinct().join(F.broadcast(asked), F.col("word").contains(F.col("term")))
-    hits = words.join(holds, "word").select("id", "term").distinct().join(F.broadcast(s.terms), "term")
+    holds = words.select("word").distinct().join(asked, F.col("word").contains(F.col("term")))
+    hits = words.join(holds, "word").select("id", "term").distinct().join(s.terms, "term")
     lex = hits.groupBy("query_id", "id").agg(rounded(F.count(F.lit(1)) / F.first("n_terms")).alias("lex"))
     return rows.join(lex, "id")
 
@@ -61,20 +61,18 @@ def matched(s: Store, rows: DataFrame, column: str) -> DataFrame:
 MATCHED_SQL = f"matched AS (SELECT s.*, q.query_id, {rounded_sql('len(list_filter(q.ts, lambda t: contains(lower(s.text), t))) / q.n_terms::DOUBLE')} AS lex FROM searchable s, qset q WHERE len(list_filter(q.ts, lambda t: contains(lower(s.text), t))) > 0)"
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """term, id, tf, and the length of the text."""
+def postings(chunks: DataFrame, asked: DataFrame) -> DataFrame:
+    """term, id, tf, and the length of the text, for the asked terms: other words go before anything is grouped."""
     words = chunks.select("id", tokens("text").alias("words")).withColumn("length", F.size("words"))
-    return words.select("id", "length", F.explode("words").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+    return words.select("id", "length", F.explode("words").alias("term")).join(asked, "term").groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
 def full_text(s: Store) -> DataFrame:
     """query_id, id, hits (terms of the query that the text has), n_terms, score: BM25."""
     rows = searchable(s).select("id", "text")
-    # Only postings of asked terms leave the scan; their frequencies are counted over all texts.
-    asked = s.terms.select("term").distinct()
-    own = postings(rows).join(F.broadcast(asked), "term")
+    own = postings(rows, s.terms.select("term").distinct())
     frequency = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    whole = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens("text"))).alias("mean"))
+    whole = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens("text"))).alias("mean"))  # one row
     found = own.join(s.terms, "term").join(frequency, "term").crossJoin(F.broadcast(whole))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
@@ -107,28 +105,42 @@ def fts_strict(s: Store, missing: int = 0) -> DataFrame:
     return top(full_text(s).where(F.col("hits") >= F.col("n_terms") - missing), 20, F.col("score").desc(), "id")
 
 
+def text_channels(s: Store, rows: DataFrame, no_text: DataFrame) -> DataFrame:
+    """query_id, id, channel, position, semantic of the channels like, recent and episode: texts are held against the terms once.
+
+    like has the newest matches of the queries of no_text; recent the newest matches of two families, by score; episode
+    those of them that are episodes.
+    """
+    newest, score = (F.col("updated_at").desc(), F.col("id")), (F.col("semantic").desc(), F.col("updated_at").desc(), F.col("id"))
+    family = F.col("path").startswith("memory/smart-add/") | F.col("path").startswith("memory/episodes/")
+    text = matched(s, rows.select("id", "path", "text", "updated_at"), "text").drop("text").withColumn("family", family)
+    text = text.join(no_text.withColumn("no_text", F.lit(True)), "query_id", "left").withColumn("no_text", F.coalesce("no_text", F.lit(False)))
+    # A row of another family is far enough down its own list to go, where full text has found something.
+    nth = F.row_number().over(W.partitionBy("query_id", "family").orderBy(*newest))
+    text = text.withColumn("nth", nth).where((F.col("family") & (F.col("nth") <= 120)) | (F.col("no_text") & (F.col("nth") <= 30)))
+    text = text.withColumns({"semantic": rounded(0.35 + F.col("lex") + recency(F.col("updated_at"), 0.06)), "own": F.col("family") & (F.col("nth") <= 120), "episode": F.col("path").startswith("memory/episodes/")})
+    places = {"like": W.partitionBy("query_id").orderBy(*newest), "recent": W.partitionBy("query_id", "own").orderBy(*score), "episode": W.partitionBy("query_id", "own", "episode").orderBy(*score)}
+    text = text.withColumns({f"at_{c}": F.row_number().over(w) for c, w in places.items()})
+    tests = {"like": (F.col("no_text") & (F.col("at_like") <= 30), 0.3 + F.col("lex")), "recent": (F.col("own"), F.col("semantic")), "episode": (F.col("own") & F.col("episode") & (F.col("at_episode") <= 20), F.col("semantic") + 0.08)}
+    each = [F.when(test, F.struct(F.lit(c).alias("channel"), F.col(f"at_{c}").cast("long").alias("position"), rounded(x).alias("semantic"))) for c, (test, x) in tests.items()]
+    return text.select("query_id", "id", F.explode(F.array_compact(F.array(*each))).alias("c")).select("query_id", "id", "c.*")
+
+
 def channel_rows(s: Store) -> DataFrame:
     """query_id, id, channel, position, semantic: all channels' candidates."""
     rows = searchable(s)
     newest = (F.col("updated_at").desc(), F.col("id"))
-    by_score = (F.col("semantic").desc(), *newest)
-    text = matched(s, rows.select("id", "path", "text", "updated_at"), "text").drop("text")
     kg = matched(s, rows.where("kg_data <> ''").select("id", "kg_data", "updated_at"), "kg_data").withColumn("semantic", rounded(0.45 + F.col("lex")))
     fts = fts_or(s).select("query_id", "id", "position", F.lit(0.5).alias("semantic"))
     near = nearest(s.vectors, probes(s), 30).join(rows.select("id"), "id").select("query_id", "id", "position", rounded(1 - F.col("distance")).alias("semantic"))
-    no_text = s.queries.select("query_id").join(fts, "query_id", "left_anti")
+    no_text = s.queries.select("query_id").distinct().join(fts, "query_id", "left_anti")
     family = F.col("path").startswith("memory/smart-add/") | F.col("path").startswith("memory/episodes/")
-    recent = top(text.where(family), 120, *newest).withColumn("semantic", rounded(0.35 + F.col("lex") + recency(F.col("updated_at"), 0.06)))
-    fallback = top(rows.where(family).select("id", "updated_at").crossJoin(F.broadcast(no_text)), 20, *newest)
-    parts = {
-        "kg": top(kg, 20, *by_score), "fts": fts, "vector": near, "like": top(text.join(no_text, "query_id", "left_semi"), 30, *newest).withColumn("semantic", rounded(0.3 + F.col("lex"))),
-        "recent": top(recent.drop("position"), 120, *by_score), "episode": top(recent.drop("position").where(F.col("path").startswith("memory/episodes/")).withColumn("semantic", rounded(F.col("semantic") + 0.08)), 20, *by_score),
-        "recent_fallback": fallback.withColumn("semantic", rounded(0.25 + recency(F.col("updated_at"), 0.06))),
-    }
-    out = None
-    for channel in CHANNELS:
-        part = parts[channel].select("query_id", "id", F.lit(channel).alias("channel"), F.col("position").cast("long").alias("position"), F.col("semantic").cast("double").alias("semantic"))
-        out = part if out is None else out.unionByName(part)
+    last = rows.where(family).select("id", "updated_at").orderBy(*newest).limit(20)
+    fallback = top(last.crossJoin(no_text), 20, *newest)  # 20 rows
+    parts = {"kg": top(kg, 20, F.col("semantic").desc(), *newest), "fts": fts, "vector": near, "recent_fallback": fallback.withColumn("semantic", rounded(0.25 + recency(F.col("updated_at"), 0.06)))}
+    out = text_channels(s, rows, no_text)
+    for channel, part in parts.items():
+        out = out.unionByName(part.select("query_id", "id", F.lit(channel).alias("channel"), F.col("position").cast("long").alias("position"), F.col("semantic").cast("double").alias("semantic")))
     return out
 
 
