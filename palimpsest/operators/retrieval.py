@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.registry import query
 from palimpsest.functions.scores import REALTIME_SQL, realtime_confidence, rounded, rounded_sql
 from palimpsest.operators.lookup import NEAREST_SQL, nearest, probes, with_sidecar
-from palimpsest.sources.model import NOW, WORD, Store
+from palimpsest.sources.model import BROAD, NOW, WORD, Store, terms_of
 
 K1, B = 1.2, 0.75
 RRF = 60
@@ -41,24 +41,32 @@ def searchable(s: Store) -> DataFrame:
 
 SEARCHABLE_SQL = f"""searchable AS (SELECT id, path, text, updated_at, category, kg_data, CASE WHEN c.chunk_id IS NOT NULL THEN {REALTIME_SQL} END AS confidence, c.chunk_id IS NULL AS external
     FROM chunks LEFT JOIN conf c ON id = c.chunk_id WHERE coalesce(is_archived, 0) = 0 AND NOT starts_with(path, 'memory/generated-smart-add/')),
-qset AS (SELECT query_id, list_distinct(words) AS ts, len(list_distinct(words)) AS n_terms FROM qwords)"""
+qset AS (SELECT query_id, words AS ts, len(words) AS n_terms, fragments FROM qwords)"""
 
 
-def matched(s: Store, rows: DataFrame, column: str) -> DataFrame:
-    """rows for each query with `lex`: the share of its terms that are substrings of column; rows without any go.
+def matched(s: Store, rows: DataFrame, column: str, terms: DataFrame | None = None) -> DataFrame:
+    """rows for each query with `lex`: the share of its terms that column has, and `share`, the same unrounded; rows without any go.
 
-    A term has no white space or signs, so it is part of a text if it is part of one of its words: each distinct word is
-    held against the terms once, whatever the number of texts that have it.
+    A term is a substring; one of digits alone has no digit next to it. It has no white space or signs, so it is part of a
+    text if it is part of one of its words: each distinct word is held against the terms once, whatever the number of texts
+    that have it.
     """
+    terms = s.terms if terms is None else terms
     words = rows.select("id", F.explode(F.array_distinct(tokens(column))).alias("word"))
-    asked = s.terms.select("term").distinct()
-    holds = words.select("word").distinct().join(asked, F.col("word").contains(F.col("term")))
-    hits = words.join(holds, "word").select("id", "term").distinct().join(s.terms, "term")
-    lex = hits.groupBy("query_id", "id").agg(rounded(F.count(F.lit(1)) / F.first("n_terms")).alias("lex"))
-    return rows.join(lex, "id")
+    asked = terms.select("term").distinct()
+    alone = ~F.col("term").rlike("^[0-9]+$") | F.regexp_like("word", F.concat(F.lit("(^|[^0-9])"), "term", F.lit("([^0-9]|$)")))
+    holds = words.select("word").distinct().join(asked, F.col("word").contains(F.col("term")) & alone)
+    hits = words.join(holds, "word").select("id", "term").distinct().join(terms, "term")
+    lex = hits.groupBy("query_id", "id").agg((F.count(F.lit(1)) / F.first("n_terms")).alias("share"))
+    return rows.join(lex.withColumn("lex", rounded(F.col("share"))), "id")
 
 
-MATCHED_SQL = f"matched AS (SELECT s.*, q.query_id, {rounded_sql('len(list_filter(q.ts, lambda t: contains(lower(s.text), t))) / q.n_terms::DOUBLE')} AS lex FROM searchable s, qset q WHERE len(list_filter(q.ts, lambda t: contains(lower(s.text), t))) > 0)"
+def hits_sql(text: str, terms: str = "q.ts") -> str:
+    """How many of the terms a lower-case text has."""
+    return f"len(list_filter({terms}, lambda t: contains({text}, t) AND (NOT regexp_full_match(t, '[0-9]+') OR regexp_matches({text}, '(^|[^0-9])' || t || '([^0-9]|$)'))))"
+
+
+MATCHED_SQL = f"matched AS (SELECT s.*, q.query_id, {rounded_sql(hits_sql('lower(s.text)') + ' / q.n_terms::DOUBLE')} AS lex FROM searchable s, qset q WHERE {hits_sql('lower(s.text)')} > 0)"
 
 
 def postings(chunks: DataFrame, asked: DataFrame) -> DataFrame:
@@ -147,11 +155,11 @@ def channel_rows(s: Store) -> DataFrame:
 _FAMILY = "(starts_with(path, 'memory/smart-add/') OR starts_with(path, 'memory/episodes/'))"
 _SCORE = "semantic DESC, updated_at DESC, id"
 _RECENT = f"SELECT * EXCLUDE (position), {rounded_sql(f'0.35::DOUBLE + lex + {recency_sql(0.06)}')} AS semantic FROM ({_top_sql(f'SELECT * FROM matched WHERE {_FAMILY}', 120, 'updated_at DESC, id')})"
-_KG_LEX = rounded_sql("len(list_filter(q.ts, lambda t: contains(lower(s.kg_data), t))) / q.n_terms::DOUBLE")
+_KG_LEX = rounded_sql(f"{hits_sql('lower(s.kg_data)')} / q.n_terms::DOUBLE")
 CHANNELS_SQL = f"""{SEARCHABLE_SQL}, {MATCHED_SQL}, {FULL_TEXT_SQL}, {NEAREST_SQL},
 ftop AS ({_top_sql('SELECT * FROM fts', 20, 'score DESC, id')}), no_text AS (SELECT query_id FROM qset WHERE query_id NOT IN (SELECT query_id FROM ftop)), rec AS ({_RECENT}),
 channels AS (
-    SELECT query_id, id, 'kg' AS channel, position, semantic FROM ({_top_sql(f"SELECT s.id, s.updated_at, q.query_id, {rounded_sql(f'0.45::DOUBLE + {_KG_LEX}')} AS semantic FROM searchable s, qset q WHERE s.kg_data <> '' AND len(list_filter(q.ts, lambda t: contains(lower(s.kg_data), t))) > 0", 20, _SCORE)})
+    SELECT query_id, id, 'kg' AS channel, position, semantic FROM ({_top_sql(f"SELECT s.id, s.updated_at, q.query_id, {rounded_sql(f'0.45::DOUBLE + {_KG_LEX}')} AS semantic FROM searchable s, qset q WHERE s.kg_data <> '' AND {hits_sql('lower(s.kg_data)')} > 0", 20, _SCORE)})
     UNION ALL SELECT query_id, id, 'fts', position, 0.5 FROM ftop
     UNION ALL SELECT query_id, id, 'vector', position, {rounded_sql('1 - distance')} FROM near WHERE id IN (SELECT id FROM searchable)
     UNION ALL SELECT query_id, id, 'like', position, {rounded_sql('0.3::DOUBLE + lex')} FROM ({_top_sql('SELECT * FROM matched WHERE query_id IN (SELECT query_id FROM no_text)', 30, 'updated_at DESC, id')})
@@ -228,40 +236,76 @@ def hybrid_breakdown(s: Store) -> DataFrame:
     return channel_rows(s).groupBy("query_id", "channel").agg(F.count(F.lit(1)).alias("n"))
 
 
-_ENRICH_SQL = f"""{SEARCHABLE_SQL}, {MATCHED_SQL}, lexical AS (SELECT *, {rounded_sql('0.55::DOUBLE * lex + 0.15::DOUBLE * structured')} AS signal FROM (
-    SELECT m.query_id, m.id, m.lex, m.updated_at, {rounded_sql("least(0.4::DOUBLE, list_sum([0::DOUBLE] || [(CASE WHEN contains(coalesce(m.category, ''), t) THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN contains(split_part(m.path, '/', -1), t) THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN contains(split_part(m.path, '/', -2), t) THEN 0.06::DOUBLE ELSE 0 END + CASE WHEN contains(m.path, t) THEN 0.04::DOUBLE ELSE 0 END) FOR t IN q.ts]))")} AS structured
-    FROM matched m JOIN qset q USING (query_id)))"""
+#: Hundredths for a term and for a fragment that a row's category, file, module and path have; 40 at most.
+WEIGHTS = {"category": (8, 10), "file": (8, 10), "module": (6, 8), "path": (4, 6)}
+_PLACES_SQL = {"category": "lower(coalesce(category, ''))", "file": "split_part(lower(path), '/', -1)", "module": "split_part(lower(path), '/', -2)", "path": "lower(path)"}
+_BONUS_SQL = " + ".join(f"{w} * len(list_filter({items}, lambda t: contains({_PLACES_SQL[place]}, t)))" for k, items in enumerate(("ts", "fragments")) for place, w in ((p, v[k]) for p, v in WEIGHTS.items()))
+_EXACT_SQL = "least(36, 12 * len(list_filter({}, lambda f: contains(haystack, f)))) / 100.0::DOUBLE"
+_ENRICH_SQL = f"""{SEARCHABLE_SQL}, hay AS (SELECT *, lower(path || chr(10) || coalesce(text, '') || chr(10) || coalesce(category, '')) AS haystack FROM searchable),
+held AS (SELECT h.*, q.query_id, q.ts, q.fragments, {rounded_sql(hits_sql('h.haystack') + ' / q.n_terms::DOUBLE')} AS lex FROM hay h, qset q WHERE {hits_sql('h.haystack')} > 0),
+lexical AS (SELECT *, {rounded_sql('0.55::DOUBLE * lex + least(1, exact / 0.36::DOUBLE) * 0.2::DOUBLE + least(1, structured / 0.4::DOUBLE) * 0.15::DOUBLE + least(1, 0.3::DOUBLE + lex) * 0.1::DOUBLE')} AS signal FROM (
+    SELECT query_id, id, lex, updated_at, {_EXACT_SQL.format('fragments')} AS exact, least(40, {_BONUS_SQL}) / 100.0::DOUBLE AS structured FROM held))"""
+
+
+def exact_bonus(fragments: Column) -> Column:
+    """12 hundredths for each fragment that the row's haystack has, 36 at most."""
+    return F.least(F.lit(36), 12 * F.size(F.filter(fragments, lambda f: F.col("haystack").contains(f)))) / 100.0
 
 
 def lexical(s: Store) -> DataFrame:
-    """query_id, id, lex, structured (terms in category, file, module and path), signal."""
-    rows = matched(s, searchable(s).select("id", "path", "text", "updated_at", "category"), "text").join(s.queries.select("query_id", F.array_distinct("words").alias("ts")), "query_id")
-    part = lambda c, t, w: F.when(c.contains(t), w).otherwise(0.0)
-    parts = F.split("path", "/")
-    each = lambda a, t: a + part(F.coalesce("category", F.lit("")), t, 0.08) + part(F.element_at(parts, -1), t, 0.08) + part(F.element_at(parts, -2), t, 0.06) + part(F.col("path"), t, 0.04)
-    rows = rows.withColumn("structured", rounded(F.least(F.lit(0.4), F.aggregate("ts", F.lit(0.0), each))))
-    return rows.select("query_id", "id", "lex", "updated_at", "structured", rounded(0.55 * F.col("lex") + 0.15 * F.col("structured")).alias("signal"))
+    """query_id, id, lex, exact, structured, signal of the rows whose path, text or category has a term of the query.
+
+    structured: terms and fragments in category, file, module and path. The semantic share is that of the substring channel.
+    """
+    rows = searchable(s).select("id", "path", "updated_at", "category", F.lower(F.concat_ws("\n", "path", F.coalesce("text", F.lit("")), F.coalesce("category", F.lit("")))).alias("haystack"))
+    rows = matched(s, rows, "haystack").join(s.queries, "query_id")
+    parts = F.split(F.lower("path"), "/")
+    places = {"category": F.lower(F.coalesce("category", F.lit(""))), "file": F.element_at(parts, -1), "module": F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise(""), "path": F.lower("path")}
+    count_in = lambda items, c: F.size(F.filter(items, lambda t: c.contains(t)))
+    bonus = F.lit(0)
+    for k, items in enumerate(("words", "fragments")):
+        for place, c in places.items():
+            bonus = bonus + WEIGHTS[place][k] * count_in(items, c)
+    rows = rows.select("query_id", "id", "lex", "updated_at", exact_bonus(F.col("fragments")).alias("exact"), (F.least(F.lit(40), bonus) / 100.0).alias("structured"))
+    one = lambda x: F.least(F.lit(1.0), x)
+    signal = 0.55 * F.col("lex") + one(F.col("exact") / 0.36) * 0.2 + one(F.col("structured") / 0.4) * 0.15 + one(0.3 + F.col("lex")) * 0.1
+    return rows.withColumn("signal", rounded(signal))
 
 
-@query("lexical_enrich", f"+ {_ENRICH_SQL} SELECT query_id, id, lex, structured, signal FROM ({_top_sql('SELECT * FROM lexical', 20, 'signal DESC, updated_at DESC, id')})")
+@query("lexical_enrich", f"+ {_ENRICH_SQL} SELECT query_id, id, lex, exact, structured, signal FROM ({_top_sql('SELECT * FROM lexical', 20, 'signal DESC, updated_at DESC, id')})")
 def lexical_enrich(s: Store) -> DataFrame:
-    return top(lexical(s), 20, F.col("signal").desc(), F.col("updated_at").desc(), "id").select("query_id", "id", "lex", "structured", "signal")
+    return top(lexical(s), 20, F.col("signal").desc(), F.col("updated_at").desc(), "id").select("query_id", "id", "lex", "exact", "structured", "signal")
 
 
-@query("lexical_confidence", f"+ {_ENRICH_SQL} SELECT query_id, n, {rounded_sql('least(1, n / 3.0::DOUBLE) * 0.15::DOUBLE + least(1, signal / 1.2::DOUBLE) * 0.15::DOUBLE + lex * 0.25::DOUBLE + least(1, structured / 0.4::DOUBLE) * 0.2::DOUBLE + 0.05::DOUBLE')} AS confidence FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, row_number() OVER (PARTITION BY query_id ORDER BY signal DESC, updated_at DESC, id) AS r FROM lexical) WHERE r = 1")
+@query("lexical_confidence", f"+ {_ENRICH_SQL} SELECT query_id, n, {rounded_sql('least(1, n / 3.0::DOUBLE) * 0.15::DOUBLE + least(1, signal / 1.2::DOUBLE) * 0.15::DOUBLE + lex * 0.25::DOUBLE + least(1, exact / 0.36::DOUBLE) * 0.15::DOUBLE + least(1, structured / 0.4::DOUBLE) * 0.2::DOUBLE + 0.05::DOUBLE')} AS confidence FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, row_number() OVER (PARTITION BY query_id ORDER BY signal DESC, updated_at DESC, id) AS r FROM lexical) WHERE r = 1")
 def lexical_confidence(s: Store) -> DataFrame:
-    """How far the best lexical row can be trusted without vectors."""
+    """How far the best lexical row can be trusted without vectors; it has the support of one channel, which is worth 0.05."""
     rows = lexical(s)
     first = top(rows, 1, F.col("signal").desc(), F.col("updated_at").desc(), "id").drop("position")
     counts = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     one = lambda x: F.least(F.lit(1.0), x)
-    total = one(F.col("n") / 3.0) * 0.15 + one(F.col("signal") / 1.2) * 0.15 + F.col("lex") * 0.25 + one(F.col("structured") / 0.4) * 0.2 + 0.05
+    total = one(F.col("n") / 3.0) * 0.15 + one(F.col("signal") / 1.2) * 0.15 + F.col("lex") * 0.25 + one(F.col("exact") / 0.36) * 0.15 + one(F.col("structured") / 0.4) * 0.2 + 0.05
     return first.join(counts, "query_id").select("query_id", "n", rounded(total).alias("confidence"))
 
 
-@query("fts_fallback_rank", f"""+ {SEARCHABLE_SQL}, {MATCHED_SQL}, scored AS (SELECT query_id, id, {rounded_sql(f"1.6::DOUBLE * lex + CASE WHEN starts_with(path, 'memory/smart-add/') THEN 0.18::DOUBLE ELSE 0 END + CASE WHEN starts_with(path, 'memory/episodes/') OR category = 'episodic' THEN 0.12::DOUBLE ELSE 0 END + {recency_sql(0.08)}")} AS score FROM matched)
-{_top_sql('SELECT * FROM scored', 20, 'score DESC, id')}""")
+_CHECKPOINT = r"session\s*checkpoint|session[_ -]?key|session[_ -]?id"
+_CHECKPOINT_PATH = r"(?i)session[-_]?checkpoint"
+_BROAD_SQL = "('" + "', '".join(BROAD) + "')"
+_FALLBACK_SQL = f"""{SEARCHABLE_SQL}, told AS (SELECT query_id, list_filter(ts, lambda t: t NOT IN {_BROAD_SQL}) AS ts, list_filter(fragments, lambda f: f NOT IN {_BROAD_SQL}) AS fragments FROM qset),
+hay AS (SELECT *, lower(path || chr(10) || coalesce(text, '')) AS haystack FROM searchable), held AS (SELECT h.*, q.query_id, q.fragments, {hits_sql('h.haystack')} / len(q.ts)::DOUBLE AS share FROM hay h, told q WHERE {hits_sql('h.haystack')} > 0),
+boosts AS (SELECT query_id, id, updated_at, share, {_EXACT_SQL.format('fragments')} AS exact, CASE WHEN starts_with(path, 'memory/smart-add/') THEN 0.18::DOUBLE ELSE 0 END + CASE WHEN starts_with(path, 'memory/episodes/') OR category = 'episodic' THEN 0.12::DOUBLE ELSE 0 END
+    + CASE WHEN regexp_matches(lower(coalesce(text, '')), '{_CHECKPOINT}') OR regexp_matches(path, '{_CHECKPOINT_PATH}') THEN 0.08::DOUBLE ELSE 0 END AS boost FROM held)"""
+
+
+@query("fts_fallback_rank", f"+ {_FALLBACK_SQL} {_top_sql(f"SELECT query_id, id, {rounded_sql(f'1.6::DOUBLE * share + exact + boost + {recency_sql(0.08)}')} AS score FROM boosts", 20, 'score DESC, id')}")
 def fts_fallback_rank(s: Store) -> DataFrame:
-    rows = matched(s, searchable(s).select("id", "path", "text", "updated_at", "category"), "text")
+    """Rows whose path or text has a term of the query; broad words say nothing, as terms and as fragments."""
+    told = s.queries.select("query_id", *[F.filter(c, lambda t: ~t.isin(BROAD)).alias(c) for c in ("words", "fragments")])
+    text = F.lower(F.coalesce("text", F.lit("")))
+    checkpoint = text.rlike(_CHECKPOINT) | F.col("path").rlike(_CHECKPOINT_PATH)
+    rows = searchable(s).select("id", "path", "updated_at", "category", checkpoint.alias("checkpoint"), F.lower(F.concat_ws("\n", "path", F.coalesce("text", F.lit("")))).alias("haystack"))
+    rows = matched(s, rows, "haystack", terms_of(told)).join(told, "query_id")
     boost = F.when(F.col("path").startswith("memory/smart-add/"), 0.18).otherwise(0.0) + F.when(F.col("path").startswith("memory/episodes/") | (F.coalesce("category", F.lit("")) == "episodic"), 0.12).otherwise(0.0)
-    return top(rows.select("query_id", "id", rounded(1.6 * F.col("lex") + boost + recency(F.col("updated_at"), 0.08)).alias("score")), 20, F.col("score").desc(), "id")
+    boost = boost + F.when(F.col("checkpoint"), 0.08).otherwise(0.0)
+    score = 1.6 * F.col("share") + exact_bonus(F.col("fragments")) + boost + recency(F.col("updated_at"), 0.08)
+    return top(rows.select("query_id", "id", rounded(score).alias("score")), 20, F.col("score").desc(), "id")
