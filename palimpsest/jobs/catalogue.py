@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from palimpsest.functions.registry import REGISTERED
 from palimpsest.sources.model import MODEL_SQL, Store
 
-MODULES = ["operators.lookup", "operators.metrics", "operators.retrieval", "operators.quality", "operators.lifecycle", "operators.telemetry", "operators.checkpoint", "operators.text", "streaming.turns"]
+MODULES = ["operators.lookup", "operators.metrics", "operators.retrieval", "operators.quality", "operators.lifecycle", "operators.telemetry", "operators.checkpoint", "operators.text", "operators.intent", "streaming.turns"]
 
 
 def _load() -> None:

@@ -32,8 +32,8 @@ def category_of(number) -> F.Column:
 
 
 def java(pattern: str) -> str:
-    """A pattern as Spark writes it."""
-    return pattern.replace(r"\p{Han}", r"\p{IsHan}")
+    """A pattern as Spark writes it; a word's bounds are those of letters, digits and signs of ASCII."""
+    return pattern.replace(r"\p{Han}", r"\p{IsHan}").replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
 
 
 def query_terms(raw: F.Column, most: int) -> F.Column:
