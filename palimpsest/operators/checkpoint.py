@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.registry import query
 from palimpsest.functions.scores import PLAIN_SQL, plain, rounded, rounded_sql
-from palimpsest.sources.model import NOW, Store
+from palimpsest.sources.model import NOW, Store, java
 
 ZONE = "Asia/Shanghai"
 # Characters that a day's logs may take, in all, by kind, and by session.
@@ -74,11 +74,95 @@ def checkpoint_completeness(s: Store) -> DataFrame:
     return days.join(sums, "day", "left").select("day", none("n"), none("filled"), none("turns"), status.alias("status"))
 
 
-@query("tool_summaries", f"+ {LOGS_SQL} SELECT source, count(*) AS n, sum(len(regexp_extract_all(lower(body), '[0-9]+')))::BIGINT AS numbers, count(*) FILTER (WHERE regexp_matches(lower(body), '(pass|fail|error)')) AS results, {rounded_sql('avg(length(body))', 2)} AS mean_chars FROM logs GROUP BY source")
+EDGES = r"^\s+|\s+$"
+# What a tool's output is known by, and what is read from it.
+TEST_RUN, GIT_RUN, DOCTOR_RUN = r"\b(test|jest|mocha|tap|vitest)\b", r"\bgit\b", r"\b(doctor|status|healthcheck|health check)\b"
+PASSED, FAILED, DURATION = r"(?i)#\s*pass\s+(\d+)", r"(?i)#\s*fail\s+(\d+)", r"(?i)duration_ms(?:[:=]|\s)\s*([0-9.]+)"
+PASS_LINE, FAIL_LINE = r"(?im)^(ok\s+\d+\s+-|pass\b)", r"(?im)^(not ok\s+\d+\s+-|fail\b)"
+SKIPPED, TODO = r"(?i)\bskipped\b", r"(?i)\btodo\b"
+BRANCHES = [r"(?m)^\*\s+([^\s]+)", r"(?i)\bon branch\s+([^\s]+)", r"[A-Za-z0-9_]##\s+([^\s.]+)"]
+COMMITS = [r"(?i)\bcommit\s+([0-9a-f]{7,40})\b", r"(?i)\b([0-9a-f]{7,40})\s+-\s+"]
+MODIFIED, UNTRACKED = [r"(?m)^\s*[AMDRC?]{1,2}\s+", r"(?i)\bmodified:\s+"], [r"(?i)\buntracked files?:", r"(?m)^\?\?\s+"]
+AHEAD = [r"(?i)\bahead (\d+).+behind \d+", r"(?i)\[(ahead \d+[^\]]*)\]"]
+WARNING, ERROR, HIGHLIGHT = r"(?i)\bwarning\b|⚠️|warn:", r"(?i)\berror\b|❌|fail(ed)?:", r"(?i)\bwarning\b|⚠️|warn:|error|❌"
+STATS, DRY_RUN = r"\[checkpoint\]\s+Input stats\s+(\{.+\})", r"\[checkpoint\]\s+Dry run summary\s+(\{.+\})"
+
+
+def tool_results(s: Store) -> DataFrame:
+    """conv_id, turn, tool, command, output: assistants' turns as outputs of tools, a kind by turn."""
+    kind, text, key = (F.col("conv_id") + F.col("turn")) % 6, F.coalesce("text", F.lit("")), F.col("conv_id").cast("string")
+    output = (
+        F.when(kind == 0, F.concat(F.lit("ok 1 - a\nnot ok 2 - b\nok 3 - c skipped\nduration_ms: 12.5\n"), text)).when(kind == 1, F.concat(F.lit("# pass "), key, F.lit("\n# fail 0\nTODO "), text))
+        .when(kind == 2, F.concat(F.lit("On branch main\n M a.py\n?? b\ncommit "), F.substring(F.sha2(key, 256), 1, 40), F.lit("\n[ahead 2]\n"))).when(kind == 3, F.concat(F.lit("Warning:  low disk\nno error here\nwarn: x\n"), text))
+        .when(kind == 4, F.concat(F.lit('[checkpoint] Input stats {"targetDate":"2024-01-01","budgetApplied":true,"droppedByBudgetCount":2,"finalCombinedTextCharCount":'), key, F.lit('}\n[checkpoint] Dry run summary {"rawCount":3}')))
+        .otherwise(text)
+    )
+    of = lambda names: F.element_at(F.array(*[F.lit(x) for x in names]), (kind + 1).cast("int"))
+    return s.table("conversations").where("role = 'assistant'").select("conv_id", "turn", of(["exec", "exec", "exec", "doctor", "exec", "read"]).alias("tool"), of(["npm test", "node --test", "git log", "", "run", ""]).alias("command"), output.alias("output"))
+
+
+_TOOLS_SQL = """tools AS (SELECT conv_id, turn, (['exec', 'exec', 'exec', 'doctor', 'exec', 'read'])[k + 1] AS tool, (['npm test', 'node --test', 'git log', '', 'run', ''])[k + 1] AS command, replace(CASE k WHEN 0 THEN 'ok 1 - a~not ok 2 - b~ok 3 - c skipped~duration_ms: 12.5~'
+    WHEN 1 THEN '# pass ' || conv_id || '~# fail 0~TODO ' WHEN 2 THEN 'On branch main~ M a.py~?? b~commit ' || substr(sha256(conv_id::VARCHAR), 1, 40) || '~[ahead 2]~' WHEN 3 THEN 'Warning:  low disk~no error here~warn: x~'
+    WHEN 4 THEN '[checkpoint] Input stats {"targetDate":"2024-01-01","budgetApplied":true,"droppedByBudgetCount":2,"finalCombinedTextCharCount":' || conv_id || '}~[checkpoint] Dry run summary {"rawCount":3}' ELSE '' END, '~', chr(10))
+    || CASE WHEN k IN (0, 1, 3, 5) THEN coalesce(text, '') ELSE '' END AS output FROM (SELECT *, ((conv_id + turn) % 6)::INT AS k FROM conversations WHERE role = 'assistant'))"""
+
+
+def found_first(text, patterns: list[str]):
+    """The first group of the first pattern that is there, else null."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(text, java(p), 1), F.lit("")) for p in patterns])
+
+
+def counted_first(text, patterns: list[str]):
+    """How often the first pattern is there that is there at all."""
+    return F.coalesce(*[F.nullif(F.regexp_count(text, F.lit(java(p))), F.lit(0)) for p in patterns], F.lit(0))
+
+
+def tool_summary(tool, command, output):
+    """What a tool's output comes to: a dry run's figures, results of tests, the state of a git tree, findings of a doctor; null for others and for empty outputs."""
+    count = lambda name, n: F.when(n > 0, F.concat(F.lit(f"{name}="), n.cast("string")))
+    given = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}="), value))
+    listed = lambda kind, *parts: F.concat(F.lit(f"Tool summary: {kind}"), F.concat_ws(", ", *parts))
+    has = lambda text, pattern: F.lower(text).rlike(java(pattern))
+    stats, dry = F.regexp_extract(output, STATS, 1), F.regexp_extract(output, DRY_RUN, 1)
+    of = lambda key: F.get_json_object(stats, f"$.{key}")
+    dry_of = lambda key: F.get_json_object(dry, f"$.{key}")
+    rehearsal = F.nullif(listed(
+        "checkpoint dry-run ", given("targetDate", F.coalesce(dry_of("targetDate"), of("targetDate"))), given("rawCount", dry_of("rawCount")),
+        given("combinedChars", F.coalesce(F.nullif(dry_of("combinedTextCharCount"), F.lit("0")), of("finalCombinedTextCharCount"))), given("budgetApplied", of("budgetApplied")), given("droppedByBudget", of("droppedByBudgetCount")),
+    ), F.lit("Tool summary: checkpoint dry-run "))
+    passed = F.coalesce(found_first(output, [PASSED]).cast("int"), F.regexp_count(output, F.lit(java(PASS_LINE))))
+    failed = F.coalesce(found_first(output, [FAILED]).cast("int"), F.regexp_count(output, F.lit(java(FAIL_LINE))))
+    tests = listed("tests ", F.concat(F.lit("pass="), passed.cast("string")), count("fail", failed), count("skipped", counted_first(output, [SKIPPED])), count("todo", counted_first(output, [TODO])), given("duration_ms", found_first(output, [DURATION])))
+    tree = listed("git ", given("branch", found_first(output, BRANCHES)), given("commit", F.substring(found_first(output, COMMITS), 1, 12)), count("modified", counted_first(output, MODIFIED)), count("untracked", counted_first(output, UNTRACKED)), given("status", found_first(output, AHEAD)))
+    shown = F.slice(F.filter(F.transform(F.split(output, "\n"), lambda x: F.regexp_replace(x, EDGES, "")), lambda x: x.rlike(java(HIGHLIGHT))), 1, 2)
+    lines = F.transform(shown, lambda x: F.substring(F.regexp_replace(x, r"\s+", " "), 1, 120))
+    findings = listed("doctor ", *[F.concat(F.lit(f"{n}="), F.regexp_count(output, F.lit(java(p))).cast("string")) for n, p in (("warnings", WARNING), ("errors", ERROR))], F.when(F.size(lines) > 0, F.concat(F.lit("highlights="), F.array_join(lines, " | "))))
+    said, asked = F.concat_ws(" ", tool, command, output), F.concat_ws(" ", tool, command)
+    tree = F.when(tree == "Tool summary: git ", "Tool summary: git command ran").otherwise(tree)
+    return F.when(F.regexp_replace(output, EDGES, "") != "", F.coalesce(rehearsal, F.when(has(said, TEST_RUN), tests), F.when(has(asked, GIT_RUN), tree), F.when(has(said, DOCTOR_RUN), findings)))
+
+
+def _first_sql(patterns: list[str]) -> str:
+    return "coalesce(" + ", ".join(f"nullif(regexp_extract(output, '{p}', 1), '')" for p in patterns) + ")"
+
+
+def _count_sql(patterns: list[str]) -> str:
+    return "coalesce(" + ", ".join(f"nullif(len(regexp_extract_all(output, '{p}')), 0)" for p in patterns) + ", 0)"
+
+
+_FIGURES_SQL = f"""figures AS (SELECT *, nullif(regexp_extract(output, '{STATS}', 1), '') AS stats, nullif(regexp_extract(output, '{DRY_RUN}', 1), '') AS dry, coalesce({_first_sql([PASSED])}::INT, {_count_sql([PASS_LINE])}) AS passed, coalesce({_first_sql([FAILED])}::INT, {_count_sql([FAIL_LINE])}) AS failed, {_count_sql([SKIPPED])} AS skipped,
+    {_count_sql([TODO])} AS todo, {_first_sql([DURATION])} AS took, {_first_sql(BRANCHES)} AS branch, {_first_sql(COMMITS)} AS sha, {_count_sql(MODIFIED)} AS modified, {_count_sql(UNTRACKED)} AS untracked, {_first_sql(AHEAD)} AS ahead, {_count_sql([WARNING])} AS warnings, {_count_sql([ERROR])} AS errors,
+    list_filter(list_transform(string_split(output, chr(10)), lambda x: regexp_replace(x, '{{edges}}', '', 'g')), lambda x: regexp_matches(x, '{HIGHLIGHT}'))[1:2] AS shown, lower(concat_ws(' ', tool, command)) AS asked, lower(concat_ws(' ', tool, command, output)) AS said FROM tools)"""
+_SUMMARY_SQL = f"""CASE WHEN regexp_replace(output, '{{edges}}', '', 'g') = '' THEN NULL WHEN json_valid(stats) OR json_valid(dry) THEN 'Tool summary: checkpoint dry-run ' || concat_ws(', ', 'targetDate=' || coalesce(json_extract_string(dry, '$.targetDate'), json_extract_string(stats, '$.targetDate')), 'rawCount=' || json_extract_string(dry, '$.rawCount'),
+    'combinedChars=' || coalesce(nullif(json_extract_string(dry, '$.combinedTextCharCount'), '0'), json_extract_string(stats, '$.finalCombinedTextCharCount')), 'budgetApplied=' || json_extract_string(stats, '$.budgetApplied'), 'droppedByBudget=' || json_extract_string(stats, '$.droppedByBudgetCount'))
+    WHEN regexp_matches(said, '{TEST_RUN}') THEN 'Tool summary: tests ' || concat_ws(', ', 'pass=' || passed, CASE WHEN failed > 0 THEN 'fail=' || failed END, CASE WHEN skipped > 0 THEN 'skipped=' || skipped END, CASE WHEN todo > 0 THEN 'todo=' || todo END, 'duration_ms=' || took)
+    WHEN regexp_matches(asked, '{GIT_RUN}') THEN 'Tool summary: git ' || coalesce(nullif(concat_ws(', ', 'branch=' || branch, 'commit=' || substr(sha, 1, 12), CASE WHEN modified > 0 THEN 'modified=' || modified END, CASE WHEN untracked > 0 THEN 'untracked=' || untracked END, 'status=' || ahead), ''), 'command ran')
+    WHEN regexp_matches(said, '{DOCTOR_RUN}') THEN 'Tool summary: doctor ' || concat_ws(', ', 'warnings=' || warnings, 'errors=' || errors, CASE WHEN len(shown) > 0 THEN 'highlights=' || array_to_string(list_transform(shown, lambda x: substr(regexp_replace(x, '\\s+', ' ', 'g'), 1, 120)), ' | ') END) END"""
+
+
+@query("tool_summaries", f"+ {_TOOLS_SQL}, {_FIGURES_SQL} SELECT conv_id, turn, {_SUMMARY_SQL} AS summary FROM figures".replace("{edges}", EDGES))
 def tool_summaries(s: Store) -> DataFrame:
-    """Figures of what tool outputs a log has."""
-    low = F.lower("body")
-    return logs(s).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.regexp_count(low, F.lit("[0-9]+"))).cast("long").alias("numbers"), F.count_if(low.rlike("(pass|fail|error)")).alias("results"), rounded(F.avg(F.length("body")), 2).alias("mean_chars"))
+    return tool_results(s).select("conv_id", "turn", tool_summary(F.col("tool"), F.col("command"), F.col("output")).alias("summary"))
 
 
 def capped(rows: DataFrame, limit, *by: str) -> DataFrame:
@@ -110,7 +194,6 @@ def checkpoint_budget(s: Store) -> DataFrame:
 FINGERPRINT_LINE = r"(?im)^[ \t]*<!--[ \t]*smart-add-fingerprint:[ \t]*[a-f0-9]{8,64}[ \t]*-->[ \t]*(\n|$)"
 META_LINE = r"(?im)^[ \t]*((category|provenance|kg_data):|##)[^\n]*(\n|$)"
 CATEGORY_LINE, PROVENANCE_LINE = r"(?im)^[ \t]*category:[ \t]*([^|\n]*)", r"(?im)^[ \t]*provenance:[ \t]*([^\n]*)"
-EDGES = r"^\s+|\s+$"
 _FILES_SQL = r"""files AS (SELECT doc_id, 'Head of a file' || chr(13) || chr(10) || '<!-- smart-add-fingerprint: ' || substr(id, 1, 16) || ' -->' || chr(10) || '## ' || substr(id, 1, 8) || chr(10) || 'Category: ' || coalesce(category, '') || ' | x' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'Provenance: User' || chr(13) || chr(10) ELSE '' END || coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '## ' || substr(id, 9, 8) || chr(10) || 'kg_data: {}' || chr(10) || 'second' || chr(10) || '## empty' || chr(10) ELSE '' END AS text FROM chunks LEFT JOIN conf ON id = chunk_id WHERE starts_with(path, 'memory/smart-add/'))"""
 
 

@@ -249,23 +249,51 @@ def near_duplicates(s: Store, least: float = 0.6) -> DataFrame:
     return both.where(F.col("common") > least * F.col("all")).select("id_a", "id_b", rounded(F.col("common") / F.col("all"), 3).alias("similarity"))
 
 
-_KEY_SQL = "regexp_extract(lower(text), '^\\s*([\\p{L}\\p{N}_/-]+)', 1)"
+# How a setting is written: marked as one, at the start of a text, or anywhere as key = value, with its source in brackets.
+MARKED_KEY, LEADING_KEY = r"配置[：:]\s*(\S[^=\n]*?)\s*[=:]\s*\S", r"^\s*(\S[A-Za-z0-9_/-]+)\s*[=:]\s*\S"
+SETTING, SETTING_SOURCE = r"([A-Za-z0-9_.-]+)\s*=\s*([^\n,}]+)", r"（来源：[^）]*）|\(Source:[^)]*\)"
 
 
-@query("config_conflicts", f"+ k AS (SELECT chunk_id, {_KEY_SQL} AS key, coalesce(last_confidence_update, 0) AS set_at, conflict_flag FROM conf JOIN chunks ON id = chunk_id WHERE is_archived = 0) SELECT chunk_id, key, (r > 1)::INT AS conflict_flag FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY set_at DESC, chunk_id) AS r FROM k WHERE key <> '') WHERE (r > 1)::INT <> conflict_flag")
+def settings(s: Store) -> DataFrame:
+    """chunk_id, text, set_at, conflict_flag of preferences in use, whose texts end with a setting."""
+    d = F.col("doc_id")
+    note = F.concat(F.when(d % 5 == 0, F.lit("\n配置：")).otherwise("\n"), F.lit("Limit."), (d % 9).cast("string"), F.lit(" = v"), (d % 4).cast("string"), F.when(d % 2 == 0, F.lit(" （来源：x）")).otherwise(""))
+    text = F.when(d % 3 == 0, F.concat(F.lit("mode-"), (d % 8).cast("string"), F.lit(" : on\n"), "text")).otherwise(F.concat("text", note))
+    live = s.confidence.where("category = 'preference' AND is_archived = 0")
+    return live.join(s.chunks, F.col("id") == F.col("chunk_id")).select("chunk_id", text.alias("text"), F.coalesce("last_confidence_update", F.lit(0)).alias("set_at"), "conflict_flag")
+
+
+_SETTINGS_SQL = """settings AS (SELECT chunk_id, CASE WHEN doc_id % 3 = 0 THEN 'mode-' || (doc_id % 8) || ' : on' || chr(10) || text ELSE text || chr(10) || CASE WHEN doc_id % 5 = 0 THEN '配置：' ELSE '' END || 'Limit.' || (doc_id % 9) || ' = v' || (doc_id % 4)
+    || CASE WHEN doc_id % 2 = 0 THEN ' （来源：x）' ELSE '' END END AS text, coalesce(last_confidence_update, 0) AS set_at, conflict_flag FROM conf JOIN chunks ON id = chunk_id WHERE category = 'preference' AND is_archived = 0)"""
+
+
+def changed_flags(rows: DataFrame) -> DataFrame:
+    """Rows (chunk_id, text, set_at, conflict_flag) whose conflict flag changes: of one key the newest is not in conflict, the others are. A text without a key has no part."""
+    marked, leading = F.regexp_extract("text", MARKED_KEY, 1), F.regexp_extract("text", LEADING_KEY, 1)
+    keyed = rows.withColumn("key", F.lower(F.trim(F.when(marked != "", marked).otherwise(leading)))).where("key <> ''")
+    newest = keyed.groupBy("key").agg(F.min(F.struct((-F.col("set_at")).alias("age"), "chunk_id")).getField("chunk_id").alias("newest"))
+    flags = keyed.join(newest, "key").withColumn("flag", (F.col("chunk_id") != F.col("newest")).cast("int"))
+    return flags.where(F.col("flag") != F.coalesce("conflict_flag", F.lit(0))).select("chunk_id", "key", F.col("flag").alias("conflict_flag"))
+
+
+@query("config_conflicts", f"""+ {_SETTINGS_SQL}, k AS (SELECT chunk_id, set_at, conflict_flag, lower(trim(CASE WHEN regexp_matches(text, '{MARKED_KEY}') THEN regexp_extract(text, '{MARKED_KEY}', 1) ELSE regexp_extract(text, '{LEADING_KEY}', 1) END)) AS key FROM settings)
+SELECT chunk_id, key, (r > 1)::INT AS conflict_flag FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY set_at DESC, chunk_id) AS r FROM k WHERE key <> '') WHERE (r > 1)::INT <> coalesce(conflict_flag, 0)""")
 def config_conflicts(s: Store) -> DataFrame:
-    """Rows whose conflict flag changes: of one key the newest is not in conflict, the others are."""
-    keyed = s.confidence.where("is_archived = 0").join(s.chunks.select(F.col("id").alias("chunk_id"), F.regexp_extract(F.lower("text"), r"^\s*([\p{L}\p{N}_/-]+)", 1).alias("key")), "chunk_id").where("key <> ''")
-    newest = keyed.groupBy("key").agg(F.min(F.struct(-F.coalesce("last_confidence_update", F.lit(0)), "chunk_id")).getField("chunk_id").alias("newest"))
-    rows = keyed.join(newest, "key").withColumn("flag", (F.col("chunk_id") != F.col("newest")).cast("int"))
-    return rows.where("flag <> conflict_flag").select("chunk_id", "key", F.col("flag").alias("conflict_flag"))
+    return changed_flags(settings(s))
+
+
+def mismatched_keys(rows: DataFrame) -> DataFrame:
+    """Keys that texts (chunk_id, text) give different values: key, values (how many), rows (texts with the key). White space and sources are no part of a value."""
+    found = rows.select("chunk_id", F.explode(F.arrays_zip(F.regexp_extract_all("text", F.lit(SETTING), F.lit(1)).alias("key"), F.regexp_extract_all("text", F.lit(SETTING), F.lit(2)).alias("value"))).alias("p"))
+    value = F.regexp_replace(F.regexp_replace("p.value", SETTING_SOURCE, ""), r"\s+", "")
+    pairs = found.select("chunk_id", F.lower("p.key").alias("key"), value.alias("value"))
+    return pairs.groupBy("key").agg(F.countDistinct("value").alias("values"), F.countDistinct("chunk_id").alias("rows")).where("values > 1 AND rows > 1")
 
 
-@query("config_mismatch", f"+ k AS (SELECT chunk_id, {_KEY_SQL} AS key, md5({PLAIN_SQL.format('text')}) AS value FROM conf JOIN chunks ON id = chunk_id WHERE category = 'preference') SELECT key, count(DISTINCT value) AS values, count(*) AS rows FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT value) > 1")
+@query("config_mismatch", f"""+ {_SETTINGS_SQL}, p AS (SELECT chunk_id, unnest(regexp_extract_all(text, '{SETTING}', 1)) AS key, unnest(regexp_extract_all(text, '{SETTING}', 2)) AS value FROM settings)
+SELECT lower(key) AS key, count(DISTINCT regexp_replace(regexp_replace(value, '{SETTING_SOURCE}', '', 'g'), '\\s+', '', 'g')) AS values, count(DISTINCT chunk_id) AS rows FROM p GROUP BY 1 HAVING values > 1 AND rows > 1""")
 def config_mismatch(s: Store) -> DataFrame:
-    """Keys of preferences that have several values."""
-    rows = s.confidence.where("category = 'preference'").join(s.chunks, F.col("id") == F.col("chunk_id")).select(F.regexp_extract(F.lower("text"), r"^\s*([\p{L}\p{N}_/-]+)", 1).alias("key"), F.md5(plain(F.col("text"))).alias("value")).where("key <> ''")
-    return rows.groupBy("key").agg(F.countDistinct("value").alias("values"), F.count(F.lit(1)).alias("rows")).where("values > 1")
+    return mismatched_keys(settings(s))
 
 
 @query("is_duplicate", f"+ n AS (SELECT item_id, {PLAIN_SQL.format('text')} AS low FROM benchmark), k AS (SELECT doc_id, {PLAIN_SQL.format('text')} AS low FROM documents) SELECT item_id, count(k.doc_id) AS holders, count(k.doc_id) > 0 AS duplicate FROM n LEFT JOIN k ON contains(k.low, n.low) GROUP BY item_id")
