@@ -256,15 +256,15 @@ SETTING, SETTING_SOURCE = r"([A-Za-z0-9_.-]+)\s*=\s*([^\n,}]+)", r"（来源：[
 
 def settings(s: Store) -> DataFrame:
     """chunk_id, text, set_at, conflict_flag of preferences in use, whose texts end with a setting."""
-    d = F.col("doc_id")
+    d = F.expr("doc_id div 6")
     note = F.concat(F.when(d % 5 == 0, F.lit("\n配置：")).otherwise("\n"), F.lit("Limit."), (d % 9).cast("string"), F.lit(" = v"), (d % 4).cast("string"), F.when(d % 2 == 0, F.lit(" （来源：x）")).otherwise(""))
     text = F.when(d % 3 == 0, F.concat(F.lit("mode-"), (d % 8).cast("string"), F.lit(" : on\n"), "text")).otherwise(F.concat("text", note))
     live = s.confidence.where("category = 'preference' AND is_archived = 0")
     return live.join(s.chunks, F.col("id") == F.col("chunk_id")).select("chunk_id", text.alias("text"), F.coalesce("last_confidence_update", F.lit(0)).alias("set_at"), "conflict_flag")
 
 
-_SETTINGS_SQL = """settings AS (SELECT chunk_id, CASE WHEN doc_id % 3 = 0 THEN 'mode-' || (doc_id % 8) || ' : on' || chr(10) || text ELSE text || chr(10) || CASE WHEN doc_id % 5 = 0 THEN '配置：' ELSE '' END || 'Limit.' || (doc_id % 9) || ' = v' || (doc_id % 4)
-    || CASE WHEN doc_id % 2 = 0 THEN ' （来源：x）' ELSE '' END END AS text, coalesce(last_confidence_update, 0) AS set_at, conflict_flag FROM conf JOIN chunks ON id = chunk_id WHERE category = 'preference' AND is_archived = 0)"""
+_SETTINGS_SQL = """settings AS (SELECT chunk_id, CASE WHEN doc_id // 6 % 3 = 0 THEN 'mode-' || (doc_id // 6 % 8) || ' : on' || chr(10) || text ELSE text || chr(10) || CASE WHEN doc_id // 6 % 5 = 0 THEN '配置：' ELSE '' END || 'Limit.' || (doc_id // 6 % 9) || ' = v' || (doc_id // 6 % 4)
+    || CASE WHEN doc_id // 6 % 2 = 0 THEN ' （来源：x）' ELSE '' END END AS text, coalesce(last_confidence_update, 0) AS set_at, conflict_flag FROM conf JOIN chunks ON id = chunk_id WHERE category = 'preference' AND is_archived = 0)"""
 
 
 def changed_flags(rows: DataFrame) -> DataFrame:
