@@ -282,12 +282,20 @@ def config_conflicts(s: Store) -> DataFrame:
     return changed_flags(settings(s))
 
 
-def mismatched_keys(rows: DataFrame) -> DataFrame:
-    """Keys that texts (chunk_id, text) give different values: key, values (how many), rows (texts with the key). White space and sources are no part of a value."""
+def set_values(rows: DataFrame) -> DataFrame:
+    """chunk_id, key, value of each setting in texts (chunk_id, text). White space and sources are no part of a value."""
     found = rows.select("chunk_id", F.explode(F.arrays_zip(F.regexp_extract_all("text", F.lit(SETTING), F.lit(1)).alias("key"), F.regexp_extract_all("text", F.lit(SETTING), F.lit(2)).alias("value"))).alias("p"))
-    value = F.regexp_replace(F.regexp_replace("p.value", SETTING_SOURCE, ""), r"\s+", "")
-    pairs = found.select("chunk_id", F.lower("p.key").alias("key"), value.alias("value"))
-    return pairs.groupBy("key").agg(F.countDistinct("value").alias("values"), F.countDistinct("chunk_id").alias("rows")).where("values > 1 AND rows > 1")
+    return found.select("chunk_id", F.lower("p.key").alias("key"), F.regexp_replace(F.regexp_replace("p.value", SETTING_SOURCE, ""), r"\s+", "").alias("value"))
+
+
+def mismatched_keys(rows: DataFrame) -> DataFrame:
+    """Keys that several texts (chunk_id, text) give different values: key, values (how many), rows (texts with the key)."""
+    return set_values(rows).groupBy("key").agg(F.countDistinct("value").alias("values"), F.countDistinct("chunk_id").alias("rows")).where("values > 1 AND rows > 1")
+
+
+def mismatched_chunks(rows: DataFrame) -> DataFrame:
+    """The chunk_ids of texts that give such a key."""
+    return set_values(rows).join(mismatched_keys(rows).select("key"), "key", "left_semi").select("chunk_id").distinct()
 
 
 @query("config_mismatch", f"""+ {_SETTINGS_SQL}, p AS (SELECT chunk_id, unnest(regexp_extract_all(text, '{SETTING}', 1)) AS key, unnest(regexp_extract_all(text, '{SETTING}', 2)) AS value FROM settings)
