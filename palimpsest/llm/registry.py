@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import bpe, hamming, line_dedup, media, mixing, near_dedup, passage_dedup, quality, suffix_dedup, warc
+from palimpsest.llm import bpe, fingerprint, hamming, line_dedup, media, mixing, near_dedup, passage_dedup, quality, suffix_dedup, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_ogg_media": media.query,
         "op9_warc": warc.query,
         "op10_line_dedup": line_dedup.query,
+        "op11_multiset_fingerprint": fingerprint.query,
     }
 
 
