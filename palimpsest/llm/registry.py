@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import bpe, fingerprint, hamming, line_dedup, media, mixing, near_dedup, passage_dedup, quality, suffix_dedup, warc
+from palimpsest.llm import bpe, fingerprint, hamming, hard_negatives, lexical_search, line_dedup, media, mixing, near_dedup, passage_dedup, quality, suffix_dedup, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,8 @@ def queries() -> dict:
         "op9_warc": warc.query,
         "op10_line_dedup": line_dedup.query,
         "op11_multiset_fingerprint": fingerprint.query,
+        "op12_angular_hard_negatives": hard_negatives.query,
+        "op13_shared_lexical_search": lexical_search.query,
     }
 
 
@@ -27,4 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_minhash_near_dedup": near_dedup.ORACLE,
         "op9_warc": warc.ORACLE,
         "op10_line_dedup": line_dedup.ORACLE,
+        "op12_angular_hard_negatives": hard_negatives.ORACLE,
+        "op13_shared_lexical_search": lexical_search.ORACLE,
     }
