@@ -54,6 +54,16 @@ def release(df: DataFrame, path: str) -> None:
     df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, each with as many underscores before it as make it one that df has no column of."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return tuple(out)
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 

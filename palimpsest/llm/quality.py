@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import table, written
+from palimpsest.llm.common import free_names, table, written
 
 ORDER = 5
 #: Bytes of a text that are looked at together: longer texts are cut, with the overlap that grams need.
@@ -110,7 +110,11 @@ def train(trusted: DataFrame, text_col: str = "text") -> DataFrame:
     # n1..n4: grams of an order that are counted so many times; d1..d3 are what is taken off counts of 1, 2, and more.
     kinds = counts.groupBy("n").agg(*[F.count(F.when(F.col("c") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)])
     y = F.coalesce(F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2")), F.lit(0.0))
-    off = [F.greatest(F.lit(0.0), F.least(F.lit(float(k)), F.coalesce(k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")), F.lit(0.5 * k)))).alias(f"d{k}") for k in (1, 2, 3)]
+    # Where texts repeat, counts of counts need not fall, and the estimate of k - off may leave nothing to take off: then half of k is.
+    off = []
+    for k in (1, 2, 3):
+        d = k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}"))
+        off.append(F.when((d > 0) & (d <= k), d).otherwise(F.lit(0.5 * k)).alias(f"d{k}"))
     d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
     rest = counts.join(F.broadcast(kinds.select("n", *off)), "n").select("n", F.shiftright("gram", 8).alias("context"), _tail("gram", 1).cast("int").alias("last"), "c", d.alias("d"))  # ORDER rows are sent
     own = F.map_from_entries(F.collect_list(F.struct("last", F.col("c") - F.col("d"))))  # 257 at most
@@ -248,7 +252,8 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 
     Trusted are the documents that labels call good (quality 1) and never bad. A document is kept if its perplexity is not
     above the limit of its language and length. A null or empty text is kept: there is nothing to hold against it. Without
-    trusted documents all are kept. A null language is a language of its own; rows that repeat an id are scored each.
+    trusted documents all are kept. Any discount leaves something to shorter contexts, so that each byte has a probability
+    above 0, whatever the trusted texts repeat. A null language is a language of its own; rows that repeat an id are scored each.
     """
     good = labels.groupBy(F.col(id_col).alias("__id")).agg(F.min(quality_col).alias("__q")).where("__q = 1").select("__id")
     texts = docs.select(F.col(id_col).alias("__own"), F.col(text_col).alias("text"))
@@ -268,8 +273,9 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 
 def good_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
     """docs without those that the classifier rejects; rows that repeat an id stay or go together."""
-    bad = classify(docs, labels, id_col=id_col, **how).where("NOT kept").select(F.col("id").alias("__bad")).distinct()
-    return docs.join(bad.hint("shuffle_hash"), F.col(id_col) == F.col("__bad"), "left_anti")
+    (name,) = free_names(docs, "bad_id")
+    bad = classify(docs, labels, id_col=id_col, **how).where("NOT kept").select(F.col("id").alias(name)).distinct()
+    return docs.join(bad.hint("shuffle_hash"), F.col(id_col) == F.col(name), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

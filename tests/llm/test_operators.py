@@ -177,7 +177,8 @@ def brute_log_prob(trusted, texts, order=5):
     for n, c in counts.items():
         of = Counter(c.values())
         y = of[1] / (of[1] + 2 * of[2]) if of[1] + of[2] else 0
-        off[n] = [0] + [max(0, min(k, k - (k + 1) * y * of[k + 1] / of[k] if of[k] else 0.5 * k)) for k in (1, 2, 3)]
+        ds = [k - (k + 1) * y * of[k + 1] / of[k] if of[k] else 0 for k in (1, 2, 3)]
+        off[n] = [0] + [d if 0 < d <= k else 0.5 * k for k, d in enumerate(ds, 1)]
         for g, k in c.items():
             total[g[:-1]] += k
             left[g[:-1]] += off[n][min(k, 3)]
