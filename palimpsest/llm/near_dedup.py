@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import table, written
+from palimpsest.llm.common import free_names, table, written
 from palimpsest.llm.graph import components
 
 BANDS, ROWS = 28, 5
@@ -138,35 +138,40 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows).view(np.int64) if rows else np.zeros(0, np.int64)))
 
 
+def _set_id(own: np.ndarray) -> bytes | None:
+    """128 bits of a set; none for the empty one."""
+    return xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """docs of id, text -> id, n (shingles), set_id (of the set; null without words), bands, bits (of the sketch)."""
+    """docs of id, th, text -> id, th, n (shingles), set_id (of the set; null without words), bands, bits (of the sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            ids, ths, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
             for a, b in _parts(texts):
                 sets = shingle_sets(texts[a:b], hashes)
                 rows = sketches(sets)
                 bands, bits = band_hashes(rows), low_bits(rows)
                 rows = [r if len(s) else r[:0] for r, s in zip(bands, sets, strict=True)]
-                set_ids = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([ids[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array(set_ids, pa.binary()), _lists(rows), _lists(list(bits))], ["id", "n", "set_id", "bands", "bits"])
+                yield pa.RecordBatch.from_arrays([ids[a:b], ths[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_set_id, sets), pa.binary()), _lists(rows), _lists(list(bits))], ["id", "th", "n", "set_id", "bands", "bits"])
 
-    return docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "id long, n long, set_id binary, bands array<long>, bits array<long>")
+    return docs.select("id", "th", F.col("text").cast("binary").alias("text")).mapInArrow(run, "id long, th long, n long, set_id binary, bands array<long>, bits array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """docs of id, text -> id, shingles: the whole set of each."""
+    """docs of id, text -> id, set_id, shingles: the whole set of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in _parts(texts):
-                yield pa.RecordBatch.from_arrays([ids[a:b], _lists(shingle_sets(texts[a:b], hashes))], ["id", "shingles"])
+                sets = shingle_sets(texts[a:b], hashes)
+                yield pa.RecordBatch.from_arrays([ids[a:b], pa.array(map(_set_id, sets), pa.binary()), _lists(sets)], ["id", "set_id", "shingles"])
 
-    return docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "id long, shingles array<long>")
+    return docs.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "id long, set_id binary, shingles array<long>")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -225,53 +230,60 @@ def _others(around: DataFrame, found: DataFrame, sets: DataFrame, bits: DataFram
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """id, n_shingles, component_id, kept for each document.
+    """id, n_shingles, component_id, kept, th (hash of the text) for each document.
 
     Linked are documents with 100 * |common| >= percent * |union|; component_id is the smallest id that links lead to, and
     kept is whether it is the document's own. Null and empty texts and those of white space alone have no shingles and are
-    linked with nothing. Rows that repeat an id are documents of their own; those without an id are linked with nothing,
+    linked with nothing. Rows that repeat an id are documents of their own, each with its links, so that rows of one id may
+    have different components; those without an id are linked with nothing,
     have no component_id, and are kept.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    all_rows = written(sketch(texts), "sketches")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    all_rows = written(sketch(texts).withColumn("row", F.monotonically_increasing_id()), "sketches")
     linked = all_rows.where("n > 0 AND id IS NOT NULL")
-    classes = linked.groupBy("set_id").agg(F.min("id").alias("rep"))
-    own = F.col("id") == F.col("rep")
-    members = written(linked.join(classes, "set_id").select("id", "n", "rep", F.when(own, F.col("bands")).alias("bands"), F.when(own, F.col("bits")).alias("bits")), "members")
-
-    banded = members.where("id = rep").select("rep", F.explode("bands").alias("band"))
+    # A class is named by one of its rows, since classes of different sets may have the same smallest id.
+    classes = linked.groupBy("set_id").agg(F.min(F.struct("id", "row")).alias("first")).select("set_id", F.col("first.id").alias("least"), F.col("first.row").alias("rep"))
+    own = F.col("row") == F.col("rep")
+    members = linked.join(classes, "set_id").select("id", "th", "n", "rep", "least", *[F.when(own, F.col(c)).alias(c) for c in ("set_id", "bands", "bits")])
+    members = written(members, "members")
+    first = members.where("bands IS NOT NULL")
+
+    banded = first.select("rep", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("k")).where("low < high").select("band", "k")
     met = written(banded.join(shared, "band"), "buckets")
     # The centre of a bucket is the class that meets most others: of a text and its altered copies, the text itself.
     degree = met.groupBy("rep").agg(F.sum("k").alias("degree"))
     centres = met.join(degree, "rep").groupBy("band").agg(F.max(F.struct("degree", (-F.col("rep")).alias("less"))).alias("best")).select("band", (-F.col("best.less")).alias("c"))
     stars = written(met.join(centres, "band").where("rep <> c").select("c", F.col("rep").alias("x")).distinct(), "stars")
-    wanted = stars.select("x").unionByName(stars.select(F.col("c").alias("x"))).distinct().join(members.where("id = rep").select(F.col("id").alias("x"), "n"), "x").select(F.col("x").alias("id"), "n")
-    sets = full_sets(texts.join(wanted.hint("shuffle_hash"), "id", "left_semi")).join(wanted, "id").where(F.size("shingles") == F.col("n"))
-    sets = written(sets.dropDuplicates(["id"]).select("id", "shingles"), "sets")
+    wanted = stars.select("x").unionByName(stars.select(F.col("c").alias("x"))).distinct().join(first.select(F.col("rep").alias("x"), "id", "set_id"), "x")
+    sets = full_sets(texts.join(wanted.hint("shuffle_hash"), "id", "left_semi")).join(wanted, ["id", "set_id"])
+    sets = written(sets.select(F.col("x").alias("id"), "shingles").dropDuplicates(["id"]), "sets")
 
     around = written(_around(stars, sets), "around")
     union = F.col("n") + F.col("n_c") - F.col("common")
     links = around.where(100 * F.col("common") >= percent * union).select(F.col("c").alias("a"), F.col("x").alias("b"))
     found = components(links)
-    bits = members.where("id = rep").select("id", "bits").dropDuplicates(["id"])
+    bits = first.select(F.col("rep").alias("id"), "bits")
     pairs = _others(around, found.withColumnRenamed("c", "comp"), sets, bits, percent)
     more = written(_links(pairs, sets, percent), "links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
-    final = members.join(found.withColumnRenamed("v", "rep"), "rep", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("c", "rep").alias("component_id"))
-    alone = all_rows.where("n = 0 OR id IS NULL").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    return final.unionByName(alone).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
+    named = found.join(first.select(F.col("rep").alias("v"), "least"), "v")
+    named = named.join(named.groupBy("c").agg(F.min("least").alias("component_id")), "c").select(F.col("v").alias("rep"), "component_id")
+    final = members.join(named, "rep", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "least").alias("component_id"), "th")
+    alone = all_rows.where("n = 0 OR id IS NULL").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), "th")
+    return final.unionByName(alone).select("id", "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"), "th")
 
 
-def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
-    """docs with one document of each group."""
-    lost = near_duplicates(docs, id_col=id_col, **how).where("NOT kept").select(F.col("id").alias("__lost")).distinct()
-    return docs.join(lost.hint("shuffle_hash"), F.col(id_col) == F.col("__lost"), "left_anti")
+def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs with one document of each group. Of rows that repeat an id those go whose own text has a smaller id beside it."""
+    of, th = free_names(docs, "lost_id", "lost_hash")
+    lost = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).where("NOT kept").select(F.col("id").alias(of), F.col("th").alias(th)).distinct()
+    return docs.join(lost.hint("shuffle_hash"), (F.col(id_col) == F.col(of)) & (F.xxhash64(F.col(text_col)) == F.col(th)), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id").drop("th")
 
 
 ORACLE = r"""
