@@ -156,6 +156,11 @@ def _body(block: bytes) -> tuple[int | None, bytes]:
     return (int(said) if said and said.isdigit() else None), rest
 
 
+def _open_head(block: bytes) -> bool:
+    """Whether HTTP headers begin a block and have not ended in what is there of it."""
+    return (block.startswith(b"HTTP/") or b"HTTP/".startswith(block)) and b"\r\n\r\n" not in block
+
+
 @dataclass
 class _Files(InputPartition):
     paths: list[str]
@@ -225,7 +230,7 @@ class WarcReader(DataSourceReader):
                     row, n = _columns(headers), _length(headers)
                     if n is None or not self.wanted(row):
                         continue
-                    need = n if self.payload else min(n, 1024)
+                    need = n if self.payload or _open_head(more[:n]) else min(n, 1024)
                     block = more if len(more) >= need else rest().partition(b"\r\n\r\n")[2]
                 except zlib.error:
                     continue
@@ -246,6 +251,9 @@ class WarcReader(DataSourceReader):
                     source.skip(n + 4)
                     continue
                 block = source.take(n if self.payload else min(n, 4096))
+                while block is not None and len(block) < n and _open_head(block):
+                    more = source.take(min(n - len(block), len(block)))
+                    block = more and block + more
                 if block is None:
                     return
                 source.skip(n + 4 - len(block))
