@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import BLANKS, ascii_lower, partitions, scratch, table, written
+from palimpsest.llm.common import BLANKS, ascii_lower, free_names, partitions, scratch, table, written
 
 KEY = ["h1", "h2"]
 RUN = "h1 long, h2 long, n long, first_id long"
@@ -133,18 +133,19 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     A null or empty text is one empty line, which is too short to drop; what is left of it is "". A text that loses all
     its lines becomes "". All other columns stay, whatever their names, but for n_lines and n_dropped, which are replaced.
     """
-    lost = repeated_lines(docs, id_col=id_col, text_col=text_col, **rules).select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("dropped").alias("__dropped"))
+    own, own_hash, id_, hash_, dropped, at = free_names(docs, "own", "own_hash", "id", "hash", "dropped", "lines")
+    lost = repeated_lines(docs, id_col=id_col, text_col=text_col, **rules).select(F.col("id").alias(id_), F.col("text_hash").alias(hash_), F.col("dropped").alias(dropped))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumns({"__own": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), "__text": F.xxhash64(text)})
+    keyed = docs.withColumns({own: F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), own_hash: F.xxhash64(text)})
     # Most rows of the left side hold a whole text: a hashed join does not sort them.
-    joined = keyed.join(lost.hint("shuffle_hash"), (F.col("__own") == F.col("__id")) & (F.col("__text") == F.col("__hash")), "left")
+    joined = keyed.join(lost.hint("shuffle_hash"), (F.col(own) == F.col(id_)) & (F.col(own_hash) == F.col(hash_)), "left")
     lines = lines_of(F.col(text_col))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__dropped")), lambda i: F.get(F.col("__lines"), i))
-    joined = joined.withColumn("__lines", lines).withColumns(
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(dropped)), lambda i: F.get(F.col(at), i))
+    joined = joined.withColumn(at, lines).withColumns(
         {
-            "n_lines": F.size("__lines").cast("long"),
-            "n_dropped": F.coalesce(F.size("__dropped"), F.lit(0)).cast("long"),
-            text_col: F.when(F.col("__dropped").isNull(), text).otherwise(F.array_join(kept, "\n")),
+            "n_lines": F.size(at).cast("long"),
+            "n_dropped": F.coalesce(F.size(dropped), F.lit(0)).cast("long"),
+            text_col: F.when(F.col(dropped).isNull(), text).otherwise(F.array_join(kept, "\n")),
         }
     )
     return joined.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")

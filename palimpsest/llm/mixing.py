@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import WORD, table, written
+from palimpsest.llm.common import WORD, free_names, table, written
 
 DOC = "struct<size: bigint, id: bigint, th: bigint, rows: bigint>"
 ITEM = f"struct<doc: {DOC}, q: double, u: double>"
@@ -131,18 +131,19 @@ def mixed_documents(docs: DataFrame, **rules) -> DataFrame:
     Of rows that repeat an id with its text and source, those that are taken once more come from one of them.
     """
     id_col, text_col, source_col = rules.get("id_col", "doc_id"), rules.get("text_col", "text"), rules.get("source_col", "source")
-    taken = written(mix(docs, **rules).where("copies + more > 0").select(F.struct("id", "th", "source").alias("__taken"), F.col("rows").alias("__rows"), F.col("copies").cast("int").alias("__copies"), F.col("more").alias("__more")), "mix-taken")
+    mine, taken_as, n, base, extra, lot, times, copy = free_names(docs, "own", "taken", "rows", "copies", "more", "lot", "times", "copy")
+    taken = written(mix(docs, **rules).where("copies + more > 0").select(F.struct("id", "th", "source").alias(taken_as), F.col("rows").alias(n), F.col("copies").cast("int").alias(base), F.col("more").alias(extra)), "mix-taken")
     own = F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(source_col).cast("string").alias("source"))
-    same = F.col("__own").eqNullSafe(F.col("__taken"))
-    copies = F.col("__copies") + F.when(F.col("__rows") == 1, F.col("__more")).otherwise(0).cast("int")
-    out = docs.withColumn("__own", own).join(taken.hint("shuffle_hash"), same)
-    out = out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
-    several = taken.where("__rows > 1 AND __more > 0")
+    same = F.col(mine).eqNullSafe(F.col(taken_as))
+    copies = F.col(base) + F.when(F.col(n) == 1, F.col(extra)).otherwise(0).cast("int")
+    out = docs.withColumn(mine, own).join(taken.hint("shuffle_hash"), same)
+    out = out.withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
+    several = taken.where((F.col(n) > 1) & (F.col(extra) > 0))
     if several.isEmpty():
         return out
-    one = docs.withColumn("__own", own).join(several.select("__taken").hint("shuffle_hash"), same, "left_semi").dropDuplicates(["__own"])
-    lots = several.withColumn("__lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__more") - 1) / 1000)))).select("__taken", F.least(F.lit(1000), F.col("__more") - 1000 * F.col("__lot")).cast("int").alias("__copies"))
-    more = one.join(lots, same).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies"))))
+    one = docs.withColumn(mine, own).join(several.select(taken_as).hint("shuffle_hash"), same, "left_semi").dropDuplicates([mine])
+    lots = several.withColumn(lot, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(extra) - 1) / 1000)))).select(taken_as, F.least(F.lit(1000), F.col(extra) - 1000 * F.col(lot)).cast("int").alias(times))
+    more = one.join(lots, same).withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(times))))
     return out.unionByName(more.select(*docs.columns))
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import partitions, release, scratch, table, written
+from palimpsest.llm.common import free_names, partitions, release, scratch, table, written
 from palimpsest.llm.near_dedup import mixed
 
 LENGTH = 50
@@ -426,20 +426,21 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     not count against each other. Other columns stay; those named n_bytes, n_removed, n_spans are replaced.
     """
     new = ["n_bytes", "n_removed", "n_spans"]
-    base = docs.drop(*new).withColumns({text_col: F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")), "__own": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))}).withColumn("__th", F.xxhash64(text_col))
-    texts = base.select(F.col("__own").alias("id"), F.col("__th").alias("th"), F.col(text_col).alias("text"))
+    own_id, own_th, of_id, of_th, to_go = free_names(docs, "own", "own_hash", "i", "t", "ranges")
+    base = docs.drop(*new).withColumns({text_col: F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")), own_id: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))}).withColumn(own_th, F.xxhash64(text_col))
+    texts = base.select(F.col(own_id).alias("id"), F.col(own_th).alias("th"), F.col(text_col).alias("text"))
     # Whole texts that a smaller id has.
-    copies = base.select(F.col("__own").alias("id"), F.col("__th").alias("th"), F.unhex(F.sha2(text_col, 256)).alias("digest"), F.octet_length(text_col).alias("size")).where(F.col("size") >= LENGTH)
+    copies = base.select(F.col(own_id).alias("id"), F.col(own_th).alias("th"), F.unhex(F.sha2(text_col, 256)).alias("digest"), F.octet_length(text_col).alias("size")).where(F.col("size") >= LENGTH)
     firsts = copies.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first")
     whole = copies.join(firsts, "digest").where("id > first").select("id", "th", F.array(F.struct(F.lit(0).alias("lo"), F.col("size").alias("hi"))).alias("ranges")).distinct()
-    plan = written(repeated_ranges(texts, hot).unionByName(whole), "ranges").select(F.col("id").alias("__i"), F.col("th").alias("__t"), F.col("ranges").alias("__ranges"))
-    joined = base.join(plan.hint("shuffle_hash"), (F.col("__own") == F.col("__i")) & (F.col("__th") == F.col("__t")), "left").drop("__own", "__th", "__i", "__t")
-    names = [*[c for c in joined.columns if c != "__ranges"], *new]
-    schema = joined.drop("__ranges").withColumns({c: F.lit(0).cast("long") for c in new}).schema
+    plan = written(repeated_ranges(texts, hot).unionByName(whole), "ranges").select(F.col("id").alias(of_id), F.col("th").alias(of_th), F.col("ranges").alias(to_go))
+    joined = base.join(plan.hint("shuffle_hash"), (F.col(own_id) == F.col(of_id)) & (F.col(own_th) == F.col(of_th)), "left").drop(own_id, own_th, of_id, of_th)
+    names = [*[c for c in joined.columns if c != to_go], *new]
+    schema = joined.drop(to_go).withColumns({c: F.lit(0).cast("long") for c in new}).schema
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ranges = batch.column(text_col).to_pylist(), batch.column("__ranges").to_pylist()
+            texts, ranges = batch.column(text_col).to_pylist(), batch.column(to_go).to_pylist()
             found = [kept_bytes(t, [(r["lo"], r["hi"]) for r in rs or ()]) for t, rs in zip(texts, ranges, strict=True)]
             own = {text_col: pa.array([f[0] for f in found], pa.binary()), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "n_removed": pa.array([f[1] for f in found], pa.int64()), "n_spans": pa.array([f[2] for f in found], pa.int64())}
             yield pa.RecordBatch.from_arrays([own[c] if c in own else batch.column(c) for c in names], names)
