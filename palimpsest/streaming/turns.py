@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,29 +38,39 @@ def shared_folder(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
-def run(df: DataFrame, mode: str) -> DataFrame:
-    """All that is there now, to the end, as a Parquet table. A batch that runs again writes the same files again."""
-    spark = df.sparkSession
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+def finished(df: DataFrame, mode: str, folder: str) -> None:
+    """Runs a stream over all that is there now, to the end, and writes its rows to folder/table. A batch that runs again
+    writes the same files again; a later call with the same folder goes on where this one ended."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/table" if mode == "complete" else f"{folder}/table/batch={number}")
 
     df.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{folder}/table")
+
+
+def run(make: Callable[[Store], DataFrame], mode: str, s: Store, settings: dict | None = None) -> DataFrame:
+    """The rows of a stream over the store, as a Parquet table. Settings hold for the stream's own session alone."""
+    folder, session = f"{shared_folder(s.spark)}/stream-{uuid.uuid4().hex}", s.spark.newSession()
+    for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
+        session.conf.set(key, s.spark.conf.get(key))
+    for key, value in (settings or {}).items():
+        session.conf.set(key, value)
+    df = make(Store(session, s.folder))
+    finished(df, mode, folder)
+    return s.spark.read.schema(df.schema).parquet(f"{folder}/table").select(*df.columns)
 
 
 @query("stream_daily_counts", "SELECT created_at::DATE AS day, CASE event_type WHEN 'memory_candidate_retrieved' THEN 'view' WHEN 'memory_injected' THEN 'click' WHEN 'memory_cited' THEN 'purchase' WHEN 'recall_started' THEN 'signup' ELSE 'error' END AS event_type, count(*) AS n FROM ev GROUP BY 1, 2")
 def stream_daily_counts(s: Store) -> DataFrame:
-    return run(daily_counts(stream(s)), "complete")
+    return run(lambda t: daily_counts(stream(t)), "complete", s)
 
 
 @query("stream_sessions", "+ g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), k AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT user_id, floor(epoch(min(ts)))::BIGINT AS starts, count(*) AS n FROM k GROUP BY user_id, session")
 def stream_sessions(s: Store) -> DataFrame:
-    return run(sessions(stream(s)), "complete")
+    return run(lambda t: sessions(stream(t)), "complete", s)
 
 
 @query("stream_first_in_turn", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_first_in_turn(s: Store) -> DataFrame:
     """What a user's turn brings first; all that is there is one batch, so that no turn's time is over within it."""
-    return run(first_in_turn(stream(s)), "append").select("user_id", "event_type")
+    return run(lambda t: first_in_turn(stream(t)), "append", s).select("user_id", "event_type")
