@@ -68,6 +68,14 @@ def batches_of(parts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
             first, size = i + 1, 0
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices of about 2 * BATCH_BYTES, so that what is copied of them is bounded."""
+    for batch in batches:
+        step = max(1, batch.num_rows * 2 * BATCH_BYTES // max(1, batch.nbytes))
+        for first in range(0, batch.num_rows, step):
+            yield batch.slice(first, step)
+
+
 def count_grams(docs: DataFrame, text_col: str = "text", flush: int = 1_000_000) -> DataFrame:
     """gram, c: summed within each task, and then over all. Empty texts have none."""
 
@@ -80,7 +88,7 @@ def count_grams(docs: DataFrame, text_col: str = "text", flush: int = 1_000_000)
         def out(s: pd.Series) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(s.index.to_numpy(np.int64)), pa.array(s.to_numpy(np.int64))], ["gram", "n"])
 
-        for batch in batches:
+        for batch in _sliced(batches):
             for _, parts in batches_of(batch.column(0).to_pylist()):
                 codes, found = pd.factorize(grams(parts)[0])
                 held.append(pd.Series(np.bincount(codes, minlength=len(found)), found))
@@ -153,7 +161,7 @@ def _asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), chunk, np.int64)), pa.array(g[first] >> 8), lasts], ["chunk", "context", "lasts"])
 
     now, held = None, []
-    for batch in batches:
+    for batch in _sliced(batches):
         chunks, parts = batch.column(0).to_numpy(), batch.column(1)
         for chunk in dict.fromkeys(chunks.tolist()):
             if chunk != now and held:
@@ -171,7 +179,7 @@ def _asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of chunk, key, part, context, lasts, logps, sorted by chunk with those without a part first -> key, n, log_prob."""
     now, held, known = None, [], None
-    for batch in batches:
+    for batch in _sliced(batches):
         chunks = batch.column("chunk").to_numpy()
         for chunk in dict.fromkeys(chunks.tolist()):
             rows = batch.filter(pa.array(chunks == chunk))
