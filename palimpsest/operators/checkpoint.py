@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions.registry import query
@@ -165,29 +169,119 @@ def tool_summaries(s: Store) -> DataFrame:
     return tool_results(s).select("conv_id", "turn", tool_summary(F.col("tool"), F.col("command"), F.col("output")).alias("summary"))
 
 
-def capped(rows: DataFrame, limit, *by: str) -> DataFrame:
-    """`taken` cut so that in each group, best rows first, no more than limit are taken: whole while there is room, then a part."""
-    order = W.partitionBy(*by).orderBy(F.col("priority").desc(), "position", "source").rowsBetween(W.unboundedPreceding, -1)
-    room = limit - F.coalesce(F.sum("taken").over(order), F.lit(0))
-    return rows.withColumn("taken", F.greatest(F.lit(0), F.least(F.col("taken"), room)))
-
-
-_CAP_SQL = "greatest(0, least(taken, {limit} - coalesce(sum(taken) OVER (PARTITION BY {by} ORDER BY priority DESC, position, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT"
-_BUDGET_SQL = f"""b AS (SELECT *, {_DAY_SQL} AS day, CASE WHEN source = 'smart_add' THEN 'smart_add' ELSE 'conversation' END AS kind, length(body) AS size, length(body) AS taken, CASE WHEN role = 'user' THEN 500 WHEN source = 'transcript' THEN 400 WHEN source = 'db' THEN 200 ELSE 100 END AS priority FROM best),
-b1 AS (SELECT * REPLACE ({_CAP_SQL.format(limit=SESSION, by='day, kind, session')} AS taken) FROM b), b2 AS (SELECT * REPLACE ({_CAP_SQL.format(limit=f"CASE kind WHEN 'smart_add' THEN {KINDS['smart_add']} ELSE {KINDS['conversation']} END", by='day, kind')} AS taken) FROM b1),
-b3 AS (SELECT * REPLACE ({_CAP_SQL.format(limit=TOTAL, by='day')} AS taken) FROM b2)"""
-
-
-@query("checkpoint_budget", f"+ {LOGS_SQL}, {_BEST_SQL}, {_BUDGET_SQL} SELECT day, source, position, size, taken FROM b3")
-def checkpoint_budget(s: Store) -> DataFrame:
-    """The characters of each row that a day's budget takes, by session, by kind and in all.
-
-    Room that is used up stays so, and each session has one kind: the greedy choice is three running sums, of lengths alone.
+# How entries are told apart, and the characters between two of them.
+TAGGED = r"\b(decision|decided|lesson|learned|todo|follow-up|next step|preference|resolved)\b|决定|结论|教训|经验|待办|偏好|总结"
+SUMMARY = r"\b(summary|in short|root cause|resolved|fix|caused by|final|conclusion)\b|总结|结论|原因|修复|已解决"
+TOOL_SUMMARY = r"\b(tool summary|command summary|result summary)\b"
+TOOLS, SEPARATOR, SUMMARY_CHARS, TOOL_SUMMARY_CHARS = 4_000, 5, 1_200, 400
+BUDGET = {"total": TOTAL, "smart_add": KINDS["smart_add"], "conversation": KINDS["conversation"], "session": SESSION, "tool": TOOLS}
+BLANK = re.compile(r"[ \t\n\x0b\f\r]+$")
+
+
+def cut_to(text: str, limit: int) -> str:
+    """A text in at most limit characters: with a mark at its end if it is cut and there is room for one."""
+    if len(text) <= limit:
+        return text
+    return "" if limit <= 1 else text[:limit] if limit <= 3 else BLANK.sub("", text[: limit - 1]) + "…"
+
+
+class Greedy:
+    """A day's selection so far. Of the sessions only those are kept that have taken something, which the total bounds."""
+
+    def __init__(self, budget: dict[str, int]):
+        self.budget, self.combined, self.picked, self.used, self.sessions = budget, 0, 0, Counter(), Counter()
+
+    def take(self, text: str, kind: str, tool: bool, session: str | None) -> str:
+        """What is taken of an entry, "" for nothing; the state goes on from it."""
+        rooms = [self.budget["total"] - self.combined, self.budget[kind] - self.used[kind]]
+        rooms += [self.budget["tool"] - self.used["tool"]] * tool + [self.budget["session"] - self.sessions[session]] * bool(session)
+        between = SEPARATOR if self.picked else 0
+        taken = cut_to(text, min(rooms) - between) if min(rooms) > between else ""
+        if taken:
+            cost = len(taken) + between
+            self.combined += len(BLANK.sub("", taken)) + between
+            self.picked += 1
+            self.used[kind] += cost
+            self.used["tool"] += cost * tool
+            if session:
+                self.sessions[session] += cost
+        return taken
+
+
+def budgeted(rows: DataFrame, budget: dict[str, int] = BUDGET) -> DataFrame:
+    """rows with `taken`, what a greedy choice takes of each text: best priority first, then by time, position and part.
+
+    rows: day, priority, at (null last), position, part, kind (smart_add or conversation), tool, session (null or empty: none),
+    text (trimmed). Each entry gets what all its limits leave, whole or cut, with the separators counted; one for which
+    nothing is left is passed over, and later ones may still fit. A day is one sequence, folded as it is read: a task holds
+    the state of one day, and of a text no more than the largest limit can take.
     """
-    rows = with_day(best_rows(logs(s))).select("day", "source", "session", "position", F.when(F.col("source") == "smart_add", "smart_add").otherwise("conversation").alias("kind"), F.length("body").cast("long").alias("size"), F.when(F.col("role") == "user", 500).when(F.col("source") == "transcript", 400).when(F.col("source") == "db", 200).otherwise(100).alias("priority"))
-    rows = capped(rows.withColumn("taken", F.col("size")), F.lit(SESSION), "day", "kind", "session")
-    rows = capped(rows, F.when(F.col("kind") == "smart_add", KINDS["smart_add"]).otherwise(KINDS["conversation"]), "day", "kind")
-    return capped(rows, F.lit(TOTAL), "day").select("day", "source", "position", "size", "taken")
+    longest, names = max(budget.values()) + 1, rows.columns
+    schema = rows.withColumn("taken", F.lit("")).schema
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        day, state = None, Greedy(budget)
+        for batch in batches:
+            taken = []
+            for of, text, kind, tool, session in zip(*[batch.column(c).to_pylist() for c in ("day", "text", "kind", "tool", "session")], strict=True):
+                if of != day:
+                    day, state = of, Greedy(budget)
+                taken.append(state.take(text or "", kind, bool(tool), session))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(taken, pa.string())], [*names, "taken"])
+
+    order = ["day", F.col("priority").desc(), F.col("at").asc_nulls_last(), "position", "part"]
+    return rows.withColumn("text", F.left("text", F.lit(longest))).repartition("day").sortWithinPartitions(*order).mapInArrow(fold, schema)
+
+
+def budget_rows(s: Store) -> DataFrame:
+    """The best log entries and the summaries of tools' outputs, as rows of `budgeted`, with the whole text's size."""
+    text = F.regexp_replace(F.coalesce("body", F.lit("")), EDGES, "")
+    best = best_rows(logs(s)).select("source", F.when(F.col("source") == "transcript", F.col("session")).alias("session"), "role", text.alias("text"), "at", F.col("position").cast("long").alias("position"), F.lit(0).alias("part"), F.lit(False).alias("made"))
+    turns = s.table("conversations").select("conv_id", "turn", F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("session"), (F.lit(NOW) - F.col("conv_id") * 3600 + F.col("turn") * 60).cast("long").alias("at"))
+    tools = tool_summaries(s).where("summary IS NOT NULL").join(turns, ["conv_id", "turn"])
+    tools = tools.select(F.lit("transcript").alias("source"), "session", F.lit("assistant").alias("role"), F.col("summary").alias("text"), "at", (F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("position"), F.lit(1).alias("part"), F.lit(True).alias("made"))
+    plain_text = F.trim(F.regexp_replace("text", r"\s+", " "))
+    spoken = (F.col("source") == "transcript") & (F.col("role") == "assistant")
+    says = lambda pattern, most: (F.length(plain_text) <= most) & plain_text.rlike("(?i)" + java(pattern))
+    rows = best.unionByName(tools).withColumns({"tool": F.col("made") | spoken & says(TOOL_SUMMARY, TOOL_SUMMARY_CHARS), "summary": ~F.col("made") & spoken & says(SUMMARY, SUMMARY_CHARS)})
+    tagged = (F.col("source") == "smart_add") & F.col("text").rlike("(?i)" + java(TAGGED))
+    priority = F.when(tagged, 500).when(F.col("role") == "user", 400).when(F.col("summary"), 300).when(F.col("tool"), 200).when(F.col("role") == "assistant", 100).otherwise(50)
+    return with_day(rows.withColumn("priority", priority)).select("day", "priority", "at", "source", "position", "part", F.when(F.col("source") == "smart_add", "smart_add").otherwise("conversation").alias("kind"), "tool", "session", F.length("text").cast("long").alias("size"), "text")
+
+
+#: The same fold as a recursion over the ranks of a day's entries.
+_BUDGET_SQL = f"""
+entries AS (
+    SELECT source, CASE WHEN source = 'transcript' THEN session END AS session, role, regexp_replace(coalesce(body, ''), '{EDGES}', '', 'g') AS t, logged, position::BIGINT AS position, 0 AS part, FALSE AS made FROM best
+    UNION ALL SELECT 'transcript', 'conv-' || f.conv_id, 'assistant', {_SUMMARY_SQL.replace("{edges}", EDGES)}, ({NOW} - f.conv_id * 3600 + f.turn * 60)::BIGINT, f.conv_id * 1000 + f.turn, 1, TRUE FROM figures f),
+flat AS (SELECT *, trim(regexp_replace(t, '\\s+', ' ', 'g')) AS p, source = 'transcript' AND role = 'assistant' AS spoken FROM entries WHERE t IS NOT NULL),
+marked AS (
+    SELECT *, {_DAY_SQL} AS day, made OR spoken AND length(p) <= {TOOL_SUMMARY_CHARS} AND regexp_matches(p, '(?i){TOOL_SUMMARY}') AS tool, NOT made AND spoken AND length(p) <= {SUMMARY_CHARS} AND regexp_matches(p, '(?i){SUMMARY}') AS summary,
+        CASE WHEN source = 'smart_add' THEN 'smart_add' ELSE 'conversation' END AS kind
+    FROM flat),
+ranked AS (
+    SELECT day, source, position, part, kind, tool, session, t, row_number() OVER (PARTITION BY day ORDER BY priority DESC, logged NULLS LAST, position, part) AS r
+    FROM (SELECT *, CASE WHEN source = 'smart_add' AND regexp_matches(t, '(?i){TAGGED}') THEN 500 WHEN role = 'user' THEN 400 WHEN summary THEN 300 WHEN tool THEN 200 WHEN role = 'assistant' THEN 100 ELSE 50 END AS priority FROM marked)),
+fold(day, r, source, position, part, size, taken, combined, picked, smart, spoken, tools, sessions) AS (
+    SELECT DISTINCT day, 0::BIGINT, '', 0::BIGINT, 0, 0::BIGINT, '', 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, CAST(MAP {{}} AS MAP(VARCHAR, BIGINT)) FROM ranked
+    UNION ALL
+    SELECT day, r, source, position, part, length(t), got, combined + CASE WHEN got = '' THEN 0 ELSE length(rtrim(got, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) + gap END, picked + (got <> '')::INT,
+        smart + CASE WHEN kind = 'smart_add' AND got <> '' THEN length(got) + gap ELSE 0 END, spoken + CASE WHEN kind <> 'smart_add' AND got <> '' THEN length(got) + gap ELSE 0 END, tools + CASE WHEN tool AND got <> '' THEN length(got) + gap ELSE 0 END,
+        CASE WHEN got <> '' AND coalesce(session, '') <> '' THEN map_concat(sessions, MAP {{session: coalesce(sessions[session], 0) + length(got) + gap}}) ELSE sessions END
+    FROM (
+        SELECT *, CASE WHEN room <= gap THEN '' WHEN length(t) <= room - gap THEN t WHEN room - gap <= 1 THEN '' WHEN room - gap <= 3 THEN substr(t, 1, room - gap)
+            ELSE rtrim(substr(t, 1, room - gap - 1), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) || '…' END AS got
+        FROM (
+            SELECT k.day, k.r, k.source, k.position, k.part, k.kind, k.tool, k.session, k.t, f.combined, f.picked, f.smart, f.spoken, f.tools, f.sessions, CASE WHEN f.picked > 0 THEN {SEPARATOR} ELSE 0 END AS gap,
+                least({TOTAL} - f.combined, CASE WHEN k.kind = 'smart_add' THEN {KINDS["smart_add"]} - f.smart ELSE {KINDS["conversation"]} - f.spoken END, CASE WHEN k.tool THEN {TOOLS} - f.tools ELSE {TOTAL} END,
+                    CASE WHEN coalesce(k.session, '') <> '' THEN {SESSION} - coalesce(f.sessions[k.session], 0) ELSE {TOTAL} END)::BIGINT AS room
+            FROM fold f JOIN ranked k ON k.day = f.day AND k.r = f.r + 1)))"""
+
+
+@query("checkpoint_budget", f"+ {LOGS_SQL}, {_BEST_SQL}, {_TOOLS_SQL}, {_FIGURES_SQL.replace('{edges}', EDGES)}, {_BUDGET_SQL} SELECT day, source, position, part, size, length(taken)::BIGINT AS taken, md5(taken) AS taken_md5 FROM fold WHERE r > 0")
+def checkpoint_budget(s: Store) -> DataFrame:
+    """What a day's budget takes of each entry, by kind, session, tools and in all, in the order of priority and time."""
+    return budgeted(budget_rows(s)).select("day", "source", "position", "part", "size", F.length("taken").cast("long").alias("taken"), F.md5("taken").alias("taken_md5"))
 
 
 # The lines of a Markdown file of entries.

@@ -133,7 +133,7 @@ _CATEGORY = "(['temporary', 'raw_log', 'episodic', 'preference', 'kg_node', 'use
 _DOT, _HAN_RUN = r"(\d)[.](\d)", r"\p{Han}{5,}"
 #: The same views for DuckDB, as the start of a query.
 MODEL_SQL = f"""
-WITH chunks AS (
+WITH RECURSIVE chunks AS (
     SELECT sha256(doc_id::VARCHAR) AS id, CASE WHEN doc_id % 10 <= 3 THEN 'memory/smart-add/2024-01-' || {_DAY} || '.md' WHEN doc_id % 10 <= 5 THEN 'memory/episodes/2024-01-' || {_DAY} || '.md'
         WHEN doc_id % 10 = 6 THEN 'memory/projects/p' || (doc_id % 7) || '.md' WHEN doc_id % 10 = 7 THEN 'memory/dreaming/light/d' || (doc_id % 5) || '.md'
         WHEN doc_id % 10 = 8 THEN 'memory/2024-01-' || {_DAY} || '.md' ELSE 'memory/generated-smart-add/g' || (doc_id % 3) || '.md' END AS path,
