@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.registry import query
 from palimpsest.functions.scores import FAMILY_SQL, PLAIN_SQL, REALTIME_SQL, plain, realtime_confidence, rounded, rounded_sql, scope_family
+from palimpsest.operators.vectors import VectorIndex
 from palimpsest.sources.model import NOW, Store
 
 
@@ -50,10 +51,8 @@ def vector_validate(s: Store) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, id, position, distance (squared): the k nearest of each query. Queries are the small side; each task keeps its best k."""
-    pairs = vectors.crossJoin(F.broadcast(queries)).withColumn("distance", F.aggregate(F.zip_with("vector", "probe", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda x, y: x + y))
-    order = W.partitionBy("query_id").orderBy(rounded(F.col("distance"), 6), "id")
-    return pairs.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k).select("query_id", "id", "position", "distance")
+    """query_id, id, position, distance (squared): the k nearest of each query, by an index of cells."""
+    return VectorIndex.build(vectors).search(queries, k)
 
 
 NEAREST_SQL = f"""near AS (SELECT query_id, id, position, distance FROM (SELECT q.item_id AS query_id, v.id, list_sum([(a[1]::DOUBLE - a[2]::DOUBLE) * (a[1]::DOUBLE - a[2]::DOUBLE) FOR a IN list_zip(v.vector, p.vector)]) AS distance,

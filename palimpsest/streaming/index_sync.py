@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.registry import query
+from palimpsest.functions.tables import shared_folder
 from palimpsest.operators.checkpoint import entries_of
 from palimpsest.sources.files import exists, files, write_files
 from palimpsest.sources.model import Store
-from palimpsest.streaming.turns import shared_folder
 
 INBOX = "path string, mtime long, text string"
 INDEX = "path string, mtime long, entry int, entry_id string, category string, provenance string, body string"

@@ -5,11 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.functions.registry import query
+from palimpsest.functions.tables import shared_folder
 from palimpsest.sources.model import Store
 
 SCHEMA = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
@@ -33,11 +34,6 @@ def first_in_turn(events: DataFrame, ttl: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["user_id", "event_type"])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Where tables and checkpoints of streams go: the folder that driver and executors share, or else the warehouse."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-
-
 def finished(df: DataFrame, mode: str, folder: str) -> None:
     """Runs a stream over all that is there now, to the end, and writes its rows to folder/table. A batch that runs again
     writes the same files again; a later call with the same folder goes on where this one ended."""
