@@ -7,17 +7,23 @@ rounded before they are added, as callers see them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cache, reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions.registry import query
+from palimpsest.functions.tables import saved
 from palimpsest.functions.scores import REALTIME_SQL, realtime_confidence, rounded, rounded_sql
 from palimpsest.operators.lookup import NEAREST_SQL, nearest, probes, with_sidecar
 from palimpsest.sources.model import BROAD, NOW, WORD, Store, terms_of
 
 K1, B = 1.2, 0.75
 RRF = 60
+#: Letters by which terms are looked up in words; shorter terms by all of theirs.
+LETTERS = 3
 CHANNELS = ["kg", "fts", "vector", "like", "recent", "episode", "recent_fallback"]
 
 
@@ -39,6 +45,13 @@ def searchable(s: Store) -> DataFrame:
     return rows.select("id", "path", "text", "updated_at", "category", "kg_data", F.when(F.col("chunk_id").isNotNull(), realtime_confidence()).alias("confidence"), F.col("chunk_id").isNull().alias("external"))
 
 
+def features(s: Store) -> DataFrame:
+    """searchable(s) with `words`, the tokens of a text in order: written once for a store, for all channels and steps after them."""
+    if "features" not in s.__dict__:
+        s.__dict__["features"] = saved(searchable(s).withColumn("words", tokens("text")), "searchable")
+    return s.__dict__["features"]
+
+
 SEARCHABLE_SQL = f"""searchable AS (SELECT id, path, text, updated_at, category, kg_data, CASE WHEN c.chunk_id IS NOT NULL THEN {REALTIME_SQL} END AS confidence, c.chunk_id IS NULL AS external
     FROM chunks LEFT JOIN conf c ON id = c.chunk_id WHERE coalesce(is_archived, 0) = 0 AND NOT starts_with(path, 'memory/generated-smart-add/')),
 qset AS (SELECT query_id, words AS ts, len(words) AS n_terms, fragments FROM qwords)"""
@@ -49,16 +62,18 @@ def matched(s: Store, rows: DataFrame, column: str, terms: DataFrame | None = No
 
     A term is a substring; one of digits alone has no digit next to it. It has no white space or signs, so it is part of a
     text if it is part of one of its words: each distinct word is held against the terms once, whatever the number of texts
-    that have it.
+    that have it, and only against those whose first letters it has somewhere. A column `words` has the tokens already.
     """
     terms = s.terms if terms is None else terms
-    words = rows.select("id", F.explode(F.array_distinct(tokens(column))).alias("word"))
-    asked = terms.select("term").distinct()
+    words = rows.select("id", F.explode(F.array_distinct(F.col("words") if "words" in rows.columns else tokens(column))).alias("word"))
+    asked = terms.select("term").distinct().withColumn("letters", F.substring("term", 1, LETTERS))
     alone = ~F.col("term").rlike("^[0-9]+$") | F.regexp_like("word", F.concat(F.lit("(^|[^0-9])"), "term", F.lit("([^0-9]|$)")))
-    holds = words.select("word").distinct().join(asked, F.col("word").contains(F.col("term")) & alone)
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("word") - n + 1)), lambda i: F.substring(F.col("word"), i, F.lit(n)))
+    pieces = F.array_distinct(F.concat(*[runs(n) for n in range(1, LETTERS + 1)]))
+    holds = words.select("word").distinct().select("word", F.explode(pieces).alias("letters")).join(asked, "letters").where(F.col("word").contains(F.col("term")) & alone).select("word", "term")
     hits = words.join(holds, "word").select("id", "term").distinct().join(terms, "term")
     lex = hits.groupBy("query_id", "id").agg((F.count(F.lit(1)) / F.first("n_terms")).alias("share"))
-    return rows.join(lex.withColumn("lex", rounded(F.col("share"))), "id")
+    return rows.drop("words").join(lex.withColumn("lex", rounded(F.col("share"))), "id")
 
 
 def hits_sql(text: str, terms: str = "q.ts") -> str:
@@ -71,16 +86,16 @@ MATCHED_SQL = f"matched AS (SELECT s.*, q.query_id, {rounded_sql(hits_sql('lower
 
 def postings(chunks: DataFrame, asked: DataFrame) -> DataFrame:
     """term, id, tf, and the length of the text, for the asked terms: other words go before anything is grouped."""
-    words = chunks.select("id", tokens("text").alias("words")).withColumn("length", F.size("words"))
+    words = chunks.select("id", "words", F.size("words").alias("length"))
     return words.select("id", "length", F.explode("words").alias("term")).join(asked, "term").groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
 def full_text(s: Store) -> DataFrame:
     """query_id, id, hits (terms of the query that the text has), n_terms, score: BM25."""
-    rows = searchable(s).select("id", "text")
+    rows = features(s).select("id", "words")
     own = postings(rows, s.terms.select("term").distinct())
     frequency = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    whole = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens("text"))).alias("mean"))  # one row
+    whole = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("mean"))  # one row
     found = own.join(s.terms, "term").join(frequency, "term").crossJoin(F.broadcast(whole))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
@@ -121,11 +136,11 @@ def text_channels(s: Store, rows: DataFrame, no_text: DataFrame) -> DataFrame:
     """
     newest, score = (F.col("updated_at").desc(), F.col("id")), (F.col("semantic").desc(), F.col("updated_at").desc(), F.col("id"))
     family = F.col("path").startswith("memory/smart-add/") | F.col("path").startswith("memory/episodes/")
-    text = matched(s, rows.select("id", "path", "text", "updated_at"), "text").drop("text").withColumn("family", family)
+    text = matched(s, rows.select("id", "path", "words", "updated_at"), "text").withColumn("family", family)
     text = text.join(no_text.withColumn("no_text", F.lit(True)), "query_id", "left").withColumn("no_text", F.coalesce("no_text", F.lit(False)))
     # A row of another family is far enough down its own list to go, where full text has found something.
     nth = F.row_number().over(W.partitionBy("query_id", "family").orderBy(*newest))
-    text = text.withColumn("nth", nth).where((F.col("family") & (F.col("nth") <= 120)) | (F.col("no_text") & (F.col("nth") <= 30)))
+    text = text.withColumn("nth", nth).where("nth <= 120").where((F.col("family") & (F.col("nth") <= 120)) | (F.col("no_text") & (F.col("nth") <= 30)))
     text = text.withColumns({"semantic": rounded(0.35 + F.col("lex") + recency(F.col("updated_at"), 0.06)), "own": F.col("family") & (F.col("nth") <= 120), "episode": F.col("path").startswith("memory/episodes/")})
     places = {"like": W.partitionBy("query_id").orderBy(*newest), "recent": W.partitionBy("query_id", "own").orderBy(*score), "episode": W.partitionBy("query_id", "own", "episode").orderBy(*score)}
     text = text.withColumns({f"at_{c}": F.row_number().over(w) for c, w in places.items()})
@@ -134,22 +149,42 @@ def text_channels(s: Store, rows: DataFrame, no_text: DataFrame) -> DataFrame:
     return text.select("query_id", "id", F.explode(F.array_compact(F.array(*each))).alias("c")).select("query_id", "id", "c.*")
 
 
-def channel_rows(s: Store) -> DataFrame:
-    """query_id, id, channel, position, semantic: all channels' candidates."""
-    rows = searchable(s)
+def channel_rows(s: Store, *wanted: str) -> DataFrame:
+    """query_id, id, channel, position, semantic: the candidates of the wanted channels, of all if none is named.
+
+    All channels read one table of texts and their words; ids alone go through them.
+    """
+    wanted, rows = wanted or tuple(CHANNELS), features(s)
     newest = (F.col("updated_at").desc(), F.col("id"))
-    kg = matched(s, rows.where("kg_data <> ''").select("id", "kg_data", "updated_at"), "kg_data").withColumn("semantic", rounded(0.45 + F.col("lex")))
-    fts = fts_or(s).select("query_id", "id", "position", F.lit(0.5).alias("semantic"))
-    near = nearest(s.vectors, probes(s), 30).join(rows.select("id"), "id").select("query_id", "id", "position", rounded(1 - F.col("distance")).alias("semantic"))
-    no_text = s.queries.select("query_id").distinct().join(fts, "query_id", "left_anti")
     family = F.col("path").startswith("memory/smart-add/") | F.col("path").startswith("memory/episodes/")
-    last = rows.where(family).select("id", "updated_at").orderBy(*newest).limit(20)
-    fallback = top(last.crossJoin(no_text), 20, *newest)  # 20 rows
-    parts = {"kg": top(kg, 20, F.col("semantic").desc(), *newest), "fts": fts, "vector": near, "recent_fallback": fallback.withColumn("semantic", rounded(0.25 + recency(F.col("updated_at"), 0.06)))}
-    out = text_channels(s, rows, no_text)
-    for channel, part in parts.items():
-        out = out.unionByName(part.select("query_id", "id", F.lit(channel).alias("channel"), F.col("position").cast("long").alias("position"), F.col("semantic").cast("double").alias("semantic")))
-    return out
+    found = cached_once(lambda: fts_or(s).select("query_id", "id", "position", F.lit(0.5).alias("semantic")))
+    no_text = cached_once(lambda: s.queries.select("query_id").distinct().join(found(), "query_id", "left_anti"))
+
+    def kg() -> DataFrame:
+        held = matched(s, rows.where("kg_data <> ''").select("id", "kg_data", "updated_at"), "kg_data").withColumn("semantic", rounded(0.45 + F.col("lex")))
+        return top(held, 20, F.col("semantic").desc(), *newest)
+
+    def vector() -> DataFrame:
+        return nearest(s.vectors, probes(s), 30).join(rows.select("id"), "id").select("query_id", "id", "position", rounded(1 - F.col("distance")).alias("semantic"))
+
+    def recent_fallback() -> DataFrame:
+        last = rows.where(family).select("id", "updated_at").orderBy(*newest).limit(20)
+        return top(last.crossJoin(no_text()), 20, *newest).withColumn("semantic", rounded(0.25 + recency(F.col("updated_at"), 0.06)))  # 20 rows a query
+
+    def texts() -> DataFrame:
+        none = s.queries.select("query_id").limit(0)
+        return text_channels(s, rows, no_text() if "like" in wanted else none).where(F.col("channel").isin(*wanted))
+
+    shaped = lambda name, part: part.select("query_id", "id", F.lit(name).alias("channel"), F.col("position").cast("long").alias("position"), F.col("semantic").cast("double").alias("semantic"))
+    parts = [shaped(name, make()) for name, make in {"kg": kg, "fts": found, "vector": vector, "recent_fallback": recent_fallback}.items() if name in wanted]
+    if {"like", "recent", "episode"} & set(wanted):
+        parts.append(texts())
+    return reduce(DataFrame.unionByName, parts)
+
+
+def cached_once(make: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
+    """make, called once and written: several channels read what it gives."""
+    return cache(lambda: saved(make(), "channel"))
 
 
 _FAMILY = "(starts_with(path, 'memory/smart-add/') OR starts_with(path, 'memory/episodes/'))"
@@ -170,13 +205,13 @@ channels AS (
 
 for _name, _channel in (("kg_channel", "kg"), ("like_channel", "like"), ("recent_channel", "recent"), ("episode_channel", "episode"), ("recent_fallback_channel", "recent_fallback")):
     if _channel not in ("like", "recent_fallback"):
-        query(_name, f"+ {CHANNELS_SQL} SELECT query_id, id, position, semantic FROM channels WHERE channel = '{_channel}'")(lambda s, c=_channel: channel_rows(s).where(F.col("channel") == c).drop("channel"))
+        query(_name, f"+ {CHANNELS_SQL} SELECT query_id, id, position, semantic FROM channels WHERE channel = '{_channel}'")(lambda s, c=_channel: channel_rows(s, c).drop("channel"))
 
 
 @query("like_channel", f"+ {SEARCHABLE_SQL}, {MATCHED_SQL} SELECT query_id, id, position, {rounded_sql('0.3::DOUBLE + lex')} AS semantic FROM ({_top_sql('SELECT * FROM matched', 30, 'updated_at DESC, id')})")
 def like_channel(s: Store) -> DataFrame:
     """The substring channel by itself, without the test that full text came up empty."""
-    rows = top(matched(s, searchable(s).select("id", "text", "updated_at"), "text"), 30, F.col("updated_at").desc(), "id")
+    rows = top(matched(s, features(s).select("id", "words", "updated_at"), "text"), 30, F.col("updated_at").desc(), "id")
     return rows.select("query_id", "id", F.col("position").cast("long").alias("position"), rounded(0.3 + F.col("lex")).alias("semantic"))
 
 
@@ -205,7 +240,7 @@ def rrf_fusion(s: Store) -> DataFrame:
 
 
 def boosted(s: Store) -> DataFrame:
-    rows = fuse(channel_rows(s)).join(searchable(s), "id")
+    rows = fuse(channel_rows(s)).join(features(s).drop("words"), "id")
     low = F.lower("text")
     managed = F.when(F.col("category") == "episodic", 0.12).when(low.contains("session checkpoint") | low.contains("session-checkpoint"), 0.10).otherwise(0.0)
     dreaming = F.col("path").startswith("memory/dreaming/")
