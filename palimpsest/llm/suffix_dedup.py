@@ -381,16 +381,18 @@ def repeated_ranges(texts: DataFrame, hot: int = HOT) -> DataFrame:
 
     th tells texts of one id apart. Of equal texts the one with the smallest id alone is looked at; the others have no row here.
     """
-    n, path = partitions(texts.sparkSession), scratch(texts.sparkSession, "anchors")
+    n, (path, shared_path, runs_path) = partitions(texts.sparkSession), [scratch(texts.sparkSession, name) for name in ("anchors", "shared-runs", "runs")]
     anchors = written(texts.where(F.octet_length("text") >= LENGTH).mapInArrow(_anchors, ANCHORS), "anchors", path)
     keys = anchors.groupBy("key").agg(F.min("th").alias("a"), F.max("th").alias("b"), F.count(F.lit(1)).alias("times")).where("a <> b")
     keys = written(keys.select("key", (F.col("times") > hot).alias("hot")), "shared-anchors")
-    shared = written(anchors.join(keys.select("key").hint("shuffle_hash"), "key"), "shared-runs")
+    shared = written(anchors.join(keys.select("key").hint("shuffle_hash"), "key"), "shared-runs", shared_path)
     release(anchors, path)
     own = texts.select("id", "th", F.unhex(F.sha2("text", 256)).alias("digest")).groupBy("digest").agg(F.min(F.struct("id", "th")).alias("own")).select("own.id", "own.th")
-    wanted = written(shared.groupBy("id", "th").agg(F.collect_list(F.struct("key", "start", "n")).alias("runs")).join(own, ["id", "th"], "left_semi"), "runs")
+    wanted = written(shared.groupBy("id", "th").agg(F.collect_list(F.struct("key", "start", "n")).alias("runs")).join(own, ["id", "th"], "left_semi"), "runs", runs_path)
+    release(shared, shared_path)
     cut = texts.join(wanted.hint("shuffle_hash"), ["id", "th"]).select("id", "th", "text", "runs").mapInArrow(_cut, RUNS)
     cut = written(cut, "cut")
+    release(wanted, runs_path)
     often = keys.where("hot").select("key")
     few = cut.join(often.hint("shuffle_hash"), "key", "left_anti").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_lost, LOST)
     lost = written(few, "lost")
