@@ -96,21 +96,3 @@ def event_time_validate(s: Store) -> DataFrame:
     unknown, none = F.col("precision") == "unknown", F.col("event_at").isNull()
     status = F.when(F.col("precision") == "month", "invalid_precision").when(unknown & ~none, "unexpected_time").when(~unknown & none, "missing_time").when(F.col("confidence") > 0.5, "ok").otherwise("low_confidence")
     return rows.select("id", status.alias("status"))
-
-
-@query("event_time_resolve", "+ e AS (SELECT conv_id, turn, trim(text) AS body, sha256(trim(text)) AS h FROM conversations WHERE length(trim(coalesce(text, ''))) >= 40), x AS (SELECT e.conv_id, e.turn, c.id, CASE WHEN sha256(trim(c.text)) = e.h THEN 1 ELSE 2 END AS tier FROM e JOIN chunks c ON sha256(trim(c.text)) = e.h OR (length(e.body) >= 120 AND length(c.text) > 0 AND length(e.body) >= 0.8 * length(c.text) AND contains(c.text, e.body))) SELECT conv_id, turn, min(tier) AS tier, count(*) AS matches FROM x GROUP BY conv_id, turn UNION ALL SELECT conv_id, turn, 0, 0 FROM e WHERE (conv_id, turn) NOT IN (SELECT (conv_id, turn) FROM x) AND turn = 0")
-def event_time_resolve(s: Store) -> DataFrame:
-    """Messages matched to chunks: by equal text, else by a long text that holds them. First turns without a match have tier 0."""
-    rows = s.table("conversations").select("conv_id", "turn", F.trim("text").alias("body")).where(F.length("body") >= 40).withColumn("h", F.sha2("body", 256))
-    chunks = s.chunks.select("id", "text", F.sha2(F.trim("text"), 256).alias("h"))
-    exact = rows.join(chunks.select("id", "h"), "h").select("conv_id", "turn", "id", F.lit(1).alias("tier"))
-    # A text that holds a message has its first words too: those make an equi-join of the containment test.
-    head = lambda c: F.xxhash64(F.substring(c, 1, 40))
-    heads = rows.where(F.length("body") >= 120).select(head("body").alias("k")).distinct()
-    starts = chunks.withColumn("at", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.length("text") * 0.25).cast("int"))))).select("id", F.xxhash64(F.substring(F.col("text"), F.col("at"), F.lit(40))).alias("k")).join(heads, "k", "left_semi")
-    met = rows.where(F.length("body") >= 120).withColumn("k", head("body")).join(starts, "k").drop("k").distinct()
-    held = met.join(chunks.select("id", "text"), "id").where((F.length("body") >= 0.8 * F.length("text")) & F.col("text").contains(F.col("body")))
-    held = held.where(F.sha2(F.trim("text"), 256) != F.col("h")).select("conv_id", "turn", "id", F.lit(2).alias("tier")).distinct()
-    found = exact.unionByName(held).groupBy("conv_id", "turn").agg(F.min("tier").alias("tier"), F.count(F.lit(1)).alias("matches"))
-    none = rows.where("turn = 0").join(found, ["conv_id", "turn"], "left_anti").select("conv_id", "turn", F.lit(0).alias("tier"), F.lit(0).cast("long").alias("matches"))
-    return found.unionByName(none)

@@ -87,14 +87,6 @@ def backfill_confidence(s: Store, cap: int = 500) -> DataFrame:
     return rows.select("id", F.when(episode, "episodic").otherwise("raw_log").alias("category"), F.when(episode, 0.7).otherwise(0.5).alias("confidence"), F.when(episode, 30.0).otherwise(7.0).alias("base_tau"))
 
 
-@query("transcript_scan", "SELECT conv_id, turn, role, trim(text) AS body, length(trim(text))::INT AS chars FROM conversations WHERE role IN ('user', 'assistant') AND trim(coalesce(text, '')) <> ''")
-def transcript_scan(s: Store) -> DataFrame:
-    """Messages of users and assistants, by way of their JSON lines; lines that cannot be parsed have no role and go."""
-    lines = s.table("conversations").select("conv_id", "turn", F.to_json(F.struct(F.lit("message").alias("type"), F.struct("role", F.col("text").alias("content")).alias("message"))).alias("line"))
-    parsed = lines.select("conv_id", "turn", F.from_json("line", "type string, message struct<role: string, content: string>").alias("m")).where("m.type = 'message' AND m.message.role IN ('user', 'assistant')")
-    return parsed.select("conv_id", "turn", "m.message.role", F.trim("m.message.content").alias("body")).where("body <> ''").withColumn("chars", F.length("body"))
-
-
 FINGERPRINT_SQL = f"substr(sha256(category || '|0|' || {PLAIN_SQL.format('text')}), 1, 16)"
 
 
