@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions.registry import query
+from palimpsest.functions.tables import saved
 from palimpsest.functions.scores import FAMILY_SQL, PLAIN_SQL, plain, rounded, rounded_sql, scope_family
 from palimpsest.operators.lookup import candidates
 from palimpsest.sources.model import NOW, Store
@@ -208,25 +209,73 @@ _PAIRS_SQL = """pairs AS (SELECT a.chunk_id AS id1, b.chunk_id AS id2, a.categor
 _LIVE_SQL = "live AS (SELECT conf.* FROM conf JOIN chunks ON id = chunk_id WHERE is_archived = 0)"
 
 
-def conflicting(s: Store) -> DataFrame:
-    """Pairs of one category whose confidence and hits are far apart."""
+#: How far confidence and hits of a conflicting pair are apart, at least; and how many of the newest rows are tried first.
+FAR_CONFIDENCE, FAR_HITS, FIRST_ROWS = 0.3, 3, 64
+
+
+def far_pairs(new: DataFrame, rows: DataFrame) -> DataFrame:
+    """id1, id2, c1, c2, newest_at: pairs of a row of new and one of rows, of one category, that are far apart.
+
+    Both have category, chunk_id, confidence, hits, at; new is part of rows. Confidence is put into bands no wider than the
+    bound, so that rows of one band are no pair: a row meets the other bands alone. It lies between 0 and 1; beyond, rows
+    count to the outermost bands.
+    """
+    band = F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), "confidence")) / FAR_CONFIDENCE).cast("int")
+    bands = F.array(*[F.lit(i) for i in range(int(1 / FAR_CONFIDENCE) + 1)])
+    a = new.select("category", F.explode(F.array_except(bands, F.array(band))).alias("band"), *[F.col(c).alias(f"{c}_a") for c in ("chunk_id", "confidence", "hits", "at")])
+    inside = new.select("chunk_id", F.lit(True).alias("new"))
+    b = rows.join(inside, "chunk_id", "left").select("category", band.alias("band"), "new", *[F.col(c).alias(f"{c}_b") for c in ("chunk_id", "confidence", "hits", "at")])
+    # Of two new rows that meet twice, once from each side, one meeting counts.
+    once = F.col("new").isNull() | (F.col("chunk_id_a") < F.col("chunk_id_b"))
+    far = (F.abs(F.col("confidence_a") - F.col("confidence_b")) > FAR_CONFIDENCE) & (F.abs(F.col("hits_a") - F.col("hits_b")) > FAR_HITS)
+    met, first = a.join(b, ["category", "band"]).where(once & far), F.col("chunk_id_a") < F.col("chunk_id_b")
+    side = lambda c, one: F.when(first == F.lit(one), F.col(f"{c}_a")).otherwise(F.col(f"{c}_b"))
+    return met.select("category", side("chunk_id", True).alias("id1"), side("chunk_id", False).alias("id2"), side("confidence", True).alias("c1"), side("confidence", False).alias("c2"), F.greatest("at_a", "at_b").alias("newest_at"))
+
+
+def first_conflicts(rows: DataFrame, cap: int = 500, first: int = FIRST_ROWS) -> DataFrame:
+    """category, id1, id2, c1, c2, newest_at: the first `cap` conflicting pairs, by category, newest first, then by ids.
+
+    rows: category, chunk_id, confidence, hits, at. A pair is as new as its newer row: pairs newer than the oldest of a
+    category's newest rows have one of these rows on a side, so that nothing else is joined until `cap` pairs are found.
+    """
+    rows = saved(rows.where("category IS NOT NULL AND confidence IS NOT NULL AND hits IS NOT NULL"), "conflict-rows")
+    sizes = {r.category: r.n for r in rows.groupBy("category").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each category
+    order = [F.col("newest_at").desc(), "id1", "id2"]
+    out = far_pairs(rows.limit(0), rows.limit(0))
+    for category in sorted(sizes):
+        own, size, tried = rows.where(F.col("category") == category), sizes[category], first
+        while True:
+            new = saved(own.orderBy(F.col("at").desc(), "chunk_id").limit(tried), "newest-rows")
+            pairs = far_pairs(new, own)
+            if tried < size:
+                pairs = pairs.where(F.col("newest_at") > new.agg(F.min("at")).first()[0])
+            best = saved(pairs.orderBy(*order).limit(cap), "conflicts")
+            found = best.count()
+            if found >= cap or tried >= size:
+                break
+            tried *= 8
+        out, cap = out.unionByName(best), cap - found
+        if cap <= 0:
+            break
+    return out
+
+
+def live_rows(s: Store) -> DataFrame:
     live = s.confidence.where("is_archived = 0").join(s.chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
-    a = live.select("category", F.col("chunk_id").alias("id1"), F.col("confidence").alias("c1"), F.col("hit_count").alias("h1"), F.coalesce("last_confidence_update", F.lit(0)).alias("t1"))
-    b = live.select("category", F.col("chunk_id").alias("id2"), F.col("confidence").alias("c2"), F.col("hit_count").alias("h2"), F.coalesce("last_confidence_update", F.lit(0)).alias("t2"))
-    far = (F.col("id1") < F.col("id2")) & (F.abs(F.col("c1") - F.col("c2")) > 0.3) & (F.abs(F.col("h1") - F.col("h2")) > 3)
-    return a.join(b, "category").where(far).select("category", "id1", "id2", "c1", "c2", F.greatest("t1", "t2").alias("newest_at"))
+    return live.select("category", "chunk_id", "confidence", F.col("hit_count").alias("hits"), F.coalesce("last_confidence_update", F.lit(0).cast("long")).alias("at"))
 
 
 @query("conflict_pairs", f"+ {_LIVE_SQL}, {_PAIRS_SQL} SELECT id1, id2, category, newest_at FROM pairs ORDER BY category, newest_at DESC, id1, id2 LIMIT 500")
 def conflict_pairs(s: Store, cap: int = 500) -> DataFrame:
-    return conflicting(s).select("id1", "id2", "category", "newest_at").orderBy("category", F.col("newest_at").desc(), "id1", "id2").limit(cap)
+    return first_conflicts(live_rows(s), cap).select("id1", "id2", "category", "newest_at")
 
 
 @query("detect_conflicts", f"""+ {_LIVE_SQL}, {_PAIRS_SQL}, best AS (SELECT * FROM pairs ORDER BY category, newest_at DESC, id1, id2 LIMIT 500), tok AS (SELECT id, list_distinct(regexp_extract_all(lower(path || chr(10) || text), '{TOKEN}')) AS t FROM chunks)
 SELECT DISTINCT CASE WHEN c1 < c2 THEN id1 ELSE id2 END AS chunk_id FROM best JOIN tok x ON x.id = id1 JOIN tok y ON y.id = id2 WHERE len(list_intersect(x.t, y.t)) >= 0.2::DOUBLE * least(len(x.t), len(y.t))""")
 def detect_conflicts(s: Store) -> DataFrame:
     """Of such pairs that share a fifth of their words, the side with the lower confidence."""
-    best = conflicting(s).orderBy("category", F.col("newest_at").desc(), "id1", "id2").limit(500)
+    best = first_conflicts(live_rows(s))
     words = s.chunks.select("id", F.array_distinct(F.regexp_extract_all(F.lower(F.concat("path", F.lit("\n"), "text")), F.lit(TOKEN), F.lit(0))).alias("t"))
     both = best.join(words.select(F.col("id").alias("id1"), F.col("t").alias("x")), "id1").join(words.select(F.col("id").alias("id2"), F.col("t").alias("y")), "id2")
     near = F.size(F.array_intersect("x", "y")) >= 0.2 * F.least(F.size("x"), F.size("y"))
