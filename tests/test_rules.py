@@ -55,3 +55,24 @@ def test_tool_summaries(spark, tool, command, output, summary):
     rows = spark.createDataFrame([(tool, command, output)], "tool string, command string, output string")
     got = rows.select(tool_summary(F.col("tool"), F.col("command"), F.col("output"))).first()[0]
     assert got == (summary and f"Tool summary: {summary}")
+
+
+def test_details_in_han_letters_stand_between_ascii_words(spark):
+    from palimpsest.operators.quality import DETAIL_RULES, any_rule
+
+    texts = {"用户讨论完成": False, "用户讨论 done": True, "a完成b": True, "完成": False, "v1.2": True, "the abandoned": False, "用户 FIXED it": True}
+    df = spark.createDataFrame(list(texts.items()), "text string, wanted boolean")
+    assert {r.text: r.found for r in df.select("text", any_rule(F.col("text"), DETAIL_RULES).alias("found")).collect()} == texts
+
+
+def test_families_of_signals(spark):
+    from palimpsest.operators.text import RESCUE
+
+    texts = {
+        "值班Telegram提醒": "transient", "Sol值班 今天": "transient", "Gateway 又重启": "transient", "gateway 又重启": None, "reference utc: 1": None, "Reference UTC: 1": "transient", " [CRON:x] go": "transient", "验证通过": "engineering", "12 tests, 12 pass": "engineering",
+        "every: \"0m\"": "engineering", "心跳已关闭": "engineering", "[决策] a [教训] b [偏好] c [待办]": "engineering", "plain text": None,
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for name in ("transient", "engineering"):
+        found = {r.text for r in df.where(F.col("text").rlike(RESCUE[name])).collect()}
+        assert found == {t for t, n in texts.items() if n == name}
