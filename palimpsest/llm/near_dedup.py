@@ -230,7 +230,7 @@ def _others(around: DataFrame, found: DataFrame, sets: DataFrame, bits: DataFram
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """id, n_shingles, component_id, kept, th (hash of the text) for each document.
+    """id, n_shingles, component_id, kept for each document.
 
     Linked are documents with 100 * |common| >= percent * |union|; component_id is the smallest id that links lead to, and
     kept is whether it is the document's own. Null and empty texts and those of white space alone have no shingles and are
@@ -238,6 +238,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     have different components; those without an id are linked with nothing,
     have no component_id, and are kept.
     """
+    return _labelled(docs, id_col, text_col, percent).drop("th")
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """The rows of near_duplicates, with th, the hash of the text."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     all_rows = written(sketch(texts).withColumn("row", F.monotonically_increasing_id()), "sketches")
     linked = all_rows.where("n > 0 AND id IS NOT NULL")
@@ -275,15 +280,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return final.unionByName(alone).select("id", "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"), "th")
 
 
-def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """docs with one document of each group. Of rows that repeat an id those go whose own text has a smaller id beside it."""
     of, th = free_names(docs, "lost_id", "lost_hash")
-    lost = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).where("NOT kept").select(F.col("id").alias(of), F.col("th").alias(th)).distinct()
+    lost = _labelled(docs, id_col, text_col, percent).where("NOT kept").select(F.col("id").alias(of), F.col("th").alias(th)).distinct()
     return docs.join(lost.hint("shuffle_hash"), (F.col(id_col) == F.col(of)) & (F.xxhash64(F.col(text_col)) == F.col(th)), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id").drop("th")
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
 
 
 ORACLE = r"""
