@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from palimpsest.sources.model import NOW
+from palimpsest.sources.model import CATEGORIES, NOW
+
+
+# What names a row's category where the sidecar has none.
+NAMED_KIND = r"(?i)(?:^|\n)Category:[ \t\n\r\f\x0B]*([a-z_]+)"
+DAY_FILE = r"^memory/\d{4}-\d{2}-\d{2}\.md$"
+KIND_FOLDERS = {"memory/projects/": "project", "memory/dreaming/": "dreaming", "memory/episodes/": "episodic", "memory/generated-smart-add/": "generated", "memory/smart-add/": "raw_log"}
+KINDS = [*CATEGORIES, "core_profile", "project", "daily_journal", "dreaming", "stats", "external"]
 
 
 def rounded(x: Column, digits: int = 4) -> Column:
@@ -40,6 +47,19 @@ def scope_family(path: Column) -> Column:
     )
 
 
+def kind_of(category: Column, path: Column, text: Column, external: Column) -> Column:
+    """A row's category in lower case; without one, a known one that its text names on a line of its own, else that of its path.
+
+    Paths that say nothing give external rows `external` and managed ones `raw_log`.
+    """
+    named = F.lower(F.regexp_extract(F.coalesce(text, F.lit("")), NAMED_KIND, 1))
+    low = F.lower(F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^\.?/", ""))
+    placed = F.when(low == "memory.md", "core_profile").when(low.rlike(DAY_FILE), "daily_journal").when(low == "memory/stats-history.md", "stats")
+    for start, kind in KIND_FOLDERS.items():
+        placed = placed.when(low.startswith(start), kind)
+    return F.coalesce(F.when(category != "", F.lower(category)), F.when(named.isin(KINDS), named), placed, F.when(external, "external").otherwise("raw_log"))
+
+
 def plain(text: Column) -> Column:
     """Trimmed, white space collapsed, lower case: what duplicates are compared by."""
     return F.lower(F.trim(F.regexp_replace(text, r"[ \t\n\r\x0B\f]+", " ")))
@@ -57,3 +77,13 @@ PLAIN_SQL = "lower(trim(regexp_replace({}, '[ \\t\\n\\r\\x0B\\f]+', ' ', 'g')))"
 
 def rounded_sql(x: str, digits: int = 4) -> str:
     return f"(floor(({x}) * 1e{digits} + 0.5) / 1e{digits})"
+
+
+_LOW_SQL = "lower(regexp_replace(replace(path, '\\', '/'), '^\\.?/', ''))"
+_FOLDERS_SQL = " ".join(f"WHEN starts_with({_LOW_SQL}, '{start}') THEN '{kind}'" for start, kind in KIND_FOLDERS.items())
+_NAMED_SQL = f"lower(regexp_extract(coalesce(text, ''), '{NAMED_KIND}', 1))"
+_KINDS_SQL = "', '".join(KINDS)
+#: kind_of for DuckDB, over category, path, text and the sidecar c.
+KIND_SQL = f"""coalesce(CASE WHEN category <> '' THEN lower(category) END, CASE WHEN {_NAMED_SQL} IN ('{_KINDS_SQL}') THEN {_NAMED_SQL} END,
+    CASE WHEN {_LOW_SQL} = 'memory.md' THEN 'core_profile' WHEN regexp_matches({_LOW_SQL}, '{DAY_FILE}') THEN 'daily_journal' WHEN {_LOW_SQL} = 'memory/stats-history.md' THEN 'stats' {_FOLDERS_SQL} END,
+    CASE WHEN c.chunk_id IS NULL THEN 'external' ELSE 'raw_log' END)"""

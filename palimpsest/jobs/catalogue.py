@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from palimpsest.functions.registry import REGISTERED
 from palimpsest.sources.model import MODEL_SQL, Store
 
-MODULES = ["operators.lookup", "operators.metrics", "operators.retrieval", "operators.quality", "operators.lifecycle", "operators.telemetry", "operators.checkpoint", "operators.text", "operators.intent", "operators.upkeep", "operators.evidence", "operators.sampling", "operators.rollups", "streaming.turns", "streaming.turn_state", "streaming.reinforcement", "streaming.index_sync", "streaming.sinks"]
+MODULES = ["operators.lookup", "operators.metrics", "operators.retrieval", "operators.fusion", "operators.quality", "operators.lifecycle", "operators.telemetry", "operators.checkpoint", "operators.text", "operators.intent", "operators.upkeep", "operators.evidence", "operators.sampling", "operators.rollups", "streaming.turns", "streaming.turn_state", "streaming.reinforcement", "streaming.index_sync", "streaming.sinks"]
 
 
 def _load() -> None:

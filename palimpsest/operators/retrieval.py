@@ -1,14 +1,13 @@
-"""Hybrid ranked retrieval, for a table of queries at once.
+"""The channels of ranked retrieval, for a table of queries at once.
 
 Channels propose candidates: sidecar text, full text (BM25), vectors, substring, recency, episodes. Each row carries its
-query, so that one plan answers all queries. Channels are fused by reciprocal ranks, and re-ranked by boosts whose terms are
-rounded before they are added, as callers see them.
+query, so that one plan answers all queries. What they propose is fused in `fusion`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache, reduce
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.registry import query
 from palimpsest.functions.tables import saved
-from palimpsest.functions.scores import REALTIME_SQL, realtime_confidence, rounded, rounded_sql
+from palimpsest.functions.scores import KIND_SQL, REALTIME_SQL, kind_of, realtime_confidence, rounded, rounded_sql
 from palimpsest.operators.lookup import NEAREST_SQL, nearest, probes, with_sidecar
 from palimpsest.sources.model import BROAD, NOW, WORD, Store, terms_of
 
@@ -40,19 +39,28 @@ def recency_sql(base: float) -> str:
 
 
 def searchable(s: Store) -> DataFrame:
-    """Chunks that retrieval may return, with their sidecar and realtime confidence."""
+    """Chunks that retrieval may return, with what the sidecar says of them: realtime confidence, kind, hits, protection.
+
+    `category` is the sidecar's own; `kind` is never null: it falls back to what text and path say.
+    """
     rows = with_sidecar(s).where((F.coalesce("is_archived", F.lit(0)) == 0) & ~F.col("path").startswith("memory/generated-smart-add/"))
-    return rows.select("id", "path", "text", "updated_at", "category", "kg_data", F.when(F.col("chunk_id").isNotNull(), realtime_confidence()).alias("confidence"), F.col("chunk_id").isNull().alias("external"))
+    managed = F.col("chunk_id").isNotNull()
+    confidence = F.when(managed, rounded(F.least(F.lit(1.0), F.greatest(F.lit(0.0), realtime_confidence()))))
+    return rows.select(
+        "id", "path", "text", "updated_at", "category", "kg_data", confidence.alias("confidence"), (~managed).alias("external"),
+        kind_of(F.col("category"), F.col("path"), F.col("text"), ~managed).alias("kind"),
+        F.coalesce("hit_count", F.lit(0)).alias("hits"), (F.coalesce("is_protected", F.lit(0)) != 0).alias("protected"),
+    )
 
 
 def features(s: Store) -> DataFrame:
     """searchable(s) with `words`, the tokens of a text in order: written once for a store, for all channels and steps after them."""
-    if "features" not in s.__dict__:
-        s.__dict__["features"] = saved(searchable(s).withColumn("words", tokens("text")), "searchable")
-    return s.__dict__["features"]
+    return cached_once(s, "features", lambda: searchable(s).withColumn("words", tokens("text")))()
 
 
-SEARCHABLE_SQL = f"""searchable AS (SELECT id, path, text, updated_at, category, kg_data, CASE WHEN c.chunk_id IS NOT NULL THEN {REALTIME_SQL} END AS confidence, c.chunk_id IS NULL AS external
+SEARCHABLE_SQL = f"""searchable AS (
+    SELECT id, path, text, updated_at, category, kg_data, CASE WHEN c.chunk_id IS NOT NULL THEN {rounded_sql(f'least(1, greatest(0, {REALTIME_SQL}))')} END AS confidence,
+        c.chunk_id IS NULL AS external, {KIND_SQL} AS kind, coalesce(hit_count, 0) AS hits, coalesce(is_protected, 0) <> 0 AS protected
     FROM chunks LEFT JOIN conf c ON id = c.chunk_id WHERE coalesce(is_archived, 0) = 0 AND NOT starts_with(path, 'memory/generated-smart-add/')),
 qset AS (SELECT query_id, words AS ts, len(words) AS n_terms, fragments FROM qwords)"""
 
@@ -113,16 +121,16 @@ def top(rows: DataFrame, k: int, *order) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("position") <= k)
 
 
-def _top_sql(rows: str, k: int, order: str) -> str:
+def top_sql(rows: str, k: int, order: str) -> str:
     return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS position FROM ({rows})) WHERE position <= {k}"
 
 
-@query("fts_or", f"+ {SEARCHABLE_SQL}, {FULL_TEXT_SQL} {_top_sql('SELECT * FROM fts', 20, 'score DESC, id')}")
+@query("fts_or", f"+ {SEARCHABLE_SQL}, {FULL_TEXT_SQL} {top_sql('SELECT * FROM fts', 20, 'score DESC, id')}")
 def fts_or(s: Store) -> DataFrame:
     return top(full_text(s), 20, F.col("score").desc(), "id")
 
 
-@query("fts_strict", f"+ {SEARCHABLE_SQL}, {FULL_TEXT_SQL} {_top_sql('SELECT * FROM fts WHERE hits >= n_terms', 20, 'score DESC, id')}")
+@query("fts_strict", f"+ {SEARCHABLE_SQL}, {FULL_TEXT_SQL} {top_sql('SELECT * FROM fts WHERE hits >= n_terms', 20, 'score DESC, id')}")
 def fts_strict(s: Store, missing: int = 0) -> DataFrame:
     """Texts that have all terms of a query, or all but `missing`."""
     return top(full_text(s).where(F.col("hits") >= F.col("n_terms") - missing), 20, F.col("score").desc(), "id")
@@ -149,23 +157,25 @@ def text_channels(s: Store, rows: DataFrame, no_text: DataFrame) -> DataFrame:
     return text.select("query_id", "id", F.explode(F.array_compact(F.array(*each))).alias("c")).select("query_id", "id", "c.*")
 
 
-def channel_rows(s: Store, *wanted: str) -> DataFrame:
+def channel_rows(s: Store, *wanted: str, skipped: DataFrame | None = None) -> DataFrame:
     """query_id, id, channel, position, semantic: the candidates of the wanted channels, of all if none is named.
 
-    All channels read one table of texts and their words; ids alone go through them.
+    All channels read one table of texts and their words; ids alone go through them. The queries of skipped (query_id) go
+    without vectors.
     """
     wanted, rows = wanted or tuple(CHANNELS), features(s)
     newest = (F.col("updated_at").desc(), F.col("id"))
     family = F.col("path").startswith("memory/smart-add/") | F.col("path").startswith("memory/episodes/")
-    found = cached_once(lambda: fts_or(s).select("query_id", "id", "position", F.lit(0.5).alias("semantic")))
-    no_text = cached_once(lambda: s.queries.select("query_id").distinct().join(found(), "query_id", "left_anti"))
+    found = cached_once(s, "full_text_found", lambda: fts_or(s).select("query_id", "id", "position", F.lit(0.5).alias("semantic")))
+    no_text = cached_once(s, "no_text", lambda: s.queries.select("query_id").distinct().join(found(), "query_id", "left_anti"))
 
     def kg() -> DataFrame:
         held = matched(s, rows.where("kg_data <> ''").select("id", "kg_data", "updated_at"), "kg_data").withColumn("semantic", rounded(0.45 + F.col("lex")))
         return top(held, 20, F.col("semantic").desc(), *newest)
 
     def vector() -> DataFrame:
-        return nearest(s.vectors, probes(s), 30).join(rows.select("id"), "id").select("query_id", "id", "position", rounded(1 - F.col("distance")).alias("semantic"))
+        asked = probes(s) if skipped is None else probes(s).join(skipped, "query_id", "left_anti")
+        return nearest(s.vectors, asked, 30).join(rows.select("id"), "id").select("query_id", "id", "position", rounded(1 - F.col("distance")).alias("semantic"))
 
     def recent_fallback() -> DataFrame:
         last = rows.where(family).select("id", "updated_at").orderBy(*newest).limit(20)
@@ -182,25 +192,31 @@ def channel_rows(s: Store, *wanted: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def cached_once(make: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
-    """make, called once and written: several channels read what it gives."""
-    return cache(lambda: saved(make(), "channel"))
+def cached_once(s: Store, name: str, make: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
+    """make, called once for a store and written: several channels and steps read what it gives."""
+
+    def get() -> DataFrame:
+        if name not in s.__dict__:
+            s.__dict__[name] = saved(make(), name.replace("_", "-"))
+        return s.__dict__[name]
+
+    return get
 
 
 _FAMILY = "(starts_with(path, 'memory/smart-add/') OR starts_with(path, 'memory/episodes/'))"
 _SCORE = "semantic DESC, updated_at DESC, id"
-_RECENT = f"SELECT * EXCLUDE (position), {rounded_sql(f'0.35::DOUBLE + lex + {recency_sql(0.06)}')} AS semantic FROM ({_top_sql(f'SELECT * FROM matched WHERE {_FAMILY}', 120, 'updated_at DESC, id')})"
+_RECENT = f"SELECT * EXCLUDE (position), {rounded_sql(f'0.35::DOUBLE + lex + {recency_sql(0.06)}')} AS semantic FROM ({top_sql(f'SELECT * FROM matched WHERE {_FAMILY}', 120, 'updated_at DESC, id')})"
 _KG_LEX = rounded_sql(f"{hits_sql('lower(s.kg_data)')} / q.n_terms::DOUBLE")
 CHANNELS_SQL = f"""{SEARCHABLE_SQL}, {MATCHED_SQL}, {FULL_TEXT_SQL}, {NEAREST_SQL},
-ftop AS ({_top_sql('SELECT * FROM fts', 20, 'score DESC, id')}), no_text AS (SELECT query_id FROM qset WHERE query_id NOT IN (SELECT query_id FROM ftop)), rec AS ({_RECENT}),
+ftop AS ({top_sql('SELECT * FROM fts', 20, 'score DESC, id')}), no_text AS (SELECT query_id FROM qset WHERE query_id NOT IN (SELECT query_id FROM ftop)), rec AS ({_RECENT}),
 channels AS (
-    SELECT query_id, id, 'kg' AS channel, position, semantic FROM ({_top_sql(f"SELECT s.id, s.updated_at, q.query_id, {rounded_sql(f'0.45::DOUBLE + {_KG_LEX}')} AS semantic FROM searchable s, qset q WHERE s.kg_data <> '' AND {hits_sql('lower(s.kg_data)')} > 0", 20, _SCORE)})
+    SELECT query_id, id, 'kg' AS channel, position, semantic FROM ({top_sql(f"SELECT s.id, s.updated_at, q.query_id, {rounded_sql(f'0.45::DOUBLE + {_KG_LEX}')} AS semantic FROM searchable s, qset q WHERE s.kg_data <> '' AND {hits_sql('lower(s.kg_data)')} > 0", 20, _SCORE)})
     UNION ALL SELECT query_id, id, 'fts', position, 0.5 FROM ftop
     UNION ALL SELECT query_id, id, 'vector', position, {rounded_sql('1 - distance')} FROM near WHERE id IN (SELECT id FROM searchable)
-    UNION ALL SELECT query_id, id, 'like', position, {rounded_sql('0.3::DOUBLE + lex')} FROM ({_top_sql('SELECT * FROM matched WHERE query_id IN (SELECT query_id FROM no_text)', 30, 'updated_at DESC, id')})
-    UNION ALL SELECT query_id, id, 'recent', position, semantic FROM ({_top_sql('SELECT * FROM rec', 120, _SCORE)})
-    UNION ALL SELECT query_id, id, 'episode', position, semantic FROM ({_top_sql(f"SELECT * EXCLUDE (semantic), {rounded_sql('semantic + 0.08::DOUBLE')} AS semantic FROM rec WHERE starts_with(path, 'memory/episodes/')", 20, _SCORE)})
-    UNION ALL SELECT query_id, id, 'recent_fallback', position, {rounded_sql(f'0.25::DOUBLE + {recency_sql(0.06)}')} FROM ({_top_sql(f'SELECT s.*, n.query_id FROM searchable s, no_text n WHERE {_FAMILY}', 20, 'updated_at DESC, id')}))"""
+    UNION ALL SELECT query_id, id, 'like', position, {rounded_sql('0.3::DOUBLE + lex')} FROM ({top_sql('SELECT * FROM matched WHERE query_id IN (SELECT query_id FROM no_text)', 30, 'updated_at DESC, id')})
+    UNION ALL SELECT query_id, id, 'recent', position, semantic FROM ({top_sql('SELECT * FROM rec', 120, _SCORE)})
+    UNION ALL SELECT query_id, id, 'episode', position, semantic FROM ({top_sql(f"SELECT * EXCLUDE (semantic), {rounded_sql('semantic + 0.08::DOUBLE')} AS semantic FROM rec WHERE starts_with(path, 'memory/episodes/')", 20, _SCORE)})
+    UNION ALL SELECT query_id, id, 'recent_fallback', position, {rounded_sql(f'0.25::DOUBLE + {recency_sql(0.06)}')} FROM ({top_sql(f'SELECT s.*, n.query_id FROM searchable s, no_text n WHERE {_FAMILY}', 20, 'updated_at DESC, id')}))"""
 
 
 for _name, _channel in (("kg_channel", "kg"), ("like_channel", "like"), ("recent_channel", "recent"), ("episode_channel", "episode"), ("recent_fallback_channel", "recent_fallback")):
@@ -208,14 +224,14 @@ for _name, _channel in (("kg_channel", "kg"), ("like_channel", "like"), ("recent
         query(_name, f"+ {CHANNELS_SQL} SELECT query_id, id, position, semantic FROM channels WHERE channel = '{_channel}'")(lambda s, c=_channel: channel_rows(s, c).drop("channel"))
 
 
-@query("like_channel", f"+ {SEARCHABLE_SQL}, {MATCHED_SQL} SELECT query_id, id, position, {rounded_sql('0.3::DOUBLE + lex')} AS semantic FROM ({_top_sql('SELECT * FROM matched', 30, 'updated_at DESC, id')})")
+@query("like_channel", f"+ {SEARCHABLE_SQL}, {MATCHED_SQL} SELECT query_id, id, position, {rounded_sql('0.3::DOUBLE + lex')} AS semantic FROM ({top_sql('SELECT * FROM matched', 30, 'updated_at DESC, id')})")
 def like_channel(s: Store) -> DataFrame:
     """The substring channel by itself, without the test that full text came up empty."""
     rows = top(matched(s, features(s).select("id", "words", "updated_at"), "text"), 30, F.col("updated_at").desc(), "id")
     return rows.select("query_id", "id", F.col("position").cast("long").alias("position"), rounded(0.3 + F.col("lex")).alias("semantic"))
 
 
-@query("recent_fallback_channel", f"+ {SEARCHABLE_SQL} SELECT query_id, id, position, {rounded_sql(f'0.25::DOUBLE + {recency_sql(0.06)}')} AS semantic FROM ({_top_sql(f'SELECT s.*, q.query_id FROM searchable s, qset q WHERE {_FAMILY}', 20, 'updated_at DESC, id')})")
+@query("recent_fallback_channel", f"+ {SEARCHABLE_SQL} SELECT query_id, id, position, {rounded_sql(f'0.25::DOUBLE + {recency_sql(0.06)}')} AS semantic FROM ({top_sql(f'SELECT s.*, q.query_id FROM searchable s, qset q WHERE {_FAMILY}', 20, 'updated_at DESC, id')})")
 def recent_fallback_channel(s: Store) -> DataFrame:
     family = F.col("path").startswith("memory/smart-add/") | F.col("path").startswith("memory/episodes/")
     newest = searchable(s).where(family).select("id", "updated_at").orderBy(F.col("updated_at").desc(), "id").limit(20)
@@ -223,63 +239,32 @@ def recent_fallback_channel(s: Store) -> DataFrame:
     return rows.select("query_id", "id", F.col("position").cast("long").alias("position"), rounded(0.25 + recency(F.col("updated_at"), 0.06)).alias("semantic"))
 
 
-def fuse(channels: DataFrame) -> DataFrame:
-    """A row for each query and id: reciprocal ranks summed, the best semantic score, the channels in their order."""
-    number = F.create_map(*[x for i, c in enumerate(CHANNELS) for x in (F.lit(c), F.lit(i))])
-    rows = channels.groupBy("query_id", "id").agg(F.sum(1 / (RRF + F.col("position"))).alias("rrf"), F.max("semantic").alias("semantic"), F.sort_array(F.collect_set(F.struct(F.element_at(number, F.col("channel")).alias("i"), "channel"))).alias("c"))
-    return rows.select("query_id", "id", rounded(F.col("rrf")).alias("rrf_score"), rounded(F.greatest(F.lit(0.0), "semantic")).alias("semantic_score"), F.concat_ws(",", "c.channel").alias("channels"))
-
-
-_ORDER_SQL = "list_position(['" + "', '".join(CHANNELS) + "'], channel)"
-FUSED_SQL = f"{CHANNELS_SQL}, fused AS (SELECT query_id, id, {rounded_sql('sum(1 / (60 + position)::DOUBLE)')} AS rrf_score, {rounded_sql('greatest(0, max(semantic))')} AS semantic_score, string_agg(channel, ',' ORDER BY {_ORDER_SQL}) AS channels FROM channels GROUP BY query_id, id)"
-
-
-@query("rrf_fusion", f"+ {FUSED_SQL} SELECT * FROM fused")
-def rrf_fusion(s: Store) -> DataFrame:
-    return fuse(channel_rows(s))
+#: Hundredths for a term and for a fragment that a row's kind, file, module and path have; 40 at most.
+WEIGHTS = {"kind": (8, 10), "file": (8, 10), "module": (6, 8), "path": (4, 6)}
+_PLACES_SQL = {"kind": "lower(kind)", "file": "split_part(lower(path), '/', -1)", "module": "split_part(lower(path), '/', -2)", "path": "lower(path)"}
+_BONUS_SQL = " + ".join(f"{w} * len(list_filter({items}, lambda t: contains({_PLACES_SQL[place]}, t)))" for k, items in enumerate(("ts", "fragments")) for place, w in ((p, v[k]) for p, v in WEIGHTS.items()))
+EXACT_SQL = "least(36, 12 * len(list_filter({}, lambda f: contains(haystack, f)))) / 100.0::DOUBLE"
+STRUCTURED_SQL = f"least(40, {_BONUS_SQL}) / 100.0::DOUBLE"
+HAYSTACK_SQL = "lower(path || chr(10) || coalesce(text, '') || chr(10) || kind)"
 
 
-def boosted(s: Store) -> DataFrame:
-    rows = fuse(channel_rows(s)).join(features(s).drop("words"), "id")
-    low = F.lower("text")
-    managed = F.when(F.col("category") == "episodic", 0.12).when(low.contains("session checkpoint") | low.contains("session-checkpoint"), 0.10).otherwise(0.0)
-    dreaming = F.col("path").startswith("memory/dreaming/")
-    terms = {
-        "recency_boost": recency(F.col("updated_at"), 0.06), "category_boost": F.when(F.col("external"), 0.03).otherwise(managed),
-        "confidence_boost": F.when(F.col("external"), 0.0).otherwise(rounded(F.col("confidence") * 0.1)), "external_boost": F.when(F.col("external") & ~dreaming, 0.05).otherwise(0.0),
-    }
-    rows = rows.withColumns(terms)
-    score = F.col("semantic_score") + F.col("rrf_score")
-    for name in terms:
-        score = score + F.col(name)
-    return rows.withColumn("final_score", rounded(score))
+def signal_sql(semantic: str) -> str:
+    return rounded_sql(f"0.55::DOUBLE * lex + least(1, exact / 0.36::DOUBLE) * 0.2::DOUBLE + least(1, structured / 0.4::DOUBLE) * 0.15::DOUBLE + least(1, {semantic}) * 0.1::DOUBLE")
 
 
-_BOOSTED_SQL = f"""{FUSED_SQL}, boosted AS (SELECT *, {rounded_sql('semantic_score + rrf_score + recency_boost + category_boost + confidence_boost + external_boost')} AS final_score FROM (
-    SELECT f.*, s.* EXCLUDE (id), {recency_sql(0.06)} AS recency_boost, CASE WHEN external THEN 0.03::DOUBLE WHEN category = 'episodic' THEN 0.12::DOUBLE WHEN contains(lower(text), 'session checkpoint') OR contains(lower(text), 'session-checkpoint') THEN 0.1::DOUBLE ELSE 0 END AS category_boost,
-        CASE WHEN external THEN 0 ELSE {rounded_sql('confidence * 0.1::DOUBLE')} END AS confidence_boost, CASE WHEN external AND NOT starts_with(path, 'memory/dreaming/') THEN 0.05::DOUBLE ELSE 0 END AS external_boost FROM fused f JOIN searchable s USING (id)))"""
+_ENRICH_SQL = f"""{SEARCHABLE_SQL}, hay AS (SELECT *, {HAYSTACK_SQL} AS haystack FROM searchable),
+held AS (SELECT h.*, q.query_id, q.ts, q.fragments, {rounded_sql(hits_sql('h.haystack') + ' / q.n_terms::DOUBLE')} AS lex FROM hay h, qset q WHERE {hits_sql('h.haystack')} > 0),
+lexical AS (SELECT *, {signal_sql('0.3::DOUBLE + lex')} AS signal FROM (SELECT query_id, id, lex, updated_at, {EXACT_SQL.format('fragments')} AS exact, {STRUCTURED_SQL} AS structured FROM held))"""
 
 
-@query("hybrid_search", f"+ {_BOOSTED_SQL} SELECT query_id, rank, substr(id, 1, 16) AS id, path, substr(text, 1, 240) AS text, channels, semantic_score, rrf_score, recency_boost, category_boost, confidence_boost, external_boost, final_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, id) AS rank FROM boosted) WHERE rank <= 5")
-def hybrid_search(s: Store, k: int = 5) -> DataFrame:
-    best = boosted(s).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("final_score").desc(), "id"))).where(F.col("rank") <= k)
-    return best.select("query_id", F.col("rank").cast("long").alias("rank"), F.substring("id", 1, 16).alias("id"), "path", F.substring("text", 1, 240).alias("text"), "channels", "semantic_score", "rrf_score", "recency_boost", "category_boost", "confidence_boost", "external_boost", "final_score")
+def haystack() -> Column:
+    return F.lower(F.concat_ws("\n", "path", F.coalesce("text", F.lit("")), "kind"))
 
 
-@query("hybrid_breakdown", f"+ {FUSED_SQL} SELECT query_id, channel, count(*) AS n FROM channels GROUP BY query_id, channel")
-def hybrid_breakdown(s: Store) -> DataFrame:
-    return channel_rows(s).groupBy("query_id", "channel").agg(F.count(F.lit(1)).alias("n"))
-
-
-#: Hundredths for a term and for a fragment that a row's category, file, module and path have; 40 at most.
-WEIGHTS = {"category": (8, 10), "file": (8, 10), "module": (6, 8), "path": (4, 6)}
-_PLACES_SQL = {"category": "lower(coalesce(category, ''))", "file": "split_part(lower(path), '/', -1)", "module": "split_part(lower(path), '/', -2)", "path": "lower(path)"}
-_BONUS_SQL = " + ".join(f"{w} * len(list_filter({items}, lambda t: contains({_PLACES_SQL[place]}, t)))" for k, items in enumerate(("ts", "fragments")) for place, w in ((p, v[k]) for p, v in WEIGHTS.items()))
-_EXACT_SQL = "least(36, 12 * len(list_filter({}, lambda f: contains(haystack, f)))) / 100.0::DOUBLE"
-_ENRICH_SQL = f"""{SEARCHABLE_SQL}, hay AS (SELECT *, lower(path || chr(10) || coalesce(text, '') || chr(10) || coalesce(category, '')) AS haystack FROM searchable),
-held AS (SELECT h.*, q.query_id, q.ts, q.fragments, {rounded_sql(hits_sql('h.haystack') + ' / q.n_terms::DOUBLE')} AS lex FROM hay h, qset q WHERE {hits_sql('h.haystack')} > 0),
-lexical AS (SELECT *, {rounded_sql('0.55::DOUBLE * lex + least(1, exact / 0.36::DOUBLE) * 0.2::DOUBLE + least(1, structured / 0.4::DOUBLE) * 0.15::DOUBLE + least(1, 0.3::DOUBLE + lex) * 0.1::DOUBLE')} AS signal FROM (
-    SELECT query_id, id, lex, updated_at, {_EXACT_SQL.format('fragments')} AS exact, least(40, {_BONUS_SQL}) / 100.0::DOUBLE AS structured FROM held))"""
+def coverage(terms: Column, text: Column) -> Column:
+    """The share of the terms that a lower-case text has; one of digits alone has no digit next to it. No terms have 0."""
+    alone = lambda t: ~t.rlike("^[0-9]+$") | F.regexp_like(text, F.concat(F.lit("(^|[^0-9])"), t, F.lit("([^0-9]|$)")))
+    return F.when(F.size(terms) > 0, rounded(F.size(F.filter(terms, lambda t: text.contains(t) & alone(t))) / F.size(terms))).otherwise(F.lit(0.0))
 
 
 def exact_bonus(fragments: Column) -> Column:
@@ -287,57 +272,55 @@ def exact_bonus(fragments: Column) -> Column:
     return F.least(F.lit(36), 12 * F.size(F.filter(fragments, lambda f: F.col("haystack").contains(f)))) / 100.0
 
 
-def lexical(s: Store) -> DataFrame:
-    """query_id, id, lex, exact, structured, signal of the rows whose path, text or category has a term of the query.
-
-    structured: terms and fragments in category, file, module and path. The semantic share is that of the substring channel.
-    """
-    rows = searchable(s).select("id", "path", "updated_at", "category", F.lower(F.concat_ws("\n", "path", F.coalesce("text", F.lit("")), F.coalesce("category", F.lit("")))).alias("haystack"))
-    rows = matched(s, rows, "haystack").join(s.queries, "query_id")
+def structured_bonus() -> Column:
+    """Hundredths for terms (`words`) and `fragments` in a row's kind, file, module and path."""
     parts = F.split(F.lower("path"), "/")
-    places = {"category": F.lower(F.coalesce("category", F.lit(""))), "file": F.element_at(parts, -1), "module": F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise(""), "path": F.lower("path")}
+    places = {"kind": F.lower("kind"), "file": F.element_at(parts, -1), "module": F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise(""), "path": F.lower("path")}
     count_in = lambda items, c: F.size(F.filter(items, lambda t: c.contains(t)))
     bonus = F.lit(0)
     for k, items in enumerate(("words", "fragments")):
         for place, c in places.items():
             bonus = bonus + WEIGHTS[place][k] * count_in(items, c)
-    rows = rows.select("query_id", "id", "lex", "updated_at", exact_bonus(F.col("fragments")).alias("exact"), (F.least(F.lit(40), bonus) / 100.0).alias("structured"))
+    return F.least(F.lit(40), bonus) / 100.0
+
+
+def signal(semantic: Column) -> Column:
+    """What coverage (lex), exact and structured matches and a semantic score say together."""
     one = lambda x: F.least(F.lit(1.0), x)
-    signal = 0.55 * F.col("lex") + one(F.col("exact") / 0.36) * 0.2 + one(F.col("structured") / 0.4) * 0.15 + one(0.3 + F.col("lex")) * 0.1
-    return rows.withColumn("signal", rounded(signal))
+    return rounded(0.55 * F.col("lex") + one(F.col("exact") / 0.36) * 0.2 + one(F.col("structured") / 0.4) * 0.15 + one(semantic) * 0.1)
 
 
-@query("lexical_enrich", f"+ {_ENRICH_SQL} SELECT query_id, id, lex, exact, structured, signal FROM ({_top_sql('SELECT * FROM lexical', 20, 'signal DESC, updated_at DESC, id')})")
-def lexical_enrich(s: Store) -> DataFrame:
-    return top(lexical(s), 20, F.col("signal").desc(), F.col("updated_at").desc(), "id").select("query_id", "id", "lex", "exact", "structured", "signal")
+def lexical(s: Store) -> DataFrame:
+    """query_id, id, lex, exact, structured, signal of the rows whose path, text or kind has a term of the query.
 
+    The semantic share is that of the substring channel.
+    """
+    rows = searchable(s).select("id", "path", "updated_at", "kind", haystack().alias("haystack"))
+    rows = matched(s, rows, "haystack").join(s.queries, "query_id")
+    rows = rows.select("query_id", "id", "lex", "updated_at", exact_bonus(F.col("fragments")).alias("exact"), structured_bonus().alias("structured"))
+    return rows.withColumn("signal", signal(0.3 + F.col("lex")))
 
-@query("lexical_confidence", f"+ {_ENRICH_SQL} SELECT query_id, n, {rounded_sql('least(1, n / 3.0::DOUBLE) * 0.15::DOUBLE + least(1, signal / 1.2::DOUBLE) * 0.15::DOUBLE + lex * 0.25::DOUBLE + least(1, exact / 0.36::DOUBLE) * 0.15::DOUBLE + least(1, structured / 0.4::DOUBLE) * 0.2::DOUBLE + 0.05::DOUBLE')} AS confidence FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, row_number() OVER (PARTITION BY query_id ORDER BY signal DESC, updated_at DESC, id) AS r FROM lexical) WHERE r = 1")
-def lexical_confidence(s: Store) -> DataFrame:
-    """How far the best lexical row can be trusted without vectors; it has the support of one channel, which is worth 0.05."""
-    rows = lexical(s)
-    first = top(rows, 1, F.col("signal").desc(), F.col("updated_at").desc(), "id").drop("position")
-    counts = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    one = lambda x: F.least(F.lit(1.0), x)
-    total = one(F.col("n") / 3.0) * 0.15 + one(F.col("signal") / 1.2) * 0.15 + F.col("lex") * 0.25 + one(F.col("exact") / 0.36) * 0.15 + one(F.col("structured") / 0.4) * 0.2 + 0.05
-    return first.join(counts, "query_id").select("query_id", "n", rounded(total).alias("confidence"))
+
+@query("lexical_enrich", f"+ {_ENRICH_SQL} SELECT query_id, id, lex, exact, structured, signal FROM ({top_sql('SELECT * FROM lexical', 20, 'signal DESC, updated_at DESC, id')})")
+def lexical_enrich(s: Store) -> DataFrame:
+    return top(lexical(s), 20, F.col("signal").desc(), F.col("updated_at").desc(), "id").select("query_id", "id", "lex", "exact", "structured", "signal")
 
 
-_CHECKPOINT = r"session\s*checkpoint|session[_ -]?key|session[_ -]?id"
-_CHECKPOINT_PATH = r"(?i)session[-_]?checkpoint"
+CHECKPOINT = r"session\s*checkpoint|session[_ -]?key|session[_ -]?id"
+CHECKPOINT_PATH = r"(?i)session[-_]?checkpoint"
 _BROAD_SQL = "('" + "', '".join(BROAD) + "')"
 _FALLBACK_SQL = f"""{SEARCHABLE_SQL}, told AS (SELECT query_id, list_filter(ts, lambda t: t NOT IN {_BROAD_SQL}) AS ts, list_filter(fragments, lambda f: f NOT IN {_BROAD_SQL}) AS fragments FROM qset),
 hay AS (SELECT *, lower(path || chr(10) || coalesce(text, '')) AS haystack FROM searchable), held AS (SELECT h.*, q.query_id, q.fragments, {hits_sql('h.haystack')} / len(q.ts)::DOUBLE AS share FROM hay h, told q WHERE {hits_sql('h.haystack')} > 0),
-boosts AS (SELECT query_id, id, updated_at, share, {_EXACT_SQL.format('fragments')} AS exact, CASE WHEN starts_with(path, 'memory/smart-add/') THEN 0.18::DOUBLE ELSE 0 END + CASE WHEN starts_with(path, 'memory/episodes/') OR category = 'episodic' THEN 0.12::DOUBLE ELSE 0 END
-    + CASE WHEN regexp_matches(lower(coalesce(text, '')), '{_CHECKPOINT}') OR regexp_matches(path, '{_CHECKPOINT_PATH}') THEN 0.08::DOUBLE ELSE 0 END AS boost FROM held)"""
+boosts AS (SELECT query_id, id, updated_at, share, {EXACT_SQL.format('fragments')} AS exact, CASE WHEN starts_with(path, 'memory/smart-add/') THEN 0.18::DOUBLE ELSE 0 END + CASE WHEN starts_with(path, 'memory/episodes/') OR category = 'episodic' THEN 0.12::DOUBLE ELSE 0 END
+    + CASE WHEN regexp_matches(lower(coalesce(text, '')), '{CHECKPOINT}') OR regexp_matches(path, '{CHECKPOINT_PATH}') THEN 0.08::DOUBLE ELSE 0 END AS boost FROM held)"""
 
 
-@query("fts_fallback_rank", f"+ {_FALLBACK_SQL} {_top_sql(f"SELECT query_id, id, {rounded_sql(f'1.6::DOUBLE * share + exact + boost + {recency_sql(0.08)}')} AS score FROM boosts", 20, 'score DESC, id')}")
+@query("fts_fallback_rank", f"+ {_FALLBACK_SQL} {top_sql(f"SELECT query_id, id, {rounded_sql(f'1.6::DOUBLE * share + exact + boost + {recency_sql(0.08)}')} AS score FROM boosts", 20, 'score DESC, id')}")
 def fts_fallback_rank(s: Store) -> DataFrame:
     """Rows whose path or text has a term of the query; broad words say nothing, as terms and as fragments."""
     told = s.queries.select("query_id", *[F.filter(c, lambda t: ~t.isin(BROAD)).alias(c) for c in ("words", "fragments")])
     text = F.lower(F.coalesce("text", F.lit("")))
-    checkpoint = text.rlike(_CHECKPOINT) | F.col("path").rlike(_CHECKPOINT_PATH)
+    checkpoint = text.rlike(CHECKPOINT) | F.col("path").rlike(CHECKPOINT_PATH)
     rows = searchable(s).select("id", "path", "updated_at", "category", checkpoint.alias("checkpoint"), F.lower(F.concat_ws("\n", "path", F.coalesce("text", F.lit("")))).alias("haystack"))
     rows = matched(s, rows, "haystack", terms_of(told)).join(told, "query_id")
     boost = F.when(F.col("path").startswith("memory/smart-add/"), 0.18).otherwise(0.0) + F.when(F.col("path").startswith("memory/episodes/") | (F.coalesce("category", F.lit("")) == "episodic"), 0.12).otherwise(0.0)
