@@ -316,14 +316,6 @@ def test_components_hold_the_links_of_brute_force(altered_copies):
         assert links and sum(of.get(a, -a) == of.get(b, -b) for a, b in links) >= 0.95 * len(links)
 
 
-def test_the_longest_similar_part_of_a_chain():
-    run = lambda a, b: [(i, i) for i in range(a, b)]
-    # Of 20, 45 and 30 tokens with gaps of 5 and 60 the first two make a part: 65 in common of 75.
-    chain = run(0, 20) + run(25, 70) + run(130, 160)
-    assert passage_dedup.longest(chain) == (0, 64)
-    assert passage_dedup.longest(run(0, 5)) == (0, 4) and passage_dedup.longest([(3, 9)]) == (0, 0)
-
-
 def test_compact_windows_are_the_large_subtrees():
     rng = np.random.default_rng(3)
     x = np.concatenate(([0], rng.integers(1, 2**60, 300), [0], rng.integers(1, 2**60, 50), [0])).astype(np.uint64)
