@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.registry import query
 from palimpsest.functions.scores import rounded, rounded_sql
+from palimpsest.functions.tables import saved
 from palimpsest.operators import quality
 from palimpsest.sources.model import NOW, TAU, Store
 
@@ -43,7 +44,13 @@ _NEAR_SQL = f"""tok AS (SELECT id, category, list_distinct(regexp_extract_all(lo
 @query("conflict_penalties", f"""+ {_BAD_SQL}, {_NEAR_SQL} SELECT chunk_id, {rounded_sql(f'CASE WHEN b THEN greatest({FLOOR}::DOUBLE, confidence - {MISMATCH_PENALTY}::DOUBLE) WHEN n THEN greatest({FLOOR}::DOUBLE, confidence - {NEAR_PENALTY}::DOUBLE) ELSE confidence END')} AS confidence,
     CASE WHEN b OR n THEN 1 ELSE coalesce(conflict_flag, 0) END AS conflict_flag FROM (SELECT *, chunk_id IN (SELECT chunk_id FROM bad) AS b, chunk_id IN (SELECT chunk_id FROM close) AS n FROM conf)""")
 def conflict_penalties(s: Store) -> DataFrame:
-    return penalised(s.confidence, quality.mismatched_chunks(quality.settings(s)), quality.near_duplicates(s))
+    """Only who has a near duplicate counts: of equal sets of words each member is paired with the first, of similar ones the first members."""
+    bad = saved(quality.mismatched_chunks(quality.settings(s)), "mismatched")
+    members, links = quality.similar_sets(quality.token_sets(s).join(bad.withColumnRenamed("chunk_id", "id"), "id", "left_anti"), 0.6)
+    first = saved(members.groupBy("row").agg(F.min("id").alias("first")), "first-members")
+    equal = members.join(first, "row").where("id <> first").select(F.col("first").alias("id_a"), F.col("id").alias("id_b"))
+    side = lambda x: first.select(F.col("row").alias(x), F.col("first").alias(f"id_{x}"))
+    return penalised(s.confidence, bad, equal.unionByName(links.join(side("a"), "a").join(side("b"), "b").where("id_a <> id_b").select("id_a", "id_b")))
 
 
 def confidence_set(rows: DataFrame, asked: DataFrame, now: int) -> DataFrame:
