@@ -1,11 +1,15 @@
 """Settings, stances and tool summaries on rows whose answers are known."""
 
+import itertools
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.operators.checkpoint import tool_summary
 from palimpsest.operators.quality import changed_flags, mismatched_keys
-from palimpsest.operators.text import opposed
+from palimpsest.operators.text import STANCES, opposed
 
 SETTINGS = "chunk_id string, text string, set_at long, conflict_flag int"
 
@@ -35,6 +39,23 @@ def test_opposed_texts_share_two_topics(spark):
     assert opposed(spark.createDataFrame([], "id string, text string")).count() == 0
 
 
+@pytest.mark.parametrize("cell_rows", [3, 2_000])
+def test_opposed_pairs_are_those_of_all_pairs_and_none_is_shuffled(spark, cell_rows):
+    rng = random.Random(cell_rows)
+    topics, said = ["alpha", "beta", "gamma", "delta"], ["prefer", "hate", "great", "terrible", "prefer hate", "great hate", "true", ""]
+    rows = [(f"c{i:02}", " ".join([rng.choice(said), *rng.sample(topics, rng.randrange(5)), "longer"])) for i in range(60)] + [("c03", "hate alpha beta"), (None, "hate alpha beta")]
+    sides = lambda text: ({i for i, (p, _) in enumerate(STANCES) if re.search(p, text)}, {i for i, (_, n) in enumerate(STANCES) if re.search(n, text)}, {w for w in text.split() if len(w) > 3})
+    want = []
+    for (i, (p, n, t)), (j, (q, m, u)) in itertools.product([(i, sides(text)) for i, text in rows if i], repeat=2):
+        if i < j and len(t & u) > 1 and (p & m or n & q):
+            want.append((i, j, len(t & u), len((p & m) | (n & q))))
+    found = opposed(spark.createDataFrame(rows, "id string, text string"), cell_rows)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    # What follows the tables that are written is one join, whose rows go nowhere else.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Aggregate|Deduplicate|Window|Distinct", plan)
+
+
 @pytest.mark.parametrize(
     "tool, command, output, summary",
     [
