@@ -3,9 +3,10 @@
 import datetime
 import random
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from palimpsest.streaming.turn_state import STATE, ended_turns, short_ids, turns
+from palimpsest.streaming.turn_state import STATE, Turns, ended_turns, short_ids, turns
 from palimpsest.streaming.turns import finished
 
 OPS = "run_id string, at timestamp, seq bigint, kind string, session_id string, trace_id string, memory_ids array<string>, allowed_ids array<string>"
@@ -70,3 +71,38 @@ def test_short_ids():
 
 def test_no_operations(spark):
     assert ended_turns(spark.createDataFrame([], OPS).withColumn("new", F.lit(1))).count() == 0
+
+
+class Calls:
+    """A handle and states in memory that count what a processor asks of them."""
+
+    def __init__(self):
+        self.timers, self.registered, self.value, self.rows = set(), 0, None, []
+
+    def registerTimer(self, ms):  # noqa: N802
+        self.registered += 1
+        self.timers.add(ms)
+
+    exists = lambda self: self.value is not None
+    get = lambda self: self.value
+    update = lambda self, value: setattr(self, "value", value)
+    appendList = lambda self, rows: self.rows.extend(rows)
+    put = lambda self, rows: setattr(self, "rows", rows)
+    clear = lambda self: (setattr(self, "value", None), setattr(self, "rows", []))
+
+
+def test_timers_do_not_grow_with_the_operations_of_a_batch():
+    handle, turn, waiting = Calls(), Calls(), Calls()
+    waiting.get = lambda: waiting.rows
+    turns = Turns(60_000)
+    turns.handle, turns.turn, turns.waiting = handle, turn, waiting
+    came = [Row(kind="open" if k == 0 else "get", session_id="s", trace_id="t", memory_ids=[f"m{k}"], allowed_ids=[], ms=1_000 * k, seq=k) for k in range(50)]
+    turns.handleInputRows(("r",), iter(came), None)
+    ended, fired = [], 0
+    for now in (20_500, 1_000_000):  # the watermark passes some first, then all
+        while due := sorted(t for t in handle.timers if t <= now):
+            handle.timers.remove(due[0])
+            fired += 1
+            ended += turns.handleExpiredTimer(("r",), type("T", (), {"getCurrentWatermarkInMs": lambda self, now=now: now})(), None)
+    assert [(r.ended, r.created_ms, r.touched_ms, len(r.get_ids)) for r in ended] == [("expired", 0, 49_000, 49)]
+    assert handle.registered <= 4 and fired <= 4 and not waiting.rows
