@@ -8,8 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.operators.checkpoint import tool_summary
-from palimpsest.operators.quality import changed_flags, mismatched_keys
+from palimpsest.functions.scores import plain
+from palimpsest.operators.quality import changed_flags, judged, marked, mismatched_keys
 from palimpsest.operators.text import STANCES, opposed
+from palimpsest.sources.model import Store
+from tests.oracle import SMALL
 
 SETTINGS = "chunk_id string, text string, set_at long, conflict_flag int"
 
@@ -56,6 +59,21 @@ def test_opposed_pairs_are_those_of_all_pairs_and_none_is_shuffled(spark, cell_r
     assert not re.search(r"Aggregate|Deduplicate|Window|Distinct", plan)
 
 
+def test_flags_of_texts_are_told_where_texts_are_read(spark):
+    texts = [
+        ("a", None, "missing_content"), ("b", " ", "content_empty"), ("c", "short \t\n one", "content_too_short"), ("d", "role : user, said in full", "raw_log_leak"), ("e", "# Assistant\nand more of it all", "raw_log_leak"), ("f", "Traceback (most recent call last)", "debug_noise"),
+        ("g", "    at run (a.js:10:5)\nand so on and on", "debug_noise"), ("h", "User TALKED about many things here", "too_generic"), ("i", "User talked about v1.2 of many things", ""), ("j", "x" * 4001, "content_too_long"), ("k", "on 2024-01-05 10:00:00 it was so", "timestamp_pollution"), ("l", "a: b (c) # d, nothing else here", ""),
+    ]
+    rows = marked(spark.createDataFrame([(i, text) for i, text, _ in texts], "id string, text string"))
+    assert {r.id: ",".join(r.marks) for r in rows.collect()} == {i: mark for i, _, mark in texts}
+    assert "text" not in judged(Store(spark, SMALL)).columns
+
+
+def test_plain_texts(spark):
+    rows = [(" A  b\tC\n\n d e\x0b",), ("\t",), ("a b c",), (None,), ("",)]
+    assert [r[0] for r in spark.createDataFrame(rows, "t string").select(plain(F.col("t"))).collect()] == ["a b c d e", "", "a b c", None, ""]
+
+
 @pytest.mark.parametrize(
     "tool, command, output, summary",
     [
