@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators.checkpoint import tool_summary
 from palimpsest.functions.scores import plain
-from palimpsest.operators.quality import changed_flags, judged, marked, mismatched_keys
+from palimpsest.operators import quality
+from palimpsest.operators.quality import changed_flags, holders, judged, marked, mismatched_keys
 from palimpsest.operators.text import STANCES, opposed
 from palimpsest.sources.model import Store
 from tests.oracle import SMALL
@@ -74,6 +75,18 @@ def test_plain_texts(spark):
     assert [r[0] for r in spark.createDataFrame(rows, "t string").select(plain(F.col("t"))).collect()] == ["a b c d e", "", "a b c", None, ""]
 
 
+def test_holders_are_those_of_a_search_for_each_text(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SLICE", 16)
+    stored = ["", None, "the quick brown fox", "the quick brown fox the quick brown fox", "ünïcödé texts, 用户讨论项目记忆系统", "x" * 50, "用户讨论", "brown fo", "the quick brown", "x the quick"]
+    new = [(1, "quick brown"), (1, "the quick brown fox"), (2, "x"), (3, ""), (4, None), (5, "讨论项目记"), (6, "ünïcödé"), (7, "xxxxxxxx"), (8, "nowhere at all"), (9, "foxthe quick"), (10, "quick b")]
+    found = holders(spark.createDataFrame([(t,) for t in stored], "low string").repartition(2), spark.createDataFrame(new, "item_id long, new string"))
+    want = {}
+    for i, text in new:
+        want[i] = want.get(i, 0) + sum(text is not None and t is not None and text in t for t in stored)
+    assert {r.item_id: r.n for r in found.groupBy("item_id").agg(F.sum("n").alias("n")).collect()} == {i: n for i, n in want.items() if n}
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize(
     "tool, command, output, summary",
     [
