@@ -316,6 +316,46 @@ def test_components_hold_the_links_of_brute_force(altered_copies):
         assert links and sum(of.get(a, -a) == of.get(b, -b) for a, b in links) >= 0.95 * len(links)
 
 
+def test_texts_that_share_a_short_line_make_no_pairs_in_the_second_round(spark):
+    line = words(12, 800)
+    docs = docs_of(spark, [" ".join(words(50, 810 + 2 * k) + line + words(50, 811 + 2 * k)) for k in range(40)])
+    base = docs.selectExpr("cast(doc_id as long) as id", "xxhash64(cast(text as binary)) as th", "cast(text as binary) as text")
+    windows = base.mapInArrow(passage_dedup._windows, passage_dedup.WINDOWS)
+    shared = windows.join(windows.groupBy("key").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a <> b"), "key")
+    assert shared.count() > 0
+    none = spark.createDataFrame([], passage_dedup.PASSAGES)
+    assert passage_dedup._others(shared, none).count() == 0
+
+
+def test_passages_do_not_depend_on_how_many_pairs_move_at_a_time(spark, monkeypatch):
+    passage = words(60, 820)
+    docs = docs_of(spark, [" ".join(words(40, 830 + k) + passage[:k] + passage[k + 1 :] + words(40, 850 + k)) for k in range(8)])
+    whole = sorted(map(tuple, passage_dedup.passages(docs).collect()))
+    monkeypatch.setattr(passage_dedup, "PART", 1)
+    assert whole and sorted(map(tuple, passage_dedup.passages(docs).collect())) == whole
+
+
+def test_word_hashes_tell_words_apart():
+    text = b"  Ab\tab  abc\x0bab\xc3\xa9 ab\xc3\x89 x" + b" y z" * 20000
+    hashed = passage_dedup.word_hashes(text).tolist()
+    assert len(hashed) == 40006 and dict(zip(text.lower().split(), hashed, strict=True)) == {w: h for h, w in zip(hashed, text.lower().split(), strict=True)}
+    assert len(set(hashed)) == len(set(text.lower().split()))
+    assert passage_dedup.word_hashes(b" \n").tolist() == []
+
+
+def test_aligned_chains_are_those_of_the_token_by_token_search():
+    rng = random.Random(821)
+    for _ in range(200):
+        x = [rng.randrange(1 << 60) for _ in range(rng.randrange(1, 200))]
+        y = [v for v in x if rng.random() > 0.1] + [5]
+        at = rng.randrange(len(y))
+        y[at:at] = [rng.randrange(1 << 60) for _ in range(rng.choice([0, 3, 40]))]
+        found = passage_dedup.aligned(np.array(x), np.array(y))
+        if found is not None:
+            where = {v: [j] for j, v in enumerate(y)}
+            assert [list(zip(i.tolist(), j.tolist(), strict=True)) for i, j in found] == passage_dedup.chains(x, where)
+
+
 def test_compact_windows_are_the_large_subtrees():
     rng = np.random.default_rng(3)
     x = np.concatenate(([0], rng.integers(1, 2**60, 300), [0], rng.integers(1, 2**60, 50), [0])).astype(np.uint64)
