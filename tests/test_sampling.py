@@ -3,6 +3,9 @@
 import datetime
 import random
 
+from pyspark.sql import functions as F
+
+from palimpsest.operators.quality import DREAM_RULES, HEADER_RULES, STAGED_RULES, TOOL_RULES, any_rule, picked
 from palimpsest.operators.rollups import by_levels, by_time, sliding
 from palimpsest.operators.sampling import BUCKETS, sampled
 
@@ -73,3 +76,31 @@ def test_windows_overlap_and_end_before_their_last_moment(spark):
     got = {(r.starts.day, r.ends.day, r.events, r.memories) for r in sliding(spark.createDataFrame(rows, EVENTS)).collect()}
     assert got == {(4, 11, 1, 1), *((d, d + 7, 2, 1) for d in range(5, 11)), (11, 18, 2, 2), *((d, d + 7, 1, 1) for d in range(12, 18))}
     assert sliding(spark.createDataFrame([], EVENTS)).count() == 0
+
+
+def test_people_look_at_some_of_each_bucket_and_the_riskiest_of_the_others(spark):
+    draw = random.Random(3)
+    for limit, each, n in [(20, 3, 300), (200, 30, 90), (7, 4, 60), (40, 2, 300)]:
+        names = ["a", "b", "c", "d"]
+        given = [(f"i{k:03d}", [b for b in names if draw.random() < 0.3 * (b != "c")], draw.randrange(6)) for k in range(n)]
+        order = sorted(given, key=lambda r: (-r[2], r[0]))
+        want: list[str] = []
+        for b in names:
+            some = [r[0] for r in order if b in r[1] and r[0] not in want][:each]
+            want += some[: limit - len(want)]
+        want += [r[0] for r in order if r[0] not in want][: limit - len(want)]
+        rows = spark.createDataFrame(given, "id string, buckets array<string>, risk int")
+        assert sorted(r.id for r in picked(rows, [F.col("risk").desc(), "id"], names, limit, each).collect()) == sorted(want)
+        assert len(want) == min(limit, n)
+
+
+def test_signs_of_outputs_headers_and_dreams(spark):
+    texts = {
+        "a stdout line": "tool", "> said so": "tool", "x ```\n": "tool", "process exited with CODE 1": "tool", "exitcodes": None, "a > b": None, "stderr": "tool", "no SQLiteError": "tool", "Category : x": "header", "see\n  kg_data: y": "header", "a category: x": None,
+        '{"generatedAt" : 1}': "header", "#  Deep Sleep": "dream_log", "Ranked 3 candidate(s) for durable promotion": "dream_log", "Ranked\n candidates for durable promotion": None, "- Candidate: a, Confidence: 1, evidence: b, status: staged": "staged", "- Candidate: a, status: staged": None,
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    rules = {"tool": TOOL_RULES, "header": HEADER_RULES, "dream_log": DREAM_RULES}
+    for name, some in rules.items():
+        assert {r.text for r in df.where(any_rule(F.col("text"), some)).collect()} == {t for t, n in texts.items() if n == name}
+    assert {r.text for r in df.where(" AND ".join(f"text RLIKE r'{rule}'" for rule in STAGED_RULES)).collect()} == {t for t, n in texts.items() if n == "staged"}
