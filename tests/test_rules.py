@@ -60,6 +60,26 @@ def test_opposed_pairs_are_those_of_all_pairs_and_none_is_shuffled(spark, cell_r
     assert not re.search(r"Aggregate|Deduplicate|Window|Distinct", plan)
 
 
+@pytest.mark.parametrize("side_rows", [4, 2_000])
+def test_topics_that_hold_one_another_count_where_none_is_common(spark, side_rows):
+    rng = random.Random(side_rows)
+    topics, said = ["form", "forms", "reform", "reforms", "inform", "information", "rain", "train", "深色主题", "深色主题很好看", "for", "abc"], ["爱", "hate", "great", "bad", "爱 hate", "爱hate 不行"]
+    rows = [(f"c{i:02}", " ".join([rng.choice(said), *rng.sample(topics, rng.randrange(1, 4)), "1234567"]), rng.choice([0.4, 0.5, None])) for i in range(70)] + [("c03", "爱 reforms informs", 0.1), (None, "hate form", 0.5)]
+    words = lambda text: {w for w in re.findall(r"[\u4e00-\u9fff]{2,}|[a-z]{4,}", text)}
+    sides = lambda text: ({i for i, (p, _) in enumerate(STANCES) if re.search(p, text)}, {i for i, (_, n) in enumerate(STANCES) if re.search(n, text)}, words(text))
+    want = []
+    for (i, (p, n, t), c), (j, (q, m, u), d) in itertools.product([(i, sides(text), -1 if c is None else c) for i, text, c in rows if i], repeat=2):
+        shared = len(t & u)
+        if not shared:
+            one, other = (t, u) if c >= d else (u, t)
+            shared = sum(any(len(v) > 3 and len(w) > 3 and (v in w or w in v) for w in other) for v in one)
+        if i < j and shared > 1 and (p & m or n & q):
+            want.append((i, j, shared, len((p & m) | (n & q))))
+    found = opposed(spark.createDataFrame(rows, "id string, text string, confidence double"), side_rows=side_rows)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    assert any(not words(dict((i, x) for i, x, _ in rows[:70])[i]) & words(dict((i, x) for i, x, _ in rows[:70])[j]) for i, j, *_ in want)
+
+
 def test_flags_of_texts_are_told_where_texts_are_read(spark):
     texts = [
         ("a", None, "missing_content"), ("b", " ", "content_empty"), ("c", "short \t\n one", "content_too_short"), ("d", "role : user, said in full", "raw_log_leak"), ("e", "# Assistant\nand more of it all", "raw_log_leak"), ("f", "Traceback (most recent call last)", "debug_noise"),
