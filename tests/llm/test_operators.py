@@ -316,6 +316,14 @@ def test_components_hold_the_links_of_brute_force(altered_copies):
         assert links and sum(of.get(a, -a) == of.get(b, -b) for a, b in links) >= 0.95 * len(links)
 
 
+def test_components_hold_every_link_of_brute_force(altered_copies):
+    rows, groups = altered_copies
+    of = {r.id: r.component_id for r in rows}
+    for first, copies in groups:
+        links = [(first + i, first + j) for i in range(len(copies)) for j in range(i) if alike(copies[i], copies[j])]
+        assert [(a, b) for a, b in links if of.get(a, -a) != of.get(b, -b)] == []
+
+
 def test_texts_that_share_a_short_line_make_no_pairs_in_the_second_round(spark):
     line = words(12, 800)
     docs = docs_of(spark, [" ".join(words(50, 810 + 2 * k) + line + words(50, 811 + 2 * k)) for k in range(40)])
